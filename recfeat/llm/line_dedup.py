@@ -187,7 +187,7 @@ def dedup_lines(
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 whole = (text or "").split("\n")
                 n_lines.append(len(whole))
-                if gone:
+                if gone and text is not None:
                     gone = set(gone)
                     kept = [x for x in whole if line_key(x.encode()) not in gone]
                     n_dropped.append(len(whole) - len(kept))
