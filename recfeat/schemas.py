@@ -4,36 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-IMAGE = "struct<variant:string,hi_res:string,large:string,thumb:string>"
+_TEXT, _LONG, _NUMBER, _FLAG = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
+_TEXTS = T.ArrayType(_TEXT)
 
-RAW_META = T._parse_datatype_string(
-    "parent_asin string, asin string, main_category string, title string, average_rating double, rating_number long, "
-    "price string, store string, features array<string>, description string, details string, images string, "
-    "bought_together string, categories array<string>"
-)
+
+def _record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+IMAGE = _record(variant=_TEXT, hi_res=_TEXT, large=_TEXT, thumb=_TEXT)
+
+RAW_META = _record(
+    parent_asin=_TEXT, asin=_TEXT, main_category=_TEXT, title=_TEXT, average_rating=_NUMBER, rating_number=_LONG, price=_TEXT, store=_TEXT,
+    features=_TEXTS, description=_TEXT, details=_TEXT, images=_TEXT, bought_together=_TEXT, categories=_TEXTS,
+)
 """Fields whose type varies in the landed files (price, description, details, images) are read as raw JSON text."""
 
-RAW_REVIEW = T._parse_datatype_string(
-    "user_id string, asin string, parent_asin string, rating double, title string, text string, timestamp long, "
-    "verified_purchase boolean, helpful_vote long"
-)
+META = _record(
+    parent_asin=_TEXT, asin=_TEXT, main_category=_TEXT, title=_TEXT, average_rating=_NUMBER, rating_number=_LONG, price=_NUMBER, store=_TEXT,
+    features=_TEXTS, description=_TEXTS, details=T.MapType(_TEXT, _TEXT), images=T.ArrayType(IMAGE), bought_together=_TEXT, categories=_TEXTS,
+)
 
-META = T._parse_datatype_string(
-    "parent_asin string, asin string, main_category string, title string, average_rating double, rating_number long, "
-    f"price double, store string, features array<string>, description array<string>, details map<string,string>, images array<{IMAGE}>, "
-    "bought_together string, categories array<string>"
+RAW_REVIEW = _record(
+    user_id=_TEXT, asin=_TEXT, parent_asin=_TEXT, rating=_NUMBER, title=_TEXT, text=_TEXT, timestamp=_LONG, verified_purchase=_FLAG, helpful_vote=_LONG
 )
 
-REVIEW = T._parse_datatype_string(
-    "user_id string, asin string, parent_asin string, rating double, title string, text string, sort_timestamp long, "
-    "verified_purchase boolean, helpful_votes long"
+REVIEW = _record(
+    user_id=_TEXT, asin=_TEXT, parent_asin=_TEXT, rating=_NUMBER, title=_TEXT, text=_TEXT, sort_timestamp=_LONG, verified_purchase=_FLAG, helpful_votes=_LONG
 )
 
-HISTORY = "array<struct<title:string,text:string>>"
-USER_FEAT = f"struct<cat_hist:map<string,double>,review_cnt:bigint,price_mean:double,price_std:double,history:{HISTORY}>"
+HISTORY = T.ArrayType(_record(title=_TEXT, text=_TEXT))
 
-PATCH = T._parse_datatype_string("parent_asin string, patch binary, shape array<int>")
+USER_FEAT = _record(cat_hist=T.MapType(_TEXT, _NUMBER), review_cnt=_LONG, price_mean=_NUMBER, price_std=_NUMBER, history=HISTORY)
 
-SAMPLE = T._parse_datatype_string(
-    "key string, user_text string, item_text string, patch binary, shape array<int>, has_image int, label_good int, label_best int"
-)
+SAMPLE = _record(
+    key=_TEXT, user_text=_TEXT, item_text=_TEXT, patch=T.BinaryType(), shape=T.ArrayType(T.IntegerType()), has_image=T.IntegerType(),
+    label_good=T.IntegerType(), label_best=T.IntegerType(),
+)

@@ -57,14 +57,14 @@ def details(text: Column) -> Column:
 def images(text: Column) -> Column:
     """Images from a list of objects, or from an object of lists, which are zipped to the shortest list."""
     names = ("variant", "hi_res", "large", "thumb")
-    listed = F.from_json(F.when(text.rlike(r"^\s*\["), text), f"array<{IMAGE}>")
+    listed = F.from_json(F.when(text.rlike(r"^\s*\["), text), T.ArrayType(IMAGE))
     lists = F.from_json(F.when(text.rlike(r"^\s*\{"), text), T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in names]))
     present = lambda n: F.coalesce(lists[n], F.array().cast("array<string>"))
     zipped = F.transform(
         F.slice(F.arrays_zip(*[present(n).alias(n) for n in names]), F.lit(1), F.least(*[F.size(present(n)) for n in names])),
         lambda s: F.struct(*[s[n].alias(n) for n in names]),
     )
-    return F.coalesce(listed, F.when(lists.isNotNull(), zipped), F.array().cast(f"array<{IMAGE}>"))
+    return F.coalesce(listed, F.when(lists.isNotNull(), zipped), F.array().cast(T.ArrayType(IMAGE)))
 
 
 def main_image(column: str | Column = "images") -> Column:
