@@ -49,12 +49,16 @@ def from_patches(patches: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(T.BinaryType())
 def image_patches(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    """Patches of Spark image rows (BGR bytes, row by row): 256 shorter side, centre crop, patchify. Bad rows give null."""
+    """Patches of Spark image rows (BGR bytes, row by row): 256 shorter side, centre crop, patchify.
+
+    Grey images are repeated for each channel, a fourth channel is left out; other rows give null.
+    """
 
     def one(raw, h, w):
-        if raw is None or h < 1 or w < 1 or len(raw) != 3 * h * w:
+        if raw is None or h < 1 or w < 1 or len(raw) not in (h * w, 3 * h * w, 4 * h * w):
             return None
-        rgb = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, 3)[:, :, ::-1].transpose(2, 0, 1)
+        bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, -1)[:, :, :3]
+        rgb = np.broadcast_to(bgr, (h, w, 3))[:, :, ::-1].transpose(2, 0, 1)
         return to_patches(centre_crop(resize(rgb, 256))).tobytes()
 
     return pd.Series([one(*row) for row in zip(data, height, width)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import assemble, enrich, evaluate, negatives, profile, split
-from ..sources import ingest
+from ..sources import ingest, patches
 from . import adapters as a
 
 SEED = 7
@@ -284,7 +284,51 @@ def model_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("key", "user_text", "item_text", "has_image", "label_good", "label_best")
 
 
+def reviews_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as raw review lines, some without fields and some broken, and parsed again."""
+    e = a.table(spark, sf_dir, "events")
+    number = F.col("event_id").cast("string")
+    line = F.concat(
+        F.lit('{"user_id":"'), F.col("user_id").cast("string"), F.lit('","asin":"A'), number, F.lit('"'),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"parent_asin":"P'), number, F.lit('"'))).otherwise(""),
+        F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit(',"title":"'), F.col("event_type"), F.lit('"'))),
+        F.lit(',"rating":'), (F.col("event_id") % 5 + 1).cast("string"), F.lit(',"timestamp":'), number, F.lit(',"helpful_vote":'), (F.col("event_id") % 7).cast("string"),
+        F.when(F.col("event_id") % 10 == 0, "").otherwise("}"),
+    )
+    rows, _ = ingest.parse_lines(e.select(line.alias("raw")), ingest.RAW_REVIEW)
+    return ingest.clean_reviews(rows)
+
+
+REVIEWS_CLEAN_SQL = """select cast(user_id as varchar) user_id, 'A' || event_id asin, case when event_id % 3 = 0 then 'P' || event_id else 'A' || event_id end parent_asin,
+       cast(event_id % 5 + 1 as double) rating, case when event_id % 4 = 0 then '' else event_type end title, '' as text, event_id sort_timestamp, false verified_purchase, event_id % 7 helpful_votes
+from events where event_id % 10 <> 0"""
+
+
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties of all events as JSON lines, each eleventh broken: the lines set aside, with their reasons."""
+    broken = F.expr("case when event_id % 11 = 0 then substr(props, 1, 3) when event_id % 11 = 1 then concat('[', props, ']') else props end")
+    _, bad = ingest.parse_lines(a.table(spark, sf_dir, "events").select(broken.alias("raw")), ingest.RAW_REVIEW)
+    return bad.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.length("raw")).alias("chars"))
+
+
+REJECTED_SQL = """select case event_id % 11 when 0 then 'malformed' else 'not an object' end reason, count(*) n,
+       cast(sum(case event_id % 11 when 0 then length(substr(props, 1, 3)) else length(props) + 2 end) as bigint) chars
+from events where event_id % 11 in (0, 1) group by 1"""
+
+
+def patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches written as JSON lines and read back."""
+    made = patches.to_lines(a.patches(spark, sf_dir).withColumn("shape", F.array(F.lit(32))))
+    back, _ = patches.from_lines(made.select(F.to_json(F.struct(*made.columns)).alias("raw")))
+    return back.select("parent_asin", F.col("patch").cast("string").alias("patch"), F.base64("patch").alias("patch_b64"))
+
+
+PATCH_ROWS_SQL = """select cast(p_partkey as varchar) parent_asin, md5(cast(p_partkey as varchar)) patch, to_base64(encode(md5(cast(p_partkey as varchar)))) patch_b64
+from part where p_partkey % 3 = 0"""
+
+
 QUERIES = {
+    "reviews_clean": (reviews_clean, REVIEWS_CLEAN_SQL), "rejected_lines": (rejected_lines, REJECTED_SQL), "patch_rows": (patch_rows, PATCH_ROWS_SQL),
     "flagship": (flagship, FLAGSHIP_SQL), "enrich_reviews": (enrich_reviews, ENRICH_SQL), "downsample_five_star": (downsample_five_star, DOWNSAMPLE_SQL),
     "profile_numeric": (profile_numeric, PROFILE_NUMERIC_SQL), "profile_cat_hist": (profile_cat_hist, PROFILE_CAT_HIST_SQL),
     "profile_history": (profile_history, PROFILE_HISTORY_SQL), "user_features": (user_features, None), "candidate_pool": (candidate_pool, CANDIDATE_POOL_SQL),

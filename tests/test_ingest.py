@@ -97,3 +97,36 @@ def test_fetch_drops_failures(spark, tmp_path):
     df = spark.createDataFrame([("a", f"file://{tmp_path}/x"), ("b", f"file://{tmp_path}/y"), ("c", "")], "parent_asin string, url string")
     got = images.fetch(df).collect()
     assert [(r.parent_asin, bytes(r.content)) for r in got] == [("a", b"img")]
+
+
+def png(pixels):
+    import struct
+    import zlib
+
+    h, w, _ = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    body = zlib.compress(b"".join(b"\0" + row.tobytes() for row in pixels))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def test_landed_images_become_patch_lines_and_come_back(spark, tmp_path):
+    import numpy as np
+
+    from recfeat.functions import image
+    from recfeat.sources import patches
+
+    folder = tmp_path / "img"
+    folder.mkdir()
+    pixels = np.random.default_rng(0).integers(0, 256, (256, 256, 3)).astype(np.uint8)
+    (folder / "B01.x.png").write_bytes(png(pixels))
+    (folder / "bad.png").write_bytes(b"nothing")
+    made = patches.landed_patches(spark, str(folder))
+    sinks.write_json_files(patches.to_lines(made), str(tmp_path / "out"), 2)
+    back, bad = patches.read_patches(spark, str(tmp_path / "out" / "*.gz"))
+    got = back.collect()
+    assert bad.count() == 0 and [(r.parent_asin, r["shape"]) for r in got] == [("B01.x", image.SHAPE)]
+    want = image.to_patches(image.centre_crop(pixels.transpose(2, 0, 1)))
+    assert bytes(got[0].patch) == want.tobytes()
+    odd = lines(spark, ['{"parent_asin":" ","patch_b64":"AA=="}', '{"parent_asin":"a","patch_b64":"*"}', "x"])
+    rows_back, bad = patches.from_lines(odd)
+    assert (rows_back.count(), bad.count()) == (0, 1)
