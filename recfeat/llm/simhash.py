@@ -108,9 +108,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     group = unused_name(docs, "component_id")
     found = near_duplicates(docs, id_col, text_col)
-    mine = found.groupBy(id_col).agg(F.count("*").alias("n"), F.min("component_id").alias(group))
-    keep = as_table(mine.where(F.col(id_col) == F.col(group)).select(F.col(id_col).alias(group), "n"), "kept")
-    once = docs.join(keep.where("n = 1"), F.col(id_col) == F.col(group), "left_semi")
-    again = docs.join(keep.where("n > 1"), F.col(id_col) == F.col(group), "left_semi")
-    nameless = docs.where(F.col(id_col).isNull())
-    return once.unionByName(again.dropDuplicates([id_col, text_col])).unionByName(nameless)
+    ids = found.groupBy(id_col).agg(F.count("*").alias("n"), F.min("component_id").alias(group))
+    keep = as_table(ids.where(F.col(id_col) == F.col(group)).select(F.col(id_col).alias(group), "n"), "kept")
+    mine = lambda which: docs.join(keep.where(which), F.col(id_col) == F.col(group), "left_semi")
+    kept = mine("n = 1").unionByName(docs.where(F.col(id_col).isNull()))
+    if not keep.where("n > 1").isEmpty():  # texts are shuffled a second time only where ids repeat
+        kept = kept.unionByName(mine("n > 1").dropDuplicates([id_col, text_col]))
+    return kept
