@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import as_table
 from .enrich import unit_hash
 
 POOL, PER_POSITIVE = 10_000, 5
@@ -42,14 +43,15 @@ def draw_negatives(rows: DataFrame, pool: DataFrame, per_positive: int = PER_POS
     """``(user_id, row_key, pos, neg_asin, try, nth)``: up to ``per_positive`` items for each of the ``ordered`` rows.
 
     A first pass tries a few hashes a row; rows that are still short are tried again up to the bound of
-    ``max_tries``, after which fewer are accepted. ``rows`` and ``pool`` are read more than once.
+    ``max_tries``, after which fewer are accepted. ``rows`` is read more than once, so it had better be a table.
     """
+    pool = as_table(pool, "pool")
     n_pool = pool.count()
     if n_pool == 0:
         return rows.select("user_id", "row_key", "pos", F.lit(None).cast("string").alias("neg_asin"), F.lit(0).alias("try"), F.lit(0).alias("nth")).limit(0)
     seen = rows.groupBy("user_id", F.col("parent_asin").alias("seen_asin")).agg(F.min("pos").alias("first_pos"))
     keyed = rows.select("user_id", "row_key", "pos")
-    first = _draw(keyed, pool, n_pool, seen, per_positive, per_positive + 3, seed)
+    first = as_table(_draw(keyed, pool, n_pool, seen, per_positive, per_positive + 3, seed), "first_draw")
     enough = first.where(F.col("nth") == per_positive).select("row_key")
     short = keyed.join(enough, "row_key", "left_anti")
     again = _draw(short, pool, n_pool, seen, per_positive, max_tries(per_positive), seed)

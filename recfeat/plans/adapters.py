@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich, profile
 from ..sources.ingest import main_image
+from ..tables import as_table
 
 TRAIN_END, VALID_END = "2000-04-11", "2000-12-01"
 
@@ -57,7 +58,8 @@ def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.ordered(positives(spark, sf_dir).drop("features", "description", "images"))
+    """Positives in the order of their users, as a table: the profile's parts read it several times."""
+    return as_table(profile.ordered(positives(spark, sf_dir).drop("features", "description", "images")), "ordered")
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from ..functions import chunks, image, text, vectors
 from ..operators import assemble, evaluate, sampling
 from ..sources import shards, sinks
 from ..streaming import profile as streams
+from ..tables import as_table, shared_folder
 from . import adapters as a
 
 GATE = [[0.5 if (i + e) % 2 else -0.25 for i in range(8)] for e in range(3)]
@@ -162,8 +162,7 @@ def _drawn_pixels(vector):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-out-", dir="/tmp")
-    return f"{base.removeprefix('file:')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).removeprefix('file:')}/{uuid.uuid4().hex}"
 
 
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +222,7 @@ def two_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label_good", "label_best", F.col("review_cnt").cast("double").alias("cnt"), F.coalesce("price_mean", F.lit(0.0)).alias("mean"),
         "price_std", F.coalesce(F.col("price_cents") / 100, F.lit(0.0)).alias("price"),
     )
-    scored = evaluate.fit_two_tasks(rows, ["cnt", "mean", "price_std", "price"], rounds=5)
+    scored = as_table(evaluate.fit_two_tasks(as_table(rows, "features"), ["cnt", "mean", "price_std", "price"], rounds=5), "scored")
     made = [evaluate.auc(scored, f"prob_{t}", f"label_{t}").select(F.lit(t).alias("task"), "auc", "positives", "negatives") for t in ("good", "best")]
     return made[0].unionByName(made[1])
 

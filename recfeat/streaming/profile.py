@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..tables import shared_folder
+
 OUTPUT = "user_id string, event_id long, ts timestamp, review_cnt long, price_mean double, price_std double, cat_hist string, history string, late boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "n long, n_price long, s_price long, q_price string, cats string, last string, newest_ts long, newest_id long"
@@ -98,8 +99,7 @@ def read_table(spark: SparkSession, folder: str, name: str, files_per_batch: int
 def drained(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
     """Run a stream until its present input is used up, into Parquet under the shared folder; returns the table."""
     spark = stream.sparkSession
-    folder = folder or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    out = f"{folder or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
     query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
