@@ -73,7 +73,8 @@ def close_pairs(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFra
         .select("a", "h.s", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("h.v")))).alias("v"))
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    found = balls.join(table, (balls.s == table.s) & (balls.v == table.v) & (F.col("a") < F.col("b")) & near)
+    # Spark takes the size of exploded rows for that of their source; neither side may be broadcast on that word
+    found = balls.join(table.hint("merge"), (balls.s == table.s) & (balls.v == table.v) & (F.col("a") < F.col("b")) & near)
     return found.select("a", "b").distinct()
 
 
