@@ -42,6 +42,8 @@ _BAD_WORDS = re.compile(
     r"related|recommend\w*|popular|trending|tags|toolbar|skip|login|search|copyright|legal|disclaimer|outbrain|taboola|byline-share)(?:$|[-_\s0-9])",
     re.I,
 )
+_ASIDE_WORDS = re.compile(r"(?:^|[-_\s])(?:comments?|comment-?\w*|reply|replies|respond|related|teaser|promo\w*|sponsor\w*|widget|ads?)(?:$|[-_\s0-9])", re.I)
+_TITLE_WORDS = re.compile(r"(?:^|[-_\s])(?:article|entry|post|story|content)-?header(?:$|[-_\s0-9])", re.I)
 _GOOD_WORDS = re.compile(r"(?:^|[-_\s])(?:article\w*|body|content|entry|main|post|story|text|page|column)(?:$|[-_\s0-9])", re.I)
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 _SAME = {
@@ -58,11 +60,12 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins k
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "out", "own")
+    __slots__ = ("tag", "attrs", "parent", "children", "out", "holds")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.own = tag, attrs, parent, [], None
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.out = tag in DROPPED
+        self.holds = False  # the page's article, somewhere below
 
 
 def parse(page: str) -> Node:
@@ -96,6 +99,11 @@ def parse(page: str) -> Node:
             stack.pop()
         node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
+        if tag in ("article", "main") and not _unwanted(node):
+            above = node.parent
+            while above is not None and not above.holds:
+                above.holds = True
+                above = above.parent
         if tag in RAW:
             lower = page.lower() if lower is None and len(page.lower()) == size else lower
             end = (lower or page).find(f"</{tag}", at)
@@ -131,9 +139,10 @@ def _close_open(stack: list[Node], tags: frozenset, fence: frozenset) -> None:
 
 
 def _unwanted(node: Node) -> bool:
-    """By its role, visibility, class or id; what clearly names an article is never unwanted."""
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+    """By its role, visibility, class or id. Articles are unwanted only where their class says comment, teaser and the like."""
+    if not node.attrs or node.tag in ("html", "body", "main"):
         return False
+    bad = _ASIDE_WORDS if node.tag == "article" else _BAD_WORDS
     names = []
     for m in _ATTRIBUTE.finditer(node.attrs):
         key = m[1].lower()
@@ -146,7 +155,7 @@ def _unwanted(node: Node) -> bool:
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return any(_BAD_WORDS.search(n) for n in names) and node.tag not in HEADINGS
+    return any(bad.search(_TITLE_WORDS.sub(" ", n)) for n in names) and node.tag not in HEADINGS
 
 
 def _in_order(root: Node) -> list[Node]:
@@ -154,9 +163,10 @@ def _in_order(root: Node) -> list[Node]:
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.out or _unwanted(node):
+        if (node.out or _unwanted(node)) and not (node.holds and node.tag not in RAW):
             node.out = True
             continue
+        node.out = False
         order.append(node)
         todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return order

@@ -30,6 +30,13 @@ def test_defined_results_for_odd_pages():
     assert h.extract("<p>" + "word, " * 200_000) == [" ".join(["word,"] * 200_000)]
 
 
+def test_wrappers_around_the_article_are_no_menus_and_comments_no_articles():
+    page = """<body><form id=aspnet><div class="layout with sidebar"><div class="sidebar"><p>Not, this, one, at, all</p></div>
+    <article class="post"><div class="entry-header"><h1>Head</h1></div><p>Text, of it.</p>
+    <section class="comments"><article class="comment"><p>Long, long, long reader remark, longer than all.</p></article></section></article></div></form></body>"""
+    assert h.extract(page) == ["Head", "Text, of it."]
+
+
 def test_every_row_gives_a_row(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert rows(h.main_text(df)) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
