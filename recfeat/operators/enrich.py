@@ -33,8 +33,9 @@ def thin_top_ratings(reviews: DataFrame, key: str, rate: float = STAR_RATE, seed
 
 
 def event_date(ms: Column) -> Column:
-    """Epoch milliseconds as a UTC date string; null and 0 give null. The session's time zone must be UTC."""
-    return F.when(ms != 0, F.date_format(F.timestamp_millis(ms.cast("long")), "yyyy-MM-dd"))
+    """Epoch milliseconds as a UTC date string, in any session time zone; null and 0 give null."""
+    days = F.floor(ms.cast("long") / 86_400_000).cast("int")
+    return F.when(ms != 0, F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"))
 
 
 def enrich(reviews: DataFrame, meta: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

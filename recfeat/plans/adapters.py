@@ -32,7 +32,7 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews from ``lineitem`` and ``orders``; ``row_key`` is unique. Times are read as UTC."""
-    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(o_orderdate as timestamp_ntz))")
     whole = lambda c: F.col(c).cast("int").cast("string")
     key = F.concat_ws(
         "|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
