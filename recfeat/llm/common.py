@@ -1,38 +1,16 @@
-"""Helpers that every operator of this subpackage shares: shared-folder tables and text columns."""
+"""Helpers that every operator of this subpackage shares: tables, text columns and free names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_SPACE = b" \t\n\x0b\x0c\r"
-"""The white space of every text contract here: U+0020 and U+0009 to U+000D."""
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+from ..tables import as_table, shared_folder
 
-    Only where the session names none (tests on one machine) a local one is made.
-    """
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+__all__ = ["ASCII_SPACE", "as_table", "shared_folder", "table", "unused_name", "utf8"]
 
-
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, never the steps before the table.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ASCII_SPACE = b" \t\n\x0b\x0c\r"
+"""The white space of every text contract here: U+0020 and U+0009 to U+000D."""
 
 
 def utf8(column: str | Column) -> Column:
