@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
