@@ -110,9 +110,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group = unused_name(docs, "component_id")
     found = near_duplicates(docs, id_col, text_col)
     ids = found.groupBy(id_col).agg(F.count("*").alias("n"), F.min("component_id").alias(group))
-    keep = as_table(ids.where(F.col(id_col) == F.col(group)).select(F.col(id_col).alias(group), "n"), "kept")
-    mine = lambda which: docs.join(keep.where(which), F.col(id_col) == F.col(group), "left_semi")
-    kept = mine("n = 1").unionByName(docs.where(F.col(id_col).isNull()))
-    if not keep.where("n > 1").isEmpty():  # texts are shuffled a second time only where ids repeat
-        kept = kept.unionByName(mine("n > 1").dropDuplicates([id_col, text_col]))
+    # what goes is listed, not what stays: it is the shorter list, and small enough to be broadcast more often
+    gone = ids.where((F.col(id_col) != F.col(group)) | (F.col("n") > 1))
+    gone = as_table(gone.select(F.col(id_col).alias(group), "n", (F.col(id_col) == F.col(group)).alias("first")), "gone")
+    same = F.col(id_col) == F.col(group)
+    kept = docs.join(gone, same, "left_anti")
+    repeated = gone.where("n > 1 and first")
+    if not repeated.isEmpty():  # texts are read a second time only where ids repeat
+        kept = kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
     return kept
