@@ -3,8 +3,11 @@
 Counts of words and word pairs of the training texts are quantised to 1 + floor(log_b(count)) and stored
 in a Bloom filter by that many events (n-gram, 1), (n-gram, 2), ... (Talbot and Osborne, 2007): a count is
 read back by probing for one level after the other until a probe fails, so it is never too low. The
-filter is built in shards, each by one task from the packed hashes of its n-grams, and broadcast; its
-size follows the number of events up to ``MAX_BYTES``, beyond which its error rate grows instead.
+filter is built in shards, each by one task from the packed hashes of its n-grams; it has the same bits
+and probes for each event at every size. A filter of up to ``MAX_BYTES`` is broadcast whole. Of a larger
+one, blocks of shards within that bound are broadcast one after the other, and each pass scores the tokens
+whose pair its block holds: pairs are dealt to groups by the blocks of their two words, so that a pass has
+all three counts of its tokens, and a text's score is the sum over the passes.
 
 The model mixes pair and word estimates by Dirichlet smoothing:
 P(w | v) = (c(vw) + A P(w)) / (c(v) + A), with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
@@ -18,6 +21,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -36,8 +40,10 @@ WEIGHT = 50.0
 HEAD_WORDS = 200_000
 """At most so many of the most frequent words are sent to the workers with their exact counts."""
 MAX_BYTES = 320 << 20
-"""The filter's size at most; it is what is broadcast."""
+"""So much of the filter at most is broadcast at a time."""
 PROBES = 5
+BYTES_FOR = PROBES / math.log(2) / 8
+"""The filter's size for each event."""
 WORDS_HELD = 400_000
 BATCH_BYTES = 4 << 20
 SHARD_NGRAMS = 1 << 20
@@ -58,11 +64,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_hashes(words: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashes of (previous token, token) for each token; each text's end token stands before its first."""
-    return mix(before(words, ends, sizes) * _PAIR + words)
-
-
 def before(values: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Of each token, what belongs to the token before it; ``ends`` and ``sizes``: of the texts, side by side."""
     out = np.concatenate([values[-1:], values[:-1]])
@@ -70,6 +71,53 @@ def before(values: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return out
 
 
+class Layout:
+    """Which shard holds an n-gram: words are dealt to blocks by their hash, pairs to a group for each two blocks."""
+
+    def __init__(self, blocks: int, word_shards: int, pair_shards: int):
+        """``word_shards`` of each block, ``pair_shards`` of each group."""
+        self.blocks, self.word_shards, self.pair_shards = blocks, word_shards, pair_shards
+        self.first_pair = blocks * word_shards
+        self.shards = self.first_pair + blocks * blocks * pair_shards
+
+    def pairs(self, words: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashes of (previous token, token) for each token; each text's end token stands before its first.
+
+        With several blocks a hash's remainder is its group.
+        """
+        context, blocks = before(words, ends, sizes), np.uint64(self.blocks)
+        hashes = mix(context * _PAIR + words)
+        if self.blocks > 1:
+            hashes >>= np.uint64(1)  # no overflow below
+            hashes += context % blocks * blocks + words % blocks - hashes % (blocks * blocks)
+        return hashes
+
+    @staticmethod
+    def _place(hashes: np.ndarray, parts: int, shards: int) -> np.ndarray:
+        part, n = hashes % np.uint64(parts), np.uint64(shards)
+        return (part * n + hashes // np.uint64(parts) % n).astype(np.int64)
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        return self._place(hashes, self.blocks, self.word_shards)
+
+    def of_pairs(self, hashes: np.ndarray) -> np.ndarray:
+        return self.first_pair + self._place(hashes, self.blocks**2, self.pair_shards)
+
+    def passes(self, sizes: dict[int, int], max_bytes: int) -> Iterator[tuple[list[int], int, int]]:
+        """``(shards, first, last)``: what a pass holds, ``first`` to before ``last`` of it pairs; ``sizes``: bytes of shards that are not empty."""
+        for group in range(self.blocks**2):
+            words = [b * self.word_shards + k for b in sorted({group // self.blocks, group % self.blocks}) for k in range(self.word_shards)]
+            base = sum(sizes.get(s, 8) for s in words)
+            at = end = self.first_pair + group * self.pair_shards
+            while at < self.first_pair + (group + 1) * self.pair_shards:
+                held, end = base, at
+                while end < self.first_pair + (group + 1) * self.pair_shards and (end == at or held + sizes.get(end, 8) <= max_bytes):
+                    held += sizes.get(end, 8)
+                    end += 1
+                yield [*words, *range(at, end)], at, end  # also what holds no pair: there tokens' pairs are unseen
+                at = end
+
+
 def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
     """Texts in runs of about ``BATCH_BYTES``."""
     now, size = [], 0
@@ -132,13 +180,17 @@ class LogBloom:
             start, step, levels = start[levels >= k], step[levels >= k], levels[levels >= k]
         return bits
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The stored level of each n-gram: the probes go on from level to level until one fails."""
+    def levels(self, hashes: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
+        """The stored level of each n-gram: the probes go on from level to level until one fails.
+
+        ``shard``: where each one is, else by its remainder.
+        """
         found, active = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
         if not len(self.sizes):
             return found
         start, step = self.seeds(hashes)
-        shard = (hashes % np.uint64(len(self.sizes))).astype(np.int64)
+        if shard is None:
+            shard = (hashes % np.uint64(len(self.sizes))).astype(np.int64)
         base, sizes = self.starts[shard] << np.uint64(3), self.sizes[shard] << np.uint64(3)
         for k in range(1, len(LEVEL_COUNTS)):
             for probe in range(self.probes):
@@ -199,37 +251,42 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _packed(hashes: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """One row for each shard: its different hashes and how often each occurs."""
+def _packed(hashes: np.ndarray, place) -> Iterator[pa.RecordBatch]:
+    """One row for each shard (by ``place``): its different hashes and how often each occurs."""
     values, n = np.unique(hashes, return_counts=True)
-    shard = (values % np.uint64(shards)).astype(np.int64)
+    shard = place(values)
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(edges)).tolist():
-        mine = order[edges[s] : edges[s + 1]]
+    names, firsts = np.unique(shard[order], return_index=True)
+    for s, mine in zip(names.tolist(), np.split(order, firsts[1:])):
         yield pa.RecordBatch.from_pydict({
             "shard": pa.array([s], pa.int32()), "hashes": [values[mine].tobytes()], "n": [zlib.compress(n[mine].astype(np.uint32).tobytes(), 1)],
         })
 
 
-def _filter_shards(texts: DataFrame, shards: int, bytes_for, probes: int) -> DataFrame:
-    """``(shard, bits)``: words and pairs of all texts, gathered by shard of their hash."""
+def _filter_shards(texts: DataFrame, layout: Layout) -> DataFrame:
+    """``(shard, size, bits)``: words and pairs of all texts, gathered by shard of their hash; ``size`` in bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+        words, alone, both, size = Words(), [], [], 0
+
+        def flush():
+            yield from _packed(np.concatenate(alone), layout.of_words)
+            yield from _packed(np.concatenate(both), layout.of_pairs)
+
         for batch in batches:
             for texts in groups(batch.column(0).to_pylist()):
                 split = [tokens(t) for t in texts]
                 sizes = np.array([len(w) for w in split])
                 numbers = words(list(chain.from_iterable(split)))
                 h = words.hashes[numbers]
-                held += [h, pair_hashes(h, np.cumsum(sizes), sizes)]
+                alone.append(h)
+                both.append(layout.pairs(h, np.cumsum(sizes), sizes))
                 size += 2 * len(h)
                 if size > 4_000_000:
-                    yield from _packed(np.concatenate(held), shards)
-                    held, size = [], 0
-        if held:
-            yield from _packed(np.concatenate(held), shards)
+                    yield from flush()
+                    alone, both, size = [], [], 0
+        if alone:
+            yield from flush()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -242,8 +299,9 @@ def _filter_shards(texts: DataFrame, shards: int, bytes_for, probes: int) -> Dat
 
         def done():
             values, n = fold()
-            size = max(8, -(-int(level(n).sum() * bytes_for) // 8) * 8)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "bits": [LogBloom.shard(values, n, size * 8, probes).tobytes()]})
+            size = max(8, -(-int(level(n).sum() * BYTES_FOR) // 8) * 8)
+            bits = LogBloom.shard(values, n, size * 8, PROBES).tobytes()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "size": pa.array([size], pa.int64()), "bits": [bits]})
 
         for batch in batches:
             for s, hashes, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -258,14 +316,52 @@ def _filter_shards(texts: DataFrame, shards: int, bytes_for, probes: int) -> Dat
             yield done()
 
     packed = texts.mapInArrow(pack, "shard int, hashes binary, n binary")
-    return packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, bits binary")
+    return packed.repartition(layout.shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, size long, bits binary")
+
+
+def _load(made: DataFrame, wanted: list[int], shards: int) -> tuple[bytes, np.ndarray]:
+    """The wanted shards' bytes in one piece, and where each starts; of these, one without n-grams is eight empty bytes."""
+    ranges = F.lit(False)
+    for run in np.split(np.array(wanted), np.flatnonzero(np.diff(wanted) != 1) + 1):
+        ranges |= F.col("shard").between(int(run[0]), int(run[-1]))
+    parts = dict.fromkeys(wanted, bytes(8))
+    parts |= {r[0]: bytes(r[1]) for r in made.where(ranges).select("shard", "bits").toLocalIterator()}
+    return b"".join(parts[s] for s in wanted), np.cumsum([0, *(len(parts.get(s, b"")) for s in range(shards))])
+
+
+def _logs(alone: np.ndarray, context: np.ndarray, both: np.ndarray, all_words: float) -> np.ndarray:
+    """log10 P(w | v) from the counts of w, v and vw."""
+    p = (alone + 0.5) / all_words
+    p = (np.minimum(both, np.maximum(context, 1)) + WEIGHT * p) / (np.maximum(context, both) + WEIGHT)
+    return np.log10(np.minimum(p, 1.0))
+
 
+def _pass_scores(hashed: DataFrame, bits: bytes, starts: np.ndarray, layout: Layout, first: int, last: int, all_words: float) -> DataFrame:
+    """``(row, part)``: the sum of each text over its tokens whose pair is in the shards ``first`` to before ``last``."""
+    sent = hashed.sparkSession.sparkContext.broadcast((bits, starts))
 
-def _load(rows: list[tuple[int, bytes]], shards: int) -> tuple[bytes, np.ndarray]:
-    """The shards' bytes in one piece, and where each starts; a shard without n-grams is eight empty bytes."""
-    parts = dict(rows)
-    sizes = [len(parts.get(s, b"")) or 8 for s in range(shards)]
-    return b"".join(parts.get(s, bytes(8)) for s in range(shards)), np.cumsum([0, *sizes])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, where = sent.value
+        bloom = LogBloom(np.frombuffer(raw, dtype=np.uint8), where, PROBES)
+        for batch in batches:
+            at = 0
+            for texts in groups(batch.column(1).to_pylist()):
+                words, sizes = np.frombuffer(b"".join(texts), dtype=np.uint64), np.array([len(t) // 8 for t in texts])
+                ends = np.cumsum(sizes)
+                pairs = layout.pairs(words, ends, sizes)
+                shard = layout.of_pairs(pairs)
+                mine = np.flatnonzero((shard >= first) & (shard < last))
+                names, number = np.unique(np.concatenate([words[mine], before(words, ends, sizes)[mine]]), return_inverse=True)
+                single = LEVEL_COUNTS[bloom.levels(names, layout.of_words(names))][number]
+                both = LEVEL_COUNTS[bloom.levels(pairs[mine], shard[mine])]
+                logs = _logs(single[: len(mine)], single[len(mine) :], both, all_words)
+                part = np.bincount(np.repeat(np.arange(len(texts)), sizes)[mine], weights=logs, minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(part, pa.float64())], names=["row", "part"])
+                at += len(texts)
+
+    made = as_table(hashed.mapInArrow(run, "row long, part double"), "pass")
+    sent.destroy()
+    return made
 
 
 def score(
@@ -282,7 +378,8 @@ def score(
     spark = docs.sparkSession
     texts = learned.select(utf8(text_col).alias("t"))
     counts = as_table(_word_counts(texts), "words")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    events = F.sum(1 + F.floor(F.log("n") / math.log(LEVEL_BASE) + 1e-9))
+    total, vocabulary, word_events = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(events, F.lit(0))).first()
     by_count = counts.groupBy("n").count().groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(F.sum("count").alias("words"), F.min("n").alias("least"))
     least, words = 1 << 62, 0
     for row in by_count.orderBy(F.desc("step")).collect():  # a few thousand steps at most, whatever the input
@@ -291,22 +388,21 @@ def score(
         words, least = words + row.words, row.least
     head = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in counts.where(F.col("n") >= least).collect()})
 
-    shards = max(1, -(-2 * total // SHARD_NGRAMS))
-    bytes_for = PROBES / math.log(2) / 8
-    rough = 1.5 * 2 * total * bytes_for  # so many bytes at most, if every n-gram is different
-    probes = PROBES
-    if rough > max_bytes:
-        bytes_for *= max(0.05, max_bytes / rough)
-        probes = max(1, round(bytes_for * 8 * math.log(2)))
-    made = as_table(_filter_shards(texts, shards, bytes_for, probes), "filter")
-    bits, starts = _load([(r[0], bytes(r[1])) for r in made.toLocalIterator()], shards)
+    blocks = max(1, math.ceil(word_events * BYTES_FOR / (max_bytes / 4)))
+    ngrams = max(1, min(SHARD_NGRAMS, max_bytes // 4))
+    layout = Layout(blocks, *(max(1, -(-total // (ngrams * n))) for n in (blocks, blocks**2)))
+    made = as_table(_filter_shards(texts, layout), "filter")
+    sizes_of = {r[0]: r[1] for r in made.select("shard", "size").collect()}
+    whole = sum(sizes_of.values()) <= max_bytes
+    bits, starts = _load(made, list(range(layout.shards)), layout.shards) if whole else (b"", np.zeros(layout.shards + 1, dtype=np.int64))
     sent = spark.sparkContext.broadcast((bits, starts))
     del bits
-    floor_log = math.log10(total + 0.5 * (vocabulary + 1))
+    all_words = total + 0.5 * (vocabulary + 1)
+    floor_log = math.log10(all_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (raw, offsets) = head.value, sent.value
-        bloom = LogBloom(np.frombuffer(raw, dtype=np.uint8), offsets, probes)
+        bloom = LogBloom(np.frombuffer(raw, dtype=np.uint8), offsets, PROBES)
         words, resets, task, done = Words(), 0, TaskContext.get().partitionId(), 0
         exact = single = np.zeros(0)  # of each word held: log10(count + 0.5), nan if not among the head; the filter's count
         for batch in batches:
@@ -319,17 +415,18 @@ def score(
                 have = len(exact) if resets == words.resets else 0
                 resets, new = words.resets, words.names[have:]
                 exact = np.concatenate([exact[:have], np.log10(np.fromiter((known.get(w, math.nan) for w in new), float, len(new)) + 0.5)])
-                single = np.concatenate([single[:have], LEVEL_COUNTS[bloom.levels(words.hashes[have:])]])
-                alone, both = single[numbers], LEVEL_COUNTS[bloom.levels(pair_hashes(words.hashes[numbers], ends, sizes))]
-                context = before(alone, ends, sizes)
-                p = (alone + 0.5) / (total + 0.5 * (vocabulary + 1))
-                p = (np.minimum(both, np.maximum(context, 1)) + WEIGHT * p) / (np.maximum(context, both) + WEIGHT)
-                model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), ends - sizes)
+                hashes, n = words.hashes[numbers], len(texts)
+                if whole:
+                    single = np.concatenate([single[:have], LEVEL_COUNTS[bloom.levels(words.hashes[have:], layout.of_words(words.hashes[have:]))]])
+                    alone, pairs = single[numbers], layout.pairs(hashes, ends, sizes)
+                    both = LEVEL_COUNTS[bloom.levels(pairs, layout.of_pairs(pairs))]
+                    model, packed = np.add.reduceat(_logs(alone, before(alone, ends, sizes), both, all_words), ends - sizes), [None] * n
+                else:
+                    model, packed = np.zeros(n), [h.tobytes() for h in np.split(hashes, ends[:-1])]
                 value = exact[numbers]
                 rare = np.isnan(value)
                 base = np.add.reduceat(np.where(rare, 0.0, value), ends - sizes) - sizes * floor_log
                 sure = np.add.reduceat((~rare).astype(np.int64), ends - sizes)
-                n = len(texts)
                 ids = (task << 40) + done + np.arange(n)
                 keys, times = np.unique(np.repeat(np.arange(n), sizes)[rare] << 32 | numbers[rare], return_counts=True)
                 m = len(keys)
@@ -339,13 +436,14 @@ def score(
                         pa.array(np.concatenate([ids, ids[keys >> 32]])), pa.concat_arrays([batch.column(0).slice(at, n), pa.nulls(m, batch.column(0).type)]),
                         pa.array([None] * n + [words.names[k] for k in (keys & 0xFFFFFFFF).tolist()], pa.binary()), pa.array(np.concatenate([sizes, times])),
                         pa.array(np.concatenate([sure, zeros.astype(np.int64)])), pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([model, zeros])),
+                        pa.array(packed + [None] * m, pa.binary()),
                     ],
-                    names=["row", "id", "word", "n", "known", "base", "model"],
+                    names=["row", "id", "word", "n", "known", "base", "model", "hashes"],
                 )
                 at += n
                 done += n
 
-    schema = f"row long, id {dict(docs.dtypes)[id_col]}, word binary, n long, known long, base double, model double"
+    schema = f"row long, id {dict(docs.dtypes)[id_col]}, word binary, n long, known long, base double, model double, hashes binary"
     rows = as_table(docs.select(F.col(id_col), utf8(text_col).alias("t")).mapInArrow(run, schema), "scored")
     rare = rows.where("word is not null").select("row", "word", F.col("n").alias("times"))
     tail = (
@@ -356,7 +454,16 @@ def score(
             F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"),
         )
     )
-    return rows.where("word is null").join(tail, "row", "left").select(
+    scored = rows.where("word is null").drop("hashes")
+    if not whole:
+        hashed = rows.where("word is null").select("row", "hashes")
+        parts = [
+            _pass_scores(hashed, *_load(made, wanted, layout.shards), layout, first, last, all_words)
+            for wanted, first, last in layout.passes(sizes_of, max_bytes)
+        ]
+        sums = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.sum("part").alias("model"))
+        scored = scored.drop("model").join(sums, "row")
+    return scored.join(tail, "row", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), F.col("model").alias("score"),
     )

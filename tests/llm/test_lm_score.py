@@ -100,3 +100,28 @@ def test_the_bound_on_the_filter_only_costs_accuracy(spark):
     df = spark.createDataFrame(made(), "doc_id long, text string")
     small, large = (lm.score(df, df, max_bytes=m).where("doc_id < 100").toPandas() for m in (2000, 1 << 20))
     assert len(small) == len(large) == 100 and np.isfinite(small.score).all() and (small.score <= 0).all()
+
+
+@pytest.mark.parametrize("bound", [20_000, 4000])
+def test_scores_hold_when_the_filter_passes_the_bound(spark, bound):
+    """In several passes, at 4000 bytes with several blocks of words, scores are as with the whole filter."""
+    rng = random.Random(2)
+    words = [f"w{int(rng.paretovariate(0.9))}" for _ in range(4000)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=100)) or None) for i in range(200)] + [(200, None)], "doc_id long, text string")
+    small, large = (lm.score(df.where("doc_id >= 100"), df.where("doc_id < 100"), max_bytes=m).orderBy("doc_id").toPandas() for m in (bound, 1 << 24))
+    assert len(small) == 101 and (small.drop(columns="score") == large.drop(columns="score")).all().all()
+    assert (np.abs(small.score - large.score) / small.n_tokens).max() < 0.1 and np.corrcoef(small.score[:-1], large.score[:-1])[0, 1] > 0.97
+
+
+def test_passes_cover_each_pair_once_within_the_bound():
+    layout = lm.Layout(3, 2, 5)
+    sizes = {s: 40 + s for s in range(layout.shards) if s % 4}
+    held = list(layout.passes(sizes, 500))
+    assert sorted(s for _, first, last in held for s in range(first, last)) == list(range(layout.first_pair, layout.shards))
+    assert all(sum(sizes.get(s, 8) for s in shards) <= 500 for shards, _, _ in held)
+    words = np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64)
+    pairs = layout.of_pairs(layout.pairs(words, np.array([1000]), np.array([1000])))
+    mine = layout.of_words(words)
+    for shards, first, last in held:
+        here = (pairs >= first) & (pairs < last)
+        assert {*mine[here], *np.roll(mine, 1)[here]} <= set(shards)
