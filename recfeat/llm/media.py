@@ -2,14 +2,17 @@
 
 Corners are found at several scales (Harris response, local maxima). Each gets an orientation (the
 intensity centroid of its patch) and 128 binary brightness tests at positions turned by it. Descriptors
-meet in Hamming tables: two that differ in few bits usually agree on one of four segments of 32 bits,
-so the tables are joined on (segment, value) and the complete distance is verified. What agrees on
+meet in Hamming tables: two that differ in few bits usually differ in at most one bit of one of four segments
+of 32 bits, so the queries' segments and all their neighbours at one bit are looked up by (segment, value)
+and the complete distance is verified. Bounded blocks of queries are broadcast, one pass over the gallery
+for each; candidates are verified and their votes counted within the task that holds the gallery image. What agrees on
 one similarity transform (turn, scale step, shift) votes for it, and enough votes make a match.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,17 @@ from .common import as_table
 SCALES = (1, 2)
 KEYPOINTS = 32
 """Corners described of an image and scale, the strongest first."""
-RADIUS = 11
+RADIUS = 9
 TESTS = 128
 SEGMENT = 32
-MAX_DISTANCE = 6
-MIN_VOTES = 3
+MAX_DISTANCE = 20
+MIN_VOTES = 4
 SHIFT_BIN = 4.0
 TURN_BINS = 12
+BLOCK_POINTS = 32_000
+"""So many query corners, about, are broadcast at a time: 132 table entries of 12 bytes each."""
+CANDIDATES = 2_000_000
+"""So many candidates are verified at a time."""
 
 _rng = np.random.default_rng(7)
 _POINTS = np.clip(_rng.normal(0, RADIUS / 2.2, (2, TESTS, 2)), -RADIUS / 1.5, RADIUS / 1.5)
@@ -87,14 +94,11 @@ def describe(image: np.ndarray) -> list[tuple[int, float, float, float, np.ndarr
     return out
 
 
-def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
-    """``(image, point, scale, y, x, angle, segments)`` of every corner of every image.
-
-    ``images`` has ``id_col``, ``pixels`` (binary, one byte a pixel, row by row), ``height``, ``width``.
-    Images without pixels, with a size that does not fit them, or too small for a patch have no row.
-    """
-    names = ["image", "point", "scale", "y", "x", "angle", "segments"]
-    types = [None, pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+def described(images: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """``(image, points)``: the corners of every image that has some, as ``array<struct<point,scale,y,x,angle,segments>>``."""
+    names = ["point", "scale", "y", "x", "angle", "segments"]
+    types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+    kind_of = pa.list_(pa.struct(list(zip(names, types))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,17 +107,25 @@ def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
                 if not pixels or not h or not w or len(pixels) != h * w:
                     continue
                 found = describe(np.frombuffer(pixels, dtype=np.uint8).reshape(h, w))
-                keep += [row] * len(found)
-                rows += [(k, *f) for k, f in enumerate(found)]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            made = [pa.array([x.tolist() for x in c] if k == 5 else list(c), t) for k, (c, t) in enumerate(zip(columns, types[1:]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *made], names=names)
+                if found:
+                    keep.append(row)
+                    rows.append([dict(zip(names, (k, *f[:4], f[4].tolist()))) for k, f in enumerate(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(rows, kind_of)], names=["image", "points"])
 
     kind = dict(images.dtypes)[id_col]
-    schema = f"image {kind}, point int, scale int, y double, x double, angle double, segments array<long>"
+    schema = f"image {kind}, points array<struct<point:int,scale:int,y:double,x:double,angle:double,segments:array<bigint>>>"
     return images.select(F.col(id_col), "pixels", "height", "width").mapInArrow(run, schema)
 
 
+def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """``(image, point, scale, y, x, angle, segments)`` of every corner of every image.
+
+    ``images`` has ``id_col``, ``pixels`` (binary, one byte a pixel, row by row), ``height``, ``width``.
+    Images without pixels, with a size that does not fit them, or too small for a patch have no row.
+    """
+    return described(images, id_col).select("image", F.inline("points"))
+
+
 def content_classes(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     """``(id_col, class_id)``: images of equal size and pixels form a class, named by its least id."""
     digest = F.sha2(F.concat(F.encode(F.concat_ws("x", "height", "width", F.lit(" ")), "utf-8"), F.coalesce("pixels", F.lit(b""))), 256)
@@ -122,31 +134,118 @@ def content_classes(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     return marked.join(least, "digest").select(id_col, "class_id")
 
 
-def matches(queries: DataFrame, gallery: DataFrame, min_votes: int = MIN_VOTES, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def _columns(points: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The image of each corner (by its row) and the corners' columns; ``bits`` has a row of four words."""
+    flat = points.flatten()
+    out = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("point", "scale", "y", "x", "angle")}
+    out["bits"] = flat.field("segments").flatten().to_numpy(zero_copy_only=False).astype(np.uint32).reshape(-1, TESTS // SEGMENT)
+    return np.repeat(np.arange(len(points)), points.value_lengths().to_numpy(zero_copy_only=False)), out
+
+
+def _keys(bits: np.ndarray) -> np.ndarray:
+    """(segment, value) of each corner's segments as one number."""
+    return bits.astype(np.uint64) | np.arange(bits.shape[1], dtype=np.uint64) << np.uint64(SEGMENT)
+
+
+def _probes(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of all segments and of their neighbours at one bit, and the corner of each."""
+    flips = np.concatenate([[0], 1 << np.arange(SEGMENT)]).astype(np.uint64)
+    keys = (_keys(bits)[:, :, None] ^ flips).reshape(len(bits), -1)
+    order = np.argsort(keys, axis=None)
+    return keys.ravel()[order], (order // keys.shape[1]).astype(np.int32)
+
+
+def _verified(bits: np.ndarray, table: tuple[np.ndarray, np.ndarray], others: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query's and a gallery's corner (each once) that meet in a table and are within the distance."""
+    keys, owner = table
+    wanted = _keys(others).ravel()
+    low = np.searchsorted(keys, wanted)
+    number = np.searchsorted(keys, wanted, "right") - low
+    ends, found, done = np.cumsum(number), [np.zeros(0, dtype=np.int64)], 0
+    total = int(ends[-1]) if len(ends) else 0
+    while done < total:
+        nth = np.arange(done, min(done + CANDIDATES, total))
+        at = np.searchsorted(ends, nth, "right")
+        q, g = owner[low[at] + nth - (ends[at] - number[at])].astype(np.int64), at // others.shape[1]
+        near = np.bitwise_count(bits[q] ^ others[g]).sum(axis=1) <= max_distance
+        found.append(np.unique(q[near] * len(others) + g[near]))
+        done += CANDIDATES
+    pairs = np.unique(np.concatenate(found))
+    return pairs // max(len(others), 1), pairs % max(len(others), 1)
+
+
+def _votes(q: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The transform of each pair of corners that votes, and the pair: every vote counts in four neighbouring bins."""
+    turn = np.rint((q["angle"] - g["angle"]) * TURN_BINS / (2 * np.pi)).astype(np.int64) % TURN_BINS
+    angle = turn * (2 * np.pi / TURN_BINS)
+    # where the image's origin lies in the query under the turn: equal for all corners of a true copy
+    dy = np.rint((q["y"] - (np.sin(angle) * g["x"] + np.cos(angle) * g["y"])) / SHIFT_BIN).astype(np.int64)
+    dx = np.rint((q["x"] - (np.cos(angle) * g["x"] - np.sin(angle) * g["y"])) / SHIFT_BIN).astype(np.int64)
+    which = np.flatnonzero(q["scale"] == g["scale"])
+    # neighbouring bins share their votes, so that a shift near an edge does not split them
+    bins = np.concatenate([np.stack([turn, dy + a, dx + b], axis=1)[which] for a in (0, 1) for b in (0, 1)])
+    return bins, np.tile(which, 4)
+
+
+def _counted(images: np.ndarray, points: np.ndarray, bins: np.ndarray, min_votes: int) -> Iterator[tuple[int, int, int]]:
+    """``(query, image, votes)``: the most different query corners in one bin, where they are enough."""
+    if not len(bins):
+        return
+    rows = np.unique(np.column_stack([images, bins, points]), axis=0)
+    bounds = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, :-1], axis=0) != 0).any(axis=1)]))
+    votes, heads = np.diff(np.append(bounds, len(rows))), rows[bounds, :2]
+    heads, votes = heads[votes >= min_votes], votes[votes >= min_votes]
+    order = np.lexsort((-votes, heads[:, 1], heads[:, 0]))
+    heads, votes = heads[order], votes[order]
+    first = np.concatenate([[True], (np.diff(heads, axis=0) != 0).any(axis=1)])[: len(heads)]
+    yield from zip(heads[first, 0].tolist(), heads[first, 1].tolist(), votes[first].tolist())
+
+
+def _match_images(queries: DataFrame, gallery: DataFrame, min_votes: int, max_distance: int, block_points: int) -> DataFrame:
+    """``matches`` over two tables of ``described``; the queries in blocks of about so many corners."""
+    spark, parts = queries.sparkSession, []
+    kinds = dict(queries.dtypes)["image"], dict(gallery.dtypes)["image"]
+    schema = f"query {kinds[0]}, image {kinds[1]}, votes long"
+    blocks = max(1, -(-(queries.agg(F.sum(F.size("points"))).first()[0] or 0) // block_points))
+    for block in range(blocks):
+        held = queries.where(F.pmod(F.xxhash64("image"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if not held.num_rows:
+            continue
+        names = held.column("image").combine_chunks()
+        owner, columns = _columns(held.column("points").combine_chunks())
+        sent = spark.sparkContext.broadcast((names, owner, columns, _probes(columns["bits"])))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, owner, mine, table = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    image, theirs = _columns(batch.column(1))
+                    a, b = _verified(mine["bits"], table, theirs["bits"], max_distance)
+                    pair = owner[a] * batch.num_rows + image[b]
+                    _, number, n = np.unique(pair, return_inverse=True, return_counts=True)
+                    a, b = a[n[number] >= min_votes], b[n[number] >= min_votes]
+                    bins, which = _votes({k: v[a] for k, v in mine.items()}, {k: v[b] for k, v in theirs.items()})
+                    both = np.column_stack([owner[a], image[b]])[which]
+                    got = list(_counted(both, mine["point"][a][which], bins, min_votes))
+                    q, g, votes = (pa.array(c, pa.int64()) for c in (zip(*got) if got else ([], [], [])))
+                    yield pa.RecordBatch.from_arrays([names.take(q), batch.column(0).take(g), votes], names=["query", "image", "votes"])
+
+        parts.append(as_table(gallery.select("image", "points").mapInArrow(run, schema), "matches"))
+        sent.destroy()
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+
+
+def matches(
+    queries: DataFrame, gallery: DataFrame, min_votes: int = MIN_VOTES, max_distance: int = MAX_DISTANCE, block_points: int = BLOCK_POINTS
+) -> DataFrame:
     """``(query, image, votes)``: images of which a query is a copy, cropped, turned or edited in brightness.
 
     Both sides are ``descriptors``. ``votes`` counts the query's corners that agree on one transform.
     """
-    tables = [
-        d.select("image", "point", "scale", "y", "x", "angle", "segments", F.posexplode("segments").alias("part", "value")) for d in (queries, gallery)
-    ]
-    q, g = (t.select([F.col(c).alias(f"{side}_{c}") if c not in ("part", "value") else F.col(c) for c in t.columns]) for side, t in zip("qg", tables))
-    distance = sum((F.bit_count(F.get("q_segments", F.lit(i)).bitwiseXOR(F.get("g_segments", F.lit(i)))) for i in range(TESTS // SEGMENT)), F.lit(0))
-    met = q.join(g, ["part", "value"]).where((distance <= max_distance) & (F.col("q_scale") == F.col("g_scale")))
-    turn = F.pmod(F.round((F.col("q_angle") - F.col("g_angle")) * TURN_BINS / (2 * np.pi)), F.lit(TURN_BINS)).cast("int")
-    angle = turn * (2 * np.pi / TURN_BINS)
-    # where the image's origin lies in the query under the turn: equal for all corners of a true copy
-    shift_y = F.col("q_y") - (F.sin(angle) * F.col("g_x") + F.cos(angle) * F.col("g_y"))
-    shift_x = F.col("q_x") - (F.cos(angle) * F.col("g_x") - F.sin(angle) * F.col("g_y"))
-    votes = met.select(
-        "q_image", "g_image", "q_point", turn.alias("turn"),
-        F.round(shift_y / SHIFT_BIN).cast("int").alias("dy"), F.round(shift_x / SHIFT_BIN).cast("int").alias("dx"),
-    ).distinct()
-    # neighbouring bins share their votes, so that a shift near an edge does not split them
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    counted = votes.withColumn("near", near).groupBy("q_image", "g_image", "turn", (F.col("dy") + F.col("near.a")).alias("dy"), (F.col("dx") + F.col("near.b")).alias("dx"))
-    agreed = counted.agg(F.countDistinct("q_point").alias("votes")).where(F.col("votes") >= min_votes)
-    return agreed.groupBy(F.col("q_image").alias("query"), F.col("g_image").alias("image")).agg(F.max("votes").alias("votes"))
+    point = F.struct("point", "scale", "y", "x", "angle", "segments")
+    q, g = (as_table(d.groupBy("image").agg(F.collect_list(point).alias("points")), "points") for d in (queries, gallery))
+    return _match_images(q, g, min_votes, max_distance, block_points)
 
 
 def find_copies(queries: DataFrame, images: DataFrame, id_col: str = "image_id") -> DataFrame:
@@ -162,9 +261,9 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str = "image_id")
     for name, df in (("query", queries), ("gallery", images)):
         classes = as_table(content_classes(df, id_col), f"{name}_classes")
         heads = classes.select("class_id").distinct().withColumnRenamed("class_id", id_col)
-        parts.append((classes, as_table(descriptors(df.join(heads, id_col, "left_semi").dropDuplicates([id_col]), id_col), f"{name}_points")))
+        parts.append((classes, as_table(described(df.join(heads, id_col, "left_semi").dropDuplicates([id_col]), id_col), f"{name}_points")))
     (mine, points), (_, gallery) = parts
-    found = matches(points, gallery)
+    found = _match_images(points, gallery, MIN_VOTES, MAX_DISTANCE, BLOCK_POINTS)
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("image").alias("class_id"), "votes"))).alias("matches"))
     return mine.join(lists, mine.class_id == lists.query, "left").select(
         mine[id_col], F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"), F.coalesce("matches", F.array()).alias("matches"), "class_id"

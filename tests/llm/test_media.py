@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from recfeat.llm import media
 from recfeat.llm.common import table
@@ -53,3 +55,43 @@ def test_descriptors_turn_with_the_image():
     a, b = media.describe(image), media.describe(np.ascontiguousarray(np.rot90(image)))
     near = [min(np.bitwise_count((x[4] ^ y[4]).astype(np.uint32)).sum() for y in b) for x in a]
     assert np.mean(np.array(near) <= media.MAX_DISTANCE) > 0.7
+
+
+def changed(images, change):
+    """``images`` with their pixels (a float array) changed."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, pixels, h, w in zip(*(c.to_pylist() for c in batch.columns)):
+                new = np.clip(np.rint(change(np.frombuffer(pixels, np.uint8).reshape(h, w).astype(float), key)), 0, 255).astype(np.uint8)
+                out.append((key, new.tobytes(), *new.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), batch.schema.types)], schema=batch.schema)
+
+    return images.mapInArrow(run, images.schema)
+
+
+def noisy(image, key):
+    return image + np.random.default_rng(key).normal(0, 6, image.shape)
+
+
+def blurred(image, key):
+    return media._box(np.pad(image, 1, mode="edge"), 1)[1:-1, 1:-1] / 9
+
+
+@pytest.mark.parametrize("change", [noisy, blurred])
+def test_noisy_and_blurred_copies_are_found(spark, change):
+    images = media.vector_images(vectors(spark, 100)).localCheckpoint()
+    got = media.find_copies(changed(images, change), images).collect()
+    found = np.mean([any(m["class_id"] == r.image_id for m in r.matches) for r in got])
+    print(change.__name__, len(got), found, np.mean([m["class_id"] != r.image_id for r in got for m in r.matches]))
+    assert found >= 0.9
+
+
+def test_both_scales_of_the_registered_images_have_corners(spark):
+    assert {r.scale for r in media.descriptors(media.vector_images(vectors(spark, 20))).select("scale").distinct().collect()} == set(media.SCALES)
+
+
+def test_blocks_of_queries_do_not_change_the_matches(spark):
+    points = media.descriptors(media.vector_images(vectors(spark, 20)))
+    assert rows(media.matches(points, points, block_points=100)) == rows(media.matches(points, points))
