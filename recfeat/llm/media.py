@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import as_table
 
 SCALES = (1, 2)
-KEYPOINTS = 32
-"""Corners described of an image and scale, the strongest first."""
 RADIUS = 9
 TESTS = 128
 SEGMENT = 32
@@ -53,7 +51,7 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def corners(image: np.ndarray) -> np.ndarray:
-    """``(y, x)`` of the strongest Harris corners far enough from the border for a patch."""
+    """``(y, x)`` of all Harris corners (local maxima of the response), the strongest first, far enough from the border for a patch."""
     h, w = image.shape
     if min(h, w) <= 2 * RADIUS + 2:
         return np.zeros((0, 2), dtype=int)
@@ -65,7 +63,7 @@ def corners(image: np.ndarray) -> np.ndarray:
     around = np.pad(response, 1, constant_values=-np.inf)
     peak = np.max([around[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
     ys, xs = np.nonzero(inner & (response >= peak) & (response > 1e-3))
-    order = np.argsort(-response[ys, xs], kind="stable")[:KEYPOINTS]
+    order = np.argsort(-response[ys, xs], kind="stable")
     return np.stack([ys[order], xs[order]], axis=1)
 
 
@@ -178,13 +176,15 @@ def _votes(q: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> tuple[np.ndarr
     """The transform of each pair of corners that votes, and the pair: every vote counts in four neighbouring bins."""
     turn = np.rint((q["angle"] - g["angle"]) * TURN_BINS / (2 * np.pi)).astype(np.int64) % TURN_BINS
     angle = turn * (2 * np.pi / TURN_BINS)
-    # where the image's origin lies in the query under the turn: equal for all corners of a true copy
-    dy = np.rint((q["y"] - (np.sin(angle) * g["x"] + np.cos(angle) * g["y"])) / SHIFT_BIN).astype(np.int64)
-    dx = np.rint((q["x"] - (np.cos(angle) * g["x"] - np.sin(angle) * g["y"])) / SHIFT_BIN).astype(np.int64)
-    which = np.flatnonzero(q["scale"] == g["scale"])
+    # a corner of scale 1 that meets one of scale 2 is of a copy at half the size
+    step = np.rint(np.log2(q["scale"] / g["scale"])).astype(np.int64)
+    y, x = (2.0**step * g[c] for c in ("y", "x"))
+    # where the image's origin lies in the query under turn and scale: equal for all corners of a true copy
+    dy = np.rint((q["y"] - (np.sin(angle) * x + np.cos(angle) * y)) / SHIFT_BIN).astype(np.int64)
+    dx = np.rint((q["x"] - (np.cos(angle) * x - np.sin(angle) * y)) / SHIFT_BIN).astype(np.int64)
     # neighbouring bins share their votes, so that a shift near an edge does not split them
-    bins = np.concatenate([np.stack([turn, dy + a, dx + b], axis=1)[which] for a in (0, 1) for b in (0, 1)])
-    return bins, np.tile(which, 4)
+    bins = np.concatenate([np.stack([turn, step, dy + a, dx + b], axis=1) for a in (0, 1) for b in (0, 1)])
+    return bins, np.tile(np.arange(len(turn)), 4)
 
 
 def _counted(images: np.ndarray, points: np.ndarray, bins: np.ndarray, min_votes: int) -> Iterator[tuple[int, int, int]]:
@@ -239,7 +239,7 @@ def _match_images(queries: DataFrame, gallery: DataFrame, min_votes: int, max_di
 def matches(
     queries: DataFrame, gallery: DataFrame, min_votes: int = MIN_VOTES, max_distance: int = MAX_DISTANCE, block_points: int = BLOCK_POINTS
 ) -> DataFrame:
-    """``(query, image, votes)``: images of which a query is a copy, cropped, turned or edited in brightness.
+    """``(query, image, votes)``: images of which a query is a copy, cropped, turned, resized by the ratio of two scales or edited in brightness.
 
     Both sides are ``descriptors``. ``votes`` counts the query's corners that agree on one transform.
     """

@@ -95,3 +95,40 @@ def test_both_scales_of_the_registered_images_have_corners(spark):
 def test_blocks_of_queries_do_not_change_the_matches(spark):
     points = media.descriptors(media.vector_images(vectors(spark, 20)))
     assert rows(media.matches(points, points, block_points=100)) == rows(media.matches(points, points))
+
+
+def large(spark, n=6, side=160):
+    """Images of smooth random texture."""
+    out = []
+    for k in range(n):
+        image = np.random.default_rng(100 + k).normal(0, 1, (side, side))
+        for _ in range(2):
+            image = media._box(image, 2)
+        image = (image - image.min()) / (image.max() - image.min()) * 255
+        out.append((k, np.rint(image).astype(np.uint8).tobytes(), side, side))
+    return spark.createDataFrame(out, "image_id long, pixels binary, height int, width int")
+
+
+def halved(image, key):
+    return image.reshape(image.shape[0] // 2, 2, image.shape[1] // 2, 2).mean(axis=(1, 3))
+
+
+def corner_crop(image, key):
+    return image[:56, :56]
+
+
+def found_own(spark, images, queries):
+    got = media.find_copies(queries, images).collect()
+    return [[m.class_id for m in r.matches] == [r.image_id] for r in got]
+
+
+def test_copies_at_half_and_twice_the_size_are_found(spark):
+    images = large(spark).localCheckpoint()
+    small = changed(images, halved).localCheckpoint()
+    assert found_own(spark, images, small) == [True] * 6 and found_own(spark, small, images) == [True] * 6
+
+
+def test_a_crop_without_the_strongest_corners_is_found(spark):
+    """In the crop the contrast is low, so that the strongest corners of the image lie elsewhere."""
+    faint = changed(large(spark), lambda im, k: np.where(np.maximum(*np.indices(im.shape)) < 64, 128 + (im - 128) / 4, im)).localCheckpoint()
+    assert found_own(spark, faint, changed(faint, corner_crop)) == [True] * 6
