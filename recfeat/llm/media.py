@@ -1,16 +1,19 @@
 """Edited and cropped copies of images by local descriptors.
 
-Corners are found at several scales (Harris response, local maxima). Each gets an orientation (the
-intensity centroid of its patch) and 128 binary brightness tests at positions turned by it. Descriptors
-meet in Hamming tables: two that differ in few bits usually differ in at most one bit of one of four segments
-of 32 bits, so the queries' segments and all their neighbours at one bit are looked up by (segment, value)
-and the complete distance is verified. Bounded blocks of queries are broadcast, one pass over the gallery
-for each; candidates are verified and their votes counted within the task that holds the gallery image. What agrees on
-one similarity transform (turn, scale step, shift) votes for it, and enough votes make a match.
+Corners are found in the smoothed image at several scales (Harris response, local maxima). Each gets an
+orientation (the intensity centroid of its patch) and 128 binary brightness tests at positions turned by
+it; the two points of a test lie across the orientation's axis, so that a bit is set as often as not.
+Descriptors meet in Hamming tables: two that differ in at most seven bits differ in at most one bit of one of
+four segments of 32 bits, so the queries' segments and all their neighbours at one bit are looked up by
+(segment, value) and the complete distance is verified; none within the distance is missed. Bounded blocks of
+queries are broadcast, one pass over the gallery for each; candidates are verified and their votes counted
+within the task that holds the gallery image. What agrees on one similarity transform (turn, scale step,
+shift) votes for it, and enough votes make a match.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,17 +28,33 @@ SCALES = (1, 2)
 RADIUS = 9
 TESTS = 128
 SEGMENT = 32
-MAX_DISTANCE = 20
+MAX_DISTANCE = 2 * (TESTS // SEGMENT) - 1
+"""The largest distance of which the tables miss none: beyond it two bits may differ in every segment."""
 MIN_VOTES = 4
-SHIFT_BIN = 4.0
+SMOOTH = 2
+"""Pixels at each side over which brightness is averaged before corners and tests."""
+SHIFT_BIN = 2.5
 TURN_BINS = 12
 BLOCK_POINTS = 32_000
 """So many query corners, about, are broadcast at a time: 132 table entries of 12 bytes each."""
 CANDIDATES = 2_000_000
 """So many candidates are verified at a time."""
+PIXELS = 1 << 19
+"""Images of one size are described together up to so many pixels."""
+SALTS = 16
 
-_rng = np.random.default_rng(7)
-_POINTS = np.clip(_rng.normal(0, RADIUS / 2.2, (2, TESTS, 2)), -RADIUS / 1.5, RADIUS / 1.5)
+
+def _tests(n: int, reach: float, apart: float) -> np.ndarray:
+    """``(2, n, 2)``: pairs of points (y, x) with equal x, at least ``apart`` in y."""
+    rng, out = np.random.default_rng(7), []
+    while len(out) < n:
+        x, y, other = rng.uniform(-reach, reach, 3)
+        if abs(y - other) >= apart:
+            out.append(((y, x), (other, x)))
+    return np.array(out).transpose(1, 0, 2)
+
+
+_POINTS = _tests(TESTS, RADIUS / 1.5, RADIUS / 3)
 _DISK = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
 
 
@@ -50,65 +69,100 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return a
 
 
-def corners(image: np.ndarray) -> np.ndarray:
-    """``(y, x)`` of all Harris corners (local maxima of the response), the strongest first, far enough from the border for a patch."""
-    h, w = image.shape
+def _smooth(images: np.ndarray) -> np.ndarray:
+    pad = [(0, 0)] * (images.ndim - 2) + [(SMOOTH, SMOOTH)] * 2
+    return _box(np.pad(images, pad, mode="edge"), SMOOTH)[..., SMOOTH:-SMOOTH, SMOOTH:-SMOOTH] / (2 * SMOOTH + 1) ** 2
+
+
+def corners(images: np.ndarray) -> np.ndarray:
+    """``(image, y, x)`` of all Harris corners (local maxima of the response) of a stack of images, the strongest of each first.
+
+    They lie far enough from the border for a patch.
+    """
+    n, h, w = images.shape
     if min(h, w) <= 2 * RADIUS + 2:
-        return np.zeros((0, 2), dtype=int)
-    gy, gx = np.gradient(image)
+        return np.zeros((0, 3), dtype=np.int64)
+    gy, gx = np.gradient(images, axis=(1, 2))
     a, b, c = (_box(v, 2) for v in (gx * gx, gy * gy, gx * gy))
     response = a * b - c * c - 0.05 * (a + b) ** 2
-    inner = np.zeros_like(response, dtype=bool)
-    inner[RADIUS : h - RADIUS, RADIUS : w - RADIUS] = True
-    around = np.pad(response, 1, constant_values=-np.inf)
-    peak = np.max([around[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
-    ys, xs = np.nonzero(inner & (response >= peak) & (response > 1e-3))
-    order = np.argsort(-response[ys, xs], kind="stable")
-    return np.stack([ys[order], xs[order]], axis=1)
-
-
-def describe(image: np.ndarray) -> list[tuple[int, float, float, float, np.ndarray]]:
-    """``(scale, y, x, angle, segments)`` of each corner; y and x in pixels of the whole image."""
-    out = []
+    inner = response[:, RADIUS : h - RADIUS, RADIUS : w - RADIUS]
+    found = inner > 1e-3
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            found &= inner >= response[:, RADIUS + i : h - RADIUS + i, RADIUS + j : w - RADIUS + j]
+    k, y, x = np.nonzero(found)
+    order = np.lexsort((-inner[k, y, x], k))
+    return np.stack([k, y + RADIUS, x + RADIUS], axis=1)[order]
+
+
+def described_stack(images: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns ``image, scale, y, x, angle, bits`` of all corners of a stack of images of one size, by image; y and x in its pixels."""
+    parts = []
     for scale in SCALES:
-        now = image.astype(np.float64)
+        now = images.astype(np.float64)
         if scale > 1:
-            h, w = (n // scale * scale for n in now.shape)
-            now = now[:h, :w].reshape(h // scale, scale, w // scale, scale).mean(axis=(1, 3))
+            n, h, w = now.shape[0], now.shape[1] // scale, now.shape[2] // scale
+            now = now[:, : h * scale, : w * scale].reshape(n, h, scale, w, scale).mean(axis=(2, 4))
+        if min(now.shape[1:]) <= 2 * SMOOTH:
+            continue
+        now = _smooth(now)
         at = corners(now)
         if not len(at):
             continue
-        smooth = _box(now, 1) / 9
-        patch = smooth[at[:, :1] + _DISK[:, 0], at[:, 1:] + _DISK[:, 1]]
+        k, y, x = (at[:, i : i + 1] for i in range(3))
+        patch = now[k, y + _DISK[:, 0], x + _DISK[:, 1]]
         angle = np.arctan2(patch @ _DISK[:, 0], patch @ _DISK[:, 1])
         cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        values = []
-        for p in _POINTS:
-            y = at[:, :1] + np.rint(sin * p[:, 1] + cos * p[:, 0]).astype(int)
-            x = at[:, 1:] + np.rint(cos * p[:, 1] - sin * p[:, 0]).astype(int)
-            values.append(smooth[y, x])
-        bits = np.packbits(values[0] < values[1], axis=1).view(np.uint32).astype(np.int64)
-        out += [(scale, float(y * scale), float(x * scale), float(t), b) for (y, x), t, b in zip(at.tolist(), angle.tolist(), bits)]
-    return out
+        values = [
+            now[k, y + np.rint(sin * p[:, 1] + cos * p[:, 0]).astype(int), x + np.rint(cos * p[:, 1] - sin * p[:, 0]).astype(int)] for p in _POINTS
+        ]
+        bits = np.packbits(values[0] < values[1], axis=1).view(np.uint32)
+        parts.append({"image": at[:, 0], "scale": np.full(len(at), scale), "y": at[:, 1] * float(scale), "x": at[:, 2] * float(scale), "angle": angle, "bits": bits})
+    if not parts:
+        none = np.zeros(0)
+        return {"image": none.astype(np.int64), "scale": none.astype(np.int64), "y": none, "x": none, "angle": none, "bits": np.zeros((0, TESTS // SEGMENT), np.uint32)}
+    whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    order = np.argsort(whole["image"], kind="stable")
+    return {c: v[order] for c, v in whole.items()}
+
+
+def describe(image: np.ndarray) -> list[tuple[int, float, float, float, np.ndarray]]:
+    """``(scale, y, x, angle, segments)`` of each corner of one image."""
+    found = described_stack(image[None])
+    return list(zip(*(found[c].tolist() for c in ("scale", "y", "x", "angle")), found["bits"].astype(np.int64)))
+
+
+def _points_array(found: dict[str, np.ndarray], n: int) -> pa.ListArray:
+    """The corners of each of ``n`` images as one list of structs."""
+    sizes = np.bincount(found["image"], minlength=n)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    point = np.arange(len(found["image"])) - ends[found["image"]]
+    segments = found["bits"].astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(segments) + 1) * segments.shape[1], pa.int32()), pa.array(segments.ravel(), pa.int64()))
+    columns = [
+        pa.array(point, pa.int32()), pa.array(found["scale"], pa.int32()), *[pa.array(found[c], pa.float64()) for c in ("y", "x", "angle")], lists,
+    ]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["point", "scale", "y", "x", "angle", "segments"]))
 
 
 def described(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     """``(image, points)``: the corners of every image that has some, as ``array<struct<point,scale,y,x,angle,segments>>``."""
-    names = ["point", "scale", "y", "x", "angle", "segments"]
-    types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-    kind_of = pa.list_(pa.struct(list(zip(names, types))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keep = [], []
-            for row, (pixels, h, w) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
-                if not pixels or not h or not w or len(pixels) != h * w:
-                    continue
-                found = describe(np.frombuffer(pixels, dtype=np.uint8).reshape(h, w))
-                if found:
-                    keep.append(row)
-                    rows.append([dict(zip(names, (k, *f[:4], f[4].tolist()))) for k, f in enumerate(found)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(rows, kind_of)], names=["image", "points"])
+            pixels, heights, widths = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            by_size: dict[tuple[int, int], list[int]] = {}
+            for row, (p, h, w) in enumerate(zip(pixels, heights, widths)):
+                if p and h and w and len(p) == h * w:
+                    by_size.setdefault((h, w), []).append(row)
+            for (h, w), mine in by_size.items():
+                step = max(1, PIXELS // (h * w))
+                for at in range(0, len(mine), step):
+                    rows = mine[at : at + step]
+                    found = described_stack(np.frombuffer(b"".join(pixels[r] for r in rows), dtype=np.uint8).reshape(-1, h, w))
+                    have, found["image"] = np.unique(found["image"], return_inverse=True)
+                    ids = batch.column(0).take(pa.array([rows[k] for k in have.tolist()], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, _points_array(found, len(have))], names=["image", "points"])
 
     kind = dict(images.dtypes)[id_col]
     schema = f"image {kind}, points array<struct<point:int,scale:int,y:double,x:double,angle:double,segments:array<bigint>>>"
@@ -159,15 +213,19 @@ def _verified(bits: np.ndarray, table: tuple[np.ndarray, np.ndarray], others: np
     wanted = _keys(others).ravel()
     low = np.searchsorted(keys, wanted)
     number = np.searchsorted(keys, wanted, "right") - low
-    ends, found, done = np.cumsum(number), [np.zeros(0, dtype=np.int64)], 0
-    total = int(ends[-1]) if len(ends) else 0
-    while done < total:
-        nth = np.arange(done, min(done + CANDIDATES, total))
-        at = np.searchsorted(ends, nth, "right")
-        q, g = owner[low[at] + nth - (ends[at] - number[at])].astype(np.int64), at // others.shape[1]
-        near = np.bitwise_count(bits[q] ^ others[g]).sum(axis=1) <= max_distance
+    found, some = [np.zeros(0, dtype=np.int64)], np.flatnonzero(number)
+    cuts = np.searchsorted(np.cumsum(number[some]), np.arange(CANDIDATES, int(number.sum()) + CANDIDATES, CANDIDATES), "right")
+    for mine in np.split(some, np.unique(cuts)):
+        if not len(mine):
+            continue
+        n = number[mine]
+        g = np.repeat(mine // others.shape[1], n)
+        q = owner[np.repeat(low[mine] - (np.cumsum(n) - n), n) + np.arange(len(g))].astype(np.int64)
+        apart = np.bitwise_count(bits[q, 0] ^ others[g, 0])
+        for k in range(1, others.shape[1]):
+            apart += np.bitwise_count(bits[q, k] ^ others[g, k])
+        near = apart <= max_distance
         found.append(np.unique(q[near] * len(others) + g[near]))
-        done += CANDIDATES
     pairs = np.unique(np.concatenate(found))
     return pairs // max(len(others), 1), pairs % max(len(others), 1)
 
@@ -187,11 +245,27 @@ def _votes(q: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> tuple[np.ndarr
     return bins, np.tile(np.arange(len(turn)), 4)
 
 
+def _unique_rows(rows: np.ndarray) -> np.ndarray:
+    """The different rows of a table of integers, sorted; as one number a row where they fit into one."""
+    low = rows.min(axis=0)
+    spans = [int(x) for x in rows.max(axis=0) - low + 1]
+    if math.prod(spans) >= 1 << 62:
+        return np.unique(rows, axis=0)
+    keys = np.zeros(len(rows), dtype=np.int64)
+    for k, span in enumerate(spans):
+        keys = keys * span + (rows[:, k] - low[k])
+    keys, out = np.unique(keys), []
+    for span in reversed(spans):
+        out.append(keys % span)
+        keys = keys // span
+    return np.column_stack(out[::-1]) + low
+
+
 def _counted(images: np.ndarray, points: np.ndarray, bins: np.ndarray, min_votes: int) -> Iterator[tuple[int, int, int]]:
     """``(query, image, votes)``: the most different query corners in one bin, where they are enough."""
     if not len(bins):
         return
-    rows = np.unique(np.column_stack([images, bins, points]), axis=0)
+    rows = _unique_rows(np.column_stack([images, bins, points]))
     bounds = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, :-1], axis=0) != 0).any(axis=1)]))
     votes, heads = np.diff(np.append(bounds, len(rows))), rows[bounds, :2]
     heads, votes = heads[votes >= min_votes], votes[votes >= min_votes]
@@ -241,7 +315,9 @@ def matches(
 ) -> DataFrame:
     """``(query, image, votes)``: images of which a query is a copy, cropped, turned, resized by the ratio of two scales or edited in brightness.
 
-    Both sides are ``descriptors``. ``votes`` counts the query's corners that agree on one transform.
+    Both sides are ``descriptors``. ``votes`` counts the query's corners that agree on one transform. No pair of
+    corners within ``max_distance`` is missed up to ``MAX_DISTANCE``; beyond it those that differ in more than one
+    bit in every segment are.
     """
     point = F.struct("point", "scale", "y", "x", "angle", "segments")
     q, g = (as_table(d.groupBy("image").agg(F.collect_list(point).alias("points")), "points") for d in (queries, gallery))
@@ -255,7 +331,8 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str = "image_id")
     the class representative (least id) is matched and named; ``content_classes`` has the members. The
     queries too are matched once for each class of equal queries, whose representative is ``class_id``.
     Images without usable pixels match nothing. Repeated rows each give a row; an empty ``queries`` gives
-    none; other columns are not read.
+    none; rows with a null id match nothing; other columns are not read. Of several transforms with equally
+    many votes any counts, as only the number of votes is given out.
     """
     parts = []
     for name, df in (("query", queries), ("gallery", images)):
@@ -265,7 +342,10 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str = "image_id")
     (mine, points), (_, gallery) = parts
     found = _match_images(points, gallery, MIN_VOTES, MAX_DISTANCE, BLOCK_POINTS)
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("image").alias("class_id"), "votes"))).alias("matches"))
-    return mine.join(lists, mine.class_id == lists.query, "left").select(
+    # many queries may be equal: each list goes to every part of its class
+    lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = mine.withColumn("part", F.pmod(F.xxhash64(id_col, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return mine.join(lists, (mine.class_id == lists.query) & (mine.part == lists.part), "left").select(
         mine[id_col], F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"), F.coalesce("matches", F.array()).alias("matches"), "class_id"
     )
 
