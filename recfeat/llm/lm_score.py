@@ -9,8 +9,11 @@ one, blocks of shards within that bound are broadcast one after the other, and e
 whose pair its block holds: pairs are dealt to groups by the blocks of their two words, so that a pass has
 all three counts of its tokens, and a text's score is the sum over the passes.
 
-The model mixes pair and word estimates by Dirichlet smoothing:
-P(w | v) = (c(vw) + A P(w)) / (c(v) + A), with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+The model backs off from pairs to words by absolute discounting (Ney, Essen and Kneser, 1994):
+P(w | v) = max(c(vw) - D, 0) / c(v) + B P(w), with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). D and B depend on the
+class of v, the level of its count (rare words share one class), and are estimated from all pairs: with n1 and n2
+pairs seen once and twice after the class, D = n1 / (n1 + 2 n2), and B = D T / C for its T different pairs among C.
+So a class whose pairs hardly ever repeat leaves nearly all to the words. The class is the top bits of a hash.
 Beside it, the base score uses exact word counts: a bounded number of the most frequent words reaches the
 workers, all other words are counted and joined by Spark.
 """
@@ -36,7 +39,6 @@ from .common import as_table, utf8
 END = b"\n"
 """The end token: no word holds a line feed."""
 LEVEL_BASE = 1.5
-WEIGHT = 50.0
 HEAD_WORDS = 200_000
 """At most so many of the most frequent words are sent to the workers with their exact counts."""
 MAX_BYTES = 320 << 20
@@ -47,6 +49,11 @@ BYTES_FOR = PROBES / math.log(2) / 8
 WORDS_HELD = 400_000
 BATCH_BYTES = 4 << 20
 SHARD_NGRAMS = 1 << 20
+PARTITIONS = 20_000
+"""At most so many tasks build shards, several of them in turn where there are more."""
+CLASS_SHIFT = 58
+CLASSES = 64
+_REST = np.uint64((1 << CLASS_SHIFT) - 1)
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -83,19 +90,19 @@ class Layout:
     def pairs(self, words: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Hashes of (previous token, token) for each token; each text's end token stands before its first.
 
-        With several blocks a hash's remainder is its group.
+        With several blocks a hash's remainder (without the class) is its group; its class is the context's.
         """
         context, blocks = before(words, ends, sizes), np.uint64(self.blocks)
-        hashes = mix(context * _PAIR + words)
+        hashes = mix(context * _PAIR + words) & _REST
         if self.blocks > 1:
             hashes >>= np.uint64(1)  # no overflow below
-            hashes += context % blocks * blocks + words % blocks - hashes % (blocks * blocks)
-        return hashes
+            hashes += (context & _REST) % blocks * blocks + (words & _REST) % blocks - hashes % (blocks * blocks)
+        return hashes | context & ~_REST
 
     @staticmethod
     def _place(hashes: np.ndarray, parts: int, shards: int) -> np.ndarray:
-        part, n = hashes % np.uint64(parts), np.uint64(shards)
-        return (part * n + hashes // np.uint64(parts) % n).astype(np.int64)
+        rest, n = hashes & _REST, np.uint64(shards)
+        return (rest % np.uint64(parts) * n + rest // np.uint64(parts) % n).astype(np.int64)
 
     def of_words(self, hashes: np.ndarray) -> np.ndarray:
         return self._place(hashes, self.blocks, self.word_shards)
@@ -206,12 +213,16 @@ class LogBloom:
 
 
 class Words(dict):
-    """Words to running numbers, and the hash of each number; forgotten when they are many."""
+    """Words to running numbers, and the hash of each number; forgotten when they are many.
 
-    def __init__(self):
+    ``known``: exact counts of the most frequent words, of which a hash's class follows; others have class 0.
+    ``counts`` holds these by number, nan for others.
+    """
+
+    def __init__(self, known: dict[bytes, int]):
         super().__init__()
-        self.names: list[bytes] = []
-        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.known, self.names = known, []
+        self.hashes, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0)
         self.resets = 0
 
     def __missing__(self, word: bytes) -> int:
@@ -223,13 +234,31 @@ class Words(dict):
         """The numbers of the words of a batch; an earlier batch's numbers may hold no more."""
         if len(self.names) > WORDS_HELD:
             self.clear()
-            self.names, self.hashes, self.resets = [], self.hashes[:0], self.resets + 1
+            self.names, self.hashes, self.counts, self.resets = [], self.hashes[:0], self.counts[:0], self.resets + 1
         numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         new = self.names[len(self.hashes) :]
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
+        counts = np.fromiter((self.known.get(w, math.nan) for w in new), float, len(new))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)) & _REST
+        self.hashes = np.concatenate([self.hashes, hashes | class_of(counts) << np.uint64(CLASS_SHIFT)])
+        self.counts = np.concatenate([self.counts, counts])
         return numbers
 
 
+def class_of(counts: np.ndarray) -> np.ndarray:
+    """The class of words of these counts: their level, or 0 (nan) if they are not among the most frequent."""
+    return np.minimum(level(np.nan_to_num(counts)), CLASSES - 1).astype(np.uint64)
+
+
+def back_off(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(D, B)`` of each class from its rows (pairs seen once, seen twice, different pairs, all pairs).
+
+    Without a pair seen once nothing is known of unseen ones: D is a half then. A class without pairs leaves all to the words.
+    """
+    once, twice, different, whole = stats.astype(float)
+    discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
+    return discount, np.where(whole > 0, discount * different / np.maximum(whole, 1), 1.0)
+
+
 def _word_counts(texts: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts; tasks hand on one row for each of their words."""
 
@@ -263,11 +292,14 @@ def _packed(hashes: np.ndarray, place) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _filter_shards(texts: DataFrame, layout: Layout) -> DataFrame:
-    """``(shard, size, bits)``: words and pairs of all texts, gathered by shard of their hash; ``size`` in bytes."""
+def _filter_shards(texts: DataFrame, layout: Layout, head) -> DataFrame:
+    """``(shard, size, bits, stats)``: words and pairs of all texts, gathered by shard of their hash; ``size`` in bytes.
+
+    ``head``: the broadcast counts of the most frequent words. ``stats``: of shards of pairs, the rows of ``back_off``.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, alone, both, size = Words(), [], [], 0
+        words, alone, both, size = Words(head.value), [], [], 0
 
         def flush():
             yield from _packed(np.concatenate(alone), layout.of_words)
@@ -301,7 +333,14 @@ def _filter_shards(texts: DataFrame, layout: Layout) -> DataFrame:
             values, n = fold()
             size = max(8, -(-int(level(n).sum() * BYTES_FOR) // 8) * 8)
             bits = LogBloom.shard(values, n, size * 8, PROBES).tobytes()
-            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "size": pa.array([size], pa.int64()), "bits": [bits]})
+            stats = np.zeros((4, CLASSES), dtype=np.int64)
+            if now >= layout.first_pair:
+                of = (values >> np.uint64(CLASS_SHIFT)).astype(np.int64)
+                for row, weight in enumerate((n == 1, n == 2, n > 0, n)):
+                    stats[row] = np.rint(np.bincount(of, weights=weight, minlength=CLASSES))
+            return pa.RecordBatch.from_pydict({
+                "shard": pa.array([now], pa.int32()), "size": pa.array([size], pa.int64()), "bits": [bits], "stats": pa.array([stats.ravel()], pa.list_(pa.int64())),
+            })
 
         for batch in batches:
             for s, hashes, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -316,7 +355,8 @@ def _filter_shards(texts: DataFrame, layout: Layout) -> DataFrame:
             yield done()
 
     packed = texts.mapInArrow(pack, "shard int, hashes binary, n binary")
-    return packed.repartition(layout.shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, size long, bits binary")
+    dealt = packed.repartition(min(layout.shards, PARTITIONS), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(build, "shard int, size long, bits binary, stats array<bigint>")
 
 
 def _load(made: DataFrame, wanted: list[int], shards: int) -> tuple[bytes, np.ndarray]:
@@ -329,14 +369,17 @@ def _load(made: DataFrame, wanted: list[int], shards: int) -> tuple[bytes, np.nd
     return b"".join(parts[s] for s in wanted), np.cumsum([0, *(len(parts.get(s, b"")) for s in range(shards))])
 
 
-def _logs(alone: np.ndarray, context: np.ndarray, both: np.ndarray, all_words: float) -> np.ndarray:
-    """log10 P(w | v) from the counts of w, v and vw."""
-    p = (alone + 0.5) / all_words
-    p = (np.minimum(both, np.maximum(context, 1)) + WEIGHT * p) / (np.maximum(context, both) + WEIGHT)
-    return np.log10(np.minimum(p, 1.0))
+def _logs(alone: np.ndarray, context: np.ndarray, both: np.ndarray, pairs: np.ndarray, model: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 P(w | v) from the counts of w, v and vw, and the hash of vw; ``model``: N + 0.5 (V + 1), D and B."""
+    all_words, discount, left = model
+    of = (pairs >> np.uint64(CLASS_SHIFT)).astype(np.int64)
+    rest = np.where(context > 0, left[of], 1.0) * (alone + 0.5) / all_words
+    return np.log10(np.minimum(np.maximum(both - discount[of], 0.0) / np.maximum(np.maximum(context, both), 1.0) + rest, 1.0))
 
 
-def _pass_scores(hashed: DataFrame, bits: bytes, starts: np.ndarray, layout: Layout, first: int, last: int, all_words: float) -> DataFrame:
+def _pass_scores(
+    hashed: DataFrame, bits: bytes, starts: np.ndarray, layout: Layout, first: int, last: int, model: tuple[float, np.ndarray, np.ndarray]
+) -> DataFrame:
     """``(row, part)``: the sum of each text over its tokens whose pair is in the shards ``first`` to before ``last``."""
     sent = hashed.sparkSession.sparkContext.broadcast((bits, starts))
 
@@ -354,7 +397,7 @@ def _pass_scores(hashed: DataFrame, bits: bytes, starts: np.ndarray, layout: Lay
                 names, number = np.unique(np.concatenate([words[mine], before(words, ends, sizes)[mine]]), return_inverse=True)
                 single = LEVEL_COUNTS[bloom.levels(names, layout.of_words(names))][number]
                 both = LEVEL_COUNTS[bloom.levels(pairs[mine], shard[mine])]
-                logs = _logs(single[: len(mine)], single[len(mine) :], both, all_words)
+                logs = _logs(single[: len(mine)], single[len(mine) :], both, pairs[mine], model)
                 part = np.bincount(np.repeat(np.arange(len(texts)), sizes)[mine], weights=logs, minlength=len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(part, pa.float64())], names=["row", "part"])
                 at += len(texts)
@@ -391,19 +434,21 @@ def score(
     blocks = max(1, math.ceil(word_events * BYTES_FOR / (max_bytes / 4)))
     ngrams = max(1, min(SHARD_NGRAMS, max_bytes // 4))
     layout = Layout(blocks, *(max(1, -(-total // (ngrams * n))) for n in (blocks, blocks**2)))
-    made = as_table(_filter_shards(texts, layout), "filter")
+    made = as_table(_filter_shards(texts, layout, head), "filter")
+    sums = {r[0]: r[1] for r in made.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect()}
+    stats = np.array([sums.get(k, 0) for k in range(4 * CLASSES)]).reshape(4, CLASSES)
     sizes_of = {r[0]: r[1] for r in made.select("shard", "size").collect()}
     whole = sum(sizes_of.values()) <= max_bytes
     bits, starts = _load(made, list(range(layout.shards)), layout.shards) if whole else (b"", np.zeros(layout.shards + 1, dtype=np.int64))
     sent = spark.sparkContext.broadcast((bits, starts))
     del bits
     all_words = total + 0.5 * (vocabulary + 1)
-    floor_log = math.log10(all_words)
+    floor_log, smoothing = math.log10(all_words), (all_words, *back_off(stats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (raw, offsets) = head.value, sent.value
+        raw, offsets = sent.value
         bloom = LogBloom(np.frombuffer(raw, dtype=np.uint8), offsets, PROBES)
-        words, resets, task, done = Words(), 0, TaskContext.get().partitionId(), 0
+        words, resets, task, done = Words(head.value), 0, TaskContext.get().partitionId(), 0
         exact = single = np.zeros(0)  # of each word held: log10(count + 0.5), nan if not among the head; the filter's count
         for batch in batches:
             at = 0
@@ -413,14 +458,14 @@ def score(
                 ends = np.cumsum(sizes)
                 numbers = words(list(chain.from_iterable(split)))
                 have = len(exact) if resets == words.resets else 0
-                resets, new = words.resets, words.names[have:]
-                exact = np.concatenate([exact[:have], np.log10(np.fromiter((known.get(w, math.nan) for w in new), float, len(new)) + 0.5)])
+                resets = words.resets
+                exact = np.concatenate([exact[:have], np.log10(words.counts[have:] + 0.5)])
                 hashes, n = words.hashes[numbers], len(texts)
                 if whole:
                     single = np.concatenate([single[:have], LEVEL_COUNTS[bloom.levels(words.hashes[have:], layout.of_words(words.hashes[have:]))]])
                     alone, pairs = single[numbers], layout.pairs(hashes, ends, sizes)
                     both = LEVEL_COUNTS[bloom.levels(pairs, layout.of_pairs(pairs))]
-                    model, packed = np.add.reduceat(_logs(alone, before(alone, ends, sizes), both, all_words), ends - sizes), [None] * n
+                    model, packed = np.add.reduceat(_logs(alone, before(alone, ends, sizes), both, pairs, smoothing), ends - sizes), [None] * n
                 else:
                     model, packed = np.zeros(n), [h.tobytes() for h in np.split(hashes, ends[:-1])]
                 value = exact[numbers]
@@ -458,7 +503,7 @@ def score(
     if not whole:
         hashed = rows.where("word is null").select("row", "hashes")
         parts = [
-            _pass_scores(hashed, *_load(made, wanted, layout.shards), layout, first, last, all_words)
+            _pass_scores(hashed, *_load(made, wanted, layout.shards), layout, first, last, smoothing)
             for wanted, first, last in layout.passes(sizes_of, max_bytes)
         ]
         sums = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.sum("part").alias("model"))

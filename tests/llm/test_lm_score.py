@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from recfeat.llm import lm_score as lm
+from recfeat.llm.queries import fold
 
 from ..conftest import rows
 
@@ -69,9 +70,10 @@ def test_the_model_beats_the_base_on_text_like_its_own(spark):
     assert all(r.base_score < r.score < 0 for r in got)
 
 
-def test_model_follows_its_formula(spark):
+@pytest.mark.parametrize("head", [100, 2])
+def test_model_follows_its_formula(spark, head):
     """Against the same smoothing with exact counts; quantised counts of 1 and 2 are exact."""
-    texts = ["a b c", "a b d", "e"]
+    texts = ["a b c", "a b d", "e", "f a", "b b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     c, p = Counter(), Counter()
     for t in texts:
@@ -79,15 +81,34 @@ def test_model_follows_its_formula(spark):
         c.update(w)
         p.update(zip(["\n", *w], w))
     n, v = sum(c.values()), len(c)
+    often = [w for w in c if sum(c[x] >= c[w] for x in c) <= head]
+    of = lambda w: int(math.log(c[w], 1.5) + 1e-9) + 1 if w in often else 0
+
+    def smoothing(group):
+        mine = [k for (a, _), k in p.items() if of(a) == group]
+        once, twice = mine.count(1), mine.count(2)
+        d = once / (once + 2 * twice) if once else 0.5
+        return d, d * len(mine) / sum(mine)
 
     def score(t):
         w, out = brute_tokens(t), 0.0
         for a, b in zip(["\n", *w], w):
-            uni = (c[b] + 0.5) / (n + 0.5 * (v + 1))
-            out += math.log10((p[a, b] + lm.WEIGHT * uni) / (c[a] + lm.WEIGHT))
+            d, left = smoothing(of(a))
+            out += math.log10(min(1.0, max(p[a, b] - d, 0) / c[a] + left * (c[b] + 0.5) / (n + 0.5 * (v + 1))))
         return out
 
-    assert [r.score for r in lm.score(df, df).orderBy("doc_id").collect()] == pytest.approx([score(t) for t in texts], rel=0.02)
+    assert [r.score for r in lm.score(df, df, head_words=head).orderBy("doc_id").collect()] == pytest.approx([score(t) for t in texts], rel=0.04)
+
+
+def test_back_off_of_classes():
+    discount, left = lm.back_off(np.array([[4, 0, 0], [1, 3, 0], [6, 3, 0], [10, 6, 0]]))
+    assert discount.tolist() == pytest.approx([4 / 6, 0.5, 0.5]) and left.tolist() == pytest.approx([0.4, 0.25, 1.0])
+
+
+def test_held_out_documents_score_above_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.score(docs, docs.where(fold("doc_id", 5) != 1)).where(fold("doc_id", 5) == 1).collect()
+    assert len(got) > 150 and np.mean([r.score > r.base_score for r in got]) >= 0.95
 
 
 def test_empty_tables(spark):
