@@ -4,6 +4,9 @@ A fingerprint is cut into two halves of 32 bits. Two fingerprints that differ in
 differ in at most one bit within one of the halves, so it is enough to look up, for each half, the
 33 values of its Hamming ball of radius one in a table of all halves, and to verify the complete
 distance of what is found. Equal fingerprints collapse first, so copies are never expanded to pairs.
+Nor are near copies: fingerprints at most two bits apart share a point of their balls of radius one in the
+whole space, which at most 65 fingerprints can do, so they are linked point by point; the lookup in halves then
+links only fingerprints whose neighbourhoods have different least members, and names those, each once.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_table, unused_name, utf8
 from .graph import components
@@ -41,16 +45,19 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id_col, fp)`` of every row; fp is the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: list[str] | None = None, name: str = "fp"
+) -> DataFrame:
+    """``(id_col, fp)`` of every row, or its columns ``keep`` and the fingerprint, a signed long."""
+    keep = [id_col] if keep is None else list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=[id_col, "fp"])
+            made = np.fromiter((fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made.view(np.int64))], names=[*keep, name])
 
-    rows = docs.select(F.col(id_col), utf8(text_col).alias("fp"))
-    return rows.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
+    rows = docs.select(*[F.col(c) for c in keep], utf8(text_col).alias(name))
+    return rows.mapInArrow(run, T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField(name, T.LongType())]))
 
 
 def ball_masks(bits: int, radius: int) -> list[int]:
@@ -58,33 +65,56 @@ def ball_masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in on) for r in range(radius + 1) for on in combinations(range(bits), r)]
 
 
-def close_pairs(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of different values in ``fps.fp`` at most ``distance`` bits apart.
+def close_pairs(fps: DataFrame, distance: int = 3, segments: int = 2, name: str = "fp") -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of different values in ``fps.fp`` at most ``distance`` bits apart, each by its ``name``.
 
-    ``fps`` must hold each value once. The ball radius within a segment is distance // segments.
+    ``fps`` must hold each value once. The ball radius within a segment is distance // segments. Where
+    ``name`` is another column, each pair of different names is given once, however many values link it.
     """
     width = BITS // segments
     values = [F.shiftrightunsigned("fp", width * s).bitwiseAND(F.lit((1 << width) - 1)) for s in range(segments)]
     masks = F.array(*[F.lit(m).cast("long") for m in ball_masks(width, distance // segments)])
     halves = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), v.alias("v")) for s, v in enumerate(values)]))
-    table = fps.select(F.col("fp").alias("b"), halves.alias("h")).select("b", "h.s", "h.v")
+    rows = fps.select("fp", F.col(name).alias("of"))
+    table = rows.select(F.col("fp").alias("b"), F.col("of").alias("of_b"), halves.alias("h")).select("b", "of_b", "h.s", "h.v")
     balls = (
-        fps.select(F.col("fp").alias("a"), halves.alias("h"))
-        .select("a", "h.s", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("h.v")))).alias("v"))
+        rows.select(F.col("fp").alias("a"), F.col("of").alias("of_a"), halves.alias("h"))
+        .select("a", "of_a", "h.s", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("h.v")))).alias("v"))
     )
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("of_a") != F.col("of_b"))
     # Spark takes the size of exploded rows for that of their source; neither side may be broadcast on that word
     found = balls.join(table.hint("merge"), (balls.s == table.s) & (balls.v == table.v) & (F.col("a") < F.col("b")) & near)
-    return found.select("a", "b").distinct()
+    return found.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+
+
+def links(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """Edges ``(a, b)`` that connect what a chain of steps of at most ``distance`` bits connects.
+
+    ``fps`` must hold each value once. Their number stays in proportion to that of the values where many lie
+    close together: at most 65 a value from shared points, and one for two neighbourhoods that meet.
+    """
+    if distance < 2:
+        return close_pairs(fps, distance)
+    masks = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in ball_masks(BITS, 1)])
+    points = fps.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("point"))
+    shared = points.groupBy("point").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
+    pair = shared.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
+    two = as_table(pair.distinct(), "two")
+    least = two.groupBy("a").agg(F.min("b").alias("b"))
+    further = least.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    least = least.join(further, "b", "left").select(F.col("a").alias("fp"), F.coalesce("c", "b").alias("hub"))
+    named = as_table(fps.join(least, "fp", "left").select("fp", F.coalesce("hub", "fp").alias("hub")), "hubs")
+    own = named.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    return two.unionByName(own).unionByName(close_pairs(named, distance, name="hub"))
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, width: int = 3
 ) -> DataFrame:
-    """Near-duplicate groups: rows ``(id_col, fp, component_id)``, one for each row of ``docs``.
+    """Near-duplicate groups: rows ``(id_col, fp, component_id, group)``, one for each row of ``docs``.
 
     Fingerprints at most ``distance`` bits apart are linked, and a component is all that links reach;
-    ``component_id`` is its least id. Null, empty and blank texts have fingerprint zero and are linked
+    ``component_id`` is its least id and ``group`` a fingerprint of it. Null, empty and blank texts have fingerprint zero and are linked
     like others. Rows with a null id take part and get the component of their text (null if no row
     there has an id). Repeated rows each give a row; an empty table gives none; other columns are
     neither read nor returned.
@@ -92,30 +122,38 @@ def near_duplicates(
     marked = as_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     nodes = as_table(nodes, "nodes")
-    member = as_table(components(close_pairs(nodes.select("fp"), distance)), "components")
+    member = as_table(components(links(nodes.select("fp"), distance)), "components")
     grouped = nodes.join(member, nodes.fp == member.node, "left").select(
         "fp", "least_id", F.coalesce("component", "fp").alias("group")
     )
     least = grouped.groupBy("group").agg(F.min("least_id").alias("component_id"))
-    named = as_table(grouped.join(least, "group").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    named = as_table(grouped.join(least, "group").select("fp", "component_id", "group"), "named")
+    return marked.join(named, "fp").select(id_col, "fp", "component_id", "group")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the least id.
 
-    Repeated rows (equal id and text) collapse to one. Rows with a null id cannot be told apart by the
-    group's least id and all stay.
+    Every row is judged by its own text. Of several rows with the group's least id (an id may stand for
+    several texts) in one group the one with the least fingerprint, then text, stays; of equal rows one does. Rows with a
+    null id cannot be told apart by the group's least id and all stay.
     """
-    group = unused_name(docs, "component_id")
+    own, fp = unused_name(docs, "own_id"), unused_name(docs, "fp")
     found = near_duplicates(docs, id_col, text_col)
-    ids = found.groupBy(id_col).agg(F.count("*").alias("n"), F.min("component_id").alias(group))
+    ids = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
     # what goes is listed, not what stays: it is the shorter list, and small enough to be broadcast more often
-    gone = ids.where((F.col(id_col) != F.col(group)) | (F.col("n") > 1))
-    gone = as_table(gone.select(F.col(id_col).alias(group), "n", (F.col(id_col) == F.col(group)).alias("first")), "gone")
-    same = F.col(id_col) == F.col(group)
-    kept = docs.join(gone, same, "left_anti")
-    repeated = gone.where("n > 1 and first")
-    if not repeated.isEmpty():  # texts are read a second time only where ids repeat
-        kept = kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
-    return kept
+    gone = as_table(ids.where((F.col(own) != F.col("least")) | (F.col("n") > 1)), "gone")
+    same = F.col(id_col) == F.col(own)
+    kept = docs.join(gone.select(own), same, "left_anti")
+    repeated = gone.where("n > 1").select(own)
+    if repeated.isEmpty():  # texts are read a second time only where ids repeat
+        return kept
+    again = docs.join(repeated, same, "left_semi")
+    judged = fingerprints(again, id_col, text_col, keep=docs.columns, name=fp)
+    # groups of different texts may share their least id
+    first = found.join(repeated, same, "left_semi").where(F.col(id_col) == F.col("component_id"))
+    first = first.groupBy(F.col(id_col).alias(own), "group").agg(F.min("fp").alias("least")).select(own, "least")
+    mine = judged.join(first, (F.col(id_col) == F.col(own)) & (F.col(fp) == F.col("least")))
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = mine.groupBy(F.col(own).alias("of"), F.col("least").alias("text_of")).agg(F.min_by(whole, F.coalesce(text_col, F.lit(""))).alias("row"))
+    return kept.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -89,6 +89,33 @@ def test_groups_equal_brute_force(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_links_connect_what_pairs_connect_and_stay_few(spark):
+    """A dense cluster, where nearly all pairs are close, and a sparse one."""
+    rng = random.Random(4)
+    center, values = rng.getrandbits(64), set()
+    while len(values) < 20_000:
+        values.add(center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))))
+    edges = simhash.links(spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fp long"))
+    assert edges.count() < 65 * len(values)
+    assert graph.components(edges).select("component").distinct().count() == 1
+    few = set(rng.sample(sorted(values), 150)) | {rng.getrandbits(64) for _ in range(50)}
+    for v in list(few)[:100]:
+        few.add(v ^ sum(1 << b for b in rng.sample(range(64), 3)))
+    signed = [v - 2**64 if v >> 63 else v for v in few]
+    want = brute_components(signed, lambda a, b: bin((a ^ b) % 2**64).count("1") <= 3)
+    got = {r.node: r.component for r in graph.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()}
+    assert {v: got.get(v, v) for v in signed} == want
+
+
+def test_one_id_with_several_texts(spark):
+    """Each row goes or stays by its own group; an id that is least in one group may go in another."""
+    a, b = "one two three four five six", "quite another text that stands alone"
+    data = [(3, a), (5, a), (5, b), (6, b), (7, "x y z"), (7, "p q r s"), (7, "x y z")]
+    df = spark.createDataFrame([(i, t, "extra") for i, t in data], "doc_id long, text string, fp string")
+    got = rows(simhash.keep_first(df).select("doc_id", "text"))
+    assert got == sorted([(3, a), (5, b), (7, "x y z"), (7, "p q r s")], key=repr)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "other text here now"), (2, "A B C D")], "doc_id long, text string")
     got = rows(simhash.near_duplicates(df).select("doc_id", "component_id"))
