@@ -6,16 +6,20 @@ second filter whatever the first filters of both hold, so a key of two documents
 Pass 2 tests every key against the merged second filter. Only suspected repeats are shuffled, with
 their full text, so false positives of the filters cost work but change no result.
 
-The filters' size follows the input, from ``MIN_BITS`` to ``MAX_BITS`` bits each: only this much is
-sent to the workers. Beyond it a larger share of lines is suspected, up to all; the result stays exact.
+The filters' bits follow the input, so that the share of suspects does not grow with it. At most ``MAX_BITS``
+of them are held at once: beyond that, keys are dealt to blocks by hash and each block has its own two
+passes. At the end only documents that lose a line meet their lists of dropped keys; the others, told apart
+by a Bloom filter over documents, are neither shuffled nor sent to Python.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,7 +28,12 @@ from pyspark.sql import types as T
 
 from .common import ASCII_SPACE, as_table, unused_name, utf8
 
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
+"""Bits of each filter: at least, and at most at a time (128 MB)."""
+LOSER_BITS = 1 << 27
+"""Bits of the filter over documents that lose lines, at most; past some ten million of them more documents are shuffled."""
+PARTS = 1024
+"""Rows of one id, or without one, are told apart by so many parts of their texts' hashes."""
 CHUNK_BITS = 1 << 17
 KEY_CHARS = 10
 
@@ -76,14 +85,22 @@ class BitPair:
             self.put(self.once, at)
 
 
-def _fill(docs: DataFrame, text_col: str, bits: int, least: int) -> DataFrame:
+def _of_block(hashes: np.ndarray, block: int, blocks: int) -> np.ndarray:
+    """Which hashes belong to a block; it does not depend on the bits that the probes take."""
+    if blocks == 1:
+        return np.ones(len(hashes), dtype=bool)
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(blocks) == np.uint64(block)
+
+
+def _fill(docs: DataFrame, text_col: str, bits: int, least: int, block: int, blocks: int) -> DataFrame:
     """One row ``(chunk, once, twice)`` for each task and chunk of the filters in which it set a bit."""
     span = min(bits, CHUNK_BITS) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = BitPair(bits)
         for batch in batches:
-            mine.add(_hashes([k for t in batch.column(0).to_pylist() for k in _keys(t, least)]))
+            hashes = _hashes([k for t in batch.column(0).to_pylist() for k in _keys(t, least)])
+            mine.add(hashes[_of_block(hashes, block, blocks)])
         for c in range(bits // 64 // span):
             once, twice = (w[c * span : (c + 1) * span] for w in (mine.once, mine.twice))
             if once.any():
@@ -119,17 +136,14 @@ def _merge(parts: DataFrame) -> DataFrame:
 
 
 def filter_bits(n_bytes: int) -> int:
-    """Bits of each filter for so many bytes of text: the power of two from one bit a byte down, within bounds."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << (max(1, n_bytes // 12)).bit_length()))
+    """Bits of each filter for so many bytes of text: the power of two from one bit for 12 bytes up."""
+    return max(MIN_BITS, 1 << (max(1, n_bytes // 12)).bit_length())
 
 
-def suspected_lines(docs: DataFrame, id_col: str, text_col: str, least: int = KEY_CHARS, bits: int | None = None) -> DataFrame:
-    """``(id, key)``: each document's keys that may be in another document too; misses none that is."""
-    if bits is None:
-        bits = filter_bits(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+def _suspects_of_block(rows: DataFrame, docs: DataFrame, text_col: str, least: int, bits: int, block: int, blocks: int) -> DataFrame:
     span = min(bits, CHUNK_BITS) // 64
     twice = np.zeros(bits // 64, dtype=np.uint64)
-    for c, part in _merge(_fill(docs, text_col, bits, least)).collect():
+    for c, part in _merge(_fill(docs, text_col, bits, least, block, blocks)).toLocalIterator():
         twice[c * span : (c + 1) * span] = np.frombuffer(zlib.decompress(part), dtype=np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(twice.tobytes(), 1))
     del twice
@@ -138,22 +152,61 @@ def suspected_lines(docs: DataFrame, id_col: str, text_col: str, least: int = KE
         words = np.frombuffer(zlib.decompress(sent.value), dtype=np.uint64)
         mask = np.uint64(bits - 1)
         for batch in batches:
-            keys, rows = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            keys, place = [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 own = _keys(text, least)
                 keys += own
-                rows += [row] * len(own)
+                place += [row] * len(own)
             hashes = _hashes(keys)
-            at = np.flatnonzero(BitPair.get(words, hashes & mask) & BitPair.get(words, (hashes >> np.uint64(32)) & mask)).tolist()
-            ids = batch.column(0).take(pa.array([rows[i] for i in at], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([keys[i] for i in at], pa.binary())], names=["id", "key"])
+            found = BitPair.get(words, hashes & mask) & BitPair.get(words, (hashes >> np.uint64(32)) & mask) & _of_block(hashes, block, blocks)
+            at = np.flatnonzero(found).tolist()
+            stay = batch.select([0, 1]).take(pa.array([place[i] for i in at], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*stay.columns, pa.array([keys[i] for i in at], pa.binary())], names=["id", "part", "key"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, part int, key binary")
+
+
+def _part(text_col: str):
+    return F.pmod(F.xxhash64(text_col), F.lit(PARTS)).cast("int")
+
+
+def suspected_lines(
+    docs: DataFrame, id_col: str, text_col: str, least: int = KEY_CHARS, bits: int | None = None, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """``(id, part, key)``: each document's keys that may be in another document too; misses none that is.
+
+    ``part`` is taken from the text's hash. More than ``max_bits`` are made in blocks, one after the other.
+    """
+    if bits is None:
+        bits = filter_bits(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    blocks, bits = max(1, bits // max_bits), min(bits, max_bits)
+    rows = docs.select(F.col(id_col).alias("id"), _part(text_col).alias("part"), utf8(text_col).alias("t"))
+    made = [_suspects_of_block(rows, docs, text_col, least, bits, k, blocks) for k in range(blocks)]
+    return made[0] if blocks == 1 else reduce(DataFrame.unionAll, [as_table(m, "suspects_of_block") for m in made])
+
+
+def _may_lose(drops: DataFrame):
+    """A function of (id, part): false only for documents that are not in ``drops``. Its filter is bounded."""
+    n = drops.count()
+    bits = min(LOSER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    places = F.explode(F.array(*[F.pmod(F.xxhash64("id", "part", F.lit(k)), F.lit(bits)) for k in range(2)])).alias("at")
+    words = drops.select(places).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")
+    ).toArrow()
+    table = np.zeros(bits // 64, dtype=np.uint64)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    sent = drops.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def probe(one: pd.Series, two: pd.Series) -> pd.Series:
+        get = lambda at: BitPair.get(sent.value, at.to_numpy().astype(np.uint64))
+        return pd.Series(get(one) & get(two))
 
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, key binary")
+    return lambda id_, part: probe(*[F.pmod(F.xxhash64(id_, part, F.lit(k)), F.lit(bits)) for k in range(2)])
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = KEY_CHARS, bits: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = KEY_CHARS, bits: int | None = None, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """``docs`` without lines that an earlier document holds too, and two more columns.
 
@@ -164,21 +217,26 @@ def dedup_lines(
     A null text counts as one empty line and stays null. Rows of equal id are one document. Rows with a
     null id are one document that comes after all others. An empty table gives an empty result.
     """
-    suspects = as_table(suspected_lines(docs, id_col, text_col, least, bits), "suspects")
+    suspects = as_table(suspected_lines(docs, id_col, text_col, least, bits, max_bits), "suspects")
     seen = suspects.groupBy("key").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nameless")
     )
     repeated = as_table(seen.where("first <> last or (nameless and first is not null)").select("key", "first"), "repeated")
     drops = (
         suspects.join(repeated, "key").where("id is null or id <> first")
-        .groupBy("id").agg(F.collect_set("key").alias("drop"))
+        .groupBy("id", "part").agg(F.collect_set("key").alias("drop"))
     )
-    own, drop = unused_name(docs, "drop_id"), unused_name(docs, "drop_keys")
-    drops = drops.select(F.col("id").alias(own), F.col("drop").alias(drop))
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col(own)), "left").drop(own)
+    drops = as_table(drops, "drops")
+    own, part, drop = (unused_name(docs, n) for n in ("drop_id", "drop_part", "drop_keys"))
+    loses = _may_lose(drops)(F.col(id_col), _part(text_col))
+    drops = drops.select(F.col("id").alias(own), F.col("part").alias(part), F.col("drop").alias(drop))
+    mine = F.col(id_col).eqNullSafe(F.col(own)) & (_part(text_col) == F.col(part))
+    joined = docs.where(loses).join(drops, mine, "left").drop(own, part)
     lines, dropped = unused_name(docs, "n_lines"), unused_name(docs, "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    n_lines = F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
+    untouched = docs.where(~loses).select(*docs.columns, n_lines.alias(lines), F.lit(0).cast("long").alias(dropped))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +259,4 @@ def dedup_lines(
                 [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names
             )
 
-    return joined.select(*docs.columns, drop).mapInArrow(run, schema)
+    return joined.select(*docs.columns, drop).mapInArrow(run, schema).unionByName(untouched)

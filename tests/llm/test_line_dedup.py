@@ -29,15 +29,31 @@ def made(seed):
     return [*docs, (41, None), (42, ""), (43, "only once here\nonly once here"), (7, "Subscribe to our list"), (44, "a" * 200_000)]
 
 
-@pytest.mark.parametrize("bits", [None, 1 << 7])
-def test_equals_brute_force(spark, bits):
-    """With a filter of 128 bits nearly every line is suspected; the result is the same."""
+@pytest.mark.parametrize("bits,most", [(None, ld.MAX_BITS), (1 << 7, 1 << 7), (1 << 12, 1 << 10)])
+def test_equals_brute_force(spark, bits, most):
+    """With a filter of 128 bits nearly every line is suspected, and the last is made in four blocks; the result is the same."""
     docs = made(4)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = ld.dedup_lines(df, bits=bits)
+    got = ld.dedup_lines(df, bits=bits, max_bits=most)
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=repr) == brute(docs)
 
 
+def test_the_share_of_suspects_does_not_grow_with_the_input(spark):
+    """Unlike lines are hardly ever suspected, whether the filter is held at once or made in blocks."""
+    for n, most in ((500, 1 << 20), (5000, 1 << 20), (5000, 1 << 18)):
+        df = spark.range(n).selectExpr("id doc_id", "array_join(transform(sequence(1, 30), x -> concat('line ', md5(concat(id, '-', x)))), '\n') text")
+        assert ld.suspected_lines(df, "doc_id", "text", max_bits=most).count() < 0.2 * 30 * n
+
+
+def test_hot_and_missing_ids_are_split_by_text(spark):
+    """Many rows of one id, and many without one, hold repeated lines: each row finds its own."""
+    docs = [(None, f"shared by number {i % 50} of them\nown {i} line of this one") for i in range(300)] + [(9, f"shared by number {i % 50} of them") for i in range(300)]
+    docs += [(1, f"shared by number {i} of them") for i in range(25)]
+    got = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 1 for r in got if r.doc_id is None) and {r.n_dropped for r in got if r.doc_id == 1} == {0}
+    assert sum(r.n_dropped for r in got if r.doc_id == 9) == 150 and len(got) == 625
+
+
 def test_null_ids_come_last_and_columns_stay(spark):
     df = spark.createDataFrame([(None, "a line of some length", 1), (3, "A line of some length", 2), (None, None, 3)], "doc_id long, text string, n_lines int")
     got = sorted(((r.doc_id, r.text, r.n_lines, r["_n_lines"], r.n_dropped) for r in ld.dedup_lines(df).collect()), key=repr)
