@@ -1,18 +1,22 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
-Every run of 13 words of a benchmark item is a pattern. A shift table over blocks of two words says how
-far the search may jump; where it says zero, buckets by the block at the pattern's end, then by the
-block at its start, select test strings that are compared word by word (Wu and Manber, "A fast algorithm
-for multi-pattern searching", 1994). The patterns reach the workers in blocks of a bounded number of
-words; each block is one pass over the documents.
+Every run of 13 words of a benchmark item is a pattern. A shift table over hashed blocks of two words says
+how far the search may jump; where it says zero, buckets by the block at the pattern's end and the block at
+its start select test strings, whose words are compared (Wu and Manber, "A fast algorithm for multi-pattern
+searching", 1994). The tables are flat arrays, about 40 bytes for each benchmark word, and reach the workers in
+blocks of a bounded number of words. One block is one pass over the documents; with more of them, passes hand
+on row numbers and spans, never texts.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +24,10 @@ from pyspark.sql import types as T
 from .common import as_table, unused_name, utf8
 
 WINDOW = 13
-BLOCK_WORDS = 200_000
-"""Benchmark words that are broadcast at once, at most (plus one segment)."""
+BLOCK_WORDS = 10_000_000
+"""Benchmark words whose tables are broadcast at once, at most (about): 400 MB."""
+TABLE_BITS = 26
+"""The shift table has at most 2 to this power entries of one byte; a collision only shortens a jump."""
 SEGMENT_WORDS = 4096
 
 _TABLE = bytes(
@@ -34,55 +40,96 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def _block(a, b):
+    """A block's hash of 32 bits from those of its words; for numbers and arrays of 64 bits."""
+    return (a * 0x9E3779B1 + b) & 0xFFFFFFFF
+
+
 class WuManber:
-    """Search for many patterns of one length, each a tuple of words with a set of owners."""
-
-    def __init__(self, patterns: dict[tuple, set]):
-        self.length = m = len(next(iter(patterns)))
-        self.block = b = min(2, m)
-        self.jump = m - b + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-        for p, owners in patterns.items():
-            for end in range(b, m + 1):
-                key = p[end - b : end]
-                self.shift[key] = min(self.shift.get(key, self.jump), m - end)
-            self.buckets[p[m - b :]][p[:b]].append((p, owners))
-
-    def find(self, text: list) -> Iterator[tuple[int, set]]:
-        """``(start, owners)`` of each occurrence, in order."""
-        m, b, jump, shift, n = self.length, self.block, self.jump, self.shift, len(text)
+    """Search for many patterns of one length among words; equal patterns are one, numbered by their place."""
+
+    def __init__(self, blob: bytes, ends: np.ndarray, codes: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int):
+        """``blob``: all words, joined by spaces, word k from ``ends[k]`` to before ``ends[k + 1] - 1``; ``codes``: their hashes.
+
+        ``starts``: the first word of each pattern, ``owners``: the number of its item.
+        """
+        self.length = m = length
+        self.width = b = min(2, m)
+        self.jump, self.blob, self.ends = m - b + 1, blob, ends
+        before = np.concatenate([codes[:1], codes[:-1]]) if b == 2 else np.zeros_like(codes)
+        blocks = _block(before, codes)  # of the words up to each one
+        size = 1 << min(TABLE_BITS, max(10, (4 * len(starts) * self.jump).bit_length()))
+        self.mask, shift = size - 1, np.full(size, self.jump, dtype=np.uint8)
+        for end in range(b, m + 1):  # later ones are shorter and stand
+            shift[blocks[starts + end - 1] & np.uint64(self.mask)] = m - end
+        self.shift = shift.tobytes()
+        keys = blocks[starts + m - 1] << np.uint64(32) | blocks[starts + b - 1]
+        texts = np.fromiter((xxhash.xxh3_64_intdigest(blob[i:j]) for i, j in zip(ends[starts].tolist(), (ends[starts + m] - 1).tolist())), np.uint64, len(starts))
+        order = np.lexsort((texts, keys))
+        keys, texts, starts, owners = keys[order], texts[order], starts[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])]))
+        self.keys, self.starts, self.bounds, self.owners = keys[first], starts[first], np.append(first, len(keys)), owners
+
+    def owners_of(self, pattern: int) -> np.ndarray:
+        return self.owners[self.bounds[pattern] : self.bounds[pattern + 1]]
+
+    def find(self, text: list) -> Iterator[tuple[int, int]]:
+        """``(start, pattern)`` of each occurrence, in order."""
+        m, b, shift, mask, keys, blob, ends, n = self.length, self.width, self.shift, self.mask, self.keys, self.blob, self.ends, len(text)
+        block = (lambda end: _block(crc32(text[end - 2]), crc32(text[end - 1]))) if b == 2 else (lambda end: crc32(text[end - 1]))
         at = m
         while at <= n:
-            key = (text[at - 2], text[at - 1]) if b == 2 else (text[at - 1],)
-            step = shift.get(key, jump)
+            key = block(at)
+            step = shift[key & mask]
             if step:
                 at += step
                 continue
             start = at - m
-            for p, owners in self.buckets[key].get(tuple(text[start : start + b]), ()):
-                if tuple(text[start:at]) == p:
-                    yield start, owners
+            key = np.uint64(key << 32 | block(start + b))
+            k = int(keys.searchsorted(key))
+            if k < len(keys) and keys[k] == key:
+                here = b" ".join(text[start:at])
+                while k < len(keys) and keys[k] == key:
+                    s = self.starts[k]
+                    if blob[ends[s] : ends[s + m] - 1] == here:
+                        yield start, k
+                    k += 1
             at += 1
 
 
-def searchers(items: list[tuple[str, list]], window: int = WINDOW) -> list[WuManber]:
-    """One searcher for each pattern length; an item of fewer words than ``window`` is one pattern."""
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        for start in range(max(1, len(text) - window + 1)) if text else ():
-            p = tuple(text[start : start + window])
-            by_length[len(p)][p].add(item)
-    return [WuManber(p) for _, p in sorted(by_length.items())]
-
+def searchers(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[list[str], list[WuManber]]:
+    """The item ids, and one searcher for each pattern length; an item of fewer words than ``window`` is one pattern.
 
-def search(text: list, among: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
+    ``items``: ids and words, joined by spaces.
+    """
+    names = sorted({name for name, _ in items})
+    number = {name: k for k, name in enumerate(names)}
+    items = [(name, text) for name, text in items if text]
+    blob = b" ".join(text for _, text in items)
+    split = blob.split(b" ") if blob else []
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)])
+    codes = np.fromiter(map(crc32, split), np.uint64, len(split))
+    sizes = np.array([text.count(b" ") + 1 for _, text in items], dtype=np.int64)
+    firsts, of = np.cumsum(sizes) - sizes, np.array([number[name] for name, _ in items], dtype=np.int64)
+    made = []
+    for length in np.unique(np.minimum(sizes, window)).tolist():
+        mine = np.flatnonzero(np.minimum(sizes, window) == length)
+        n = sizes[mine] - length + 1
+        starts = np.repeat(firsts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        made.append(WuManber(blob, ends, codes, starts, np.repeat(of[mine], n).astype(np.int32), length))
+    return names, made
+
+
+def search(text: list, names: list[str], among: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
     """Merged spans of hit words, and the items that occur."""
     found, items = [], set()
     for s in among:
-        for start, owners in s.find(text):
+        patterns = set()
+        for start, pattern in s.find(text):
             found.append((start, start + s.length))
-            items |= owners
+            patterns.add(pattern)
+        for p in patterns:
+            items.update(names[k] for k in s.owners_of(p).tolist())
     return merge(found), items
 
 
@@ -141,40 +188,58 @@ def contamination(
     blocks = max(1, -(-total // block_words))
     inner = [f"k{i}" for i in range(len(keep))]
     kept = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(inner, keep)]
-    tail = [T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    now = docs.select(
-        *[F.col(c).alias(n) for n, c in zip(inner, keep)], utf8(text_col).alias("t"),
-        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"),
-    )
-    for k in range(blocks):
-        part = segments.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k).select("item", "words")
-        sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part.collect()])
-        last = k == blocks - 1
-        middle = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())] if last else [T.StructField("t", T.BinaryType())]
-        schema = T.StructType([*kept, *middle, *tail])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, names=schema.names) -> Iterator[pa.RecordBatch]:
-            among = searchers([(item, text.split()) for item, text in sent.value], window)
+    tail = [
+        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+    rows = docs.select(*[F.col(c).alias(n) for n, c in zip(inner, keep)], utf8(text_col).alias("t"))
+
+    def one_pass(rows: DataFrame, fields: list, block: int, hits_only: bool) -> DataFrame:
+        """The last column of ``rows``, searched for the patterns of one block; its other columns stay."""
+        part = segments.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).select("item", "words")
+        sent = spark.sparkContext.broadcast(searchers([(r[0], bytes(r[1])) for r in part.toLocalIterator()], window))
+        schema = T.StructType([*fields, *tail])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, among = sent.value
             for batch in batches:
-                counts, hits, spans, items = [], [], [], []
-                for text, was, had in zip(*(batch.column(len(inner) + i).to_pylist() for i in range(3))):
+                made, place = [], []
+                for row, text in enumerate(batch.column(len(fields)).to_pylist()):
                     w = words(text)
-                    new, found = search(w, among)
-                    if was or had:
-                        new, found = merge([*new, *zip(was[::2], was[1::2])]), found.union(had)
-                    counts.append(len(w))
-                    hits.append(sum(b - a for a, b in new))
-                    spans.append([x for s in new for x in s])
-                    items.append(sorted(found))
-                out = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64())] if last else [batch.column(len(inner))]
-                out += [pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], *out], names=names)
-
-        now = now.mapInArrow(run, schema)
-        if not last:
-            now = as_table(now, "block")
+                    spans, items = search(w, names, among)
+                    if items or not hits_only:
+                        made.append((len(w), sum(b - a for a, b in spans), [x for s in spans for x in s], sorted(items)))
+                        place.append(row)
+                types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+                out = [pa.array(c, t) for c, t in zip(zip(*made) if made else ([], [], [], []), types)]
+                stay = batch.select(list(range(len(fields)))) if hits_only else None
+                columns = stay.take(pa.array(place, pa.int64())).columns if hits_only else batch.columns[: len(fields)]
+                yield pa.RecordBatch.from_arrays([*columns, *out], names=schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    if blocks == 1:
+        made = one_pass(rows, kept, 0, False)
+    else:  # texts are written once, with numbers, and read by every pass
+        numbered = as_table(rows.select(*inner, F.monotonically_increasing_id().alias("row"), "t"), "numbered")
+        number = [T.StructField("row", T.LongType())]
+        parts = [as_table(one_pass(numbered.select("row", "t"), number, k, k > 0), "hits") for k in range(blocks)]
+        found = reduce(DataFrame.unionAll, parts).groupBy("row").agg(
+            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = [merge(list(zip(s[::2], s[1::2]))) for s in batch.column(len(inner) + 1).to_pylist()]
+                hits = [sum(b - a for a, b in s) for s in spans]
+                flat = pa.array([[x for pair in s for x in pair] for s in spans], pa.list_(pa.int32()))
+                columns = [*batch.columns[: len(inner) + 1], pa.array(hits, pa.int64()), flat, batch.column(len(inner) + 2)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*inner, *(f.name for f in tail)])
+
+        made = numbered.drop("t").join(found, "row").select(*inner, "n_words", "spans", "items").mapInArrow(merged, T.StructType([*kept, *tail]))
     dirty = F.expr("n_hit > 0 and 20 * n_hit >= n_words")
-    made = now.withColumn("contaminated", dirty)
+    made = made.withColumn("contaminated", dirty)
     free = docs.select(*keep)
     return made.select(
         *[F.col(n).alias(c) for n, c in zip(inner, keep)],

@@ -31,7 +31,7 @@ def made(seed):
 
 
 def test_search_equals_brute_force(spark):
-    for seed, block in ((0, 200_000), (1, 6)):  # the second in several blocks
+    for seed, block in ((0, 200_000), (1, 15)):  # the second in several blocks
         docs, items = made(seed)
         df = spark.createDataFrame(docs, "doc_id long, text string, items string").repartition(2)
         bench = spark.createDataFrame(items, "item_id long, text string")
@@ -61,3 +61,26 @@ def test_empty_tables_and_long_items(spark):
     bench = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
     docs = spark.createDataFrame([(k, " ".join(long[k : k + 13])) for k in (0, 4080, 4096, 4100, 8987)] + [(9, " ".join(long * 3))], "doc_id long, text string")
     assert {r.n_hit for r in d.contamination(docs, bench).collect()} == {13, 27000}
+
+
+def test_many_benchmark_words_are_one_pass_and_found(spark):
+    """A hundred thousand patterns in one table; collisions of the shift table cost no occurrence."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(500)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=400))) for k in range(300)]
+    names, among = d.searchers([(str(k), t.encode()) for k, t in items])
+    assert len(among) == 1 and len(among[0].keys) == 300 * 388
+    for k, t in rng.sample(items, 50):
+        w = t.split()
+        at = rng.randrange(381)
+        text = [x.encode() for x in [*rng.choices(vocabulary, k=40), *w[at : at + 20], *rng.choices(vocabulary, k=40)]]
+        spans, found = d.search(text, names, among)
+        assert found == {str(k)} and any(a <= 40 and b >= 60 for a, b in spans)
+    assert d.search([x.encode() for x in rng.choices(vocabulary, k=5000)], names, among) == ([], set())
+
+
+def test_equal_patterns_name_all_their_items(spark):
+    text = " ".join(f"v{k}" for k in range(13))
+    bench = spark.createDataFrame([(k, f"a{k} {text}") for k in range(400)], "item_id long, text string")
+    row = d.contamination(spark.createDataFrame([(1, f"{text} x")], "doc_id long, text string"), bench).first()
+    assert row["items"] == sorted(str(k) for k in range(400)) and row["spans"] == [0, 13]
