@@ -36,7 +36,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text"),
     )
-    made = chat_format.format_conversations(rows.unionByName(extra), TOKENIZER)
+    made = chat_format.format_conversations(rows.unionByName(extra), **ENCODER)
     return made.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
