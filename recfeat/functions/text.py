@@ -11,6 +11,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,16 +49,33 @@ def clean_native(text: Column) -> Column:
     return F.trim(reduce(lambda c, step: F.regexp_replace(c, F.lit(step[0]), F.lit(step[1])), _NATIVE_STEPS, text))
 
 
-def _is_emoji(ch: str) -> bool:
-    code = ord(ch)
-    return code >= 0x2190 and unicodedata.category(ch) == "So" and not 0x2500 <= code <= 0x259F
+# What the five skin tones, from U+1F3FB on, add to a name.
+SKIN_TONES = ("light_skin_tone", "medium_light_skin_tone", "medium_skin_tone", "medium_dark_skin_tone", "dark_skin_tone")
+
+_ONE = r"(?:\p{Emoji_Presentation}|\p{Extended_Pictographic})[\p{Emoji_Modifier}\uFE0F]*"
+_EMOJI = regex.compile(rf"\p{{RI}}\p{{RI}}|[0-9#*]\uFE0F?\u20E3|\U0001F3F4[\U000E0020-\U000E007E]+\U000E007F|{_ONE}(?:\u200D{_ONE})*")
+
+
+def _emoji_name(found) -> str:
+    """`` name `` of a whole emoji: joined people and tones, flags and keycaps are one."""
+    text = found[0]
+    if "\u20e3" in text:
+        return f" keycap_{text[0]} "
+    if "\U0001f1e6" <= text[0] <= "\U0001f1ff":
+        return " flag_" + "".join(chr(ord(c) - 0x1F1E6 + ord("a")) for c in text) + " "
+    if text[-1] == "\U000e007f":
+        return " flag_" + "".join(chr(ord(c) - 0xE0000) for c in text[1:-1]) + " "
+    names = [
+        SKIN_TONES[ord(c) - 0x1F3FB] if "\U0001f3fb" <= c <= "\U0001f3ff" else unicodedata.name(c, "emoji").lower().replace(" ", "_")
+        for c in text if c not in "\u200d\ufe0f"
+    ]
+    return f" {'_'.join(names)} "
 
 
 def _normal(text: str) -> str:
     if text.isascii():
         return html.unescape(text) if "&" in text else text
-    named = "".join(f" {unicodedata.name(c, 'emoji').lower().replace(' ', '_')} " if _is_emoji(c) else c for c in text)
-    return unicodedata.normalize("NFKC", html.unescape(named))
+    return unicodedata.normalize("NFKC", html.unescape(_EMOJI.sub(_emoji_name, text)))
 
 
 @F.pandas_udf(T.StringType())
@@ -95,7 +113,7 @@ def fixed(number: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", half_even(number, digits))
 
 
-def user_text(feat: Column, clean_text=clean_native) -> Column:
+def user_text(feat: Column, clean_texts=clean_array_native) -> Column:
     """The user's side of a sample, from the ``user_feat`` struct.
 
     Shares of zero are left out. A past review shows its text, else its title, else nothing.
@@ -106,9 +124,10 @@ def user_text(feat: Column, clean_text=clean_native) -> Column:
         F.coalesce(feat["history"], F.array().cast("array<struct<title:string,text:string>>")),
         lambda h: F.coalesce(F.nullif(h["text"], F.lit("")), h["title"], F.lit("")),
     )
-    pieces = F.transform(F.filter(pieces, lambda p: p != ""), clean_text)
+    pieces = clean_texts(F.filter(pieces, lambda p: p != ""))
     numbered = F.transform(pieces, lambda p, i: F.concat(F.lit("Review"), (i + 1).cast("string"), F.lit(": "), p))
     count, mean, std = feat["review_cnt"], feat["price_mean"], feat["price_std"]
+    # fixed values: the labels of the sections, here and in ``item_text``
     return F.concat(
         F.lit("Category history: "), F.when(F.size(shares) > 0, categories).otherwise(NO_HISTORY),
         F.lit(". Total reviews: "), F.when(count > 0, count.cast("string")).otherwise(NO_REVIEWS),

@@ -9,30 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot, normalised
+from ..tables import as_table
 
-BUCKETS = 256
+ROWS_PER_BUCKET = 200_000
 
 
-def bucketed(df: DataFrame, by: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``bucket``: ranges of ``by`` of about equal row counts, in its order. Bounds are ``buckets`` numbers."""
-    bounds = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    return df.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col(by))))
-
-
-def running(df: DataFrame, order: str, sums: list[str], buckets: int = BUCKETS, descending: bool = False) -> DataFrame:
+def running(df: DataFrame, order: str, sums: list[str], descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``df`` with ``<name>_before`` for each name: the sum over all rows before it. ``order`` must be unique.
 
-    No window spans the table: rows are summed within buckets, and bucket totals are carried in.
+    No window spans the table: rows are dealt to ranges, whose number follows theirs, and written once with their
+    range; sums run within a range, and the ranges' totals are carried in.
     """
     direct = F.desc if descending else F.asc
-    cut = bucketed(df, order, buckets)
-    earlier = Window.orderBy(direct("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    made = as_table(df, "to_rank")
+    buckets = max(1, -(-made.count() // rows_per_bucket))
+    cut = as_table(made.repartitionByRange(buckets, order).withColumn("bucket", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy(direct("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     totals = cut.groupBy("bucket").agg(*[F.sum(s).alias(s) for s in sums])
     carry = totals.select("bucket", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_carry") for s in sums])
     here = Window.partitionBy("bucket").orderBy(direct(order)).rowsBetween(Window.unboundedPreceding, -1)
-    # the carry table has at most as many rows as there are buckets
-    return cut.join(F.broadcast(carry), "bucket").select(
+    return cut.join(carry, "bucket").select(
         *df.columns, *[(F.coalesce(F.sum(s).over(here), F.lit(0)) + F.col(f"{s}_carry")).alias(f"{s}_before") for s in sums]
     )
 
@@ -116,15 +112,20 @@ def missing_image_ratio(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(1 - F.col("has_image")).alias("missing_ratio"))
 
 
-def score_batches(df: DataFrame, make_predict: Callable, inputs: list[str], batch: int = 1024) -> DataFrame:
+def first_batches(df: DataFrame, key: str, batches: int, batch: int) -> DataFrame:
+    """At most so many batches of rows, the first in the order of ``key``: a cap on what is evaluated."""
+    return df.orderBy(key).limit(batches * batch)
+
+
+def score_batches(df: DataFrame, make_predict: Callable, inputs: list[str], batch: int = 1024, shapes: list[list[int]] | None = None) -> DataFrame:
     """``df`` with ``prob_good`` and ``prob_best``: a network's two logits through the sigmoid.
 
     ``make_predict`` builds, once in each worker, a function from numpy arrays of the inputs to an array
-    (rows, 2) of logits.
+    (rows, 2) of logits. ``shapes``: of a row of each input, needed for arrays.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=shapes)
     scored = df.withColumn("_logits", predict(*inputs))
     sig = lambda i: (1 / (1 + F.exp(-F.get("_logits", F.lit(i)).cast("double"))))
     return scored.select(*df.columns, sig(0).alias("prob_good"), sig(1).alias("prob_best"))

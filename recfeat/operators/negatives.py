@@ -7,7 +7,7 @@ purchases are not excluded: at that time they are unknown.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import as_table
@@ -27,35 +27,47 @@ def max_tries(per_positive: int) -> int:
     return max(200, 50 * per_positive)
 
 
-def _draw(rows: DataFrame, pool: DataFrame, n_pool: int, seen: DataFrame, per_positive: int, tries: int, seed: int) -> DataFrame:
-    index = F.floor(unit_hash("row_key", F.col("try").cast("string"), seed=seed) * F.lit(n_pool)).cast("long")
-    tried = rows.select("user_id", "row_key", "pos", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-    # the pool is bounded by its size parameter
-    drawn = tried.withColumn("idx", index).join(F.broadcast(pool.withColumnRenamed("parent_asin", "neg_asin")), "idx")
-    once = drawn.groupBy("user_id", "row_key", "pos", "neg_asin").agg(F.min("try").alias("try"))
-    met = (once.user_id == seen.user_id) & (once.neg_asin == seen.seen_asin) & (seen.first_pos <= once.pos)
-    fresh = once.join(seen, met, "left_anti")
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("try"))
-    return fresh.withColumn("nth", nth).where(F.col("nth") <= per_positive)
+def _place(n_pool: int, nth: Column, seed: int) -> Column:
+    """The pool number of a row's try."""
+    return F.floor(unit_hash("row_key", nth.cast("string"), seed=seed) * F.lit(n_pool)).cast("long")
+
+
+def _met(tried: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(user_id, pos, idx)`` of ``tried`` whose item the user has seen up to that row."""
+    same = (tried.user_id == seen.user_id) & (tried.idx == seen.idx) & (seen.first_pos <= tried.pos)
+    return tried.join(seen, same).select(tried.user_id, tried.pos, tried.idx)
 
 
 def draw_negatives(rows: DataFrame, pool: DataFrame, per_positive: int = PER_POSITIVE, seed: int = 0) -> DataFrame:
-    """``(user_id, row_key, pos, neg_asin, try, nth)``: up to ``per_positive`` items for each of the ``ordered`` rows.
+    """``(user_id, row_key, pos, neg_asin, nth)``: up to ``per_positive`` items for each of the ``ordered`` rows.
 
-    A first pass tries a few hashes a row; rows that are still short are tried again up to the bound of
-    ``max_tries``, after which fewer are accepted. ``rows`` is read more than once, so it had better be a table.
+    Most rows take their first ``per_positive`` different tries: only the numbers of these are looked up among
+    what the user has seen, and the few rows with a hit are listed. Those rows, and rows with too many equal tries,
+    are tried again up to the bound of ``max_tries``, after which fewer are accepted. ``rows`` is read more than
+    once, so it had better be a table.
     """
     pool = as_table(pool, "pool")
     n_pool = pool.count()
     if n_pool == 0:
-        return rows.select("user_id", "row_key", "pos", F.lit(None).cast("string").alias("neg_asin"), F.lit(0).alias("try"), F.lit(0).alias("nth")).limit(0)
-    seen = rows.groupBy("user_id", F.col("parent_asin").alias("seen_asin")).agg(F.min("pos").alias("first_pos"))
+        return rows.select("user_id", "row_key", "pos", F.lit(None).cast("string").alias("neg_asin"), F.lit(0).alias("nth")).limit(0)
+    names = pool.select("idx", F.col("parent_asin").alias("neg_asin"))  # the pool is bounded by its size parameter
+    seen = rows.groupBy("user_id", "parent_asin").agg(F.min("pos").alias("first_pos"))
+    seen = seen.join(F.broadcast(pool), "parent_asin").select("user_id", "idx", "first_pos")
     keyed = rows.select("user_id", "row_key", "pos")
-    first = as_table(_draw(keyed, pool, n_pool, seen, per_positive, per_positive + 3, seed), "first_draw")
-    enough = first.where(F.col("nth") == per_positive).select("row_key")
-    short = keyed.join(enough, "row_key", "left_anti")
-    again = _draw(short, pool, n_pool, seen, per_positive, max_tries(per_positive), seed)
-    return first.join(enough, "row_key", "left_semi").unionByName(again)
+    few = F.array_distinct(F.array(*[_place(n_pool, F.lit(k), seed) for k in range(per_positive + 3)]))
+    first = as_table(keyed.withColumn("tries", F.slice(few, 1, per_positive)), "first_tries")
+    tried = first.select("user_id", "pos", F.explode("tries").alias("idx"))
+    again = _met(tried, seen).select("user_id", "pos").union(first.where(F.size("tries") < per_positive).select("user_id", "pos"))
+    again = as_table(again.distinct(), "tried_again")
+    enough = first.join(again, ["user_id", "pos"], "left_anti").select("user_id", "row_key", "pos", F.posexplode("tries").alias("nth", "idx"))
+    short = keyed.join(again, ["user_id", "pos"], "left_semi").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(max_tries(per_positive) - 1))))
+    short = short.withColumn("idx", _place(n_pool, F.col("try"), seed)).groupBy("user_id", "row_key", "pos", "idx").agg(F.min("try").alias("try"))
+    short = as_table(short, "more_tries")
+    same = ["user_id", "pos", "idx"]
+    fresh = short.join(_met(short, seen), same, "left_anti")
+    nth = F.row_number().over(Window.partitionBy("user_id", "pos").orderBy("try")) - 1
+    fresh = fresh.withColumn("nth", nth).where(F.col("nth") < per_positive).select("user_id", "row_key", "pos", "nth", "idx")
+    return enough.unionByName(fresh).join(F.broadcast(names), "idx").select("user_id", "row_key", "pos", "neg_asin", (F.col("nth") + 1).alias("nth"))
 
 
 def negative_rows(drawn: DataFrame, positives: DataFrame, meta: DataFrame) -> DataFrame:
@@ -63,10 +75,10 @@ def negative_rows(drawn: DataFrame, positives: DataFrame, meta: DataFrame) -> Da
 
     ``meta`` must have one row an item; items without metadata are left out.
     """
-    kept = ["row_key", "sort_timestamp", "event_date", *[c for c in ("user_feat",) if c in positives.columns]]
+    kept = ["user_id", "pos", "sort_timestamp", "event_date", *[c for c in ("user_feat",) if c in positives.columns]]
     facts = meta.withColumnRenamed("parent_asin", "neg_asin")
     zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
-    return drawn.join(positives.select(*kept), "row_key").join(facts, "neg_asin").select(
-        "user_id", F.col("neg_asin").alias("parent_asin"), "row_key", "nth", *kept[1:], *[c for c in meta.columns if c != "parent_asin"],
+    return drawn.join(positives.select(*kept), ["user_id", "pos"]).join(facts, "neg_asin").select(
+        "user_id", F.col("neg_asin").alias("parent_asin"), "row_key", "nth", *kept[2:], *[c for c in meta.columns if c != "parent_asin"],
         zero("rating", "double"), zero("label_good", "int"), zero("label_best", "int"), zero("helpful_votes", "long"), F.lit(1).alias("is_neg"),
     )

@@ -1,13 +1,16 @@
 """What a user's past says at each of the user's rows: counts, shares, prices, last reviews.
 
 A row sees the rows of its user before it, in the order of timestamp (missing ones first), then row key.
-A user may hold a large part of all rows, so no window spans a whole user: rows are cut into blocks of
-time, windows run within (user, block), and what earlier blocks sum up to is carried in from a small
-table of block totals.
+A user may hold a large part of all rows, so no window spans a whole user. Positions are numbered within
+blocks of time, with the counts of earlier blocks carried in. With positions known, a user's rows are cut
+into chunks of equal length; one shuffle by (user, chunk) serves all parts of the profile, and what earlier
+chunks sum up to comes from a table that only users of more than one chunk are in.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,100 +18,149 @@ from ..functions.vectors import half_even
 
 HISTORY = 3
 BLOCK_MS = 90 * 24 * 3600 * 1000
+CHUNK = 128
+"""Rows of a user that are windowed together; at least ``HISTORY``."""
 UNKNOWN = "UNK"
 
 _PAST = (Window.unboundedPreceding, -1)
 _BIG = "decimal(38,0)"
+_CELL = ["user_id", "chunk"]
 
 
 def ordered(rows: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
-    """``rows`` with ``ts_key``, ``block`` and the user's running position ``pos`` from 1 up."""
+    """``rows`` with ``ts_key`` and the user's running position ``pos`` from 1 up.
+
+    Rows without a timestamp, which stand in the order of their keys, are cut into blocks by the key's first characters.
+    """
     keyed = rows.withColumn("ts_key", F.coalesce(F.col("sort_timestamp").cast("long"), F.lit(-1)))
-    keyed = keyed.withColumn("block", F.floor(F.col("ts_key") / block_ms))
-    before = carried(keyed, ["user_id"], {"n_before": F.count("*")})
-    local = Window.partitionBy("user_id", "block").orderBy("ts_key", "row_key")
-    return with_carry(keyed.withColumn("n_here", F.row_number().over(local)), before, ["user_id"]).withColumn(
-        "pos", F.col("n_here") + F.coalesce("n_before", F.lit(0))
-    ).drop("n_here", "n_before")
+    start = F.when(F.col("ts_key") == -1, F.substring("row_key", 1, 4)).otherwise("")
+    keyed = keyed.withColumn("_block", F.struct(F.floor(F.col("ts_key") / block_ms).alias("time"), start.alias("start")))
+    totals = keyed.groupBy("user_id", "_block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("user_id").orderBy("_block").rowsBetween(*_PAST)
+    before = totals.select("user_id", "_block", F.sum("n").over(earlier).alias("_before"))
+    local = Window.partitionBy("user_id", "_block").orderBy("ts_key", "row_key")
+    numbered = keyed.withColumn("_here", F.row_number().over(local)).join(before, ["user_id", "_block"], "left")
+    return numbered.withColumn("pos", F.col("_here") + F.coalesce("_before", F.lit(0))).select(*rows.columns, "ts_key", "pos")
 
 
-def carried(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
-    """For each group and block, the sums over the group's earlier blocks (null for the first)."""
-    totals = rows.groupBy(*by, "block").agg(*[c.alias(n) for n, c in sums.items()])
-    past = Window.partitionBy(*by).orderBy("block").rowsBetween(*_PAST)
-    return totals.select(*by, "block", *[F.sum(n).over(past).alias(n) for n in sums])
+def own_category() -> Column:
+    return F.coalesce(F.nullif(F.col("main_category"), F.lit("")), F.lit(UNKNOWN))
 
 
-def with_carry(rows: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(carry, [*by, "block"], "left")
+def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    return rows.withColumn("chunk", F.floor((F.col("pos") - 1) / chunk))
+
+
+def _earlier_prices(rows: DataFrame) -> DataFrame:
+    """Sums of prices over a user's earlier chunks, for all chunks but the first."""
+    cents = F.col("price_cents").cast(_BIG)
+    totals = rows.groupBy(*_CELL).agg(F.count("price_cents").alias("n"), F.sum(cents).alias("s"), F.sum((cents * cents).cast(_BIG)).alias("q"))
+    past = Window.partitionBy("user_id").orderBy("chunk").rowsBetween(*_PAST)
+    return totals.select(*_CELL, *[F.sum(c).over(past).alias(f"{c}_carry") for c in "nsq"]).where("chunk > 0")
 
 
-def numeric_profile(rows: DataFrame) -> DataFrame:
-    """``ordered`` rows with ``review_cnt``, ``price_mean`` and ``price_std`` of the user's past.
+def _earlier_categories(rows: DataFrame, chunk: int) -> DataFrame:
+    """``carried``: the categories of a user's earlier chunks with their counts, first seen first, for all chunks but the first.
 
-    Prices are whole cents (``price_cents``), so sums are exact in any order: the mean is null without a
-    price, the sample deviation 0 with fewer than two; both are rounded to 4 decimals, half to even.
+    A user's categories meet the user's chunks, not the rows, so the table is shorter than the histograms by the chunk's length.
     """
-    cents = F.col("price_cents").cast(_BIG)
-    sums = {"n_price": F.count("price_cents"), "s_price": F.sum(cents), "q_price": F.sum((cents * cents).cast(_BIG))}
-    here = Window.partitionBy("user_id", "block").orderBy("ts_key", "row_key").rowsBetween(*_PAST)
-    local = {"n_price": F.count("price_cents"), "s_price": F.sum(cents), "q_price": F.sum((cents * cents).cast(_BIG))}
-    now = rows.select("*", *[c.over(here).alias(f"{n}_here") for n, c in local.items()])
-    now = with_carry(now, carried(rows, ["user_id"], sums), ["user_id"])
-    n, s, q = (F.coalesce(F.col(f"{c}_here"), F.lit(0)).cast(_BIG) + F.coalesce(F.col(c), F.lit(0)).cast(_BIG) for c in sums)
-    n, s, q = n.cast("double"), s.cast("double"), q.cast("double")
-    spread = F.sqrt(F.greatest(F.lit(0.0), (n * q - s * s)) / (n * (n - 1)))
-    return now.select(
-        *rows.columns,
-        (F.col("pos") - 1).cast("long").alias("review_cnt"),
-        F.when(n > 0, half_even(s / F.nullif(n, F.lit(0.0)) / 100, 4)).alias("price_mean"),
-        F.when(n > 1, half_even(spread / 100, 4)).otherwise(0.0).alias("price_std"),
+    many = rows.where(F.col("pos") > chunk).select("user_id").distinct()
+    mine = rows.join(many, "user_id", "left_semi").withColumn("category", own_category())
+    totals = mine.groupBy(*_CELL, "category").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    seen = totals.groupBy("user_id", "category").agg(F.min("first").alias("first_pos"), F.min("chunk").alias("since"))
+    grid = totals.select(*_CELL).distinct().join(seen, "user_id").where("chunk >= since")
+    past = Window.partitionBy("user_id", "category").orderBy("chunk").rowsBetween(*_PAST)
+    running = grid.join(totals.drop("first"), [*_CELL, "category"], "left").withColumn("n", F.sum("n").over(past)).where("chunk > since")
+    entries = F.array_sort(F.collect_list(F.struct("first_pos", "category", "n")))
+    return running.groupBy(*_CELL).agg(F.transform(entries, lambda e: F.struct(e["category"].alias("category"), e["n"].alias("n"))).alias("carried"))
+
+
+def _counted(past: Column) -> Column:
+    """Different values of an array with their numbers, in the order of first sight."""
+    return F.transform(F.array_distinct(past), lambda c: F.struct(c.alias("category"), F.size(F.filter(past, lambda x: x == c)).cast("long").alias("n")))
+
+
+def _joined(carried: Column, here: Column) -> Column:
+    """Counts of earlier chunks and of this one."""
+    added = F.transform(
+        carried,
+        lambda e: F.struct(
+            e["category"].alias("category"),
+            (e["n"] + F.coalesce(F.get(F.filter(here, lambda h: h["category"] == e["category"]), F.lit(0))["n"], F.lit(0))).alias("n"),
+        ),
     )
+    new = F.filter(here, lambda h: ~F.exists(carried, lambda e: e["category"] == h["category"]))
+    return F.when(carried.isNull(), here).otherwise(F.concat(added, new))
 
 
-def history(rows: DataFrame, keep: int = HISTORY) -> DataFrame:
-    """``ordered`` rows with ``history``: title and text of the user's last reviews, oldest first."""
-    piece = F.struct(F.col("review_title").alias("title"), F.col("review_text").alias("text"))
-    order = Window.partitionBy("user_id", "block").orderBy("ts_key", "row_key")
-    backwards = Window.partitionBy("user_id", "block").orderBy(F.desc("ts_key"), F.desc("row_key"))
-    last = rows.select("user_id", "block", "pos", piece.alias("piece"), F.row_number().over(backwards).alias("back")).where(F.col("back") <= keep)
-    last = last.groupBy("user_id", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("tail"))
-    blocks = Window.partitionBy("user_id").orderBy("block").rowsBetween(-keep, -1)  # each block has a row, so this many do
-    before = last.select("user_id", "block", F.flatten(F.collect_list("tail").over(blocks)).alias("before"))
-    here = F.collect_list(F.struct("pos", piece.alias("piece"))).over(order.rowsBetween(-keep, -1))
-    now = with_carry(rows.withColumn("here", here), before, ["user_id"])
-    both = F.concat(F.coalesce("before", F.slice("here", 1, 0)), F.col("here"))
-    return now.select(*rows.columns, F.transform(F.slice(both, F.greatest(F.lit(1), F.size(both) - (keep - 1)), F.lit(keep)), lambda p: p["piece"]).alias("history"))
-
-
-def category_shares(rows: DataFrame) -> DataFrame:
-    """``(user_id, pos, first_pos, category, share)``: the past of each row by category, first seen first.
-
-    A row meets each category that its user has seen before it, so the result is as long as the
-    histograms themselves; a running sum over (user, category) counts the rows of the category.
+def with_past(rows: DataFrame, prices: bool = False, categories: bool = False, reviews: bool = False, keep: int = HISTORY, chunk: int = CHUNK) -> DataFrame:
+    """``ordered`` rows with the wanted parts of their past, all from one shuffle and sort.
+
+    ``prices``: ``review_cnt``, ``price_mean`` and ``price_std``. Prices are whole cents (``price_cents``), so sums
+    are exact in any order: the mean is null without a price, the sample deviation 0 with fewer than two; both
+    are rounded to 4 decimals, half to even. ``categories``: ``shares`` as ``array<struct<category,share>>``, first
+    seen first, empty for a user's first row. ``reviews``: ``history``, title and text of the last reviews, oldest first.
     """
-    rows = rows.select("user_id", "block", "pos", F.coalesce(F.nullif(F.col("main_category"), F.lit("")), F.lit(UNKNOWN)).alias("own"))
-    seen = rows.groupBy("user_id", F.col("own").alias("category")).agg(F.min("pos").alias("first_pos"))
-    met = rows.join(seen, "user_id").where("first_pos <= pos")
-    hit = (F.col("own") == F.col("category")).cast("long")
-    before = carried(met, ["user_id", "category"], {"n_before": F.sum(hit)})
-    here = Window.partitionBy("user_id", "category", "block").orderBy("pos").rowsBetween(*_PAST)
-    now = with_carry(met.withColumn("n_here", F.sum(hit).over(here)), before, ["user_id", "category"]).where("first_pos < pos")
-    count = F.coalesce("n_here", F.lit(0)) + F.coalesce("n_before", F.lit(0))
-    return now.select("user_id", "pos", "first_pos", "category", half_even(count / (F.col("pos") - 1), 4).alias("share"))
+    if chunk < keep:
+        raise ValueError("a chunk must not be shorter than the history")
+    now = _chunked(rows, chunk).withColumn("_lead", F.lit(False))
+    if reviews:  # the next chunk sees the last reviews of this one
+        last = _chunked(rows, chunk).where(F.pmod(F.col("pos") - 1, F.lit(chunk)) >= chunk - keep)
+        now = now.unionByName(last.withColumn("chunk", F.col("chunk") + 1).withColumn("_lead", F.lit(True)))
+    order = Window.partitionBy(*_CELL).orderBy("pos")
+    past, made = order.rowsBetween(*_PAST), []
+    cents = F.when(~F.col("_lead"), F.col("price_cents")).cast(_BIG)
+    if prices:
+        made += [F.count(cents).over(past).alias("n_here"), F.sum(cents).over(past).alias("s_here"), F.sum((cents * cents).cast(_BIG)).over(past).alias("q_here")]
+    if categories:
+        made.append(F.collect_list(F.when(~F.col("_lead"), own_category())).over(past).alias("seen_here"))
+    if reviews:
+        piece = F.struct(F.col("review_title").alias("title"), F.col("review_text").alias("text"))
+        made.append(F.collect_list(piece).over(order.rowsBetween(-keep, -1)).alias("history"))
+    now = now.select("*", *made).where(~F.col("_lead"))
+    bare, out = _chunked(rows, chunk), [*rows.columns]
+    if prices:
+        now = now.join(_earlier_prices(bare.select(*_CELL, "price_cents")), _CELL, "left")
+        n, s, q = (F.coalesce(F.col(f"{c}_here"), F.lit(0)).cast(_BIG) + F.coalesce(F.col(f"{c}_carry"), F.lit(0)).cast(_BIG) for c in "nsq")
+        n, s, q = n.cast("double"), s.cast("double"), q.cast("double")
+        spread = F.sqrt(F.greatest(F.lit(0.0), (n * q - s * s)) / (n * (n - 1)))
+        out += [
+            (F.col("pos") - 1).cast("long").alias("review_cnt"),
+            F.when(n > 0, half_even(s / F.nullif(n, F.lit(0.0)) / 100, 4)).alias("price_mean"),
+            F.when(n > 1, half_even(spread / 100, 4)).otherwise(0.0).alias("price_std"),
+        ]
+    if categories:
+        now = now.join(_earlier_categories(bare.select(*_CELL, "pos", "main_category"), chunk), _CELL, "left")
+        now = now.withColumn("counts", _counted(F.col("seen_here")))
+        before = F.col("pos") - 1
+        out.append(
+            F.transform(
+                _joined(F.col("carried"), F.col("counts")),
+                lambda e: F.struct(e["category"].alias("category"), half_even(e["n"] / before, 4).alias("share")),
+            ).alias("shares")
+        )
+    if reviews:
+        out.append("history")
+    return now.select(*out)
+
+
+def numeric_profile(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``ordered`` rows with ``review_cnt``, ``price_mean`` and ``price_std`` of the user's past."""
+    return with_past(rows, prices=True, chunk=chunk)
+
+
+def history(rows: DataFrame, keep: int = HISTORY, chunk: int = CHUNK) -> DataFrame:
+    """``ordered`` rows with ``history``: title and text of the user's last reviews, oldest first."""
+    return with_past(rows, reviews=True, keep=keep, chunk=chunk)
 
 
-def category_histogram(rows: DataFrame) -> DataFrame:
-    """``(user_id, pos, cat_hist)``: the shares as a map in the order of first sight; rows without a past have none."""
-    entries = F.array_sort(F.collect_list(F.struct("first_pos", "category", "share")))
-    grouped = category_shares(rows).groupBy("user_id", "pos").agg(entries.alias("e"))
-    return grouped.select("user_id", "pos", F.map_from_entries(F.transform("e", lambda e: F.struct(e["category"], e["share"]))).alias("cat_hist"))
+def category_shares(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``ordered`` rows with ``shares``: the past of each row by category, first seen first; empty for a user's first row."""
+    return with_past(rows, categories=True, chunk=chunk)
 
 
-def user_features(rows: DataFrame) -> DataFrame:
+def user_features(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``ordered`` rows with ``user_feat``; a user's first row has an empty map, 0, null, 0.0 and no history."""
-    full = history(numeric_profile(rows)).join(category_histogram(rows), ["user_id", "pos"], "left")
-    feat = F.struct(
-        F.coalesce("cat_hist", F.create_map().cast("map<string,double>")).alias("cat_hist"), "review_cnt", "price_mean", "price_std", "history"
-    )
+    full = with_past(rows, prices=True, categories=True, reviews=True, chunk=chunk)
+    feat = F.struct(F.map_from_entries("shares").alias("cat_hist"), "review_cnt", "price_mean", "price_std", "history")
     return full.select(*rows.columns, feat.alias("user_feat"))

@@ -15,8 +15,7 @@ def shuffle_key(key: str, epoch: int, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(epoch)), F.lit(str(seed))).cast("binary"))
 
 
-def shuffled(df: DataFrame, key: str, epoch: int, seed: int = 0, parts: int | None = None) -> DataFrame:
-    """Rows in a new order for each epoch: dealt over parts by hash, ordered by another hash within each."""
-    order = shuffle_key(key, epoch, seed)
-    dealt = df.repartition(parts, order) if parts else df.repartition(order)
-    return dealt.sortWithinPartitions(order)
+def shuffled(df: DataFrame, key: str, epoch: int, seed: int = 0, parts: int = 8) -> DataFrame:
+    """Rows in a new order for each epoch, with ``part``: each worker's rows lie together, ordered by another hash."""
+    dealt = df.withColumn("part", worker_of(key, parts)).repartition(parts, "part")
+    return dealt.sortWithinPartitions("part", shuffle_key(key, epoch, seed))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import chunks, image, text, vectors
 from ..operators import assemble, evaluate, sampling
@@ -15,7 +14,7 @@ from ..streaming import profile as streams
 from ..tables import as_table, shared_folder
 from . import adapters as a
 
-GATE = [[0.5 if (i + e) % 2 else -0.25 for i in range(8)] for e in range(3)]
+GATE = [[0.5 if (i + e) % 2 else -0.25 * e for i in range(16)] for e in range(4)]
 GATE_SQL = str(GATE)
 
 
@@ -71,33 +70,53 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = evaluate.contrastive_loss(_pairs(spark, sf_dir), "batch", "vec_id", "embedding", "partner")
-    total = evaluate.weighted_loss([F.col("loss")], [F.col("loss"), F.col("loss")])
-    return made.select("batch", "n", F.round("loss", 6).alias("loss"), F.round(total, 6).alias("total"))
-
-
-CONTRASTIVE_SQL = """with v as (select vec_id, vec_id // 20 batch, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
+    """Both directions' losses in each batch, and their weighted sum with the log losses of the pairs' two signs."""
+    pairs = as_table(_pairs(spark, sf_dir), "pairs")
+    there, back = (evaluate.contrastive_loss(pairs, "batch", "vec_id", *sides) for sides in (("embedding", "partner"), ("partner", "embedding")))
+    score = vectors.dot(F.col("embedding"), F.col("partner"))
+    tasks = pairs.groupBy("batch").agg(F.avg(F.log1p(F.exp(-score))).alias("t0"), F.avg(F.log1p(F.exp(score))).alias("t1"))
+    rows = there.join(back.select("batch", F.col("loss").alias("back")), "batch").join(tasks, "batch")
+    total = evaluate.weighted_loss([F.col("t0"), F.col("t1")], [F.col("loss"), F.col("back")])
+    return rows.select("batch", "n", F.round("loss", 6).alias("loss"), F.round("back", 6).alias("back"), F.round(total, 6).alias("total"))
+
+
+_LOSS = """{name}r as (select batch, {i} k, max(s) top, max(s) filter (where i = j) own from s group by 1, 2),
+{name}e as (select s.batch, {i} k, ln(sum(exp(s - top))) + any_value(top) - any_value(own) l from s join {name}r on {name}r.batch = s.batch and {name}r.k = {i} group by 1, 2),
+{name} as (select batch, count(*) n, avg(l) l from {name}e group by 1)"""
+CONTRASTIVE_SQL = f"""with v as (select vec_id, vec_id // 20 batch, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
 p as (select v.vec_id, v.batch, v.e l, w.e r from v join v w on w.vec_id = v.vec_id + 1 where (v.vec_id + 1) % 20 <> 0),
 s as (select x.batch, x.vec_id i, y.vec_id j, list_cosine_similarity(x.l, y.r) / 0.07 s from p x join p y on x.batch = y.batch),
-r as (select batch, i, max(s) top, max(s) filter (where i = j) own from s group by 1, 2),
-e as (select batch, i, ln(sum(exp(s - top))) + any_value(top) - any_value(own) l from s join r using (batch, i) group by 1, 2)
-select batch, count(*) n, round(avg(l), 6) loss, round(avg(l) + 0.1 * avg(l) + 0.1 * avg(l), 6) total from e group by batch"""
+{_LOSS.format(name="there", i="i")}, {_LOSS.format(name="back", i="j")},
+t as (select batch, avg(ln(1 + exp(-list_dot_product(l, r)))) t0, avg(ln(1 + exp(list_dot_product(l, r)))) t1 from p group by 1)
+select there.batch, there.n, round(there.l, 6) loss, round(back.l, 6) back, round(t0 + t1 + 0.1 * there.l + 0.1 * back.l, 6) total from there join back using (batch) join t using (batch)"""
+
+
+def capped_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact AUC of the first three batches of 64 labelled documents: evaluation may be capped."""
+    rows = evaluate.first_batches(_labelled(spark, sf_dir), "doc_id", 3, 64)
+    return evaluate.auc(rows, "n_chars", "quality").select(F.round("auc", 9).alias("auc"), "positives", "negatives")
+
+
+CAPPED_AUC_SQL = """with r as (select n_chars score, quality y from labels join documents using (doc_id) order by doc_id limit 192),
+g as (select score, cast(count(*) filter (where y = 1) as double) p, cast(count(*) filter (where y <> 1) as double) n from r where score is not null and y is not null group by 1)
+select round(sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0), 9) auc, cast(sum(p) as bigint) positives, cast(sum(n) as bigint) negatives
+from (select *, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) below from g)"""
 
 
 def gate_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three experts of eight values from each vector, mixed by softmax weights of their mean."""
-    experts = F.array(*[F.slice("embedding", 1 + 8 * e, 8) for e in range(3)])
+    """Four experts of 16 values, all of each vector, mixed by softmax weights of their mean."""
+    experts = F.array(*[F.slice("embedding", 1 + 16 * e, 16) for e in range(4)])
     rows = a.table(spark, sf_dir, "embeddings").select("vec_id", experts.alias("experts"))
     rows = rows.withColumn("w", vectors.gate(F.col("experts"), GATE))
     fused = vectors.fuse(F.col("experts"), F.col("w"))
     return rows.select("vec_id", F.round(F.get("w", F.lit(0)), 6).alias("first_weight"), F.round(vectors.total(fused), 6).alias("fused_sum"))
 
 
-GATE_FUSION_SQL = f"""with e as (select vec_id, [embedding[1:8], embedding[9:16], embedding[17:24]] x from embeddings),
-q as (select vec_id, x, [(cast(x[1][i] as double) + x[2][i] + x[3][i]) / 3 for i in range(1, 9)] m from e),
+GATE_FUSION_SQL = f"""with e as (select vec_id, [[cast(v as double) for v in embedding[1 + 16 * k : 16 + 16 * k]] for k in range(4)] x from embeddings),
+q as (select vec_id, x, [(x[1][i] + x[2][i] + x[3][i] + x[4][i]) / 4 for i in range(1, 17)] m from e),
 s as (select vec_id, x, [list_dot_product(m, cast(w as double[])) for w in {GATE_SQL}] s from q),
 w as (select vec_id, x, [exp(v) / list_sum([exp(u) for u in s]) for v in s] w from s)
-select vec_id, round(w[1], 6) first_weight, round(list_sum([cast(v as double) for v in x[1]]) * w[1] + list_sum([cast(v as double) for v in x[2]]) * w[2] + list_sum([cast(v as double) for v in x[3]]) * w[3], 6) fused_sum from w"""
+select vec_id, round(w[1], 6) first_weight, round(list_sum([list_sum(x[k]) * w[k] for k in range(1, 5)]), 6) fused_sum from w"""
 
 
 def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +150,12 @@ FINITE_VECTORS_SQL = "select vec_id, len(embedding) n from embeddings where vec_
 
 
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents: their lengths, and the places of their sentence marks cut or filled to 64."""
     docs = a.table(spark, sf_dir, "documents")
     made = docs.select("doc_id", chunks.sentence_chunks(text.sentences(F.col("text"))).alias("c"))
     one = made.select("doc_id", F.posexplode("c").alias("chunk", "x"))
-    return one.select("doc_id", "chunk", F.size("x.ids").alias("n_ids"), F.size("x.marks").alias("n_sentences"), chunks.padded(F.col("x.marks"), 64, -1).alias("marks"))
+    marks = F.array_join(F.transform(chunks.padded(F.col("x.marks"), 64, -1), lambda m: m.cast("string")), ",")
+    return one.select("doc_id", "chunk", F.size("x.ids").alias("n_ids"), F.size("x.marks").alias("n_sentences"), marks.alias("marks"))
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +168,29 @@ SENTENCE_COUNTS_SQL = r"""select doc_id, len(s) n, coalesce(length(array_to_stri
     select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]+)\s+|([。！？]+)\s*|\s*\n\s*', '\1\2' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') s
     from documents)"""
 
+_SENTENCES = SENTENCE_COUNTS_SQL[SENTENCE_COUNTS_SQL.index("from (") + 6 : -1]
+SENTENCE_CHUNKS_SQL = rf"""with recursive t as (
+    select doc_id, list_transform(s, lambda x: 1 + least(len(regexp_extract_all(x, '[^\s\p{{Z}}]+')), 381)) n from ({_SENTENCES}) where len(s) > 0),
+r as (select doc_id, 1 i, 0 chunk, n[1] used from t
+      union all
+      select r.doc_id, i + 1, case when used + n[i + 1] > 382 then chunk + 1 else chunk end, case when used + n[i + 1] > 382 then n[i + 1] else used + n[i + 1] end
+      from r join t on t.doc_id = r.doc_id where i < len(n) and not (chunk = 3 and used + n[i + 1] > 382)),
+p as (select r.doc_id, chunk, used, used - n[i] + 1 as place from r join t on t.doc_id = r.doc_id),
+g as (select doc_id, chunk, cast(max(used) + 2 as int) n_ids, cast(count(*) as int) n_sentences, list(place order by place) m from p group by 1, 2)
+select doc_id, cast(chunk as int) chunk, n_ids, n_sentences, array_to_string(list_resize(m, 64, -1), ',') marks from g"""
+
+
+def vocabulary_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids drawn from all vectors: those past a vocabulary of 60 become padding, and the list is filled to 80."""
+    ids = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
+    kept = chunks.padded(chunks.within_vocabulary(ids, 60), 80, 0)
+    rows = a.table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"), kept.alias("kept"))
+    return rows.select("vec_id", F.array_join(F.transform("kept", lambda i: i.cast("string")), ",").alias("kept"), F.size(F.filter("ids", lambda i: i >= 60)).cast("long").alias("n_past"))
+
+
+VOCABULARY_SQL = """with i as (select vec_id, [cast(floor(abs(cast(x as double)) * 100) as int) for x in embedding] ids from embeddings)
+select vec_id, array_to_string(list_resize([case when v < 60 then v else 0 end for v in ids], 80, 0), ',') kept, len([v for v in ids if v >= 60]) n_past from i"""
+
 
 def patch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels drawn from every vector, cut into patches and put together again, must be what they were."""
@@ -155,10 +199,46 @@ def patch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("vec_id", (F.col("pixels") == F.col("back")).alias("same"), F.octet_length("patch").alias("n_bytes"))
 
 
+PATCH_ROUNDTRIP_SQL = "select vec_id, true same, cast(3 * 224 * 224 as int) n_bytes from embeddings"
+
+
+def _digest(vector):
+    return F.sha2(F.concat_ws(",", F.transform(vector, lambda x: F.floor(x.cast("double") * 1000).cast("string"))), 256)
+
+
+_DIGEST_SQL = "sha256(array_to_string([cast(cast(floor(cast(x as double) * 1000) as bigint) as varchar) for x in embedding], ','))"
+
+
 def _drawn_pixels(vector):
     """(3, 224, 224) bytes: the vector's digest, repeated."""
-    seed = F.unhex(F.sha2(F.concat_ws(",", F.transform(vector, lambda x: x.cast("string"))), 512))
-    return F.unhex(F.repeat(F.hex(seed), 3 * 224 * 224 // 64))
+    return F.unhex(F.repeat(_digest(vector), 3 * 224 * 224 // 32))
+
+
+def pixel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised pixel values of patches drawn from every vector (every fifth has none): their number, and one of each channel."""
+    patch = F.when(F.col("vec_id") % 5 != 0, image.patchify(_drawn_pixels(F.col("embedding"))))
+    rows = a.table(spark, sf_dir, "embeddings").select("vec_id", image.pixel_values(patch).alias("x"))
+    picked = [F.round(F.get("x", F.lit(c * 224 * 224 + 7 * c + 5)).cast("double"), 4).alias(f"value_{c}") for c in range(3)]
+    return rows.select("vec_id", F.size("x").cast("long").alias("n"), *picked)
+
+
+_CHANNEL = "case when vec_id % 5 = 0 then 0.0 else round((cast(('0x' || substr(h, {at}, 2)) as int) / 255 - {mean}) / {std}, 4) end value_{c}"
+PIXEL_VALUES_SQL = f"""with d as (select vec_id, {_DIGEST_SQL} h from embeddings)
+select vec_id, cast(3 * 224 * 224 as bigint) n, {", ".join(_CHANNEL.format(at=2 * (7 * c + 5) + 1, mean=m, std=s, c=c) for c, (m, s) in enumerate(zip(image.MEAN, image.STD)))} from d"""
+
+
+def image_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain images of a colour drawn from every vector, resized, cropped and cut: the first patch has its three channels in turn."""
+    byte = lambda k: F.substring(_digest(F.col("embedding")), 1 + 2 * k, 2)
+    rows = a.table(spark, sf_dir, "embeddings").withColumn("h", (F.col("vec_id") % 40 + 10).cast("int")).withColumn("w", (F.col("vec_id") % 23 + 12).cast("int"))
+    bgr = F.unhex(F.repeat(F.concat(byte(0), byte(1), byte(2)), F.col("h") * F.col("w")))
+    made = rows.select("vec_id", image.image_patches(F.when(F.col("vec_id") % 6 != 0, bgr), "h", "w").alias("p"))
+    at = lambda k: F.lower(F.hex(F.substring("p", 1 + 256 * k, 1)))
+    return made.select("vec_id", F.octet_length("p").alias("n_bytes"), F.concat(at(2), at(1), at(0)).alias("bgr"))
+
+
+IMAGE_COLOURS_SQL = f"""select vec_id, case when vec_id % 6 <> 0 then cast(3 * 224 * 224 as int) end n_bytes, case when vec_id % 6 <> 0 then substr({_DIGEST_SQL}, 1, 6) end bgr
+from embeddings"""
 
 
 def _folder(spark: SparkSession) -> str:
@@ -168,7 +248,7 @@ def _folder(spark: SparkSession) -> str:
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of all positives, written as tar shards and read back."""
     rows = a.positives(spark, sf_dir).select(
-        assemble.sample_key(F.col("user_id"), F.col("parent_asin"), F.col("row_key")).alias("key"), F.col("review_text").alias("user_text"),
+        F.concat(assemble.sample_key(F.col("user_id"), F.col("parent_asin"), F.col("row_key")), F.lit(".a/%")).alias("key"), F.col("review_text").alias("user_text"),
         F.col("product_title").alias("item_text"), F.md5("row_key").cast("binary").alias("patch"), F.array(F.lit(32)).alias("shape"),
         F.lit(1).alias("has_image"), "label_good", "label_best",
     )
@@ -176,11 +256,16 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     rows.write.format("tar_shards").option("path", path).mode("append").save()
     back = assemble.valid(spark.read.format("tar_shards").option("path", path).load())
-    return back.groupBy("label_good", "label_best").agg(F.count("*").alias("n"), F.countDistinct("patch").alias("patches"), F.sum(F.length("user_text")).alias("chars"))
+    return back.groupBy("label_good", "label_best").agg(
+        F.count("*").alias("n"), F.countDistinct("patch").alias("patches"), F.sum(F.length("user_text")).alias("chars"),
+        F.min("key").alias("least_key"), F.max("key").alias("last_key"), F.countDistinct("key").alias("keys"),
+    )
 
 
 SHARD_SQL = f"""with {a.POSITIVES_SQL}
-select label_good, label_best, count(*) n, count(distinct md5(row_key)) patches, cast(sum(length(review_text)) as bigint) chars from positives group by 1, 2"""
+select label_good, label_best, count(*) n, count(distinct md5(row_key)) patches, cast(sum(length(review_text)) as bigint) chars,
+       min(k) least_key, max(k) last_key, count(distinct k) keys
+from (select *, concat_ws('-', user_id, parent_asin, substr(md5(row_key), 1, 6)) || '.a/%' k from positives) group by 1, 2"""
 
 
 def predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,16 +291,22 @@ WORKER_SQL = "select event_id, cast(('0x' || substr(md5(cast(event_id as varchar
 
 
 def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events dealt over eight parts in the order of epoch 3; the place within a part follows the hash."""
+    """Events dealt to eight workers in the order of epoch 3: the place of each among its worker's rows, as they lie."""
     rows = a.table(spark, sf_dir, "events").select("event_id", sampling.shuffle_key("event_id", 3).alias("place"))
-    return sampling.shuffled(rows, "event_id", 3, parts=8)
+    lies = sampling.shuffled(rows, "event_id", 3, parts=8).withColumn("at", F.monotonically_increasing_id())
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return lies.select("event_id", "place", F.col("part").cast("long").alias("part"), nth.cast("long").alias("nth"))
 
 
-SHUFFLE_SQL = "select event_id, md5(concat_ws('|', cast(event_id as varchar), '3', '0')) place from events"
+SHUFFLE_SQL = """with e as (select event_id, md5(concat_ws('|', cast(event_id as varchar), '3', '0')) place from events),
+p as (select *, cast(('0x' || substr(md5(cast(event_id as varchar)), 1, 8))::ubigint % 8 as bigint) part from e)
+select event_id, place, part, row_number() over (partition by part order by place) nth from p"""
 
 
 def two_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two class-weighted regressions on the numeric profile, and the exact AUC of each."""
+    """Two class-weighted regressions on the numeric profile, and the exact AUC of each, held against Spark ML's."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
     from ..operators import profile
 
     rows = profile.numeric_profile(a.ordered(spark, sf_dir)).select(
@@ -223,10 +314,19 @@ def two_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "price_std", F.coalesce(F.col("price_cents") / 100, F.lit(0.0)).alias("price"),
     )
     scored = as_table(evaluate.fit_two_tasks(as_table(rows, "features"), ["cnt", "mean", "price_std", "price"], rounds=5), "scored")
-    made = [evaluate.auc(scored, f"prob_{t}", f"label_{t}").select(F.lit(t).alias("task"), "auc", "positives", "negatives") for t in ("good", "best")]
+    made = []
+    for t in ("good", "best"):
+        found = evaluate.auc(scored, f"prob_{t}", f"label_{t}")
+        other = BinaryClassificationEvaluator(rawPredictionCol=f"prob_{t}", labelCol=f"label_{t}", numBins=0).evaluate(scored)
+        made.append(found.select(F.lit(t).alias("task"), "positives", "negatives", (F.abs(F.col("auc") - other) < 1e-9).alias("auc_is_exact"), (F.col("auc") >= 0.5).alias("above_chance")))
     return made[0].unionByName(made[1])
 
 
+TWO_TASK_SQL = f"""with {a.POSITIVES_SQL}
+select t.task, cast(sum(y) as bigint) positives, cast(sum(1 - y) as bigint) negatives, true auc_is_exact, true above_chance
+from (select 'good' task, label_good y from positives union all select 'best', label_best from positives) t group by 1"""
+
+
 def network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector scored by a small two-headed network in Arrow batches."""
 
@@ -237,11 +337,8 @@ def network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lambda x: x @ w
 
     rows = a.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    from pyspark.ml.functions import predict_batch_udf
-
-    predict = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=1024, input_tensor_shapes=[[64]])
-    scored = rows.withColumn("y", predict("embedding"))
-    return scored.select("vec_id", *[F.round(vectors.sigmoid(F.get("y", F.lit(i)).cast("double")), 4).alias(n) for i, n in enumerate(("prob_good", "prob_best"))])
+    scored = evaluate.score_batches(rows, make, ["embedding"], shapes=[[64]])
+    return scored.select("vec_id", F.round("prob_good", 4).alias("prob_good"), F.round("prob_best", 4).alias("prob_best"))
 
 
 NETWORK_SQL = """with w as (select vec_id, [cast(x as double) for x in embedding] e from embeddings)
@@ -295,9 +392,9 @@ from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from
 QUERIES = {
     "auc_two_task": (auc_two_task, AUC_SQL), "roc_points": (roc_points, ROC_SQL), "vector_stats": (vector_stats, VECTOR_STATS_SQL), "mean_pool": (mean_pool, MEAN_POOL_SQL),
     "contrastive_loss": (contrastive_loss, CONTRASTIVE_SQL), "gate_fusion": (gate_fusion, GATE_FUSION_SQL), "metric_rollup": (metric_rollup, METRIC_ROLLUP_SQL),
-    "safe_values": (safe_values, SAFE_VALUES_SQL), "finite_vectors": (finite_vectors, FINITE_VECTORS_SQL), "sentence_chunks": (sentence_chunks, None),
-    "sentence_counts": (sentence_counts, SENTENCE_COUNTS_SQL), "patch_roundtrip": (patch_roundtrip, None), "shard_roundtrip": (shard_roundtrip, SHARD_SQL),
+    "safe_values": (safe_values, SAFE_VALUES_SQL), "finite_vectors": (finite_vectors, FINITE_VECTORS_SQL), "sentence_chunks": (sentence_chunks, SENTENCE_CHUNKS_SQL), "vocabulary_guard": (vocabulary_guard, VOCABULARY_SQL),
+    "sentence_counts": (sentence_counts, SENTENCE_COUNTS_SQL), "patch_roundtrip": (patch_roundtrip, PATCH_ROUNDTRIP_SQL), "pixel_values": (pixel_values, PIXEL_VALUES_SQL), "image_colours": (image_colours, IMAGE_COLOURS_SQL), "shard_roundtrip": (shard_roundtrip, SHARD_SQL),
     "predictions_csv": (predictions_csv, PREDICTIONS_SQL), "worker_split": (worker_split, WORKER_SQL), "shuffle_order": (shuffle_order, SHUFFLE_SQL),
-    "two_task_scores": (two_task_scores, None), "network_scores": (network_scores, NETWORK_SQL), "stream_profile": (stream_profile, STREAM_PROFILE_SQL),
+    "two_task_scores": (two_task_scores, TWO_TASK_SQL), "capped_auc": (capped_auc, CAPPED_AUC_SQL), "network_scores": (network_scores, NETWORK_SQL), "stream_profile": (stream_profile, STREAM_PROFILE_SQL),
     "stream_enrich": (stream_enrich, STREAM_ENRICH_SQL), "stream_window_counts": (stream_window_counts, STREAM_WINDOW_SQL),
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import assemble, enrich, evaluate, negatives, profile, split
-from ..sources import ingest, patches
+from ..sources import ingest
+from ..tables import as_table
 from . import adapters as a
 
 SEED = 7
@@ -49,10 +50,12 @@ from w"""
 
 
 def profile_cat_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = profile.category_shares(a.ordered(spark, sf_dir))
-    entry = F.struct("first_pos", F.concat_ws(":", "category", F.format_string("%.4f", "share")).alias("e"))
-    grouped = shares.groupBy("user_id", "pos").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    return grouped.select("user_id", F.col("pos").cast("long").alias("pos"), F.array_join(F.transform("all", lambda x: x["e"]), ";").alias("cat_hist"))
+    rows = profile.category_shares(a.ordered(spark, sf_dir)).where("pos > 1")
+    return rows.select("user_id", F.col("pos").cast("long").alias("pos"), _shares_text(F.col("shares"), "category", "share").alias("cat_hist"))
+
+
+def _shares_text(entries, name: str, value: str):
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e[name], F.format_string("%.4f", e[value]))), ";")
 
 
 PROFILE_CAT_HIST_SQL = f"""with {a.ORDERED_SQL}, o as (select user_id, pos, coalesce(nullif(main_category, ''), 'UNK') own from ordered),
@@ -76,18 +79,26 @@ from ordered"""
 
 
 def user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole profile struct of each row, as one JSON text."""
+    """The whole profile struct of each row, read from the struct field by field."""
     rows = profile.user_features(a.ordered(spark, sf_dir))
-    return rows.select("user_id", "row_key", F.to_json("user_feat", {"ignoreNullFields": "false"}).alias("user_feat"))
+    return rows.select(
+        "user_id", "row_key", _shares_text(F.map_entries("user_feat.cat_hist"), "key", "value").alias("cat_hist"), "user_feat.review_cnt", "user_feat.price_mean",
+        "user_feat.price_std", F.array_join(F.transform("user_feat.history", lambda h: F.concat_ws("/", h["title"], h["text"])), ";").alias("history"),
+    )
+
+
+USER_FEATURES_SQL = f"""with num as ({PROFILE_NUMERIC_SQL}), hist as ({PROFILE_HISTORY_SQL}), cat as ({PROFILE_CAT_HIST_SQL})
+select num.user_id, row_key, coalesce(cat.cat_hist, '') cat_hist, review_cnt, price_mean, price_std, history
+from num join hist using (user_id, row_key) left join cat on cat.user_id = num.user_id and cat.pos = num.review_cnt + 1"""
 
 
 def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return negatives.candidate_pool(a.meta(spark, sf_dir), size=1000, seed=SEED)
+    return negatives.candidate_pool(a.meta(spark, sf_dir), seed=SEED)
 
 
 POOL_SQL = f"""pool as (
     select row_number() over (order by h, parent_asin) - 1 as idx, parent_asin
-    from (select distinct parent_asin, md5(concat_ws('|', parent_asin, '{SEED}')) h from meta) order by h, parent_asin limit 1000)"""
+    from (select distinct parent_asin, md5(concat_ws('|', parent_asin, '{SEED}')) h from meta) order by h, parent_asin limit {negatives.POOL})"""
 
 CANDIDATE_POOL_SQL = f"with {a.META_SQL}, {POOL_SQL} select idx, parent_asin from pool"
 
@@ -102,13 +113,21 @@ def draw_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("user_id", "row_key", "neg_asin", F.col("nth").cast("long").alias("nth"))
 
 
-NEGATIVES_SQL = f"""{a.ORDERED_SQL}, {POOL_SQL}, tried as (
-    select user_id, row_key, pos, unnest(range(24)) as try from ordered),
-placed as (select *, cast(floor(('0x' || substr(md5(concat_ws('|', row_key, cast(try as varchar), '{SEED}')), 1, 8))::ubigint / 4294967296.0 * (select count(*) from pool)) as bigint) idx from tried),
-once as (select user_id, row_key, pos, parent_asin as neg_asin, min(try) as try from placed join pool using (idx) group by all),
-seen as (select user_id, parent_asin as neg_asin, min(pos) as first_pos from ordered group by all),
-fresh as (select o.* from once o left join seen s on o.user_id = s.user_id and o.neg_asin = s.neg_asin and s.first_pos <= o.pos where s.user_id is null),
-drawn as (select user_id, row_key, pos, neg_asin, nth from (select *, row_number() over (partition by row_key order by try) as nth from fresh) where nth <= 5)"""
+def _tries_sql(name: str, source: str, tries: int) -> str:
+    """A common table expression: the first five fresh items of each row of ``source`` within so many tries."""
+    return f"""{name} as (select user_id, row_key, pos, neg_asin, nth from (
+    select o.*, row_number() over (partition by o.row_key order by o.try) as nth
+    from (select user_id, row_key, pos, parent_asin as neg_asin, min(try) as try
+          from (select user_id, row_key, pos, try, cast(floor(('0x' || substr(md5(concat_ws('|', row_key, cast(try as varchar), '{SEED}')), 1, 8))::ubigint / 4294967296.0 * (select count(*) from pool)) as bigint) idx
+                from (select user_id, row_key, pos, unnest(range({tries})) as try from {source})) join pool using (idx) group by all) o
+    left join seen s on o.user_id = s.user_id and o.neg_asin = s.neg_asin and s.first_pos <= o.pos where s.user_id is null) where nth <= 5)"""
+
+
+NEGATIVES_SQL = f"""{a.ORDERED_SQL}, {POOL_SQL}, seen as (select user_id, parent_asin as neg_asin, min(pos) as first_pos from ordered group by all),
+{_tries_sql("few", "ordered", 24)},
+short as (select user_id, row_key, pos from ordered where row_key not in (select row_key from few where nth = 5)),
+{_tries_sql("many", "short", negatives.max_tries(negatives.PER_POSITIVE))},
+drawn as (select * from few where row_key not in (select row_key from short) union all select * from many)"""
 
 DRAW_NEGATIVES_SQL = f"with {NEGATIVES_SQL} select user_id, row_key, neg_asin, nth from drawn"
 
@@ -117,7 +136,25 @@ def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, drawn = _drawn(spark, sf_dir)
     facts = enrich.least_row(a.meta(spark, sf_dir), "parent_asin").select("parent_asin", "main_category", "product_title", "price_cents")
     negs = negatives.negative_rows(drawn, rows, facts)
-    return split.split_rows(rows.withColumn("nth", F.lit(0)).drop("price", "ts_key", "block", "pos"), negs, a.TRAIN_END, a.VALID_END)
+    return split.split_rows(rows.withColumn("nth", F.lit(0)).drop("price", "ts_key", "pos"), negs, a.TRAIN_END, a.VALID_END)
+
+
+def negative_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives with their positive's time and its past-only profile."""
+    rows = as_table(profile.user_features(a.ordered(spark, sf_dir)), "featured")
+    facts = enrich.least_row(a.meta(spark, sf_dir), "parent_asin").select("parent_asin", "main_category")
+    negs = negatives.negative_rows(negatives.draw_negatives(rows, candidate_pool(spark, sf_dir), seed=SEED), rows, facts)
+    return negs.groupBy("user_id", "event_date").agg(
+        F.count("*").alias("n"), F.sum("user_feat.review_cnt").alias("reviews"), F.sum(F.size("user_feat.cat_hist")).alias("categories"),
+        F.sum(F.size("user_feat.history")).alias("history"), F.sum(F.round(F.col("user_feat.price_std") * 10_000).cast("long")).alias("std_sum"), F.sum("label_good").alias("good"),
+    )
+
+
+NEGATIVE_PROFILES_SQL = f"""with num as ({PROFILE_NUMERIC_SQL}), cat as ({PROFILE_CAT_HIST_SQL}), {NEGATIVES_SQL}
+select d.user_id, o.event_date, count(*) n, cast(sum(num.review_cnt) as bigint) reviews, cast(sum(case when cat.cat_hist is null then 0 else len(string_split(cat.cat_hist, ';')) end) as bigint) categories,
+       cast(sum(least(num.review_cnt, 3)) as bigint) history, cast(sum(round(num.price_std * 10000)) as bigint) std_sum, cast(0 as bigint) good
+from drawn d join meta m on m.parent_asin = d.neg_asin join ordered o on o.row_key = d.row_key join num on num.row_key = d.row_key
+left join cat on cat.user_id = o.user_id and cat.pos = o.pos group by 1, 2"""
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,13 +205,6 @@ select task, cast(count(*) filter (where label <> 1) as bigint) negatives, cast(
 from (select 'label_good' task, label_good as label from positives union all select 'label_best', label_best from positives) group by task"""
 
 
-def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.urls(spark, sf_dir)
-
-
-IMAGE_URLS_SQL = f"with {a.META_SQL} select parent_asin, url, main_category from meta"
-
-
 def meta_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products written as raw JSON lines in both image layouts, with broken lines, and parsed again."""
     part = a.table(spark, sf_dir, "part")
@@ -284,6 +314,12 @@ def model_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("key", "user_text", "item_text", "has_image", "label_good", "label_best")
 
 
+MODEL_SAMPLES_SQL = f"""with ut as ({USER_TEXT_SQL}), it as ({ITEM_TEXT_SQL}), {a.ORDERED_SQL}
+select concat_ws('-', o.user_id, o.parent_asin, substr(md5(o.row_key), 1, 6)) as key, user_text, item_text,
+       cast(cast(o.parent_asin as bigint) % 3 = 0 as int) has_image, label_good, label_best
+from ordered o join ut on ut.row_key = o.row_key join it on it.parent_asin = o.parent_asin"""
+
+
 def reviews_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as raw review lines, some without fields and some broken, and parsed again."""
     e = a.table(spark, sf_dir, "events")
@@ -316,25 +352,14 @@ REJECTED_SQL = """select case event_id % 11 when 0 then 'malformed' else 'not an
 from events where event_id % 11 in (0, 1) group by 1"""
 
 
-def patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches written as JSON lines and read back."""
-    made = patches.to_lines(a.patches(spark, sf_dir).withColumn("shape", F.array(F.lit(32))))
-    back, _ = patches.from_lines(made.select(F.to_json(F.struct(*made.columns)).alias("raw")))
-    return back.select("parent_asin", F.col("patch").cast("string").alias("patch"), F.base64("patch").alias("patch_b64"))
-
-
-PATCH_ROWS_SQL = """select cast(p_partkey as varchar) parent_asin, md5(cast(p_partkey as varchar)) patch, to_base64(encode(md5(cast(p_partkey as varchar)))) patch_b64
-from part where p_partkey % 3 = 0"""
-
-
 QUERIES = {
-    "reviews_clean": (reviews_clean, REVIEWS_CLEAN_SQL), "rejected_lines": (rejected_lines, REJECTED_SQL), "patch_rows": (patch_rows, PATCH_ROWS_SQL),
+    "reviews_clean": (reviews_clean, REVIEWS_CLEAN_SQL), "rejected_lines": (rejected_lines, REJECTED_SQL), "negative_profiles": (negative_profiles, NEGATIVE_PROFILES_SQL),
     "flagship": (flagship, FLAGSHIP_SQL), "enrich_reviews": (enrich_reviews, ENRICH_SQL), "downsample_five_star": (downsample_five_star, DOWNSAMPLE_SQL),
     "profile_numeric": (profile_numeric, PROFILE_NUMERIC_SQL), "profile_cat_hist": (profile_cat_hist, PROFILE_CAT_HIST_SQL),
-    "profile_history": (profile_history, PROFILE_HISTORY_SQL), "user_features": (user_features, None), "candidate_pool": (candidate_pool, CANDIDATE_POOL_SQL),
+    "profile_history": (profile_history, PROFILE_HISTORY_SQL), "user_features": (user_features, USER_FEATURES_SQL), "candidate_pool": (candidate_pool, CANDIDATE_POOL_SQL),
     "negatives": (draw_negatives, DRAW_NEGATIVES_SQL), "split_rows": (split_rows, SPLIT_ROWS_SQL), "split_counts": (split_counts, SPLIT_COUNTS_SQL),
-    "class_balance": (class_balance, CLASS_BALANCE_SQL), "image_urls": (image_urls, IMAGE_URLS_SQL), "meta_clean": (meta_clean, META_CLEAN_SQL),
+    "class_balance": (class_balance, CLASS_BALANCE_SQL), "meta_clean": (meta_clean, META_CLEAN_SQL),
     "text_clean_native": (text_clean_native, TEXT_CLEAN_SQL), "text_clean_full": (text_clean_full, None), "user_text": (user_text, USER_TEXT_SQL),
     "item_text": (item_text, ITEM_TEXT_SQL), "left_patch_join": (left_patch_join, LEFT_PATCH_SQL), "image_missing_ratio": (image_missing_ratio, IMAGE_MISSING_SQL),
-    "model_samples": (model_samples, None),
+    "model_samples": (model_samples, MODEL_SAMPLES_SQL),
 }

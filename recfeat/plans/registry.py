@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, features
+from . import evaluation, features, files
 
-_ALL = features.QUERIES | evaluation.QUERIES
+_ALL = features.QUERIES | files.QUERIES | evaluation.QUERIES
 
 
 def queries() -> dict:

@@ -18,10 +18,11 @@ def fetch_url(url: str) -> bytes:
         return reply.read()
 
 
-def fetch(urls: DataFrame, fetcher: Callable[[str], bytes] = fetch_url, key: str = "parent_asin", partitions: int | None = None) -> DataFrame:
+def fetch(urls: DataFrame, fetcher: Callable[[str], bytes] = fetch_url, key: str = "parent_asin", partitions: int | None = None, batch: int = BATCH) -> DataFrame:
     """``(key, url, content)`` of each item's address that can be read; failures are logged and left out.
 
-    Empty addresses are skipped, and an item is fetched once. At most ``AT_ONCE`` requests run in a task.
+    Empty addresses are skipped, and an item is fetched once. At most ``AT_ONCE`` requests run in a task,
+    whose threads are started once; ``batch`` addresses are dealt to them at a time.
     """
     wanted = urls.where("url <> ''").dropDuplicates([key]).select(key, "url")
     wanted = wanted.repartition(partitions, key) if partitions else wanted
@@ -36,8 +37,8 @@ def fetch(urls: DataFrame, fetcher: Callable[[str], bytes] = fetch_url, key: str
 
         with ThreadPoolExecutor(AT_ONCE) as pool:
             for frame in frames:
-                for at in range(0, len(frame), BATCH):
-                    part = frame.iloc[at : at + BATCH]
+                for at in range(0, len(frame), batch):
+                    part = frame.iloc[at : at + batch]
                     got = part.assign(content=list(pool.map(one, part["url"])))
                     yield got[got["content"].notna()]
 

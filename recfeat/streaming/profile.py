@@ -15,6 +15,9 @@ from ..tables import shared_folder
 
 OUTPUT = "user_id string, event_id long, ts timestamp, review_cnt long, price_mean double, price_std double, cat_hist string, history string, late boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROWS_OUT = 10_000
+"""So many rows at most are held before they are handed on."""
+BATCH_BYTES = 256 << 20
 STATE = "n long, n_price long, s_price long, q_price string, cats string, last string, newest_ts long, newest_id long"
 
 
@@ -35,7 +38,8 @@ class PastProfile(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         import json
 
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        frame = pd.concat([f[["event_id", "ts", "category", "price"]] for f in rows]).sort_values(["ts", "event_id"], kind="stable")
+        names = [part.split()[0] for part in OUTPUT.split(", ")]
         if self.state.exists():
             n, n_price, s_price, q_price, cats, last, newest, newest_id = self.state.get()
             q_price, cats, last = int(q_price), json.loads(cats), json.loads(last)
@@ -55,9 +59,12 @@ class PastProfile(StatefulProcessor):
             name = category or "UNK"
             cats[name] = cats.get(name, 0) + 1
             last = [*last, f"{name}/{event_id}"][-3:]
+            if len(out) == ROWS_OUT:
+                yield pd.DataFrame(out, columns=names)
+                out = []
         self.state.update((n, n_price, s_price, str(q_price), json.dumps(cats), json.dumps(last), newest, newest_id))
-        names = [part.split()[0] for part in OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
@@ -86,11 +93,14 @@ def window_counts(stream: DataFrame, width: str = "1 day", delay: str = "1 hour"
     )
 
 
-def read_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """One table of a folder, ``<name>.parquet`` (a file, or a folder of files), as a stream."""
+def read_table(spark: SparkSession, folder: str, name: str, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
+    """One table of a folder, ``<name>.parquet`` (a file, or a folder of files), as a stream.
+
+    A micro-batch takes files up to so many bytes, oldest first: this bounds what one user has in it.
+    """
     path = f"{folder}/{name}.parquet"
     batch = spark.read.parquet(path)
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_per_batch)
+    stream = spark.readStream.schema(batch.schema).option("maxBytesPerTrigger", bytes_per_batch)
     if all(f.endswith(f"/{name}.parquet") for f in batch.inputFiles()):  # a stream reads folders only
         return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return stream.parquet(path)

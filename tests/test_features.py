@@ -50,8 +50,9 @@ def test_profile_equals_the_walk(spark, parts):
     data = made()
     want = walked(data)
     df = profile.ordered(spark.createDataFrame(data, REVIEW).repartition(parts))
-    got = profile.user_features(df).withColumn("order", F.map_keys("user_feat.cat_hist")).collect()
-    assert len(got) == len(data)
+    assert profile.ordered(df.drop("ts_key", "pos"), 30 * 24 * 3600 * 1000).exceptAll(df).count() == 0
+    got = [r for chunk in (128, 3, 7) for r in profile.user_features(df, chunk).withColumn("order", F.map_keys("user_feat.cat_hist")).collect()]
+    assert len(got) == 3 * len(data)
     for r in got:
         w, f = want[r.row_key], r.user_feat
         assert (r.pos, f.review_cnt, [tuple(h) for h in f.history]) == (w["pos"], w["cnt"], w["hist"])
@@ -69,8 +70,9 @@ def test_worked_example(spark):
 
 def test_shares_round_half_to_even(spark):
     data = [("u", "i", 5.0, t, f"r{t:03}", "b" if t == 1 else "a", None, "", "") for t in range(1, 34)]
-    shares = profile.category_shares(profile.ordered(spark.createDataFrame(data, REVIEW))).where("pos = 33 and category = 'b'").first()
-    assert shares.share == 0.0312
+    for chunk in (128, 32, 8):
+        row = profile.category_shares(profile.ordered(spark.createDataFrame(data, REVIEW)), chunk).where("pos = 33").first()
+        assert [tuple(x) for x in row.shares] == [("b", 0.0312), ("a", 0.9688)]
 
 
 def test_negatives(spark):

@@ -18,6 +18,16 @@ def test_cleaning(spark):
     assert one(spark, text.clean_native(F.col("v")), 'a\\"b\\\'c\\d  e', "string") == "a\"b'c d e"
 
 
+def test_emoji_units_and_sequences():
+    """Only what has the emoji property is named, whole sequences at once; units and marks are left to NFKC."""
+    clean = lambda t: " ".join(text._normal(t).split())
+    assert clean("5㎏ bag, ㈱ABC, 30㎝, Ⓐ, ⠿") == "5kg bag, (株)ABC, 30cm, A, ⠿"
+    assert clean("ok👍🏽!") == "ok thumbs_up_sign_medium_skin_tone !" and clean("👍") == "thumbs_up_sign"
+    assert clean("🇫🇷🇩🇪") == "flag_fr flag_de" and clean("3️⃣") == "keycap_3" and clean("7 #1 *") == "7 #1 *"
+    assert clean("👩‍💻 ❤️ ©") == "woman_personal_computer heavy_black_heart copyright_sign"
+    assert clean("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f") == "flag_gbeng" and clean("❝x❞") == "❝x❞"
+
+
 def test_smart_join(spark):
     assert one(spark, text.smart_join(F.col("v")), [" a ", "b.", "c！", "1"], "array<string>") == "a; b. c！ 1;"
     assert one(spark, text.smart_join(text.clean_array(F.col("v"))), ["abc."], "array<string>") == "abc."
@@ -101,7 +111,7 @@ def test_auc(spark):
 
 def test_running_sums_equal_one_window(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("k"), F.lit(1).alias("n"))
-    assert evaluate.running(df, "k", ["n"], buckets=7).where("n_before <> k").count() == 0
+    assert evaluate.running(df, "k", ["n"], rows_per_bucket=150).where("n_before <> k").count() == 0
 
 
 def test_weighted_metrics(spark):
@@ -118,3 +128,14 @@ def test_network_scores(spark):
     df = spark.createDataFrame([(0.0,), (2.0,)], "x double")
     got = [(r.prob_good, r.prob_best) for r in evaluate.score_batches(df, make, ["x"]).collect()]
     assert got[0] == (0.5, 0.5) and got[1][0] == pytest.approx(1 / (1 + np.exp(-2))) and sum(got[1]) == pytest.approx(1)
+
+
+def test_first_batches(spark):
+    assert [r.id for r in evaluate.first_batches(spark.range(100).orderBy(F.desc("id")), "id", 2, 3).orderBy("id").collect()] == list(range(6))
+    assert evaluate.first_batches(spark.range(4), "id", 2, 3).count() == 4
+
+
+def test_array_inputs_are_scored(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([0.0, 0.0],)], "x array<double>")
+    got = evaluate.score_batches(df, lambda: lambda x: x, ["x"], shapes=[[2]]).collect()
+    assert got[0].prob_best == pytest.approx(1 / (1 + np.exp(-2))) and got[1].prob_good == 0.5

@@ -92,6 +92,31 @@ def test_shards_round_trip(spark, tmp_path):
         spark.read.format("tar_shards").option("path", str(tmp_path / "none")).load().count()
 
 
+def test_shards_keep_equal_and_odd_keys_apart(spark, tmp_path):
+    """Two samples of one key that lie side by side stay two; dots, slashes and percent signs in keys come back."""
+    shards.register(spark)
+    data = [(k, f"u{i}", "item", None, [1], 0, 0, 0) for i, k in enumerate(["a", "a", "a.b", "a", "a/b.json", "50%2E", "é x", "é x"])]
+    for path in (str(tmp_path / "s"), f"file://{tmp_path}/t"):
+        spark.createDataFrame(data, shards.SCHEMA).coalesce(1).write.format("tar_shards").option("path", path).mode("append").save()
+        for where in (path, f"{path}/samples-*.tar.gz"):
+            back = spark.read.format("tar_shards").option("path", where).load()
+            assert sorted((r.key, r.user_text) for r in back.collect()) == sorted((k, t) for k, t, *_ in data)
+    with pytest.raises(Exception, match="nosuch"):
+        spark.read.format("tar_shards").option("path", "nosuch://x/y").load().count()
+
+
+def test_tables_of_an_application_can_be_removed(spark):
+    import os
+
+    from recfeat import tables
+
+    tables.as_table(spark.range(3), "x").count()
+    folder = tables.own_folder(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    tables.remove_tables(spark)
+    assert not os.path.exists(folder)
+
+
 def test_fetch_drops_failures(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"img")
     df = spark.createDataFrame([("a", f"file://{tmp_path}/x"), ("b", f"file://{tmp_path}/y"), ("c", "")], "parent_asin string, url string")
