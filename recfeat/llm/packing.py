@@ -199,7 +199,8 @@ def pack(made: DataFrame, capacity: int = 2048, length_col: str = "length", orde
     before = F.sum("count").over(Window.partitionBy(length_col).orderBy("salt")) - F.col("count")
     starts = as_table(parts.select(F.col(length_col).alias("of"), F.col("salt").alias("part"), before.alias("before")), "starts")
     ranked = salted.withColumn("place", F.row_number().over(Window.partitionBy(length_col, "salt").orderBy(*order)) - 1)
-    ranked = ranked.join(starts, (F.col(length_col) == F.col("of")) & (F.col("salt") == F.col("part")))
+    # both sides are dealt by length and part already; Spark would broadcast the starts on the size of their file
+    ranked = ranked.join(starts.hint("merge"), (F.col(length_col) == F.col("of")) & (F.col("salt") == F.col("part")))
     ranked = ranked.withColumn("rank", F.col("place") + F.col("before")).select(*made.columns, "rank")
     fields = [T.StructField(f.name, f.dataType) for f in made.schema.fields]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
