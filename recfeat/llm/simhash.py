@@ -65,6 +65,12 @@ def ball_masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in on) for r in range(radius + 1) for on in combinations(range(bits), r)]
 
 
+def _spread(fps: DataFrame, rows_each: int = 20_000) -> DataFrame:
+    """``fps`` dealt to enough tasks for each row to become many: a table of numbers alone is read by few."""
+    parts = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() // rows_each))
+    return fps.repartition(parts, "fp")
+
+
 def close_pairs(fps: DataFrame, distance: int = 3, segments: int = 2, name: str = "fp") -> DataFrame:
     """Pairs ``(a, b)``, a < b, of different values in ``fps.fp`` at most ``distance`` bits apart, each by its ``name``.
 
@@ -96,7 +102,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     if distance < 2:
         return close_pairs(fps, distance)
     masks = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in ball_masks(BITS, 1)])
-    points = fps.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("point"))
+    points = _spread(fps).select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("point"))
     shared = points.groupBy("point").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
     pair = shared.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
     two = as_table(pair.distinct(), "two")
@@ -105,7 +111,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     least = least.join(further, "b", "left").select(F.col("a").alias("fp"), F.coalesce("c", "b").alias("hub"))
     named = as_table(fps.join(least, "fp", "left").select("fp", F.coalesce("hub", "fp").alias("hub")), "hubs")
     own = named.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    return two.unionByName(own).unionByName(close_pairs(named, distance, name="hub"))
+    return two.unionByName(own).unionByName(close_pairs(_spread(named), distance, name="hub"))
 
 
 def near_duplicates(
