@@ -22,8 +22,8 @@ from .common import unused_name
 STRIP = 64
 SAMPLE_PER_LANGUAGE = 300
 """At most about so many labelled rows of each language are learned from."""
-SAMPLE_BYTES = 256
-"""Characters taken from the middle of a sampled text, at most."""
+SAMPLE_CHARS, SAMPLE_PLACES = 256, 4
+"""Characters of a sampled text that are learned from, about, and the places, spread over the text, from which they come."""
 UNKNOWN = "und"
 
 
@@ -189,12 +189,13 @@ def _strips(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(
     labelled: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id",
-    per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = 8, epochs: int = 5,
+    per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = 8, epochs: int = 5, sample_chars: int = SAMPLE_CHARS, sample_places: int = SAMPLE_PLACES,
 ) -> Network:
     """A network from about ``per_language`` rows of each label, chosen by a hash of the key and text.
 
-    Rows with a null text or label are left out. Of a sampled text ``SAMPLE_BYTES`` characters from its
-    middle are read. Without labelled rows the network knows no language.
+    Rows with a null text or label are left out. Of a sampled text ``sample_chars`` characters are learned from,
+    in equal parts from ``sample_places`` places spread evenly over it, so that boilerplate in one place does not
+    stand for the text; a shorter text is read whole. Without labelled rows the network knows no language.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.length(text_col) > 0))
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).alias("l")).count().collect()}
@@ -202,8 +203,11 @@ def train(
         return Network([], {})
     share = F.coalesce(*[F.when(F.col(label_col) == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(sizes.items())])
     draw = F.pmod(F.xxhash64(F.col(key_col), F.length(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    middle = F.substring(text_col, F.greatest(F.lit(1), (F.length(text_col) / 2 - SAMPLE_BYTES / 2).cast("int")), F.lit(SAMPLE_BYTES))
-    chosen = rows.where(draw < share).select(middle.cast("binary").alias("t"), F.col(label_col).alias("l"), draw.alias("d"))
+    each = max(1, sample_chars // sample_places)
+    free, steps = F.greatest(F.lit(0), F.length(text_col) - each), max(1, sample_places - 1)
+    parts = F.concat(*[F.substring(text_col, F.floor(free * k / steps).cast("int") + 1, F.lit(each)) for k in range(sample_places)])
+    spread = F.when(F.length(text_col) <= each * sample_places, F.col(text_col)).otherwise(parts)
+    chosen = rows.where(draw < share).select(spread.cast("binary").alias("t"), F.col(label_col).alias("l"), draw.alias("d"))
     sample = chosen.orderBy("d", "t", "l").limit(2 * per_language * len(sizes)).collect()
     return Network.fit([bytes(r[0]) for r in sample], [r[1] for r in sample], hidden, epochs)
 
@@ -213,7 +217,7 @@ def annotate(
 ) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score``, from each whole text alone.
 
-    ``score`` is the pooled probability of the chosen language. A null text and one without a letter
+    ``score`` is the pooled probability of the chosen language; of equally likely ones the first by name. A null text and one without a letter
     (Unicode category L) get ``und`` with score 0, as does every text if the network knows no language.
     ``with_runs`` adds ``runs``, the label of every byte position as ``array<struct<start,end,lang>>``.
     Added columns get underscores in front where ``docs`` has such names. Repeated rows and null ids each

@@ -37,6 +37,59 @@ def test_pooling_reads_every_position():
         assert sum(b - a for a, b, _ in spans) == len(text)
 
 
+def plain_pass(net, text):
+    """Every position's distribution by the gates' formulas, one byte and one unit at a time, with numbers only."""
+    soft = lambda v: v / (1 + abs(v))
+    gate = lambda v: 0.5 + 0.5 * soft(v)
+    w, n, out = {k: v.astype(float).tolist() for k, v in net.weights.items()}, net.weights["uf"].shape[0], []
+    for at in range(0, len(text), li.STRIP):
+        strip = text[at : at + li.STRIP].ljust(li.STRIP, b"\0")
+        states = {}
+        for d in "fb":
+            h, seen = [0.0] * n, {}
+            for t in range(li.STRIP) if d == "f" else range(li.STRIP - 1, -1, -1):
+                x = [w[f"x{d}"][strip[t]][j] + w[f"b{d}"][j] for j in range(3 * n)]
+                u = [sum(h[i] * w[f"u{d}"][i][j] for i in range(n)) for j in range(3 * n)]
+                z, r = [gate(x[j] + u[j]) for j in range(n)], [gate(x[n + j] + u[n + j]) for j in range(n)]
+                c = [soft(x[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+                h = [h[j] + z[j] * (c[j] - h[j]) for j in range(n)]
+                seen[t] = h
+            states[d] = seen
+        for t in range(min(li.STRIP, len(text) - at)):
+            both = states["f"][t] + states["b"][t]
+            e = [2.718281828459045 ** (w["c"][k] + sum(b * o[k] for b, o in zip(both, w["o"]))) for k in range(len(net.languages))]
+            out.append([v / sum(e) for v in e])
+    return out
+
+
+def test_labels_and_pooling_equal_a_plain_forward_pass(spark):
+    net = li.Network.fresh(["a", "b", "c"], 3, seed=5)
+    texts = ["Some words, é.", "x" * 64, "y z" * 50, "日本語 text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in li.predict(df, net, with_runs=True).collect():
+        each = plain_pass(net, texts[r.doc_id].encode())
+        pooled = [sum(p[k] for p in each) / len(each) for k in range(3)]
+        assert r.lang_pred == "abc"[pooled.index(max(pooled))] and r.score == pytest.approx(max(pooled), abs=1e-5)
+        assert [x for run in r.runs for x in [run.lang] * (run.end - run.start)] == ["abc"[p.index(max(p))] for p in each]
+
+
+def test_equally_likely_languages_go_to_the_first(spark):
+    net = li.Network.fresh(["b", "a"])
+    net.weights["o"][:], net.weights["c"][:] = 0, 0
+    net.languages = sorted(net.languages)
+    row = li.predict(spark.createDataFrame([(1, "text")], "doc_id long, text string"), net).first()
+    assert (row.lang_pred, row.score) == ("a", pytest.approx(0.5))
+
+
+def test_samples_come_from_the_whole_text(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(li.Network, "fit", staticmethod(lambda texts, labels, *how: got.extend(zip(texts, labels))))
+    text = "a" * 300 + "b" * 300 + "c" * 300 + "d" * 300
+    df = spark.createDataFrame([(1, text, "x"), (2, "short", "y"), (3, None, "x")], "doc_id long, text string, lang string")
+    li.train(df, sample_chars=40, sample_places=4)
+    assert sorted(got) == [(b"a" * 10 + b"b" * 10 + b"c" * 10 + b"d" * 10, "x"), (b"short", "y")]
+
+
 def test_held_out_accuracy(spark):
     got = op10_language_id(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "documents"), "doc_id").where("held_out and text is not null and lang is not null").toPandas()
     assert len(got) > 200 and (got.lang_pred == got.lang).mean() > 0.95
