@@ -1,10 +1,10 @@
 import pytest
 
 import corpus_pipeline as cp
-from recfeat.llm import decontaminate
 from recfeat.llm.common import as_table, table
 
 from ..conftest import SMALL
+from .test_decontaminate import brute_words
 from .test_line_dedup import brute as brute_lines
 from .test_packing import check as check_packing
 from .test_simhash import brute_components, brute_fingerprint
@@ -21,6 +21,36 @@ def hostile(spark):
     return base.unionByName(spark.createDataFrame(extra, SCHEMA))
 
 
+def has_letter(text):
+    return any(c.isalpha() for c in text or "")
+
+
+def heads(rows):
+    """The least id of each near-duplicate group."""
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    return set(brute_components(sorted(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3).values())
+
+
+def uncontaminated(spark):
+    """A test of texts against all windows of the benchmark, one by one."""
+    windows = {}
+    for r in table(spark, SMALL, "benchmark").collect():
+        w = brute_words(r.text)
+        m = min(13, len(w))
+        for k in range(len(w) - m + 1) if w else ():
+            windows.setdefault(m, set()).add(tuple(w[k : k + m]))
+
+    def clean(text):
+        w, hit = brute_words(text), set()
+        for m, known in windows.items():
+            for k in range(len(w) - m + 1):
+                if tuple(w[k : k + m]) in known:
+                    hit |= set(range(k, k + m))
+        return not (hit and 20 * len(hit) >= len(w))
+
+    return clean
+
+
 def test_stages_equal_brute_force(spark):
     docs = as_table(hostile(spark), "docs")
     names = [n for n, _ in cp.STAGES]
@@ -28,7 +58,6 @@ def test_stages_equal_brute_force(spark):
 
     stage = dict(cp.STAGES)
     one = as_table(stage["language_id"](spark, docs, SMALL), "one")
-    has_letter = lambda t: any(c.isalpha() for c in t or "")
     want = sorted((r.doc_id, r.text) for r in docs.collect() if has_letter(r.text))
     assert one.columns == list(cp.COLUMNS) and sorted((r.doc_id, r.text) for r in one.collect()) == want
 
@@ -38,19 +67,10 @@ def test_stages_equal_brute_force(spark):
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in two.collect()), key=repr) == sorted(((i, t, len(t)) for i, _, _, t in kept), key=repr)
 
     three = as_table(stage["simhash_near_dedup"](spark, two, SMALL), "three")
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in two.collect()}
-    heads = set(brute_components(sorted(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3).values())
-    assert three.columns == list(cp.COLUMNS) and sorted(r.doc_id for r in three.collect()) == sorted(heads)
+    assert three.columns == list(cp.COLUMNS) and sorted(r.doc_id for r in three.collect()) == sorted(heads([(r.doc_id, r.text) for r in two.collect()]))
 
     four = as_table(stage["benchmark_decontamination"](spark, three, SMALL), "four")
-    bench = [(str(r.item_id), decontaminate.words((r.text or "").encode())) for r in table(spark, SMALL, "benchmark").collect()]
-    among = decontaminate.searchers(bench)
-
-    def clean(text):
-        w = decontaminate.words(text.encode())
-        hit = sum(b - a for a, b in decontaminate.search(w, among)[0])
-        return not (hit and 20 * hit >= len(w))
-
+    clean = uncontaminated(spark)
     assert four.columns == list(cp.COLUMNS) and sorted(r.doc_id for r in four.collect()) == sorted(r.doc_id for r in three.collect() if clean(r.text))
 
     last = stage["best_fit_packing"](spark, four, SMALL).collect()
@@ -58,7 +78,13 @@ def test_stages_equal_brute_force(spark):
 
 
 def test_run_applies_all_stages(spark):
-    assert cp.run(spark, SMALL).count() > 0 and cp.ORACLE_SQL is None
+    """The whole run over the given documents, against the rules applied one after the other."""
+    docs = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect() if has_letter(r.text)]
+    lined = [(i, t) for i, _, _, t in brute_lines(docs)]
+    first, clean = heads(lined), uncontaminated(spark)
+    want = [(i, t) for i, t in lined if i in first and clean(t)]
+    check_packing(cp.run(spark, SMALL).collect(), want, 2048)
+    assert cp.ORACLE_SQL is None
 
 
 @pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
