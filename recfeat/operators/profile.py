@@ -9,8 +9,6 @@ chunks sum up to comes from a table that only users of more than one chunk are i
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +31,7 @@ def ordered(rows: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
     Rows without a timestamp, which stand in the order of their keys, are cut into blocks by the key's first characters.
     """
     keyed = rows.withColumn("ts_key", F.coalesce(F.col("sort_timestamp").cast("long"), F.lit(-1)))
-    start = F.when(F.col("ts_key") == -1, F.substring("row_key", 1, 4)).otherwise("")
+    start = F.when(F.col("ts_key") == -1, F.coalesce(F.substring("row_key", 1, 4), F.lit(""))).otherwise("")
     keyed = keyed.withColumn("_block", F.struct(F.floor(F.col("ts_key") / block_ms).alias("time"), start.alias("start")))
     totals = keyed.groupBy("user_id", "_block").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("user_id").orderBy("_block").rowsBetween(*_PAST)
