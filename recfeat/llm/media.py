@@ -13,6 +13,7 @@ shift) votes for it, and enough votes make a match.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -145,28 +146,46 @@ def _points_array(found: dict[str, np.ndarray], n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["point", "scale", "y", "x", "angle", "segments"]))
 
 
+_CORNER = "struct<point:int,scale:int,y:double,x:double,angle:double,segments:array<bigint>>"
+
+
+def _digest(pixels: bytes | None, h: int | None, w: int | None) -> bytes:
+    """Equal for images of equal size and pixels."""
+    return hashlib.sha256(f"{h}x{w} ".encode() + (pixels or b"")).digest()
+
+
 def described(images: DataFrame, id_col: str = "image_id") -> DataFrame:
-    """``(image, points)``: the corners of every image that has some, as ``array<struct<point,scale,y,x,angle,segments>>``."""
+    """``(image, digest, points)`` of every image: its corners as ``array<struct<point,scale,y,x,angle,segments>>``.
+
+    Images without usable pixels or corners have null points. Equal sizes and pixels have equal digests.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pixels, heights, widths = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            digests = pa.array(list(map(_digest, pixels, heights, widths)), pa.binary())
             by_size: dict[tuple[int, int], list[int]] = {}
+            rest = []
             for row, (p, h, w) in enumerate(zip(pixels, heights, widths)):
                 if p and h and w and len(p) == h * w:
                     by_size.setdefault((h, w), []).append(row)
+                else:
+                    rest.append(row)
             for (h, w), mine in by_size.items():
                 step = max(1, PIXELS // (h * w))
                 for at in range(0, len(mine), step):
-                    rows = mine[at : at + step]
+                    rows = np.array(mine[at : at + step])
                     found = described_stack(np.frombuffer(b"".join(pixels[r] for r in rows), dtype=np.uint8).reshape(-1, h, w))
                     have, found["image"] = np.unique(found["image"], return_inverse=True)
-                    ids = batch.column(0).take(pa.array([rows[k] for k in have.tolist()], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, _points_array(found, len(have))], names=["image", "points"])
+                    rest += np.delete(rows, have).tolist()
+                    place = pa.array(rows[have], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(place), digests.take(place), _points_array(found, len(have))], names=["image", "digest", "points"])
+            place, none = pa.array(rest, pa.int64()), _points_array(described_stack(np.zeros((0, 1, 1))), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), digests.take(place), pa.nulls(len(rest), none.type)], names=["image", "digest", "points"])
 
     kind = dict(images.dtypes)[id_col]
-    schema = f"image {kind}, points array<struct<point:int,scale:int,y:double,x:double,angle:double,segments:array<bigint>>>"
-    return images.select(F.col(id_col), "pixels", "height", "width").mapInArrow(run, schema)
+    rows = images.select(F.col(id_col), "pixels", "height", "width")
+    return rows.mapInArrow(run, f"image {kind}, digest binary, points array<{_CORNER}>")
 
 
 def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
@@ -175,7 +194,7 @@ def descriptors(images: DataFrame, id_col: str = "image_id") -> DataFrame:
     ``images`` has ``id_col``, ``pixels`` (binary, one byte a pixel, row by row), ``height``, ``width``.
     Images without pixels, with a size that does not fit them, or too small for a patch have no row.
     """
-    return described(images, id_col).select("image", F.inline("points"))
+    return described(images, id_col).where("points is not null").select("image", F.inline("points"))
 
 
 def content_classes(images: DataFrame, id_col: str = "image_id") -> DataFrame:
@@ -335,11 +354,12 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str = "image_id")
     many votes any counts, as only the number of votes is given out.
     """
     parts = []
-    for name, df in (("query", queries), ("gallery", images)):
-        classes = as_table(content_classes(df, id_col), f"{name}_classes")
-        heads = classes.select("class_id").distinct().withColumnRenamed("class_id", id_col)
-        parts.append((classes, as_table(described(df.join(heads, id_col, "left_semi").dropDuplicates([id_col]), id_col), f"{name}_points")))
-    (mine, points), (_, gallery) = parts
+    for name, df in (("query", queries), ("gallery", images)):  # pixels are read once and never shuffled
+        made = as_table(described(df, id_col), f"{name}_points")
+        heads = as_table(made.groupBy("digest").agg(F.min("image").alias("class_id"), F.first("points", True).alias("points")), f"{name}_classes")
+        parts.append((made, heads, heads.where("class_id is not null and points is not null").select(F.col("class_id").alias("image"), "points")))
+    (mine, heads, points), (_, _, gallery) = parts
+    mine = mine.join(heads.select("digest", "class_id"), "digest").select(F.col("image").alias(id_col), "class_id")
     found = _match_images(points, gallery, MIN_VOTES, MAX_DISTANCE, BLOCK_POINTS)
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("image").alias("class_id"), "votes"))).alias("matches"))
     # many queries may be equal: each list goes to every part of its class
