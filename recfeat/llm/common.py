@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import as_table, shared_folder
+from ..tables import as_table, own_folder, shared_folder
 
-__all__ = ["ASCII_SPACE", "as_table", "shared_folder", "table", "unused_name", "utf8"]
+__all__ = ["ASCII_SPACE", "as_table", "fresh_path", "shared_folder", "table", "unused_name", "utf8"]
 
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 """The white space of every text contract here: U+0020 and U+0009 to U+000D."""
@@ -29,3 +31,8 @@ def unused_name(df: DataFrame, wish: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path that does not exist yet, in the application's part of the shared folder."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"

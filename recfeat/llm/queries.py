@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, language_id, line_dedup, lm_score, media, packing, pii, simhash
-from .common import table
+from . import chat_format, decontaminate, html_extract, language_id, line_dedup, lm_score, media, merkle, packing, pii, simhash, token_orc, variants
+from .common import fresh_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = {
@@ -98,10 +98,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = F.coalesce(fold("doc_id", 3) == 0, F.lit(False)) & F.col("doc_id").isNotNull()
+    text = F.when(changed, F.translate("text", variants.UPPER, variants.LOWER)).otherwise(F.col("text"))
+    fields = ("doc_id", "source", "lang", "n_chars")
+    rows = docs.select("lang", "doc_id", merkle.leaf(*fields, "text").alias("leaf"), merkle.leaf(*fields, text).alias("claimed"))
+    made = merkle.manifest(rows, keep=("claimed",)).withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("path")))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(variants.word_runs(table(spark, sf_dir, "documents")))
+    return variants.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_orc.checksums(token_orc.read_tokens(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_html_extraction, op2_chat_formatting, op3_simhash_near_dedup, op4_decontamination, op5_lm_scoring, op6_pii,
-        op7_media_copies, op8_line_dedup, op9_best_fit_packing, op10_language_id,
+        op7_media_copies, op8_line_dedup, op9_best_fit_packing, op10_language_id, op11_merkle_manifest, op12_spelling_variants,
+        op13_token_orc,
     )
     return {f.__name__: f for f in ops}
 
@@ -152,5 +176,75 @@ from e group by conv_id
 """
 
 
+# crc32 byte by byte: eight shifts a byte, the byte enters with the first
+CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, octet_length(encode({0})) + 1), lambda i:
+    list_concat([('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::bigint], [0, 0, 0, 0, 0, 0, 0]::bigint[])))),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode(cast({column} as varchar))) || ':' || cast({column} as varchar), '-')"
+
+
+def _levels(name: str, group: str, depth: int) -> str:
+    """Tree levels as common table expressions ``<name>0`` (g, i, d) to ``<name><depth>``, each with its width."""
+    made = []
+    for k in range(depth):
+        width = f"count(*) over (partition by {group}) as w"
+        made.append(f"{name}{k}w as materialized (select *, {width} from {name}{k})")
+        made.append(f"""{name}{k + 1} as materialized (select g, i // 8 as i, case when max(w) > 1 then sha256(string_agg(d, '' order by i)) else max(d) end as d
+            from {name}{k}w group by g, i // 8)""")
+    return ",\n".join(made)
+
+
+def _steps(rows: str, tree: str, depth: int, out: str) -> str:
+    """From ``rows`` (r, g, i, d, claim, p): siblings are added to ``p`` level by level and the claim is folded."""
+    made, now = [], rows
+    for k in range(depth):
+        made.append(f"""{out}{k} as materialized (select r, any_value(x.g) as g, any_value(x.i) // 8 as i,
+            any_value(p) || coalesce(string_agg(t.d, '' order by t.i) filter (where t.i <> x.i and t.w > 1), '') as p,
+            case when max(t.w) > 1 then sha256(string_agg(case when t.i = x.i then x.claim else t.d end, '' order by t.i)) else any_value(x.claim) end as claim
+            from {now} x join {tree}{k}w t on t.g is not distinct from x.g and t.i // 8 = x.i // 8 group by r)""")
+        now = f"{out}{k}"
+    return ",\n".join(made)
+
+
+OP11_SQL = f"""
+with src as (select *, {CRC.format("cast(doc_id as varchar)")} % 3 = 0 as hit, row_number() over () as r from documents),
+leaf as materialized (select r, doc_id, lang as g, row_number() over (partition by lang order by doc_id) - 1 as i,
+    sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) as d,
+    sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_field(f"(case when hit then {LOWER.format('text')} else text end)")}) as claim from src),
+a0 as (select g, i, d from leaf), {_levels("a", "g", 7)},
+b0 as (select 0 as g, row_number() over (order by encode(g) nulls first) - 1 as i, d, g as of from a7), {_levels("b", "g", 3)},
+s as (select r, g, i, claim, '' as p from leaf), {_steps("s", "a", 7, "u")},
+t as (select r, 0 as g, b0.i, claim, p from u6 join b0 on b0.of is not distinct from u6.g), {_steps("t", "b", 3, "v")}
+select doc_id, leaf.d as leaf, a7.d as subroot, b3.d as root, sha256(p) as proof_sha256, v2.claim as folded_root, v2.claim = b3.d as verified
+from leaf join v2 using (r) join a7 on a7.g is not distinct from leaf.g cross join b3
+"""
+
+_FOLLOWED = ",\n".join(f"r{k} as materialized (select x.word, coalesce(f.form, x.r) as r from r{k - 1} x join form f on f.word = x.r)" for k in range(1, 9))
+
+OP12_SQL = rf"""
+with runs as (select doc_id, {LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} as run from documents),
+kept as (select run, {CRC.format("(doc_id || ':' || run)")} as h from runs where length(run) >= 7),
+words as materialized (select w, count(*) as n from (
+    select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as w from kept)
+    where length(w) >= 7 group by w having count(*) > 1),
+holes as materialized (select w, n, unnest(list_transform(range(length(w)), lambda i: substr(w, 1, i) || chr(1) || substr(w, i + 2))) as k from words),
+cuts as materialized (select distinct w, n, replace(k, chr(1), '') as k from holes),
+near as materialized (select distinct * from (
+    select x.w, y.w as o, y.n as o_n from holes x join holes y using (k) where x.w <> y.w
+    union all select x.w, y.w, y.n from cuts y join words x on x.w = y.k
+    union all select y.w, x.w, x.n from cuts y join words x on x.w = y.k)),
+best as (select w, count(*) as n_near, arg_max(struct_pack(o, o_n), o_rank) as b from (
+    select *, row_number() over (partition by w order by o_n, encode(o) desc) as o_rank from near) group by w),
+form as materialized (select words.w as word, n, coalesce(n_near, 0) as n_near, case when b.o_n >= 10 * n then b.o end as form, case when b.o_n >= 10 * n then b.o_n end as form_n
+    from words left join best on best.w = words.w),
+r0 as (select word, word as r from form),
+{_FOLLOWED}
+select form.word, form, r as root, n, n_near, form_n from form join r8 on r8.word = form.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op4_decontamination": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op11_merkle_manifest": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op2_chat_formatting": OP2_SQL, "op4_decontamination": OP4_SQL, "op8_line_dedup": OP8_SQL}

@@ -21,6 +21,8 @@ def test_one_row_for_each_input_row(spark, name):
     if name == "op9_best_fit_packing":
         assert got.select("doc_id").distinct().count() == read("documents").select("doc_id").distinct().count()
     else:
+        if name.startswith("op12_"):
+            return
         want = read("pages") if name.startswith("op1_") else read("embeddings").where("vec_id % 50 = 0") if name.startswith("op7_") else read("documents")
         assert got.count() == want.count()
 
@@ -29,7 +31,7 @@ def test_entry_module_lists_all(spark):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
