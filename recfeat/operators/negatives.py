@@ -1,19 +1,29 @@
-"""Items a user has not met, drawn for each positive row.
+"""Items a user has not met, drawn for each positive row from the rest of the pool.
 
-Draws are hashes of (row, try, seed) into a pool of candidate items, so that they repeat exactly. A try
-counts if its item is none the user has seen up to and including the row, and none already drawn. Later
-purchases are not excluded: at that time they are unknown.
+What a user has seen up to a row is a set of pool numbers. A draw is a rank among the numbers outside of it and of the
+draws before, by a hash of (row, draw, seed), shifted past those inside: no try fails, draws repeat exactly, and fewer
+come out only where fewer are left. Later purchases are not excluded: at that time they are unknown.
+
+A user may hold a large part of all rows. Rows meet by (user, chunk) only; what earlier chunks have seen comes as a bitmap of
+pool numbers, of which a user has one for each chunk that brings something new, so never more than the pool has items.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from bisect import insort
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import as_table
-from .enrich import unit_hash
+from .profile import CHUNK, chunked
 
 POOL, PER_POSITIVE = 10_000, 5
+BITMAP = 32_768
+"""Bits of one of Spark's bitmaps: the largest pool."""
 
 
 def candidate_pool(items: DataFrame, key: str = "parent_asin", size: int = POOL, seed: int = 0) -> DataFrame:
@@ -23,62 +33,90 @@ def candidate_pool(items: DataFrame, key: str = "parent_asin", size: int = POOL,
     return chosen.select((F.row_number().over(Window.orderBy("h", key)) - 1).cast("long").alias("idx"), key)
 
 
-def max_tries(per_positive: int) -> int:
-    return max(200, 50 * per_positive)
+def _carried(placed: DataFrame, chunk: int) -> DataFrame:
+    """``(user_id, chunk, bits)``: bitmaps of the pool numbers seen in earlier chunks, for chunks that have any.
 
+    Only users of several chunks come in. Bitmaps are joined along the chunks that bring new numbers; others take the last one before.
+    """
+    many = placed.where(F.col("pos") > chunk).select("user_id").distinct()
+    mine = placed.join(many, "user_id", "left_semi")
+    first = mine.where("idx is not null").groupBy("user_id", "idx").agg(F.min("chunk").alias("chunk"))
+    new = first.groupBy("user_id", "chunk").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("idx") + 1)).alias("new"))
+    user = Window.partitionBy("user_id").orderBy("chunk")
+    # several steps read it; a version is what a user has seen up to and with its chunk
+    version = as_table(new.select("user_id", "chunk", F.bitmap_or_agg("new").over(user.rowsBetween(Window.unboundedPreceding, 0)).alias("bits")), "seen")
+    has = version.select("user_id", "chunk", F.col("chunk").alias("version"), F.lit(False).alias("asks"))
+    asks = mine.select("user_id", "chunk").distinct().select("user_id", "chunk", F.lit(None).cast("long").alias("version"), F.lit(True).alias("asks"))
+    last = has.unionByName(asks).withColumn("version", F.max("version").over(user.rangeBetween(Window.unboundedPreceding, -1))).where("asks and version is not null")
+    return last.select("user_id", F.col("chunk").alias("at"), F.col("version").alias("chunk")).join(version, ["user_id", "chunk"]).select("user_id", F.col("at").alias("chunk"), "bits")
+
+
+def _unseen(keys: list[str], numbers: list[int | None], bits: bytes | None, n_pool: int, per_positive: int, seed: int) -> list[list[int]]:
+    """The draws of a chunk's rows in their order: ranks among the free numbers, shifted past what is taken since."""
+    taken = np.zeros(n_pool, dtype=bool) if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[:n_pool].astype(bool)
+    free = np.flatnonzero(~taken)
+    place = np.cumsum(~taken) - 1
+    since: list[int] = []
+    out = []
+    for key, number in zip(keys, numbers):
+        if number is not None and not taken[number]:
+            taken[number] = True
+            insort(since, int(place[number]))
+        gone, drawn = since.copy(), []
+        for nth in range(min(per_positive, len(free) - len(since))):
+            word = int(hashlib.md5(f"{key}|{nth}|{seed}".encode()).hexdigest()[:8], 16)
+            rank = word * (len(free) - len(gone)) >> 32
+            low, high = 0, len(gone)
+            while low < high:  # gone[i] - i free numbers lie before the i-th that is gone
+                mid = (low + high) // 2
+                low, high = (mid + 1, high) if gone[mid] - mid <= rank else (low, mid)
+            gone.insert(low, rank + low)
+            drawn.append(int(free[rank + low]))
+        out.append(drawn)
+    return out
+
+
+def draw_negatives(
+    rows: DataFrame, pool: DataFrame, per_positive: int = PER_POSITIVE, seed: int = 0, keep: tuple[str, ...] = (), chunk: int = CHUNK
+) -> DataFrame:
+    """``(user_id, row_key, pos, *keep, neg_asin, nth)``: ``per_positive`` different unseen items for each of the ``ordered`` rows.
+
+    All that are left where the pool has fewer; none from an empty pool. ``nth`` counts from 1. The one shuffle is by (user, chunk), and
+    there is none if ``rows`` is a table dealt that way. ``rows`` is read more than once.
+    """
+    pool = as_table(pool, "pool")
+    n_pool = pool.count()  # the pool is bounded by its size parameter
+    if n_pool > BITMAP:
+        raise ValueError(f"a pool has at most {BITMAP} items")
+    placed = chunked(rows, chunk).select("user_id", "chunk", "pos", "row_key", *keep, "parent_asin").join(F.broadcast(pool), "parent_asin", "left")
+    cells = placed.groupBy("user_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "row_key", "idx", *keep)), _by_place).alias("cells"))
 
-def _place(n_pool: int, nth: Column, seed: int) -> Column:
-    """The pool number of a row's try."""
-    return F.floor(unit_hash("row_key", nth.cast("string"), seed=seed) * F.lit(n_pool)).cast("long")
+    @F.arrow_udf("array<array<int>>")
+    def drawn(keys: pa.Array, numbers: pa.Array, bits: pa.Array) -> pa.Array:
+        made = [_unseen(k, x, b, n_pool, per_positive, seed) for k, x, b in zip(keys.to_pylist(), numbers.to_pylist(), bits.to_pylist())]
+        return pa.array(made, pa.list_(pa.list_(pa.int32())))
 
+    full = cells.join(_carried(placed.select("user_id", "chunk", "pos", "idx"), chunk), ["user_id", "chunk"], "left")
+    full = full.withColumn("drawn", drawn(F.col("cells.row_key"), F.col("cells.idx"), F.col("bits")))
+    each = full.select("user_id", F.explode(F.arrays_zip("cells", "drawn")).alias("x")).select("user_id", "x.cells", F.posexplode("x.drawn").alias("nth", "idx"))
+    each = each.select("user_id", *[F.col(f"cells.{c}").alias(c) for c in ("row_key", "pos", *keep)], "nth", F.col("idx").cast("long").alias("idx"))
+    names = pool.select("idx", F.col("parent_asin").alias("neg_asin"))
+    return each.join(F.broadcast(names), "idx").select("user_id", "row_key", "pos", *keep, "neg_asin", (F.col("nth") + 1).alias("nth"))
 
-def _met(tried: DataFrame, seen: DataFrame) -> DataFrame:
-    """``(user_id, pos, idx)`` of ``tried`` whose item the user has seen up to that row."""
-    same = (tried.user_id == seen.user_id) & (tried.idx == seen.idx) & (seen.first_pos <= tried.pos)
-    return tried.join(seen, same).select(tried.user_id, tried.pos, tried.idx)
 
+def _by_place(x, y):
+    return F.when(x["pos"] < y["pos"], -1).when(x["pos"] > y["pos"], 1).otherwise(0)
 
-def draw_negatives(rows: DataFrame, pool: DataFrame, per_positive: int = PER_POSITIVE, seed: int = 0) -> DataFrame:
-    """``(user_id, row_key, pos, neg_asin, nth)``: up to ``per_positive`` items for each of the ``ordered`` rows.
 
-    Most rows take their first ``per_positive`` different tries: only the numbers of these are looked up among
-    what the user has seen, and the few rows with a hit are listed. Those rows, and rows with too many equal tries,
-    are tried again up to the bound of ``max_tries``, after which fewer are accepted. ``rows`` is read more than
-    once, so it had better be a table.
-    """
-    pool = as_table(pool, "pool")
-    n_pool = pool.count()
-    if n_pool == 0:
-        return rows.select("user_id", "row_key", "pos", F.lit(None).cast("string").alias("neg_asin"), F.lit(0).alias("nth")).limit(0)
-    names = pool.select("idx", F.col("parent_asin").alias("neg_asin"))  # the pool is bounded by its size parameter
-    seen = rows.groupBy("user_id", "parent_asin").agg(F.min("pos").alias("first_pos"))
-    seen = seen.join(F.broadcast(pool), "parent_asin").select("user_id", "idx", "first_pos")
-    keyed = rows.select("user_id", "row_key", "pos")
-    few = F.array_distinct(F.array(*[_place(n_pool, F.lit(k), seed) for k in range(per_positive + 3)]))
-    first = as_table(keyed.withColumn("tries", F.slice(few, 1, per_positive)), "first_tries")
-    tried = first.select("user_id", "pos", F.explode("tries").alias("idx"))
-    again = _met(tried, seen).select("user_id", "pos").union(first.where(F.size("tries") < per_positive).select("user_id", "pos"))
-    again = as_table(again.distinct(), "tried_again")
-    enough = first.join(again, ["user_id", "pos"], "left_anti").select("user_id", "row_key", "pos", F.posexplode("tries").alias("nth", "idx"))
-    short = keyed.join(again, ["user_id", "pos"], "left_semi").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(max_tries(per_positive) - 1))))
-    short = short.withColumn("idx", _place(n_pool, F.col("try"), seed)).groupBy("user_id", "row_key", "pos", "idx").agg(F.min("try").alias("try"))
-    short = as_table(short, "more_tries")
-    same = ["user_id", "pos", "idx"]
-    fresh = short.join(_met(short, seen), same, "left_anti")
-    nth = F.row_number().over(Window.partitionBy("user_id", "pos").orderBy("try")) - 1
-    fresh = fresh.withColumn("nth", nth).where(F.col("nth") < per_positive).select("user_id", "row_key", "pos", "nth", "idx")
-    return enough.unionByName(fresh).join(F.broadcast(names), "idx").select("user_id", "row_key", "pos", "neg_asin", (F.col("nth") + 1).alias("nth"))
-
-
-def negative_rows(drawn: DataFrame, positives: DataFrame, meta: DataFrame) -> DataFrame:
-    """Negatives with their item's metadata, and the positive's time, date and past-only profile.
+def negative_rows(drawn: DataFrame, meta: DataFrame) -> DataFrame:
+    """Negatives with their item's metadata; what ``draw_negatives`` has kept of the positive (time, date, past-only profile) stays.
 
     ``meta`` must have one row an item; items without metadata are left out.
     """
-    kept = ["user_id", "pos", "sort_timestamp", "event_date", *[c for c in ("user_feat",) if c in positives.columns]]
     facts = meta.withColumnRenamed("parent_asin", "neg_asin")
+    kept = [c for c in drawn.columns if c not in ("user_id", "row_key", "pos", "neg_asin", "nth")]
     zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
-    return drawn.join(positives.select(*kept), ["user_id", "pos"]).join(facts, "neg_asin").select(
-        "user_id", F.col("neg_asin").alias("parent_asin"), "row_key", "nth", *kept[2:], *[c for c in meta.columns if c != "parent_asin"],
+    return drawn.join(facts, "neg_asin").select(
+        "user_id", F.col("neg_asin").alias("parent_asin"), "row_key", "nth", *kept, *[c for c in meta.columns if c != "parent_asin"],
         zero("rating", "double"), zero("label_good", "int"), zero("label_best", "int"), zero("helpful_votes", "long"), F.lit(1).alias("is_neg"),
     )

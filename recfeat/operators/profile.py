@@ -45,8 +45,9 @@ def own_category() -> Column:
     return F.coalesce(F.nullif(F.col("main_category"), F.lit("")), F.lit(UNKNOWN))
 
 
-def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
-    return rows.withColumn("chunk", F.floor((F.col("pos") - 1) / chunk))
+def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``ordered`` rows with ``chunk``, from 0 up; rows that have one (of the same length) keep it, and with it their partitioning."""
+    return rows if "chunk" in rows.columns else rows.withColumn("chunk", F.floor((F.col("pos") - 1) / chunk))
 
 
 def _earlier_prices(rows: DataFrame) -> DataFrame:
@@ -101,22 +102,19 @@ def with_past(rows: DataFrame, prices: bool = False, categories: bool = False, r
     """
     if chunk < keep:
         raise ValueError("a chunk must not be shorter than the history")
-    now = _chunked(rows, chunk).withColumn("_lead", F.lit(False))
-    if reviews:  # the next chunk sees the last reviews of this one
-        last = _chunked(rows, chunk).where(F.pmod(F.col("pos") - 1, F.lit(chunk)) >= chunk - keep)
-        now = now.unionByName(last.withColumn("chunk", F.col("chunk") + 1).withColumn("_lead", F.lit(True)))
+    now = chunked(rows, chunk)
     order = Window.partitionBy(*_CELL).orderBy("pos")
     past, made = order.rowsBetween(*_PAST), []
-    cents = F.when(~F.col("_lead"), F.col("price_cents")).cast(_BIG)
+    cents = F.col("price_cents").cast(_BIG)
+    piece = F.struct(F.col("review_title").alias("title"), F.col("review_text").alias("text"))
     if prices:
         made += [F.count(cents).over(past).alias("n_here"), F.sum(cents).over(past).alias("s_here"), F.sum((cents * cents).cast(_BIG)).over(past).alias("q_here")]
     if categories:
-        made.append(F.collect_list(F.when(~F.col("_lead"), own_category())).over(past).alias("seen_here"))
+        made.append(F.collect_list(own_category()).over(past).alias("seen_here"))
     if reviews:
-        piece = F.struct(F.col("review_title").alias("title"), F.col("review_text").alias("text"))
-        made.append(F.collect_list(piece).over(order.rowsBetween(-keep, -1)).alias("history"))
-    now = now.select("*", *made).where(~F.col("_lead"))
-    bare, out = _chunked(rows, chunk), [*rows.columns]
+        made.append(F.collect_list(piece).over(order.rowsBetween(-keep, -1)).alias("reviews_here"))
+    now = now.select("*", *made)
+    bare, out = chunked(rows, chunk), [*rows.columns]
     if prices:
         now = now.join(_earlier_prices(bare.select(*_CELL, "price_cents")), _CELL, "left")
         n, s, q = (F.coalesce(F.col(f"{c}_here"), F.lit(0)).cast(_BIG) + F.coalesce(F.col(f"{c}_carry"), F.lit(0)).cast(_BIG) for c in "nsq")
@@ -137,8 +135,11 @@ def with_past(rows: DataFrame, prices: bool = False, categories: bool = False, r
                 lambda e: F.struct(e["category"].alias("category"), half_even(e["n"] / before, 4).alias("share")),
             ).alias("shares")
         )
-    if reviews:
-        out.append("history")
+    if reviews:  # a chunk's first rows see the last reviews of the chunk before
+        last = bare.where(F.pmod(F.col("pos") - 1, F.lit(chunk)) >= chunk - keep).groupBy("user_id", (F.col("chunk") + 1).alias("chunk"))
+        now = now.join(last.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"]).alias("reviews_carry")), _CELL, "left")
+        both = F.concat(F.coalesce("reviews_carry", F.array().cast("array<struct<title:string,text:string>>")), "reviews_here")
+        out.append(F.when(F.size("reviews_here") >= keep, F.col("reviews_here")).otherwise(F.slice(both, F.greatest(F.size(both) - keep + 1, F.lit(1)), keep)).alias("history"))
     return now.select(*out)
 
 

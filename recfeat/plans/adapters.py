@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich, profile
 from ..sources.ingest import main_image
-from ..tables import as_table
+from ..tables import as_bucketed
 
 TRAIN_END, VALID_END = "2000-04-11", "2000-12-01"
 
@@ -58,8 +58,9 @@ def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positives in the order of their users, as a table: the profile's parts read it several times."""
-    return as_table(profile.ordered(positives(spark, sf_dir).drop("features", "description", "images")), "ordered")
+    """Positives in the order of their users, as a table dealt by user and chunk: profile and negatives read it without a shuffle."""
+    rows = profile.ordered(positives(spark, sf_dir).drop("features", "description", "images"))
+    return as_bucketed(profile.chunked(rows), "ordered", "user_id", "chunk")
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:

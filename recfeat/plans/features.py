@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as texts
 from ..operators import assemble, enrich, evaluate, negatives, profile, split
 from ..sources import ingest
-from ..tables import as_table
+from ..tables import as_bucketed
 from . import adapters as a
 
 SEED = 7
@@ -103,9 +103,9 @@ POOL_SQL = f"""pool as (
 CANDIDATE_POOL_SQL = f"with {a.META_SQL}, {POOL_SQL} select idx, parent_asin from pool"
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _drawn(spark: SparkSession, sf_dir: str, *keep: str) -> tuple[DataFrame, DataFrame]:
     rows = a.ordered(spark, sf_dir)
-    return rows, negatives.draw_negatives(rows, candidate_pool(spark, sf_dir), seed=SEED)
+    return rows, negatives.draw_negatives(rows, candidate_pool(spark, sf_dir), seed=SEED, keep=keep)
 
 
 def draw_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,37 +113,39 @@ def draw_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("user_id", "row_key", "neg_asin", F.col("nth").cast("long").alias("nth"))
 
 
-def _tries_sql(name: str, source: str, tries: int) -> str:
-    """A common table expression: the first five fresh items of each row of ``source`` within so many tries."""
-    return f"""{name} as (select user_id, row_key, pos, neg_asin, nth from (
-    select o.*, row_number() over (partition by o.row_key order by o.try) as nth
-    from (select user_id, row_key, pos, parent_asin as neg_asin, min(try) as try
-          from (select user_id, row_key, pos, try, cast(floor(('0x' || substr(md5(concat_ws('|', row_key, cast(try as varchar), '{SEED}')), 1, 8))::ubigint / 4294967296.0 * (select count(*) from pool)) as bigint) idx
-                from (select user_id, row_key, pos, unnest(range({tries})) as try from {source})) join pool using (idx) group by all) o
-    left join seen s on o.user_id = s.user_id and o.neg_asin = s.neg_asin and s.first_pos <= o.pos where s.user_id is null) where nth <= 5)"""
+def _draw_sql(nth: int) -> str:
+    """One draw: a rank among what is free, shifted past the sorted numbers that are gone."""
+    word = f"('0x' || substr(md5(concat_ws('|', row_key, '{nth - 1}', '{SEED}')), 1, 8))::ubigint"
+    rank = f"cast(({word} * cast((select count(*) from pool) - len(gone) as ubigint)) >> 32 as bigint)"
+    shifted = f"list_reduce(list_prepend({rank}, gone), lambda d, x: d + cast(x <= d as int))"
+    return f"""draw{nth} as materialized (select user_id, row_key, pos, list_append(drawn, d) as drawn, case when d is null then gone else list_sort(list_append(gone, d)) end as gone
+    from (select *, case when len(gone) < (select count(*) from pool) then {shifted} end as d from draw{nth - 1}))"""
 
 
-NEGATIVES_SQL = f"""{a.ORDERED_SQL}, {POOL_SQL}, seen as (select user_id, parent_asin as neg_asin, min(pos) as first_pos from ordered group by all),
-{_tries_sql("few", "ordered", 24)},
-short as (select user_id, row_key, pos from ordered where row_key not in (select row_key from few where nth = 5)),
-{_tries_sql("many", "short", negatives.max_tries(negatives.PER_POSITIVE))},
-drawn as (select * from few where row_key not in (select row_key from short) union all select * from many)"""
+NEGATIVES_SQL = f"""{a.ORDERED_SQL}, {POOL_SQL},
+seen as materialized (select user_id, idx, min(pos) as first_pos from ordered join pool using (parent_asin) group by all),
+draw0 as materialized (select o.user_id, row_key, pos, []::bigint[] as drawn, coalesce(list(idx order by idx) filter (where idx is not null), []) as gone
+    from ordered o left join seen s on o.user_id = s.user_id and s.first_pos <= o.pos group by all),
+{", ".join(_draw_sql(nth) for nth in range(1, negatives.PER_POSITIVE + 1))},
+drawn as materialized (select user_id, row_key, pos, parent_asin as neg_asin, nth from (
+    select user_id, row_key, pos, unnest(drawn) as idx, unnest(range(1, len(drawn) + 1)) as nth from draw{negatives.PER_POSITIVE}) join pool using (idx))"""
 
 DRAW_NEGATIVES_SQL = f"with {NEGATIVES_SQL} select user_id, row_key, neg_asin, nth from drawn"
 
 
 def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, drawn = _drawn(spark, sf_dir)
+    rows, drawn = _drawn(spark, sf_dir, "sort_timestamp", "event_date")
     facts = enrich.least_row(a.meta(spark, sf_dir), "parent_asin").select("parent_asin", "main_category", "product_title", "price_cents")
-    negs = negatives.negative_rows(drawn, rows, facts)
-    return split.split_rows(rows.withColumn("nth", F.lit(0)).drop("price", "ts_key", "pos"), negs, a.TRAIN_END, a.VALID_END)
+    negs = negatives.negative_rows(drawn, facts)
+    return split.split_rows(rows.withColumn("nth", F.lit(0)).drop("price", "ts_key", "pos", "chunk"), negs, a.TRAIN_END, a.VALID_END)
 
 
 def negative_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negatives with their positive's time and its past-only profile."""
-    rows = as_table(profile.user_features(a.ordered(spark, sf_dir)), "featured")
+    rows = as_bucketed(profile.user_features(a.ordered(spark, sf_dir)), "featured", "user_id", "chunk")
     facts = enrich.least_row(a.meta(spark, sf_dir), "parent_asin").select("parent_asin", "main_category")
-    negs = negatives.negative_rows(negatives.draw_negatives(rows, candidate_pool(spark, sf_dir), seed=SEED), rows, facts)
+    kept = ("event_date", "user_feat")
+    negs = negatives.negative_rows(negatives.draw_negatives(rows, candidate_pool(spark, sf_dir), seed=SEED, keep=kept), facts)
     return negs.groupBy("user_id", "event_date").agg(
         F.count("*").alias("n"), F.sum("user_feat.review_cnt").alias("reviews"), F.sum(F.size("user_feat.cat_hist")).alias("categories"),
         F.sum(F.size("user_feat.history")).alias("history"), F.sum(F.round(F.col("user_feat.price_std") * 10_000).cast("long")).alias("std_sum"), F.sum("label_good").alias("good"),

@@ -32,6 +32,18 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``as_table``, dealt into buckets by ``keys``: joins, windows and aggregates on these keys read it without a shuffle.
+
+    There are as many buckets as shuffle partitions; where one key may hold many rows, name a second one that splits it.
+    """
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd")
+    dealt.option("path", f"{own_folder(spark)}/{table}").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def remove_tables(spark: SparkSession) -> None:
     """Delete what this application has written with ``as_table``. Call it when no result is to be read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))

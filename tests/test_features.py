@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recfeat.operators import assemble, enrich, negatives, profile, sampling, split
+from recfeat.tables import as_bucketed
 
 from .conftest import rows
 
@@ -88,10 +89,50 @@ def test_negatives(spark):
         by.setdefault(r.row_key, []).append(r.neg_asin)
     for key, w in want.items():
         drawn = by.get(key, [])
-        assert len(drawn) == len(set(drawn)) == min(5, len(items - w["seen"]))  # the second pass finds what is left
+        assert len(drawn) == len(set(drawn)) == min(5, len(items - w["seen"]))
         assert not set(drawn) & w["seen"] and set(drawn) <= items
     again = negatives.draw_negatives(df.repartition(7), pool, 5, seed=3)
     assert rows(again) == sorted((tuple(r) for r in got), key=repr)
+    for chunk in (3, 7):  # what earlier chunks have seen comes as bitmaps
+        assert rows(negatives.draw_negatives(df, pool, 5, seed=3, chunk=chunk)) == sorted((tuple(r) for r in got), key=repr)
+
+
+def test_negatives_of_a_user_who_has_seen_nearly_all(spark):
+    """Draws never fail: all but three items seen, exactly these three come out."""
+    n = 400
+    data = [("u", f"i{k:03}", 5.0, k, f"r{k:03}", "a", 1, "", "") for k in range(n - 3)] + [("u", "elsewhere", 5.0, n + k, f"s{k}", "a", 1, "", "") for k in range(300)]
+    pool = negatives.candidate_pool(spark.createDataFrame([(f"i{k:03}",) for k in range(n)], "parent_asin string"))
+    got = negatives.draw_negatives(profile.ordered(spark.createDataFrame(data, REVIEW)), pool, 5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.row_key, set()).add(r.neg_asin)
+    assert all(by[f"s{k}"] == {"i397", "i398", "i399"} for k in range(300))
+    assert all(len(by[f"r{k:03}"]) == min(5, n - 1 - k) and min(by[f"r{k:03}"]) > f"i{k:03}" for k in range(n - 3))
+
+
+def test_negatives_are_uniform(spark):
+    """Chi-square over the 40 items that two users have not seen, for each draw apart and all together."""
+    data = [(u, f"i{k}", 5.0, 0, f"{u}{k}", "a", 1, "", "") for u in "ab" for k in range(10)] + [(u, "none", 5.0, 1 + k, f"{u}z{k}", "a", 1, "", "") for u in "ab" for k in range(2000)]
+    pool = negatives.candidate_pool(spark.createDataFrame([(f"i{k}",) for k in range(50)], "parent_asin string"))
+    got = negatives.draw_negatives(profile.ordered(spark.createDataFrame(data, REVIEW)), pool, 5).where("row_key like '_z%'").collect()
+    for some in ([r for r in got if r.nth == 1], [r for r in got if r.nth == 5], got):
+        counts = [sum(r.neg_asin == f"i{k}" for r in some) for k in range(50)]
+        assert sum(counts[:10]) == 0
+        mean = len(some) / 40
+        assert sum((c - mean) ** 2 / mean for c in counts[10:]) < 72.1  # 39 degrees of freedom, one in a thousand
+
+
+def test_negatives_and_profile_read_a_dealt_table_without_a_shuffle(spark):
+    df = profile.chunked(profile.ordered(spark.createDataFrame(made(), REVIEW)))
+    table = as_bucketed(df, "dealt", "user_id", "chunk")
+    plan = lambda made_: made_._jdf.queryExecution().executedPlan().toString()
+    by_user = lambda text: [line for line in text.split("\n") if "Exchange hashpartitioning(user_id" in line and "chunk" in line]
+    assert by_user(plan(profile.numeric_profile(df))) and not by_user(plan(table.groupBy("user_id", "chunk").count()))
+    pool = negatives.candidate_pool(spark.createDataFrame([(f"i{k}",) for k in range(25)], "parent_asin string"))
+    text = plan(negatives.draw_negatives(table, pool, 5))
+    assert "LeftAnti" not in text and "SelectedBucketsCount" in text
+    spans = text.split("collect_list")[-1].split("Exchange")[0]  # what the rows' cells are built from
+    assert "FileScan parquet" in spans
 
 
 def test_small_and_empty_pools(spark):
