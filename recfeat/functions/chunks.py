@@ -2,59 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_IDS = T.ArrayType(T.IntegerType())
-CHUNKS = T.ArrayType(T.StructType([T.StructField("ids", _IDS), T.StructField("marks", _IDS)]))
+from .pieces import WORD
 
+MAX_TOK, MAX_CHUNKS = 384, 4
 
-def words_as_ids(vocabulary: int = 30_000) -> Callable[[str], list[int]]:
-    """The default token function: one id for each word between spaces, from 10 up."""
-    import zlib
 
-    return lambda sentence: [10 + zlib.crc32(w.encode()) % (vocabulary - 10) for w in sentence.split()]
+def words_as_ids(sentences: Column, vocabulary: int = 30_000) -> Column:
+    """Ids without a learned vocabulary: for each word of a sentence its crc32, folded to ids from 10 up."""
+    number = lambda w: (F.crc32(w.cast("binary")) % (vocabulary - 10) + 10).cast("int")
+    return F.transform(sentences, lambda s: F.transform(F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(WORD), F.lit(0)), number))
 
 
-def pack(sentences: list[str], encode: Callable[[str], list[int]], max_tok: int, max_chunks: int, first: int, last: int, mark: int) -> list[dict]:
-    """Chunks of whole sentences, each sentence led by ``mark``, each chunk by ``first`` and closed by ``last``.
+def sentence_chunks(ids: Column, max_tok: int = MAX_TOK, max_chunks: int = MAX_CHUNKS, first: int = 1, last: int = 2, mark: int = 3) -> Column:
+    """Chunks of whole sentences as ``array<struct<ids,marks>>``, from the ids of each sentence; null gives none.
 
-    A sentence is cut to max_tok - 3 tokens; a chunk holds at most max_tok. Past ``max_chunks`` the rest
-    is left out. ``marks`` are the places of the sentence marks in the chunk.
+    Each sentence is led by ``mark``, each chunk by ``first``, and closed by ``last``. A sentence is cut to max_tok - 3 ids; a chunk holds at
+    most max_tok. Past ``max_chunks`` the rest is left out. ``marks`` are the places of the sentence marks in the chunk.
     """
-    chunks: list[dict] = []
-    body: list[int] = []
-    marks: list[int] = []
-    for sentence in sentences:
-        ids = [mark, *encode(sentence)[: max_tok - 3]]
-        if body and len(body) + len(ids) > max_tok - 2:
-            chunks.append({"ids": [first, *body, last], "marks": marks})
-            body, marks = [], []
-            if len(chunks) == max_chunks:
-                break
-        marks.append(len(body) + 1)
-        body += ids
-    if body:
-        chunks.append({"ids": [first, *body, last], "marks": marks})
-    return chunks
-
-
-def sentence_chunks(
-    sentences: Column, encode: Callable[[str], list[int]] | None = None, max_tok: int = 384, max_chunks: int = 4, first: int = 1, last: int = 2, mark: int = 3
-) -> Column:
-    """The chunks of an array of sentences; null gives none."""
-    encode = encode or words_as_ids()
-
-    @F.pandas_udf(CHUNKS)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda s: pack(list(s) if s is not None else [], encode, max_tok, max_chunks, first, last, mark))
-
-    return run(sentences)
+    room = max_tok - 2
+    some = F.slice(F.coalesce(ids, F.array().cast("array<array<int>>")), 1, max_chunks * room)  # more sentences than that fill all chunks
+    led = F.transform(some, lambda s: F.concat(F.array(F.lit(mark)), F.slice(F.coalesce(s, F.array().cast("array<int>")), 1, max_tok - 3)))
+    nothing = F.array().cast("array<struct<chunk:int,place:int>>")
+
+    def place(state: Column, n: Column) -> Column:
+        full = (state["used"] > 0) & (state["used"] + n > room)
+        chunk, used = F.when(full, state["chunk"] + 1).otherwise(state["chunk"]), F.when(full, 0).otherwise(state["used"])
+        at = F.array(F.struct(chunk.alias("chunk"), (used + 1).alias("place")))
+        return F.struct(chunk.alias("chunk"), (used + n).alias("used"), F.concat(state["at"], at).alias("at"))
+
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), nothing.alias("at"))
+    placed = F.aggregate(F.transform(led, lambda s: F.size(s)), start, place, lambda state: state["at"])
+    both = F.arrays_zip(led.alias("ids"), placed.alias("at"))
+
+    def chunk(k: Column) -> Column:
+        mine = F.filter(both, lambda x: x["at"]["chunk"] == k)
+        whole = F.concat(F.array(F.lit(first)), F.flatten(F.transform(mine, lambda x: x["ids"])), F.array(F.lit(last)))
+        return F.struct(whole.alias("ids"), F.transform(mine, lambda x: x["at"]["place"]).alias("marks"))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_chunks - 1)), chunk), lambda c: F.size(c["marks"]) > 0)
 
 
 def padded(values: Column, length: Column | int, pad: int) -> Column:

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import chunks, image, text, vectors
-from ..operators import assemble, evaluate, sampling
+from ..functions import chunks, image, pieces, text, vectors
+from ..operators import assemble, evaluate, sampling, sentences
 from ..sources import shards, sinks
 from ..streaming import profile as streams
 from ..tables import as_table, shared_folder
@@ -149,11 +149,45 @@ def finite_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 FINITE_VECTORS_SQL = "select vec_id, len(embedding) n from embeddings where vec_id % 7 <> 0"
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    """The words of all documents with their numbers, and the vocabulary learned from them."""
+    words = as_table(pieces.histogram(a.table(spark, sf_dir, "documents")), "histogram")
+    return words, {r.piece: r.id for r in pieces.learn(words).collect()}
+
+
+def word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different word of the documents, cut into pieces of the learned vocabulary: their number and a digest of their ids."""
+    words, vocabulary = _pieces(spark, sf_dir)
+    ids = pieces.encoded(F.array("word"), vocabulary)[0]
+    rows = words.select("word", "n", ids.alias("ids"))
+    return rows.select("word", "n", F.size("ids").cast("long").alias("n_pieces"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"))
+
+
+_PIECES_SQL = rf"""hist as materialized (select word, count(*) n from (select unnest(regexp_extract_all(text, '{pieces.WORD}')) as word from documents) group by word),
+spans as (select substr(chr(1) || word, s, k) as piece, n from (
+    select word, n, k, unnest(range(1, length(word) - k + 3)) as s from hist, (select unnest(range(1, {pieces.LONGEST + 1})) as k) where length(word) + 1 >= k)),
+vocabulary as materialized (select piece, row_number() over (order by gain desc, piece) + {pieces.FIRST_ID + pieces.BYTES - 1} as id from (
+    select piece, sum(n) * greatest(length(piece) - 1, 1) as gain from spans group by piece order by gain desc, piece limit {pieces.SIZE})),
+cut as (
+    select word, chr(1) || word as m, 1 as at_char, []::bigint[] as ids from hist
+    union all
+    select word, m, at_char + greatest(any_value(took), 1), any_value(ids) || case when any_value(took) > 0 then [any_value(id)]
+        else list_transform(range(1, any_value(octet_length(encode(substr(m, at_char, 1)))) + 1), lambda i: {pieces.FIRST_ID} + ('0x' || substr(hex(encode(substr(any_value(m), any_value(at_char), 1))), 2 * i - 1, 2))::bigint) end
+    from (select cut.*, coalesce(max(length(piece)), 0) as took, arg_max(v.id, length(piece)) as id
+          from cut cross join (select unnest(range(1, {pieces.LONGEST + 1})) as k) left join vocabulary v on v.piece = substr(m, at_char, k) and length(v.piece) = k
+          where at_char <= length(m) group by all) group by word, m, at_char),
+cut_words as materialized (select word, ids from cut where at_char > length(m))"""
+
+WORD_PIECES_SQL = f"""with recursive {_PIECES_SQL}
+select word, n, len(ids) n_pieces, md5(array_to_string(ids, ',')) ids_md5 from cut_words join hist using (word)"""
+
+
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents: their lengths, and the places of their sentence marks cut or filled to 64."""
+    """Chunks of all documents in learned word pieces: their lengths, and the places of their sentence marks cut or filled to 64."""
     docs = a.table(spark, sf_dir, "documents")
-    made = docs.select("doc_id", chunks.sentence_chunks(text.sentences(F.col("text"))).alias("c"))
-    one = made.select("doc_id", F.posexplode("c").alias("chunk", "x"))
+    _, vocabulary = _pieces(spark, sf_dir)
+    ids = docs.select("doc_id", pieces.encoded(text.sentences(F.col("text")), vocabulary).alias("ids"))
+    one = ids.select("doc_id", F.posexplode(chunks.sentence_chunks(F.col("ids"))).alias("chunk", "x"))
     marks = F.array_join(F.transform(chunks.padded(F.col("x.marks"), 64, -1), lambda m: m.cast("string")), ",")
     return one.select("doc_id", "chunk", F.size("x.ids").alias("n_ids"), F.size("x.marks").alias("n_sentences"), marks.alias("marks"))
 
@@ -169,8 +203,10 @@ SENTENCE_COUNTS_SQL = r"""select doc_id, len(s) n, coalesce(length(array_to_stri
     from documents)"""
 
 _SENTENCES = SENTENCE_COUNTS_SQL[SENTENCE_COUNTS_SQL.index("from (") + 6 : -1]
-SENTENCE_CHUNKS_SQL = rf"""with recursive t as (
-    select doc_id, list_transform(s, lambda x: 1 + least(len(regexp_extract_all(x, '[^\s\p{{Z}}]+')), 381)) n from ({_SENTENCES}) where len(s) > 0),
+SENTENCE_CHUNKS_SQL = rf"""with recursive {_PIECES_SQL},
+said as (select doc_id, unnest(s) as sentence, unnest(range(len(s))) as k from ({_SENTENCES})),
+spoken as (select doc_id, k, coalesce(sum(len(ids)), 0) as n from (select doc_id, k, unnest(regexp_extract_all(sentence, '{pieces.WORD}')) as word from said) left join cut_words using (word) group by all),
+t as materialized (select doc_id, list(1 + least(n, 381) order by k) as n from spoken group by doc_id),
 r as (select doc_id, 1 i, 0 chunk, n[1] used from t
       union all
       select r.doc_id, i + 1, case when used + n[i + 1] > 382 then chunk + 1 else chunk end, case when used + n[i + 1] > 382 then n[i + 1] else used + n[i + 1] end
@@ -180,6 +216,71 @@ g as (select doc_id, chunk, cast(max(used) + 2 as int) n_ids, cast(count(*) as i
 select doc_id, cast(chunk as int) chunk, n_ids, n_sentences, array_to_string(list_resize(m, 64, -1), ',') marks from g"""
 
 
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations that the documents' periods tell, with their counts and scores."""
+    found = sentences.abbreviation_scores(as_table(sentences.token_counts(a.table(spark, sf_dir, "documents")), "token_counts"))
+    return found.where(F.col("score") >= sentences.ABBREVIATION).withColumn("score", F.round("score", 6))
+
+
+def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sentences each document has by the boundaries learned from all documents, and how many periods end none."""
+    docs = a.table(spark, sf_dir, "documents")
+    bounds = sentences.learn(docs)
+    parts = sentences.split(F.col("text"), bounds)
+    inner = lambda s: F.size(F.regexp_extract_all(s, F.lit(rf"\.[{sentences.CLOSERS}]*[\x20\x09-\x0D]"), F.lit(0)))
+    rows = docs.select("doc_id", parts.alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate(F.transform("s", inner), F.lit(0), lambda x, y: x + y).cast("long").alias("n_inner"))
+
+
+def _kind_sql(column: str, name: str) -> str:
+    lead, trail, comma = (x.replace("'", "\'\'") for x in (sentences._LEAD, sentences._TRAIL, sentences._COMMA))
+    core = f"regexp_replace(regexp_replace({column}, '{lead}', ''), '{trail}', '')"
+    bare = f"lower(regexp_replace(regexp_replace({core}, '\\.$', ''), '{comma}', ''))"
+    return f"""case when regexp_matches({bare}, '{sentences._DIGITS}') then '##' else {bare} end as {name}type, {core} like '%.' as {name}dot, regexp_matches({core}, '[!?。！？]$') as {name}stop,
+    case when regexp_matches({core}, '^\\p{{Lu}}') then 'U' when regexp_matches({core}, '^\\p{{Ll}}') then 'L' else '-' end as {name}case, {core} as {name}core"""
+
+
+def _ratio_sql(a_: str, b_: str, ab: str, n: str) -> str:
+    log = lambda p: f"ln(greatest({p}, 1e-300))"
+    like = lambda k, m, q: f"(({k}) * {log(q)} + (({m}) - ({k})) * {log(f'1 - ({q})')})"
+    p, p1, p2 = f"{b_} / {n}", f"{ab} / {a_}", f"({b_} - {ab}) / greatest({n} - {a_}, 1)"
+    return f"-2 * ({like(ab, a_, p)} + {like(f'{b_} - {ab}', f'{n} - {a_}', p)} - {like(ab, a_, p1)} - {like(f'{b_} - {ab}', f'{n} - {a_}', p2)})"
+
+
+_TOKENS_SQL = rf"""raw as (select doc_id, unnest(t) as token, unnest(range(len(t))) as i from (select doc_id, regexp_extract_all(text, '{sentences.TOKEN}') as t from documents)),
+tok as materialized (select doc_id, i, {_kind_sql("token", "")} from raw),
+seq as materialized (select *, lag(i) over w is null as first, lag(stop) over w as last_stop, lag(dot) over w as last_dot, lag(type) over w as last_type,
+    lead(core) over w as next_core, lead(type) over w as next_type, lead("case") over w as next_case from tok window w as (partition by doc_id order by i)),
+counts as materialized (select type, dot, "case", case when first then 'start' when last_stop then 'stop' when last_dot then 'dot' else 'mid' end as place,
+    case when not first and not last_stop and last_dot then last_type end as before, count(*) as n from seq group by all),
+totals as (select cast(sum(n) as double) as tokens, cast(sum(n) filter (where dot) as double) as dots from counts),
+scored as materialized (select type, n_dot, n_plain, -2 * (n_dot * ln(greatest(dots / tokens, 1e-300)) + n_plain * ln(greatest(1 - dots / tokens, 1e-300)) - n_dot * ln(0.99::double) - n_plain * ln(1 - 0.99::double))
+        * exp(-letters) * (length(type) - letters + 1) * pow(letters, -n_plain) as score
+    from (select *, length(replace(type, '.', '')) as letters from (select type, coalesce(sum(n) filter (where dot), 0)::bigint as n_dot, coalesce(sum(n) filter (where not dot), 0)::bigint as n_plain from counts group by type)), totals
+    where n_dot > 0 and regexp_matches(type, '{sentences._WORD}'))"""
+
+ABBREVIATIONS_SQL = f"with {_TOKENS_SQL} select type, n_dot, n_plain, round(score, 6) as score from scored where score >= {sentences.ABBREVIATION}"
+
+LEARNED_SENTENCES_SQL = rf"""with {_TOKENS_SQL},
+known as (select type from scored where score >= {sentences.ABBREVIATION}),
+types as materialized (select type, sum(n)::double as n, coalesce(sum(n) filter (where "case" = 'L'), 0) as small, coalesce(sum(n) filter (where "case" = 'U' and place = 'mid'), 0) as large
+    from counts where regexp_matches(type, '{sentences._WORD}') group by type),
+pairs as materialized (select before, type, sum(n)::double as n, coalesce(sum(n) filter (where "case" = 'U'), 0) as large, length(before) = 1 or before = '##' or before in (from known) as weak
+    from counts where place = 'dot' group by all),
+opens as (select type, sum(n) as opens from (select type, n from counts where place = 'stop' union all select type, n from pairs where not weak) group by type),
+starters as (select type from opens join types using (type), totals, (select sum(opens) as breaks from opens)
+    where {_ratio_sql("breaks", "n", "opens", "tokens")} >= {sentences.STARTER} and tokens / breaks > n / opens),
+openers as (select type from types where small > 0 and large = 0 and type in (select type from pairs where weak and large > 0)),
+bound as (select p.before, p.type from pairs p join (select type as before, sum(n)::double as firsts from counts where dot group by 1) f using (before) join types t on t.type = p.type, totals
+    where weak and before <> '##' and p.n > 1 and {_ratio_sql("firsts", "t.n", "p.n", "tokens")} >= {sentences.COLLOCATION} and tokens / firsts > t.n / p.n),
+ends as (select doc_id, case when next_core is null then null when stop then true when not dot then null when type = '##' then not regexp_matches(next_core, '^\p{{Ll}}')
+        when type in (from known) or regexp_matches(type, '^\p{{L}}$') or core like '%..'
+            then (type, next_type) not in (select before, type from bound) and next_case = 'U' and (next_type in (from starters) or next_type in (from openers))
+        else true end as parts, dot and next_core is not null as inner_dot, regexp_matches(core, '[。！？]') as wide from seq)
+select doc_id, 1 + count(*) filter (where parts) as n, count(*) filter (where inner_dot and not parts) as n_inner from ends group by doc_id
+union all select doc_id, 0, 0 from documents where doc_id not in (select doc_id from ends where doc_id is not null)"""
+
+
 def vocabulary_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids drawn from all vectors: those past a vocabulary of 60 become padding, and the list is filled to 80."""
     ids = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
@@ -392,7 +493,8 @@ from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from
 QUERIES = {
     "auc_two_task": (auc_two_task, AUC_SQL), "roc_points": (roc_points, ROC_SQL), "vector_stats": (vector_stats, VECTOR_STATS_SQL), "mean_pool": (mean_pool, MEAN_POOL_SQL),
     "contrastive_loss": (contrastive_loss, CONTRASTIVE_SQL), "gate_fusion": (gate_fusion, GATE_FUSION_SQL), "metric_rollup": (metric_rollup, METRIC_ROLLUP_SQL),
-    "safe_values": (safe_values, SAFE_VALUES_SQL), "finite_vectors": (finite_vectors, FINITE_VECTORS_SQL), "sentence_chunks": (sentence_chunks, SENTENCE_CHUNKS_SQL), "vocabulary_guard": (vocabulary_guard, VOCABULARY_SQL),
+    "safe_values": (safe_values, SAFE_VALUES_SQL), "finite_vectors": (finite_vectors, FINITE_VECTORS_SQL), "sentence_chunks": (sentence_chunks, SENTENCE_CHUNKS_SQL), "word_pieces": (word_pieces, WORD_PIECES_SQL),
+    "abbreviations": (abbreviations, ABBREVIATIONS_SQL), "learned_sentences": (learned_sentences, LEARNED_SENTENCES_SQL), "vocabulary_guard": (vocabulary_guard, VOCABULARY_SQL),
     "sentence_counts": (sentence_counts, SENTENCE_COUNTS_SQL), "patch_roundtrip": (patch_roundtrip, PATCH_ROUNDTRIP_SQL), "pixel_values": (pixel_values, PIXEL_VALUES_SQL), "image_colours": (image_colours, IMAGE_COLOURS_SQL), "shard_roundtrip": (shard_roundtrip, SHARD_SQL),
     "predictions_csv": (predictions_csv, PREDICTIONS_SQL), "worker_split": (worker_split, WORKER_SQL), "shuffle_order": (shuffle_order, SHUFFLE_SQL),
     "two_task_scores": (two_task_scores, TWO_TASK_SQL), "capped_auc": (capped_auc, CAPPED_AUC_SQL), "network_scores": (network_scores, NETWORK_SQL), "stream_profile": (stream_profile, STREAM_PROFILE_SQL),

@@ -54,9 +54,10 @@ def test_sentences_and_chunks(spark):
     assert one(spark, text.sentences(F.col("v")), "A b. C!  D？E\nF", "string") == ["A b.", "C!", "D？", "E", "F"]
     assert one(spark, text.sentences(F.col("v")), None, "string") == []
     seven = [" ".join(["w"] * 100)] * 7
-    got = one(spark, chunks.sentence_chunks(F.col("v")), seven, "array<string>")
+    words = chunks.words_as_ids(F.col("v"))
+    got = one(spark, chunks.sentence_chunks(words), seven, "array<string>")
     assert [(len(c.ids), c.marks) for c in got] == [(305, [1, 102, 203]), (305, [1, 102, 203]), (103, [1])]
-    long = one(spark, chunks.sentence_chunks(F.col("v"), max_tok=10, max_chunks=2), [" ".join(["w"] * 100)] * 3, "array<string>")
+    long = one(spark, chunks.sentence_chunks(words, max_tok=10, max_chunks=2), [" ".join(["w"] * 100)] * 3, "array<string>")
     assert [len(c.ids) for c in long] == [10, 10]
     assert one(spark, chunks.padded(F.col("v"), 4, -1), [1, 2], "array<int>") == [1, 2, -1, -1]
     assert one(spark, chunks.padded(F.col("v"), 1, -1), [1, 2], "array<int>") == [1]
