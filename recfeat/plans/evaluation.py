@@ -472,6 +472,17 @@ select w.user_id, event_id, w.pos - 1 review_cnt, round(case when n > 0 then s /
 from w left join h using (user_id, pos)"""
 
 
+def stream_profile_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of a stream out of order: events leave in order once the watermark, an hour behind the newest, has passed their second."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), "event_id", "ts", F.col("event_type").alias("category"), F.col("value").alias("price"))
+    made = streams.drained(streams.ordered_profiles(rows, "1 hour"))
+    return made.select("user_id", "event_id", "review_cnt", F.round("price_mean", 6).alias("price_mean"), F.round("price_std", 6).alias("price_std"), "cat_hist", "history")
+
+
+STREAM_ORDERED_SQL = f"""select s.* exclude (late) from ({STREAM_PROFILE_SQL}) s join events e using (event_id)
+where epoch_ms(date_trunc('second', e.ts)) + {streams.LOT} <= (select epoch_ms(max(ts)) - 3600000 from events)"""
+
+
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("event_id", "user_id", (F.col("event_id") % 500).cast("string").alias("parent_asin"))
     meta = a.meta(spark, sf_dir).select("parent_asin", "product_title", "price_cents")
@@ -498,5 +509,5 @@ QUERIES = {
     "sentence_counts": (sentence_counts, SENTENCE_COUNTS_SQL), "patch_roundtrip": (patch_roundtrip, PATCH_ROUNDTRIP_SQL), "pixel_values": (pixel_values, PIXEL_VALUES_SQL), "image_colours": (image_colours, IMAGE_COLOURS_SQL), "shard_roundtrip": (shard_roundtrip, SHARD_SQL),
     "predictions_csv": (predictions_csv, PREDICTIONS_SQL), "worker_split": (worker_split, WORKER_SQL), "shuffle_order": (shuffle_order, SHUFFLE_SQL),
     "two_task_scores": (two_task_scores, TWO_TASK_SQL), "capped_auc": (capped_auc, CAPPED_AUC_SQL), "network_scores": (network_scores, NETWORK_SQL), "stream_profile": (stream_profile, STREAM_PROFILE_SQL),
-    "stream_enrich": (stream_enrich, STREAM_ENRICH_SQL), "stream_window_counts": (stream_window_counts, STREAM_WINDOW_SQL),
+    "stream_profile_ordered": (stream_profile_ordered, STREAM_ORDERED_SQL), "stream_enrich": (stream_enrich, STREAM_ENRICH_SQL), "stream_window_counts": (stream_window_counts, STREAM_WINDOW_SQL),
 }

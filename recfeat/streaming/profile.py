@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..tables import shared_folder
+from ..tables import own_folder
 
 OUTPUT = "user_id string, event_id long, ts timestamp, review_cnt long, price_mean double, price_std double, cat_hist string, history string, late boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS_OUT = 10_000
 """So many rows at most are held before they are handed on."""
+LOT = 1000
+"""Milliseconds of event time whose rows of a user leave together."""
 BATCH_BYTES = 256 << 20
 STATE = "n long, n_price long, s_price long, q_price string, cats string, last string, newest_ts long, newest_id long"
 
@@ -25,8 +28,35 @@ def _cents(value: float | None) -> int | None:
     return None if value is None or pd.isna(value) else round(value * 100)
 
 
+class Past:
+    """One user's running sums: ``row`` is the profile before an event, ``add`` takes the event in."""
+
+    def __init__(self, kept: tuple | None):
+        n, n_price, s_price, q_price, cats, last, newest, newest_id = kept or (0, 0, 0, "0", "{}", "[]", -1, -1)
+        self.n, self.n_price, self.s_price, self.q_price = n, n_price, s_price, int(q_price)
+        self.cats, self.last, self.newest = json.loads(cats), json.loads(last), (newest, newest_id)
+
+    def row(self) -> tuple:
+        n, s = self.n_price, self.s_price
+        spread = max(0, n * self.q_price - s * s) / (n * (n - 1)) if n > 1 else 0.0
+        shares = ";".join(f"{c}:{k}" for c, k in self.cats.items())
+        return self.n, s / n / 100 if n else None, spread**0.5 / 100, shares, ";".join(self.last)
+
+    def add(self, micros: int, event_id: int, category: str | None, price: float | None) -> None:
+        cents = _cents(price)
+        if cents is not None:
+            self.n_price, self.s_price, self.q_price = self.n_price + 1, self.s_price + cents, self.q_price + cents * cents
+        self.n, self.newest = self.n + 1, max(self.newest, (micros, int(event_id)))
+        name = category or "UNK"
+        self.cats[name] = self.cats.get(name, 0) + 1
+        self.last = [*self.last, f"{name}/{event_id}"][-3:]
+
+    def kept(self) -> tuple:
+        return self.n, self.n_price, self.s_price, str(self.q_price), json.dumps(self.cats), json.dumps(self.last), *self.newest
+
+
 class PastProfile(StatefulProcessor):
-    """One user's running sums; each event gets the profile of the events before it.
+    """Each event gets the profile of the events before it, at once.
 
     Within a micro-batch events are taken in the order of time and id. An event older than what the state
     has seen cannot change profiles already given out: it is counted from now on and flagged ``late``.
@@ -36,33 +66,76 @@ class PastProfile(StatefulProcessor):
         self.state = handle.getValueState("profile", STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        import json
-
         frame = pd.concat([f[["event_id", "ts", "category", "price"]] for f in rows]).sort_values(["ts", "event_id"], kind="stable")
         names = [part.split()[0] for part in OUTPUT.split(", ")]
-        if self.state.exists():
-            n, n_price, s_price, q_price, cats, last, newest, newest_id = self.state.get()
-            q_price, cats, last = int(q_price), json.loads(cats), json.loads(last)
-        else:
-            n, n_price, s_price, q_price, cats, last, newest, newest_id = 0, 0, 0, 0, {}, [], -1, -1
-        out = []
+        past, out = Past(self.state.get() if self.state.exists() else None), []
         for event_id, ts, category, value in zip(frame["event_id"], frame["ts"], frame["category"], frame["price"]):
             micros = ts.value // 1000
-            mean = s_price / n_price / 100 if n_price else None
-            spread = max(0, n_price * q_price - s_price * s_price) / (n_price * (n_price - 1)) if n_price > 1 else 0.0
-            shares = ";".join(f"{c}:{k}" for c, k in cats.items())
-            out.append((key[0], event_id, ts, n, mean, spread**0.5 / 100, shares, ";".join(last), (micros, event_id) < (newest, newest_id)))
-            cents = _cents(value)
-            if cents is not None:
-                n_price, s_price, q_price = n_price + 1, s_price + cents, q_price + cents * cents
-            n, (newest, newest_id) = n + 1, max((newest, newest_id), (micros, int(event_id)))
-            name = category or "UNK"
-            cats[name] = cats.get(name, 0) + 1
-            last = [*last, f"{name}/{event_id}"][-3:]
+            out.append((key[0], event_id, ts, *past.row(), (micros, event_id) < past.newest))
+            past.add(micros, event_id, category, value)
+            if len(out) == ROWS_OUT:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        self.state.update(past.kept())
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedProfile(StatefulProcessor):
+    """Each event waits until the watermark has passed it, and then leaves in the order of time and id with its profile.
+
+    Waiting events are a list state in lots of ``LOT`` milliseconds of event time, so that what fires reads no more than it gives out: a timer of
+    event time stands at the end of each lot. With ``idle``, a user's profile is forgotten so many milliseconds of event time after the last event.
+    """
+
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("profile", STATE)
+        self.waiting = handle.getMapState("waiting", "lot long, place long", "micros long, event_id long, category string, price double")
+        self.lots = handle.getMapState("lots", "lot long", "size long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            micros = frame["ts"].astype("int64") // {"ns": 1000, "us": 1}[frame["ts"].dt.unit]
+            for lot, mine in frame.assign(micros=micros).groupby(micros // (1000 * LOT)):
+                lot = int(lot)
+                size = self.lots.getValue((lot,))[0] if self.lots.containsKey((lot,)) else 0
+                if not size:
+                    self.handle.registerTimer((lot + 1) * LOT)
+                for at, (when, event_id, category, price) in enumerate(zip(mine["micros"], mine["event_id"], mine["category"], mine["price"]), size):
+                    self.waiting.updateValue((lot, at), (int(when), int(event_id), category, None if pd.isna(price) else float(price)))
+                self.lots.updateValue((lot,), (size + len(mine),))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        lot, names = at // LOT - 1, [part.split()[0] for part in OUTPUT.split(", ")]
+        kept = self.state.get() if self.state.exists() else None
+        if self.idle and kept and not self.lots.containsKey((lot,)) and kept[6] // 1000 + self.idle < at + LOT:
+            self.state.clear()
+            return
+        if not self.lots.containsKey((lot,)):
+            return
+        size, past, out = self.lots.getValue((lot,))[0], Past(kept), []
+        due = sorted(((self.waiting.getValue((lot, i))) for i in range(size)), key=lambda e: e[:2])
+        for micros, event_id, category, price in due:
+            out.append((key[0], event_id, pd.Timestamp(micros, unit="us"), *past.row(), False))
+            past.add(micros, event_id, category, price)
             if len(out) == ROWS_OUT:
                 yield pd.DataFrame(out, columns=names)
                 out = []
-        self.state.update((n, n_price, s_price, str(q_price), json.dumps(cats), json.dumps(last), newest, newest_id))
+        for i in range(size):
+            self.waiting.removeKey((lot, i))
+        self.lots.removeKey((lot,))
+        self.state.update(past.kept())
+        if self.idle:
+            self.handle.registerTimer((past.newest[0] // 1000 + self.idle) // LOT * LOT + LOT)
         if out:
             yield pd.DataFrame(out, columns=names)
 
@@ -79,6 +152,16 @@ def running_profiles(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(PastProfile(), OUTPUT, "Append", "None")
 
 
+def ordered_profiles(events: DataFrame, delay: str = "1 hour", idle_ms: int | None = None) -> DataFrame:
+    """Profiles in event time: rows may come in any order within ``delay``, and the outcome is that of a batch in order.
+
+    Rows later than ``delay`` are dropped; those the watermark has not passed are not given out yet. ``late`` is always false. A user's
+    waiting rows are those of ``delay``, however many a micro-batch brings. ``idle_ms`` lets profiles of absent users go.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return events.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(OrderedProfile(idle_ms), OUTPUT, "Append", "EventTime")
+
+
 def enriched(stream: DataFrame, meta: DataFrame) -> DataFrame:
     """A review stream joined with the static metadata, one row an item."""
     return stream.join(meta, "parent_asin")
@@ -109,7 +192,7 @@ def read_table(spark: SparkSession, folder: str, name: str, bytes_per_batch: int
 def drained(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
     """Run a stream until its present input is used up, into Parquet under the shared folder; returns the table."""
     spark = stream.sparkSession
-    out = f"{folder or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{folder or own_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
     query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -30,3 +30,43 @@ def test_window_counts_close(spark):
     rows = streams.read_table(spark, SMALL, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     total = streams.drained(streams.window_counts(rows)).agg(F.sum("n")).first()[0]
     assert 0 < total < spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
+def test_shuffled_events_equal_the_batch_in_order(spark, tmp_path):
+    """Events in any order within the delay give what they give in order; later ones are dropped."""
+    import datetime as dt
+    import random
+    import time
+
+    rng, start = random.Random(4), dt.datetime(2024, 1, 1)
+    data = [(f"u{rng.randrange(3)}", i, start + dt.timedelta(seconds=i // 3 * 7, milliseconds=rng.randrange(900)), rng.choice(["a", "b", None]), rng.choice([None, 1.5, 20.0])) for i in range(240)]
+    moved = sorted(data, key=lambda r: r[1] + rng.randrange(40))  # at most 40 places, so 2 minutes, out of order
+    folder = str(tmp_path / "in")
+    late = ("u0", 999, start, "a", 5.0)
+    for k in range(0, 240, 40):
+        write(spark, folder, [*moved[k : k + 40], *([late] if k == 200 else [])])
+        time.sleep(1.05)
+    write(spark, folder, [("end", 1000, start + dt.timedelta(days=1), "a", 1.0)])
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = sorted((r.user_id, r.event_id, r.review_cnt, r.price_mean, r.price_std, r.cat_hist, r.history, r.late) for r in streams.drained(streams.ordered_profiles(stream, "5 minutes"), str(tmp_path)).collect())
+    want, users = [], {}
+    for user, event_id, ts, category, price in sorted(data, key=lambda r: (r[2], r[1])):
+        past = users.setdefault(user, streams.Past(None))
+        want.append((user, event_id, *past.row(), False))
+        past.add(int(ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000), event_id, category, price)
+    assert got == sorted(want)
+
+
+def test_absent_users_are_forgotten(spark, tmp_path):
+    import datetime as dt
+    import time
+
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    folder = str(tmp_path / "in")
+    for batch in ([("u", 1, t(0), "a", 1.0)], [("v", 2, t(30), "a", 1.0)], [("v", 3, t(200), "a", 1.0)], [("u", 4, t(201), "a", 1.0)], [("end", 5, t(900), "a", 1.0)]):
+        write(spark, folder, batch)
+        time.sleep(1.05)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    run = lambda idle, name: {r.event_id: r.review_cnt for r in streams.drained(streams.ordered_profiles(stream, "1 minute", idle), str(tmp_path / name)).collect()}
+    assert run(None, "a") == {1: 0, 2: 0, 3: 1, 4: 1}
+    assert run(60 * 60_000, "b") == {1: 0, 2: 0, 3: 0, 4: 0}
