@@ -105,6 +105,96 @@ def test_shards_keep_equal_and_odd_keys_apart(spark, tmp_path):
         spark.read.format("tar_shards").option("path", "nosuch://x/y").load().count()
 
 
+def test_a_condition_on_keys_reads_their_samples_alone(spark, tmp_path, monkeypatch):
+    """One in a hundred keys: about one in a hundred of the bytes, and the index."""
+    import os
+
+    from pyarrow import fs
+    from pyspark.sql.datasource import In
+
+    shards.register(spark)
+    path = str(tmp_path / "s")
+    data = [(f"k{i % 395}", f"user {i}", "item", os.urandom(4000), [4000], 1, i % 2, 0) for i in range(400)]
+    df = spark.createDataFrame(data, shards.SCHEMA).repartition(2)
+    df.write.format("tar_shards").option("path", path).option("rows_per_shard", 150).mode("append").save()
+    read = spark.read.format("tar_shards").option("path", path).load()
+    wanted = ["k3", "k17", "k111", "absent"]
+    assert rows(read.where(F.col("key").isin(wanted)).select(*df.columns)) == rows(df.where(F.col("key").isin(wanted)))
+    assert rows(read.where("key = 'k3' and label_good = 1").select(*df.columns)) == rows(df.where("key = 'k3' and label_good = 1"))
+    assert read.where("key = 'k3' and key = 'k17'").count() == 0
+
+    count = {"bytes": 0}
+    kept = fs.LocalFileSystem()
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(kept, name)
+
+        def open_input_stream(self, where, compression=None):
+            count["bytes"] += os.path.getsize(where)
+            return kept.open_input_stream(where, compression=compression)
+
+        def open_input_file(self, where):
+            raw = kept.open_input_file(where)
+            if where.endswith(".idx"):
+                return raw
+
+            class Places:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *_):
+                    raw.close()
+
+                def read_at(self, size, start):
+                    count["bytes"] += size
+                    return raw.read_at(size, start)
+
+            return Places()
+
+    monkeypatch.setattr(shards, "located", lambda p: (Counting(), p))
+    total = sum(p.stat().st_size for p in (tmp_path / "s").glob("*.tar.gz"))
+    for keys, most in ((["k100", "k200", "k300", "k390"], 0.012), (None, 1.0)):
+        reader, count["bytes"] = shards._Reader(path), 0
+        if keys:
+            list(reader.pushFilters([In(("key",), tuple(keys))]))
+        got = [r for p in reader.partitions() for r in reader.read(p)]
+        assert len(got) == (4 if keys else 400) and count["bytes"] <= most * total
+    assert sum(p.stat().st_size for p in (tmp_path / "s").glob("*.idx")) < 0.02 * total
+    for p in (tmp_path / "s").glob("*.idx"):  # shards of others have none
+        p.unlink()
+    monkeypatch.undo()
+    assert read.where("key = 'k3'").count() == df.where("key = 'k3'").count()
+
+
+def test_shards_as_a_stream_sink_write_each_sample_once(spark, tmp_path):
+    shards.register(spark)
+    source, path, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    make = lambda k: [(f"k{k}-{i}", "u", "i", None, [2], 0, i % 2, 0) for i in range(20)]
+    write = lambda k: spark.createDataFrame(make(k), shards.SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(shards.SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        query = stream.writeStream.format("tar_shards").option("path", path).option("rows_per_shard", 8).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    keys = lambda: sorted(r.key for r in spark.read.format("tar_shards").option("path", path).load().collect())
+    write(0)
+    write(1)
+    run()
+    assert keys() == sorted(f"k{k}-{i}" for k in (0, 1) for i in range(20))
+    for name in ("commits/1", "commits/.1.crc"):  # as if the driver had gone after the sink's commit, before the stream's
+        (tmp_path / "state" / name).unlink()
+    write(2)
+    run()
+    assert keys() == sorted(f"k{k}-{i}" for k in range(3) for i in range(20))
+    (tmp_path / "state/commits/2").unlink()
+    (tmp_path / "out/_committed-2").unlink()  # gone in the middle of the sink's commit
+    (tmp_path / "state/commits/.2.crc").unlink()
+    run()
+    assert keys() == sorted(f"k{k}-{i}" for k in range(3) for i in range(20)) and not list((tmp_path / "out").glob("*.pending"))
+
+
 def test_tables_of_an_application_can_be_removed(spark):
     import os
 
