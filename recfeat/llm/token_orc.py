@@ -9,8 +9,10 @@ number a file, this gives its place in the whole stream.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,27 +21,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 END_ID = 2
-CACHED = 300_000
+CACHED = 500_000
 """So many pieces of text at most are kept with their ids by a Python worker."""
-FLUSH = 1 << 22
-"""So many token ids at most, or one document, are held before they are handed on."""
+FLUSH = 1 << 23
+"""Texts of about so many characters, or one document, are encoded before they are handed on."""
 STRIPE_BYTES = 16 << 20
 ROWS_INDEXED = 1000
 """Rows of a row group: each has its own statistics and Bloom filter."""
 _CODED: dict[str, Coder] = {}
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+"""What the tokenizer file takes as a word, for lower-cased Latin characters."""
 
 
 class Coder:
-    """Ids of texts by a tokenizer file whose tokens never cross a space or a line feed.
+    """Ids of texts by a tokenizer file that drops white space, spells words in bytes and marks word ends in its tokens.
 
-    This holds for tokenizers that drop white space before they look at words. A text is cut there, each different
-    piece is encoded once by the library, and the ids of a text are those of its pieces, one after the other.
+    So no token crosses a space or a line feed. Texts are cut there, each different
+    piece is encoded once by the library, and the ids of a text are those of its pieces, one after the other. What the file's
+    steps before its model do to ASCII and Latin-1 letters is no more than lower-casing and parting words, digits and marks, so
+    the model gets these parts as they are, all in one call; all other pieces take all steps.
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.whole, self.known = Tokenizer.from_file(tokenizer_path), {"": b""}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
+        self.spelled = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        suffix, vocabulary = self.model.model.end_of_word_suffix, self.whole.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # the tokens that end a word
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known, self.words = Kept(), Kept()
+        self.known[""] = b""
 
     @staticmethod
     def of(tokenizer_path: str) -> Coder:
@@ -48,16 +65,50 @@ class Coder:
             _CODED[tokenizer_path] = Coder(tokenizer_path)
         return _CODED[tokenizer_path]
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) > CACHED:
-                self.known, new = {"": b""}, [p for p in set(pieces) if p]
-            made = self.whole.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, (np.array(m.ids, dtype="<u4").tobytes() for m in made)))
-        return b"".join(map(self.known.__getitem__, pieces))
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces."""
+        simple = [p for p in new if _LATIN(p) and "<|" not in p]
+        parts = [_PARTS(p) for p in map(str.lower, simple)]
+        fresh = list(set(chain.from_iterable(parts)).difference(self.words))
+        words = self.words
+        if fresh:
+            made = self.model.encode_batch_fast([" ".join(fresh).translate(self.spelled)], add_special_tokens=False)
+            ids = np.array(made[0].ids, dtype="<u4")
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(self.closing[ids]) + 4).tolist()
+            words = _add(words, dict(zip(fresh, (data[a:b] for a, b in zip([0, *ends], ends)))))
+        found = {p: words[x[0]] if len(x) == 1 else b"".join(map(words.__getitem__, x)) for p, x in zip(simple, parts)}
+        other = [p for p in new if p not in found]
+        made = self.whole.encode_batch_fast(other, add_special_tokens=False)
+        found.update(zip(other, (np.array(m.ids, dtype="<u4").tobytes() for m in made)))
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        known = _add(self.known, self._learn(new)) if new else self.known
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+
+class Kept(dict):
+    """What a worker keeps, and what only the present texts need."""
+
+    def __init__(self):
+        super().__init__()
+        self.passing: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        return self.passing[key]
+
+
+def _add(kept: Kept, new: dict[str, bytes]) -> Kept:
+    """Keep what is new while there is room (frequent pieces come first), and have it at hand until the next call."""
+    if len(kept) + len(new) <= CACHED:
+        kept.update(new)
+        kept.passing = {}
+    else:
+        kept.passing = new
+    return kept
 
 
 def _lists(parts: list[bytes]) -> pa.ListArray:
@@ -83,17 +134,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end, before = Coder.of(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in batches:
-            first, parts, starts = 0, [], []
-            texts = batch.column(1)
-            for at in range(batch.num_rows):
-                parts.append(code(texts[at].as_py() or "") + end)
-                starts.append(before)
-                before += len(parts[-1]) // 4
-                if before - starts[0] > FLUSH or at == batch.num_rows - 1:
-                    counts = pa.array([len(p) // 4 for p in parts], pa.int64())
-                    columns = [batch.column(0).slice(first, len(parts)), pa.array(starts, pa.int64()), counts, _lists(parts)]
+            texts, first, chars = [], 0, 0
+            for at, text in enumerate(batch.column(1)):
+                texts.append(text.as_py() or "")
+                chars += len(texts[-1])
+                if chars >= FLUSH or at == batch.num_rows - 1:
+                    parts = [p + end for p in code(texts)]
+                    ends = np.cumsum([before, *(len(p) // 4 for p in parts)], dtype=np.int64)
+                    columns = [batch.column(0).slice(first, len(parts)), pa.array(ends[:-1]), pa.array(np.diff(ends)), _lists(parts)]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "before", "n", "ids"])
-                    first, parts, starts = at + 1, [], []
+                    texts, first, chars, before = [], at + 1, 0, int(ends[-1])
 
     made = ranged.mapInArrow(run, _schema(id_type))
     options = {
