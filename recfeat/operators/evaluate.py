@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import dot, normalised
 from ..tables import as_table
 
 ROWS_PER_BUCKET = 200_000
@@ -52,7 +53,7 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """``(threshold, fpr, tpr)`` at each distinct score: what is positive at this score or above."""
-    table = by_score(df, score, label)
+    table = as_table(by_score(df, score, label), "by_score")
     ranked = running(table, "score", ["p", "n"], descending=True)
     whole = table.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     rate = lambda x: (F.col(f"{x}_before") + F.col(x)) / F.nullif(F.col(f"all_{x}"), F.lit(0))
@@ -80,19 +81,26 @@ def mean_pool(df: DataFrame, group: str, vector: str) -> DataFrame:
     return filled.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
-def contrastive_loss(df: DataFrame, batch: str, key: str, left: str, right: str, temperature: float = 0.07) -> DataFrame:
-    """``(batch, n, loss)``: cross-entropy of each row's cosine to all partners in its batch against its own.
+def contrastive_losses(df: DataFrame, batch: str, left: str, right: str, temperature: float = 0.07) -> DataFrame:
+    """``(batch, n, loss, back)``: cross-entropy of each row's cosine to all partners in its batch against its own, and of each partner's to all rows.
 
-    Batches are bounded by their construction (ids in blocks), and only rows of one batch meet.
+    One matrix of scores a batch serves both directions. Batches are bounded by their construction (ids in blocks), vectors have one length.
     """
-    a = df.select(batch, F.col(key).alias("i"), normalised(F.col(left)).alias("u"))
-    b = df.select(batch, F.col(key).alias("j"), normalised(F.col(right)).alias("v"))
-    scores = a.join(b, batch).select(batch, "i", "j", (dot(F.col("u"), F.col("v")) / temperature).alias("s"))
-    rows = scores.groupBy(batch, "i").agg(
-        F.max("s").alias("top"), F.collect_list("s").alias("all"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own")
-    )
-    each = F.log(F.aggregate(F.transform("all", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda x, y: x + y)) + F.col("top") - F.col("own")
-    return rows.select(batch, each.alias("l")).groupBy(batch).agg(F.count("*").alias("n"), F.avg("l").alias("loss"))
+
+    @F.arrow_udf("struct<loss:double,back:double>")
+    def both(batches: pa.Array) -> pa.Array:
+        out = []
+        for rows in batches:
+            u, v = (np.stack([x.as_py() for x in rows.values.field(side)]).astype(float) for side in ("u", "v"))
+            u, v = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (u, v))
+            scores = u @ v.T / temperature
+            own = np.diagonal(scores)
+            logs = [top + np.log(np.exp(scores - np.expand_dims(top, axis)).sum(axis)) for axis in (1, 0) for top in (scores.max(axis),)]
+            out.append({"loss": float((logs[0] - own).mean()), "back": float((logs[1] - own).mean())})
+        return pa.array(out, pa.struct([("loss", pa.float64()), ("back", pa.float64())]))
+
+    cells = df.groupBy(batch).agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col(left).alias("u"), F.col(right).alias("v"))).alias("rows"))
+    return cells.select(batch, "n", both("rows").alias("x")).select(batch, "n", "x.loss", "x.back")
 
 
 def weighted_loss(tasks: list[Column], contrast: list[Column], weight: float = 0.1) -> Column:

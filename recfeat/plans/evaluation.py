@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunks, image, pieces, text, vectors
 from ..operators import assemble, evaluate, sampling, sentences
-from ..sources import shards, sinks
+from ..sources import images, patches, shards, sinks
 from ..streaming import profile as streams
-from ..tables import as_table, shared_folder
+from ..tables import as_table, own_folder
 from . import adapters as a
 
 GATE = [[0.5 if (i + e) % 2 else -0.25 * e for i in range(16)] for e in range(4)]
@@ -72,10 +75,9 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both directions' losses in each batch, and their weighted sum with the log losses of the pairs' two signs."""
     pairs = as_table(_pairs(spark, sf_dir), "pairs")
-    there, back = (evaluate.contrastive_loss(pairs, "batch", "vec_id", *sides) for sides in (("embedding", "partner"), ("partner", "embedding")))
     score = vectors.dot(F.col("embedding"), F.col("partner"))
     tasks = pairs.groupBy("batch").agg(F.avg(F.log1p(F.exp(-score))).alias("t0"), F.avg(F.log1p(F.exp(score))).alias("t1"))
-    rows = there.join(back.select("batch", F.col("loss").alias("back")), "batch").join(tasks, "batch")
+    rows = evaluate.contrastive_losses(pairs, "batch", "embedding", "partner").join(tasks, "batch")
     total = evaluate.weighted_loss([F.col("t0"), F.col("t1")], [F.col("loss"), F.col("back")])
     return rows.select("batch", "n", F.round("loss", 6).alias("loss"), F.round("back", 6).alias("back"), F.round(total, 6).alias("total"))
 
@@ -316,34 +318,104 @@ def _drawn_pixels(vector):
 
 
 def pixel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standardised pixel values of patches drawn from every vector (every fifth has none): their number, and one of each channel."""
+    """Standardised pixel values of patches drawn from every vector (every fifth has none): their number, and a digest of all by place."""
     patch = F.when(F.col("vec_id") % 5 != 0, image.patchify(_drawn_pixels(F.col("embedding"))))
-    rows = a.table(spark, sf_dir, "embeddings").select("vec_id", image.pixel_values(patch).alias("x"))
-    picked = [F.round(F.get("x", F.lit(c * 224 * 224 + 7 * c + 5)).cast("double"), 4).alias(f"value_{c}") for c in range(3)]
-    return rows.select("vec_id", F.size("x").cast("long").alias("n"), *picked)
+    made = a.table(spark, sf_dir, "embeddings").select("vec_id", image.pixel_values(patch).alias("x"))
+    return made.select("vec_id", F.size("x").cast("long").alias("n"), _weighed("x").alias("digest"))
 
 
-_CHANNEL = "case when vec_id % 5 = 0 then 0.0 else round((cast(('0x' || substr(h, {at}, 2)) as int) / 255 - {mean}) / {std}, 4) end value_{c}"
-PIXEL_VALUES_SQL = f"""with d as (select vec_id, {_DIGEST_SQL} h from embeddings)
-select vec_id, cast(3 * 224 * 224 as bigint) n, {", ".join(_CHANNEL.format(at=2 * (7 * c + 5) + 1, mean=m, std=s, c=c) for c, (m, s) in enumerate(zip(image.MEAN, image.STD)))} from d"""
+@F.arrow_udf("long")
+def _weighed(arrays: pa.Array) -> pa.Array:
+    """The sum of an array's values in ten-thousandths, each times a weight by its place."""
+    out = []
+    for x in arrays:
+        values = x.values.to_numpy().astype(float)
+        out.append(int((np.floor(values * 10_000 + 0.5).astype(np.int64) * (np.arange(len(values)) % 97 + 1)).sum()))
+    return pa.array(out, pa.int64())
 
 
-def image_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain images of a colour drawn from every vector, resized, cropped and cut: the first patch has its three channels in turn."""
-    byte = lambda k: F.substring(_digest(F.col("embedding")), 1 + 2 * k, 2)
-    rows = a.table(spark, sf_dir, "embeddings").withColumn("h", (F.col("vec_id") % 40 + 10).cast("int")).withColumn("w", (F.col("vec_id") % 23 + 12).cast("int"))
-    bgr = F.unhex(F.repeat(F.concat(byte(0), byte(1), byte(2)), F.col("h") * F.col("w")))
+# a byte of the digest comes at every place of one remainder by 32, in each channel
+PIXEL_VALUES_SQL = f"""with d as (select vec_id, {_DIGEST_SQL} h from embeddings),
+places as (select c, i % 32 as r, sum((c * 50176 + i) % 97 + 1) as w from (select unnest(range(3)) as c), (select unnest(range(50176)) as i) group by all),
+b as (select vec_id, c, w, case when vec_id % 5 = 0 then 0::real else ((('0x' || substr(h, 2 * r::int + 1, 2))::int::real / 255::real) - ([{", ".join(f"{m}::real" for m in image.MEAN)}])[c + 1]) / ([{", ".join(f"{s}::real" for s in image.STD)}])[c + 1] end as x
+    from d, places)
+select vec_id, cast(3 * 224 * 224 as bigint) n, cast(sum(cast(floor(x::double * 10000 + 0.5) as bigint) * w) as bigint) digest from b group by vec_id"""
+
+PICKED = ((0, 0, 3, 5), (97, 1, 11, 0), (195, 2, 15, 15), (13, 0, 7, 9))
+"""Patch, channel, row and column of the pixels that are compared."""
+
+
+def _gradient(h, w, bases: list):
+    """An image's bytes in the order of ``bases``: each channel grows by 2 a row and by 1 or 2 a column."""
+    byte = lambda i: (F.get(F.array(*bases), (i % 3).cast("int")) + 2 * F.floor(i / (3 * w)) + (1 + i % 3 % 2) * (F.floor(i / 3) % w)).cast("int")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), 3 * h * w - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+
+def _picked(patch) -> list:
+    return [F.conv(F.hex(F.substring(patch, 1 + 768 * p + 256 * c + 16 * y + x, 1)), 16, 10).cast("int").alias(f"pixel_{k}") for k, (p, c, y, x) in enumerate(PICKED)]
+
+
+def image_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images drawn from every vector that grow darker in both directions, resized, cropped and cut: single pixels tell how they were interpolated."""
+    base = lambda k: F.conv(F.substring(_digest(F.col("embedding")), 1 + 2 * k, 2), 16, 10).cast("int") % 90
+    rows = a.table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("vec_id") % 40 + 10).cast("int").alias("h"), (F.col("vec_id") % 23 + 12).cast("int").alias("w"), *[base(k).alias(f"b{k}") for k in range(3)]
+    )
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "vec_id")  # a few numbers become thousands of bytes
+    bgr = _gradient(F.col("h"), F.col("w"), [F.col("b0"), F.col("b1"), F.col("b2")])
     made = rows.select("vec_id", image.image_patches(F.when(F.col("vec_id") % 6 != 0, bgr), "h", "w").alias("p"))
-    at = lambda k: F.lower(F.hex(F.substring("p", 1 + 256 * k, 1)))
-    return made.select("vec_id", F.octet_length("p").alias("n_bytes"), F.concat(at(2), at(1), at(0)).alias("bgr"))
+    return made.select("vec_id", F.octet_length("p").alias("n_bytes"), *_picked(F.col("p")))
+
+
+def _picked_sql(source: str, given: str) -> str:
+    """Expected pixels of gradients: ``source`` has h, w and the list ``base`` in the bytes' order; ``given``: whether there is an image.
+
+    The shorter side becomes 256, bilinear with pixel centres at half, then the middle 224 by 224 is cut out.
+    """
+    made = []
+    for k, (p, c, y, x) in enumerate(PICKED):
+        axis = lambda n, at: f"least(greatest((({at} + ((cast(round_even({n} * scale, 0) as int) - 224) // 2)) + 0.5::double) / scale - 0.5::double, 0), {n} - 1)"
+        made.append(f"{axis('h', p // 14 * 16 + y)} as y{k}, {axis('w', p % 14 * 16 + x)} as x{k}")
+    pixels = []
+    for k, (_, c, _, _) in enumerate(PICKED):
+        low = lambda v, n: f"least(cast(floor({v}) as int), greatest(0, {n} - 2))"
+        y, x = low(f"y{k}", "h"), low(f"x{k}", "w")
+        at = lambda yy, xx, c=c: f"(base[{3 - c}] + 2 * {yy} + {1 + (2 - c) % 2} * {xx})::double"
+        up, right = f"least({y} + 1, h - 1)", f"least({x} + 1, w - 1)"
+        row = lambda xx, k=k, y=y, up=up, at=at: f"({at(y, xx)} * (1 - (y{k} - {y})) + {at(up, xx)} * (y{k} - {y}))"
+        pixels.append(f"case when {given} then cast(round_even({row(x)} * (1 - (x{k} - {x})) + {row(right)} * (x{k} - {x}), 0) as int) end as pixel_{k}")
+    return f"""from (select *, {", ".join(made)} from (select *, 256::double / least(h, w) as scale from {source}))""", ", ".join(pixels)
+
+
+_GRADIENT_FROM, _GRADIENT_PIXELS = _picked_sql(
+    f"(select vec_id, cast(vec_id % 40 + 10 as int) as h, cast(vec_id % 23 + 12 as int) as w, [('0x' || substr(d, 2 * k + 1, 2))::int % 90 for k in range(3)] as base from (select *, {_DIGEST_SQL} as d from embeddings))",
+    "vec_id % 6 <> 0",
+)
+IMAGE_GRADIENTS_SQL = f"select vec_id, case when vec_id % 6 <> 0 then cast(3 * 224 * 224 as int) end n_bytes, {_GRADIENT_PIXELS} {_GRADIENT_FROM}"
+
+
+def landed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNG files of gradients drawn from every supplier, landed in a folder and read by Spark's image source; every seventh file is broken."""
+    key = F.col("s_suppkey")
+    rows = a.table(spark, sf_dir, "supplier").select(
+        key.cast("string").alias("parent_asin"), (key % 30 + 10).cast("int").alias("h"), (key % 17 + 12).cast("int").alias("w"), *[(key * m % 90).cast("int").alias(f"b{k}") for k, m in enumerate((1, 7, 31))]
+    )
+    rgb = _gradient(F.col("h"), F.col("w"), [F.col("b0"), F.col("b1"), F.col("b2")])
+    content = F.when(F.col("parent_asin").cast("int") % 7 != 0, image.png(rgb, F.col("h"), F.col("w"))).otherwise(F.lit(b"broken"))
+    path = _folder(spark)
+    images.land(rows.select("parent_asin", content.alias("content")), path, "png")
+    made = patches.landed_patches(spark, path)
+    return made.select(F.col("parent_asin").cast("long").alias("item"), F.octet_length("patch").alias("n_bytes"), *_picked(F.col("patch")))
 
 
-IMAGE_COLOURS_SQL = f"""select vec_id, case when vec_id % 6 <> 0 then cast(3 * 224 * 224 as int) end n_bytes, case when vec_id % 6 <> 0 then substr({_DIGEST_SQL}, 1, 6) end bgr
-from embeddings"""
+_LANDED_FROM, _LANDED_PIXELS = _picked_sql(
+    "(select s_suppkey, cast(s_suppkey % 30 + 10 as int) as h, cast(s_suppkey % 17 + 12 as int) as w, [s_suppkey * 31 % 90, s_suppkey * 7 % 90, s_suppkey % 90] as base from supplier where s_suppkey % 7 <> 0)", "true"
+)
+LANDED_IMAGES_SQL = f"select cast(s_suppkey as bigint) item, cast(3 * 224 * 224 as int) n_bytes, {_LANDED_PIXELS} {_LANDED_FROM}"
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).removeprefix('file:')}/{uuid.uuid4().hex}"
+    return f"{own_folder(spark).removeprefix('file:')}/{uuid.uuid4().hex}"
 
 
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +441,42 @@ select label_good, label_best, count(*) n, count(distinct md5(row_key)) patches,
 from (select *, concat_ws('-', user_id, parent_asin, substr(md5(row_key), 1, 6)) || '.a/%' k from positives) group by 1, 2"""
 
 
+def shard_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all parts found by a folder, by globs and by chosen keys; a glob that matches no shard is an error, which has no number."""
+    part = a.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"))
+    empty = {"user_text": F.lit("u"), "item_text": F.lit("i"), "patch": F.lit(None).cast("binary"), "shape": F.array(F.lit(1)), "has_image": F.lit(0), "label_good": F.lit(0), "label_best": F.lit(1)}
+    shards.register(spark)
+    path = _folder(spark)
+    part.withColumns(empty).write.format("tar_shards").option("path", path).option("rows_per_shard", 100).mode("append").save()
+    read = lambda where: spark.read.format("tar_shards").option("path", where).load()
+    found = []
+    for name, where in (("folder", path), ("glob", f"{path}/samples-*.tar.gz"), ("none", f"{path}/other-*.tar"), ("keys", path)):
+        try:
+            rows = read(where).where(F.col("key").isin("5", "70", "absent")) if name == "keys" else read(where)
+            rows = rows.agg(F.count("*").alias("n"), F.sum(F.col("key").cast("long")).alias("keys")).first()
+            found.append((name, rows.n, rows["keys"]))
+        except (AnalysisException, PythonException) as why:
+            if "no shard matches" not in str(why):
+                raise
+            found.append((name, None, None))
+    return spark.createDataFrame(found, "source string, n long, keys long")
+
+
+SHARD_DISCOVERY_SQL = """select source, n, keys from (select count(*) n, cast(sum(p_partkey) as bigint) keys from part), (select unnest(['folder', 'glob']) as source)
+union all select 'keys', count(*), cast(sum(p_partkey) as bigint) from part where p_partkey in (5, 70) union all select 'none', null, null"""
+
+
+def sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of samples drawn from every event, some without a user or an item."""
+    e = a.table(spark, sf_dir, "events")
+    user, item = F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("string")), F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    return e.select("event_id", assemble.sample_key(user, item, F.col("event_id")).alias("key"))
+
+
+SAMPLE_KEYS_SQL = """select event_id, concat_ws('-', case when event_id % 5 <> 0 then cast(user_id as varchar) else 'unknown_user' end,
+    case when event_id % 7 <> 0 then event_type else 'unknown_item' end, substr(md5(cast(event_id as varchar)), 1, 6)) as key from events"""
+
+
 def predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of all labelled documents, written as CSV with a header and read back."""
     rows = _labelled(spark, sf_dir).select(
@@ -506,7 +614,8 @@ QUERIES = {
     "contrastive_loss": (contrastive_loss, CONTRASTIVE_SQL), "gate_fusion": (gate_fusion, GATE_FUSION_SQL), "metric_rollup": (metric_rollup, METRIC_ROLLUP_SQL),
     "safe_values": (safe_values, SAFE_VALUES_SQL), "finite_vectors": (finite_vectors, FINITE_VECTORS_SQL), "sentence_chunks": (sentence_chunks, SENTENCE_CHUNKS_SQL), "word_pieces": (word_pieces, WORD_PIECES_SQL),
     "abbreviations": (abbreviations, ABBREVIATIONS_SQL), "learned_sentences": (learned_sentences, LEARNED_SENTENCES_SQL), "vocabulary_guard": (vocabulary_guard, VOCABULARY_SQL),
-    "sentence_counts": (sentence_counts, SENTENCE_COUNTS_SQL), "patch_roundtrip": (patch_roundtrip, PATCH_ROUNDTRIP_SQL), "pixel_values": (pixel_values, PIXEL_VALUES_SQL), "image_colours": (image_colours, IMAGE_COLOURS_SQL), "shard_roundtrip": (shard_roundtrip, SHARD_SQL),
+    "sentence_counts": (sentence_counts, SENTENCE_COUNTS_SQL), "patch_roundtrip": (patch_roundtrip, PATCH_ROUNDTRIP_SQL), "pixel_values": (pixel_values, PIXEL_VALUES_SQL), "image_gradients": (image_gradients, IMAGE_GRADIENTS_SQL), "landed_images": (landed_images, LANDED_IMAGES_SQL),
+    "shard_discovery": (shard_discovery, SHARD_DISCOVERY_SQL), "sample_keys": (sample_keys, SAMPLE_KEYS_SQL), "shard_roundtrip": (shard_roundtrip, SHARD_SQL),
     "predictions_csv": (predictions_csv, PREDICTIONS_SQL), "worker_split": (worker_split, WORKER_SQL), "shuffle_order": (shuffle_order, SHUFFLE_SQL),
     "two_task_scores": (two_task_scores, TWO_TASK_SQL), "capped_auc": (capped_auc, CAPPED_AUC_SQL), "network_scores": (network_scores, NETWORK_SQL), "stream_profile": (stream_profile, STREAM_PROFILE_SQL),
     "stream_profile_ordered": (stream_profile_ordered, STREAM_ORDERED_SQL), "stream_enrich": (stream_enrich, STREAM_ENRICH_SQL), "stream_window_counts": (stream_window_counts, STREAM_WINDOW_SQL),

@@ -181,6 +181,17 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPLIT_COUNTS_SQL = f"select split, main_category, is_neg, count(*) n, cast(sum(label_good) as bigint) good, cast(sum(label_best) as bigint) best from ({SPLIT_ROWS_SQL}) group by all"
 
 
+def part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives and negatives of the split rows as the two parts of one plan, by split."""
+    positive, negative = split.parts(_all_rows(spark, sf_dir))
+    both = positive.select("split", "row_key", F.lit("positive").alias("part"), "rating").unionByName(negative.select("split", "row_key", F.lit("negative").alias("part"), "rating"))
+    return both.groupBy("split", "part").agg(F.count("*").alias("n"), F.countDistinct("row_key").alias("keys"), F.sum("rating").alias("stars"))
+
+
+PART_COUNTS_SQL = f"""select split, case when is_neg = 0 then 'positive' else 'negative' end part, count(*) n, count(distinct row_key) "keys", sum(case when is_neg = 0 then rating else 0 end) stars
+from ({SPLIT_ROWS_SQL}) s join (select row_key as k, rating from ({ENRICH_SQL})) e on e.k = s.row_key group by 1, 2"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, labels and mean past of each split and category, without leakage from later dates."""
     rows = profile.numeric_profile(a.ordered(spark, sf_dir))
@@ -252,6 +263,40 @@ TEXT_CLEAN_SQL = f"""select id, md5({_duck_clean("text")}) clean_md5 from (
     select 'd' || doc_id id, text from documents union all select concat_ws('-', 'c', cast(conv_id as varchar), cast(turn as varchar)), text from conversations)"""
 
 
+_ODD = (
+    ("\U0001f600 &lt;", " grinning_face <", "&gt; \ufb01ne", "> fine"), ("\U0001f44d\U0001f3fd&amp;", " thumbs_up_sign_medium_skin_tone &", " \uff21\u2460", " A1"),
+    ("\U0001f1e9\U0001f1ea\u00bd ", " flag_de 1\u20442 ", "&quot;x&#39;", "\"x''"), ("3\ufe0f\u20e3\u201eq\u201d\t", ' keycap_3 "q" ', "\u2014\u2026\u200b", "-..."),
+)
+"""Before and after a name: raw pieces (emoji, entities, compatibility forms, quotes) and what cleaning makes of them."""
+
+
+def text_clean_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all parts between emoji, entities and compatibility characters, and as an array with a null, cleaned."""
+    pick = lambda at: F.get(F.array(*[F.lit(o[at]) for o in _ODD]), (F.col("p_partkey") % len(_ODD)).cast("int"))
+    rows = a.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("  "), pick(0), F.col("p_name"), pick(2)).alias("raw"), "p_brand")
+    several = texts.clean_array(F.array(F.col("raw"), F.lit(None).cast("string"), F.col("p_brand")))
+    return rows.select("p_partkey", texts.clean(F.col("raw")).alias("clean"), texts.smart_join(several).alias("joined"))
+
+
+_PICK_SQL = lambda at: "([" + ", ".join(f"'{o[at]}'" for o in _ODD) + f"])[p_partkey % {len(_ODD)} + 1]"
+TEXT_PLANTED_SQL = f"""select p_partkey, clean, clean || ';' || ' ' || p_brand || ';' joined
+from (select p_partkey, p_brand, trim({_PICK_SQL(1)} || p_name || {_PICK_SQL(3)}) clean from part)""".replace("clean || ';' ||", "case when right(clean, 1) in ('.', ';', '!', '?') then clean else clean || ';' end ||")
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions in raw lines as a list, one text, a list that is none, or not at all, parsed to lists."""
+    part = a.table(spark, sf_dir, "part")
+    given = F.expr("case p_partkey % 5 when 0 then to_json(array(p_name, p_type)) when 1 then to_json(named_struct('x', p_name)) when 2 then concat('[', p_name) end")
+    line = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("parent_asin"), F.when(F.col("p_partkey") % 5 == 3, F.col("p_name")).otherwise(given).alias("description")))
+    rows, _ = ingest.parse_lines(part.select(line.alias("raw")), ingest.RAW_META)
+    made = ingest.clean_meta(rows)
+    return made.select("parent_asin", F.size("description").cast("long").alias("n"), F.array_join("description", "|").alias("description"))
+
+
+DESCRIPTIONS_SQL = """select cast(p_partkey as varchar) parent_asin, case when d is null then null else len(d) end n, array_to_string(d, '|') description from (
+    select p_partkey, case p_partkey % 5 when 0 then [p_name, p_type] when 1 then ['{"x":"' || p_name || '"}'] when 2 then ['[' || p_name] when 3 then [p_name] end d from part)"""
+
+
 def text_clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "pages").select("page_id", texts.clean(F.col("html")).alias("clean"))
 
@@ -361,7 +406,8 @@ QUERIES = {
     "profile_history": (profile_history, PROFILE_HISTORY_SQL), "user_features": (user_features, USER_FEATURES_SQL), "candidate_pool": (candidate_pool, CANDIDATE_POOL_SQL),
     "negatives": (draw_negatives, DRAW_NEGATIVES_SQL), "split_rows": (split_rows, SPLIT_ROWS_SQL), "split_counts": (split_counts, SPLIT_COUNTS_SQL),
     "class_balance": (class_balance, CLASS_BALANCE_SQL), "meta_clean": (meta_clean, META_CLEAN_SQL),
-    "text_clean_native": (text_clean_native, TEXT_CLEAN_SQL), "text_clean_full": (text_clean_full, None), "user_text": (user_text, USER_TEXT_SQL),
+    "text_clean_native": (text_clean_native, TEXT_CLEAN_SQL), "text_clean_full": (text_clean_full, None), "text_clean_planted": (text_clean_planted, TEXT_PLANTED_SQL), "descriptions": (descriptions, DESCRIPTIONS_SQL),
+    "part_counts": (part_counts, PART_COUNTS_SQL), "user_text": (user_text, USER_TEXT_SQL),
     "item_text": (item_text, ITEM_TEXT_SQL), "left_patch_join": (left_patch_join, LEFT_PATCH_SQL), "image_missing_ratio": (image_missing_ratio, IMAGE_MISSING_SQL),
     "model_samples": (model_samples, MODEL_SAMPLES_SQL),
 }

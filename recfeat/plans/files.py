@@ -73,10 +73,10 @@ def scan_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_json_files(patches.to_lines(a.patches(spark, sf_dir).withColumn("shape", F.array(F.lit(32)))), path)
     files = len(spark.read.text(f"{path}/*.gz").inputFiles())
     back, _ = patches.read_patches(spark, f"{path}/*.gz")
-    return back.select("parent_asin", F.col("patch").cast("string").alias("patch"), F.base64("patch").alias("patch_b64"), F.lit(files <= sinks.PATCH_FILES).alias("fits"))
+    return back.select("parent_asin", F.col("patch").cast("string").alias("patch"), F.base64("patch").alias("patch_b64"), F.lit(files).cast("long").alias("n_files"))
 
 
-SCAN_PATCHES_SQL = """select cast(p_partkey as varchar) parent_asin, md5(cast(p_partkey as varchar)) patch, to_base64(encode(md5(cast(p_partkey as varchar)))) patch_b64, true fits
+SCAN_PATCHES_SQL = """select cast(p_partkey as varchar) parent_asin, md5(cast(p_partkey as varchar)) patch, to_base64(encode(md5(cast(p_partkey as varchar)))) patch_b64, cast(30 as bigint) n_files
 from part where p_partkey % 3 = 0"""
 
 

@@ -10,6 +10,8 @@ from urllib.request import urlopen
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .shards import located
+
 AT_ONCE, TIMEOUT_S, BATCH = 8, 10, 64
 
 
@@ -43,3 +45,23 @@ def fetch(urls: DataFrame, fetcher: Callable[[str], bytes] = fetch_url, key: str
                     yield got[got["content"].notna()]
 
     return wanted.mapInPandas(run, f"{key} string, url string, content binary")
+
+
+def land(rows: DataFrame, path: str, ending: str, key: str = "parent_asin") -> int:
+    """Write each row's ``content`` as a file ``<key>.<ending>`` in the folder ``path``, which all executors share; returns their number.
+
+    Rows without a key or content are left out. A task that is run again writes the same files again.
+    """
+    files, folder = located(path)
+    files.create_dir(folder, recursive=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        disk, where = located(path)
+        for frame in frames:
+            for name, content in zip(frame[key], frame["content"]):
+                with disk.open_output_stream(f"{where}/{name.replace('/', '%2F')}.{ending}", compression=None) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    kept = rows.where(rows[key].isNotNull() & rows["content"].isNotNull()).select(key, "content")
+    return kept.mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0
