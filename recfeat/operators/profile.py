@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import half_even
+from ..tables import as_table
 
 HISTORY = 3
 BLOCK_MS = 90 * 24 * 3600 * 1000
+ROWS_PER_BLOCK, SAMPLED = 100_000, 32
 CHUNK = 128
 """Rows of a user that are windowed together; at least ``HISTORY``."""
 UNKNOWN = "UNK"
@@ -25,15 +27,36 @@ _BIG = "decimal(38,0)"
 _CELL = ["user_id", "chunk"]
 
 
-def ordered(rows: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
+def _cuts(keyed: DataFrame, heavy: DataFrame, most: int) -> DataFrame:
+    """``(user_id, _block, cuts)``: keys that cut each heavy block into parts of about ``most`` rows, from a sample by hash.
+
+    A block of n rows gives about ``SAMPLED`` n / ``most`` keys, so what is collected follows the number of its parts.
+    """
+    wanted = heavy.select("user_id", "_block", (F.lit(SAMPLED) / most).alias("rate"))
+    drawn = keyed.join(wanted, ["user_id", "_block"]).where(F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    keys = F.sort_array(F.collect_list(F.struct("ts_key", "row_key")))
+    some = drawn.groupBy("user_id", "_block").agg(keys.alias("keys"))
+    return some.select("user_id", "_block", F.filter("keys", lambda x, i: i % SAMPLED == SAMPLED - 1).alias("cuts"))
+
+
+def ordered(rows: DataFrame, block_ms: int = BLOCK_MS, most: int = ROWS_PER_BLOCK) -> DataFrame:
     """``rows`` with ``ts_key`` and the user's running position ``pos`` from 1 up.
 
-    Rows without a timestamp, which stand in the order of their keys, are cut into blocks by the key's first characters.
+    Rows without a timestamp, which stand in the order of their keys, are cut into blocks by the key's first characters. A block of more
+    than ``most`` rows (one user, 90 days) is cut further, by keys from a sample of it, so that no window holds many more.
     """
     keyed = rows.withColumn("ts_key", F.coalesce(F.col("sort_timestamp").cast("long"), F.lit(-1)))
     start = F.when(F.col("ts_key") == -1, F.coalesce(F.substring("row_key", 1, 4), F.lit(""))).otherwise("")
-    keyed = keyed.withColumn("_block", F.struct(F.floor(F.col("ts_key") / block_ms).alias("time"), start.alias("start")))
-    totals = keyed.groupBy("user_id", "_block").agg(F.count("*").alias("n"))
+    block = F.struct(F.floor(F.col("ts_key") / block_ms).alias("time"), start.alias("start"), F.lit(0).alias("part"))
+    keyed = keyed.withColumn("_block", block)
+    totals = as_table(keyed.groupBy("user_id", "_block").agg(F.count("*").alias("n")), "blocks")
+    heavy = totals.where(F.col("n") > most)
+    if not heavy.isEmpty():
+        key = F.struct("ts_key", "row_key")
+        part = F.coalesce(F.size(F.filter("cuts", lambda c: c < key)), F.lit(0))
+        cut = keyed.join(as_table(_cuts(keyed, heavy, most), "cuts"), ["user_id", "_block"], "left")
+        keyed = cut.withColumn("_block", F.struct("_block.time", "_block.start", part.alias("part"))).drop("cuts")
+        totals = as_table(keyed.groupBy("user_id", "_block").agg(F.count("*").alias("n")), "blocks")
     earlier = Window.partitionBy("user_id").orderBy("_block").rowsBetween(*_PAST)
     before = totals.select("user_id", "_block", F.sum("n").over(earlier).alias("_before"))
     local = Window.partitionBy("user_id", "_block").orderBy("ts_key", "row_key")

@@ -61,6 +61,32 @@ def test_profile_equals_the_walk(spark, parts):
         assert r.order == list(w["shares"]) and f.cat_hist == pytest.approx(w["shares"], abs=6e-5)
 
 
+def test_a_user_with_very_many_rows_in_a_day(spark, monkeypatch):
+    """No window holds many more rows than the bound, whatever shares a user, a day or a time; positions stay those of one order."""
+    n, most = 200_000, 5_000
+    same = F.when(F.col("id") % 3 == 0, 1_600_000_000_000).otherwise(1_600_000_000_000 + F.col("id") * 100 % 86_400_000)  # a third at one time
+    user = F.when(F.col("id") % 50 == 0, F.concat(F.lit("u"), F.col("id") % 7)).otherwise("bot")
+    df = spark.range(n).select(user.alias("user_id"), F.when(F.col("id") % 11 != 0, same).alias("sort_timestamp"), F.md5(F.col("id").cast("string")).alias("row_key"))
+    held = []
+    kept = profile.as_table
+
+    def watched(table, name):
+        made = kept(table, name)
+        if name == "blocks":
+            held.append(made.agg(F.max("n")).first()[0])
+        return made
+
+    monkeypatch.setattr(profile, "as_table", watched)
+    got = profile.ordered(df, most=most)
+    by = {}
+    for r in got.select("user_id", "ts_key", "row_key", "pos").collect():
+        by.setdefault(r.user_id, []).append(tuple(r)[1:])
+    assert sum(map(len, by.values())) == n
+    for mine in by.values():
+        assert [p for *_, p in sorted(mine)] == list(range(1, len(mine) + 1))
+    assert held[0] > 100_000 and held[-1] < 2.5 * most
+
+
 def test_worked_example(spark):
     data = [("u", "i", 5.0, t, f"r{t}", c, p, "t", "x") for t, c, p in ((1, "a", 1000), (2, "b", None), (3, "a", 2000), (4, "a", 1))]
     last = profile.user_features(profile.ordered(spark.createDataFrame(data, REVIEW))).where("pos = 4").first().user_feat
