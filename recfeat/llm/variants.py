@@ -86,7 +86,8 @@ def word_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     runs = F.regexp_extract_all(F.col(text_col), F.lit(rf"[A-Za-zÀ-ÿ]{{{least},}}"), F.lit(0))
     made = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
-    made = made.select("id", F.translate("run", UPPER, LOWER).alias("run"))
+    lowered = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))  # translating is slow, and few need it
+    made = made.select("id", lowered.alias("run"))
     made = made.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     k = (F.col("h") % F.length("run")).cast("int")
     cut = F.concat(F.substring("run", F.lit(1), k), F.substring("run", k + 2, F.length("run")))
