@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import chunks, image, pieces, text, vectors
 from ..operators import assemble, evaluate, sampling, sentences
@@ -324,7 +325,7 @@ def pixel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.size("x").cast("long").alias("n"), _weighed("x").alias("digest"))
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _weighed(arrays: pa.Array) -> pa.Array:
     """The sum of an array's values in ten-thousandths, each times a weight by its place."""
     out = []
@@ -512,6 +513,14 @@ p as (select *, cast(('0x' || substr(md5(cast(event_id as varchar)), 1, 8))::ubi
 select event_id, place, part, row_number() over (partition by part order by place) nth from p"""
 
 
+def buffer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four parts through a buffer of 512 rows in epoch 2: the place of each in its part before and after."""
+    dealt = a.table(spark, sf_dir, "events").select("event_id").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    came = dealt.withColumn("came", F.monotonically_increasing_id() % (1 << 33))
+    left = sampling.buffered(came, epoch=2).withColumn("part", F.spark_partition_id()).withColumn("went", F.monotonically_increasing_id() % (1 << 33))
+    return left.select("event_id", F.col("part").cast("long").alias("part"), "came", "went")
+
+
 def two_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two class-weighted regressions on the numeric profile, and the exact AUC of each, held against Spark ML's."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -616,7 +625,7 @@ QUERIES = {
     "abbreviations": (abbreviations, ABBREVIATIONS_SQL), "learned_sentences": (learned_sentences, LEARNED_SENTENCES_SQL), "vocabulary_guard": (vocabulary_guard, VOCABULARY_SQL),
     "sentence_counts": (sentence_counts, SENTENCE_COUNTS_SQL), "patch_roundtrip": (patch_roundtrip, PATCH_ROUNDTRIP_SQL), "pixel_values": (pixel_values, PIXEL_VALUES_SQL), "image_gradients": (image_gradients, IMAGE_GRADIENTS_SQL), "landed_images": (landed_images, LANDED_IMAGES_SQL),
     "shard_discovery": (shard_discovery, SHARD_DISCOVERY_SQL), "sample_keys": (sample_keys, SAMPLE_KEYS_SQL), "shard_roundtrip": (shard_roundtrip, SHARD_SQL),
-    "predictions_csv": (predictions_csv, PREDICTIONS_SQL), "worker_split": (worker_split, WORKER_SQL), "shuffle_order": (shuffle_order, SHUFFLE_SQL),
+    "predictions_csv": (predictions_csv, PREDICTIONS_SQL), "worker_split": (worker_split, WORKER_SQL), "shuffle_order": (shuffle_order, SHUFFLE_SQL), "buffer_order": (buffer_order, None),
     "two_task_scores": (two_task_scores, TWO_TASK_SQL), "capped_auc": (capped_auc, CAPPED_AUC_SQL), "network_scores": (network_scores, NETWORK_SQL), "stream_profile": (stream_profile, STREAM_PROFILE_SQL),
     "stream_profile_ordered": (stream_profile_ordered, STREAM_ORDERED_SQL), "stream_enrich": (stream_enrich, STREAM_ENRICH_SQL), "stream_window_counts": (stream_window_counts, STREAM_WINDOW_SQL),
 }

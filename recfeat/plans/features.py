@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import assemble, enrich, evaluate, negatives, profile, split
 from ..sources import ingest
-from ..tables import as_bucketed
+from ..tables import as_bucketed, as_table
 from . import adapters as a
 
 SEED = 7
@@ -399,7 +399,21 @@ REJECTED_SQL = """select case event_id % 11 when 0 then 'malformed' else 'not an
 from events where event_id % 11 in (0, 1) group by 1"""
 
 
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties of all events as JSON lines, some broken, written as rows: what the one pass over the lines has counted, and the rows there are."""
+    broken = F.expr("case when event_id % 11 = 0 then substr(props, 1, 3) when event_id % 11 = 1 then concat('[', props, ']') else props end")
+    counts = Observation("ingest")
+    rows = as_table(ingest.parse_counted(a.table(spark, sf_dir, "events").select(broken.alias("raw")), ingest.RAW_REVIEW, counts), "ingested")
+    seen = counts.get
+    return rows.agg(F.count("*").alias("written")).select("written", *[F.lit(seen[k]).cast("long").alias(k) for k in ("lines", "rows", "malformed", "not_object")])
+
+
+INGEST_COUNTS_SQL = """select count(*) filter (where event_id % 11 > 1) written, count(*) lines, count(*) filter (where event_id % 11 > 1) as "rows",
+       count(*) filter (where event_id % 11 = 0) malformed, count(*) filter (where event_id % 11 = 1) not_object from events"""
+
+
 QUERIES = {
+    "ingest_counts": (ingest_counts, INGEST_COUNTS_SQL),
     "reviews_clean": (reviews_clean, REVIEWS_CLEAN_SQL), "rejected_lines": (rejected_lines, REJECTED_SQL), "negative_profiles": (negative_profiles, NEGATIVE_PROFILES_SQL),
     "flagship": (flagship, FLAGSHIP_SQL), "enrich_reviews": (enrich_reviews, ENRICH_SQL), "downsample_five_star": (downsample_five_star, DOWNSAMPLE_SQL),
     "profile_numeric": (profile_numeric, PROFILE_NUMERIC_SQL), "profile_cat_hist": (profile_cat_hist, PROFILE_CAT_HIST_SQL),

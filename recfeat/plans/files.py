@@ -107,6 +107,21 @@ select {a.SPLIT_SQL} split, coalesce(main_category, 'UNK') main_category, count(
 from positives group by 1, 2"""
 
 
+def split_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives written by split and category; then the valid split once more, with good rows only: its folders change, the others do not."""
+    path, rows = _folder(spark, "splits"), a.positives(spark, sf_dir)
+    rows = rows.select("user_id", "main_category", "label_good", split.split_of(F.col("event_date"), a.TRAIN_END, a.VALID_END).alias("split"))
+    sinks.write_by_split(rows, path)
+    sinks.write_by_split(rows.where("split = 'valid' and label_good = 1"), path, again=True)
+    read = [sinks.read_split(spark, path, "user_id string, label_good int", s) for s in ("train", "valid", "test")]
+    return read[0].union(read[1]).union(read[2]).groupBy("split", "main_category").agg(F.count("*").alias("n"), F.sum("label_good").alias("good"))
+
+
+SPLIT_RERUN_SQL = f"""with {a.POSITIVES_SQL}, p as (select {a.SPLIT_SQL} split, coalesce(main_category, 'UNK') main_category, label_good from positives),
+kept as (select *, split <> 'valid' or label_good = 1 or main_category not in (select main_category from p where split = 'valid' and label_good = 1) as stays from p)
+select split, main_category, count(*) n, cast(sum(label_good) as bigint) good from kept where stays group by 1, 2"""
+
+
 def fetched_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every address of the metadata fetched by tasks' own threads in batches; addresses that fail have no row."""
 
@@ -123,5 +138,5 @@ FETCHED_SQL = f"with {a.META_SQL} select parent_asin, url, url as content from m
 
 QUERIES = {
     "scan_meta": (scan_meta, SCAN_META_SQL), "scan_reviews": (scan_reviews, SCAN_REVIEWS_SQL), "scan_patches": (scan_patches, SCAN_PATCHES_SQL),
-    "image_urls": (image_urls, IMAGE_URLS_SQL), "split_files": (split_files, SPLIT_FILES_SQL), "fetched_images": (fetched_images, FETCHED_SQL),
+    "image_urls": (image_urls, IMAGE_URLS_SQL), "split_files": (split_files, SPLIT_FILES_SQL), "split_rerun": (split_rerun, SPLIT_RERUN_SQL), "fetched_images": (fetched_images, FETCHED_SQL),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,12 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def parse_lines(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON object lines, and rejects ``(reason, raw)``: each line is in exactly one of them."""
+    parsed, bad, reason = _parsed(lines, schema)
+    return parsed.where(~bad).select(*[F.col(f"row.{f.name}") for f in schema.fields]), parsed.where(bad).select(reason.alias("reason"), RAW_LINE)
+
+
+def _parsed(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, Column, Column]:
+    """The lines with their rows, whether one is bad, and why."""
     marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.select(
         RAW_LINE,
@@ -26,8 +32,18 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, Data
         F.col(RAW_LINE).rlike(r"^\s*\{").alias("object"),
     )
     bad = ~F.col("object") | F.col("row").isNull() | F.col("row._bad").isNotNull()
-    reason = F.when(~F.col("object"), "not an object").otherwise("malformed")
-    return parsed.where(~bad).select(*[F.col(f"row.{f.name}") for f in schema.fields]), parsed.where(bad).select(reason.alias("reason"), RAW_LINE)
+    return parsed, bad, F.when(~F.col("object"), "not an object").otherwise("malformed")
+
+
+def parse_counted(lines: DataFrame, schema: T.StructType, counts: Observation) -> DataFrame:
+    """The rows of ``parse_lines`` alone; ``counts`` gets ``lines``, ``rows``, ``malformed`` and ``not_object`` in the pass that reads them.
+
+    So an ingest that keeps no rejects learns their number without a second scan, once its first action has run.
+    """
+    parsed, bad, reason = _parsed(lines, schema)
+    number = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    seen = parsed.observe(counts, F.count("*").alias("lines"), number(~bad, "rows"), number(bad & (reason == "malformed"), "malformed"), number(bad & (reason != "malformed"), "not_object"))
+    return seen.where(~bad).select(*[F.col(f"row.{f.name}") for f in schema.fields])
 
 
 def item_key(parent: str | Column = "parent_asin", own: str | Column = "asin") -> Column:

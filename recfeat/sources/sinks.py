@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 META_ROWS, REVIEW_ROWS, PATCH_FILES = 100_000, 300_000, 30
@@ -18,10 +18,19 @@ def write_json_files(df: DataFrame, path: str, files: int = PATCH_FILES) -> None
     df.repartition(files).write.option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
-def write_by_split(df: DataFrame, path: str, category: str = "main_category", rows_per_file: int = REVIEW_ROWS) -> None:
-    """JSON lines under ``split=.../main_category=...``; a null category is routed to UNK."""
+def write_by_split(df: DataFrame, path: str, category: str = "main_category", rows_per_file: int = REVIEW_ROWS, again: bool = False) -> None:
+    """JSON lines under ``split=.../main_category=...``; a null category is routed to UNK.
+
+    ``again``: the folders of the splits and categories that ``df`` has are replaced, all others stay as they are; else the path must be new.
+    """
     routed = df.withColumn(category, F.coalesce(F.col(category), F.lit("UNK")))
-    routed.write.partitionBy("split", category).option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", "false").json(path)
+    out = routed.write.partitionBy("split", category).option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", "false")
+    (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if again else out).json(path)
+
+
+def read_split(spark: SparkSession, path: str, schema: str, split: str, category: str = "main_category") -> DataFrame:
+    """Rows of one split, from its folders alone. ``schema``: of the columns in the files."""
+    return spark.read.schema(f"{schema}, split string, `{category}` string").json(path).where(F.col("split") == split)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

@@ -217,3 +217,29 @@ def test_patch_join_and_validity(spark):
 def test_empty_inputs(spark):
     df = profile.ordered(spark.createDataFrame([], REVIEW))
     assert profile.user_features(df).count() == 0
+
+
+def test_buffer_shuffle_equals_a_plain_loop(spark):
+    parts, n, size = 3, 4000, 64
+    df = spark.range(0, n, 1, parts).withColumn("p", F.spark_partition_id())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        got = sampling.buffered(df, epoch=1, seed=7, size=size).collect()
+        other = sampling.buffered(df, epoch=2, seed=7, size=size).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p in range(parts):
+        came = [r.id for r in df.where(F.col("p") == p).orderBy("id").collect()]
+        draw, buffer, want = sampling.draws(7, 1, p), [], []
+        for row in came:
+            if len(buffer) < size:
+                buffer.append(row)
+            else:
+                at = int(draw.integers(0, size))
+                want.append(buffer[at])
+                buffer[at] = row
+        want += [buffer[i] for i in draw.permutation(len(buffer))]
+        mine = [r.id for r in got if r.p == p]
+        assert mine == want and sorted(mine) == came and mine != [r.id for r in other if r.p == p]
+        assert all(at >= came.index(x) - size for at, x in enumerate(mine))
+    assert sampling.buffered(df.limit(0), 1).count() == 0

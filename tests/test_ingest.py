@@ -79,6 +79,36 @@ def test_json_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "c")).groupBy("main_category").count().orderBy("main_category").collect() == [("UNK", 6), ("c", 19)]
 
 
+def test_counts_of_a_pass_equal_the_rejects(spark):
+    from pyspark.sql import Observation
+
+    data = ['{"user_id":"u"}', '{"user_id":', "[1]", "7", '{"user_id":5}', "{}", '"x"']
+    good, bad = ingest.parse_lines(lines(spark, data), RAW_REVIEW)
+    seen = Observation("seen")
+    counted = ingest.parse_counted(lines(spark, data), RAW_REVIEW, seen)
+    assert rows(counted) == rows(good)
+    reasons = {r.reason: r["count"] for r in bad.groupBy("reason").count().collect()}
+    assert seen.get == {"lines": 7, "rows": good.count(), "malformed": reasons["malformed"], "not_object": reasons["not an object"]}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+    none = Observation("none")
+    ingest.parse_counted(lines(spark, data).limit(0), RAW_REVIEW, none).collect()
+    assert set(none.get.values()) == {0}
+
+
+def test_a_second_run_replaces_its_split_alone(spark, tmp_path):
+    path = str(tmp_path / "s")
+    df = spark.createDataFrame([(i, s, c) for i in range(6) for s in ("train", "test") for c in ("a", None)], "id int, split string, main_category string")
+    sinks.write_by_split(df, path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").glob("split=train/*/*.json")}
+    sinks.write_by_split(df.where("split = 'test' and id < 2"), path, again=True)
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "s").glob("split=train/*/*.json")} and len(before) >= 2
+    back = sinks.read_split(spark, path, "id int", "test")
+    assert rows(back) == sorted(((i, "test", c) for i in range(2) for c in ("a", "UNK")), key=repr)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and sinks.read_split(spark, path, "id int", "train").count() == 12
+
+
 def test_shards_round_trip(spark, tmp_path):
     shards.register(spark)
     data = [(f"k{i}", f"user é {i}", "item", bytes([i % 256] * 4) if i % 3 else None, [4], int(i % 3 > 0), i % 2, 0) for i in range(50)]
