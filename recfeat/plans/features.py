@@ -218,8 +218,8 @@ select task, cast(count(*) filter (where label <> 1) as bigint) negatives, cast(
 from (select 'label_good' task, label_good as label from positives union all select 'label_best', label_best from positives) group by task"""
 
 
-def meta_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products written as raw JSON lines in both image layouts, with broken lines, and parsed again."""
+def _meta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products as raw JSON lines in both image layouts, with broken lines."""
     part = a.table(spark, sf_dir, "part")
     name = F.col("p_partkey").cast("string")
     listed = F.to_json(F.array(F.struct(F.lit("MAIN").alias("variant"), F.concat(F.lit("img://"), name).alias("hi_res"))))
@@ -231,8 +231,22 @@ def meta_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 2 == 0, listed).otherwise(lists), F.lit(',"details":"{\\"Size\\": \\"'), F.col("p_size").cast("string"), F.lit('\\"}","features":["'),
         F.col("p_brand"), F.lit('"]'), F.when(F.col("p_partkey") % 13 == 0, F.lit("")).otherwise(F.lit("}")),
     )
-    rows, _ = ingest.parse_lines(part.select(line.alias("raw")), ingest.RAW_META)
-    clean = ingest.with_key(ingest.clean_meta(rows))
+    return part.select(line.alias("raw"))
+
+
+def meta_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = ingest.parse_lines(_meta_lines(spark, sf_dir), ingest.RAW_META)
+    return _meta_fields(ingest.clean_meta(rows))
+
+
+def meta_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from VARIANT columns: lines are parsed once and lie shredded in a table."""
+    rows, _ = ingest.parse_variants(_meta_lines(spark, sf_dir))
+    return _meta_fields(ingest.clean_variants(ingest.shredded(rows, "meta_variants")))
+
+
+def _meta_fields(rows: DataFrame) -> DataFrame:
+    clean = ingest.with_key(rows)
     return clean.select("parent_asin", "asin", "title", "price", F.col("details")["Size"].alias("size"), F.col("features")[0].alias("feature"), ingest.main_image("images").alias("url"), F.size("images").cast("long").alias("n_images"))
 
 
@@ -419,7 +433,7 @@ QUERIES = {
     "profile_numeric": (profile_numeric, PROFILE_NUMERIC_SQL), "profile_cat_hist": (profile_cat_hist, PROFILE_CAT_HIST_SQL),
     "profile_history": (profile_history, PROFILE_HISTORY_SQL), "user_features": (user_features, USER_FEATURES_SQL), "candidate_pool": (candidate_pool, CANDIDATE_POOL_SQL),
     "negatives": (draw_negatives, DRAW_NEGATIVES_SQL), "split_rows": (split_rows, SPLIT_ROWS_SQL), "split_counts": (split_counts, SPLIT_COUNTS_SQL),
-    "class_balance": (class_balance, CLASS_BALANCE_SQL), "meta_clean": (meta_clean, META_CLEAN_SQL),
+    "class_balance": (class_balance, CLASS_BALANCE_SQL), "meta_clean": (meta_clean, META_CLEAN_SQL), "meta_variants": (meta_variants, META_CLEAN_SQL),
     "text_clean_native": (text_clean_native, TEXT_CLEAN_SQL), "text_clean_full": (text_clean_full, None), "text_clean_planted": (text_clean_planted, TEXT_PLANTED_SQL), "descriptions": (descriptions, DESCRIPTIONS_SQL),
     "part_counts": (part_counts, PART_COUNTS_SQL), "user_text": (user_text, USER_TEXT_SQL),
     "item_text": (item_text, ITEM_TEXT_SQL), "left_patch_join": (left_patch_join, LEFT_PATCH_SQL), "image_missing_ratio": (image_missing_ratio, IMAGE_MISSING_SQL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import IMAGE, RAW_META, RAW_REVIEW
+from ..tables import as_table
 
 RAW_LINE = "raw"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -104,6 +105,48 @@ def clean_meta(raw: DataFrame) -> DataFrame:
     )
 
 
+def parse_variants(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JSON object lines as a VARIANT column ``v``, each parsed once, and rejects ``(reason, raw)``. Text after an object is ignored; doubled keys are malformed."""
+    parsed = lines.select(RAW_LINE, F.try_parse_json(RAW_LINE).alias("v"), F.col(RAW_LINE).rlike(r"^\s*\{").alias("object"))
+    good = F.col("object") & F.col("v").isNotNull()
+    reason = F.when(~F.col("object"), "not an object").otherwise("malformed")
+    return parsed.where(good).select("v"), parsed.where(~good).select(reason.alias("reason"), RAW_LINE)
+
+
+def shredded(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table whose VARIANT columns are shredded: fields of one type lie in columns of their own, and reading one leaves the others alone."""
+    for key in ("writeShredding.enabled", "inferShreddingSchema", "pushVariantIntoScan"):
+        rows.sparkSession.conf.set(f"spark.sql.variant.{key}", "true")
+    return as_table(rows, name)
+
+
+def clean_variants(rows: DataFrame) -> DataFrame:
+    """``clean_meta`` from the VARIANT column ``v``: fields that come in several types are read as each of them, without parsing text again.
+
+    Only details that are themselves a text of JSON are parsed.
+    """
+    get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
+    names = ("variant", "hi_res", "large", "thumb")
+    lists = get("images", "struct<" + ",".join(f"{n} array<string>" for n in names) + ">")
+    present = lambda n: F.coalesce(lists[n], F.array().cast("array<string>"))
+    zipped = F.transform(
+        F.slice(F.arrays_zip(*[present(n).alias(n) for n in names]), F.lit(1), F.least(*[F.size(present(n)) for n in names])),
+        lambda s: F.struct(*[s[n].alias(n) for n in names]),
+    )
+    pictures = F.coalesce(get("images", "array<struct<" + ",".join(f"{n} string" for n in names) + ">>"), F.when(lists.isNotNull(), zipped)).cast(T.ArrayType(IMAGE))
+    as_map = "map<string,string>"
+    inner = F.try_variant_get(F.try_parse_json(get("details", "string")), "$", as_map)
+    text = get("description", "string")
+    fields = {f.name: f.dataType.simpleString() for f in RAW_META.fields}
+    plain = lambda name: get(name, fields[name]).alias(name)
+    return rows.select(
+        *map(plain, ("parent_asin", "asin", "main_category", "title", "average_rating", "rating_number")), price(get("price", "string")).alias("price"), plain("store"), plain("features"),
+        F.coalesce(get("description", "array<string>"), F.when(text.isNotNull(), F.array(text))).alias("description"),
+        F.coalesce(get("details", as_map), inner, F.create_map().cast(as_map)).alias("details"),
+        F.coalesce(pictures, F.array().cast(T.ArrayType(IMAGE))).alias("images"), plain("bought_together"), plain("categories"),
+    )
+
+
 def clean_reviews(raw: DataFrame) -> DataFrame:
     """The fields of a review, renamed and with defaults."""
     return raw.select(

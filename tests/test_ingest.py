@@ -79,6 +79,23 @@ def test_json_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "c")).groupBy("main_category").count().orderBy("main_category").collect() == [("UNK", 6), ("c", 19)]
 
 
+def test_variants_give_what_text_gives(spark):
+    data = [
+        '{"parent_asin":"A","images":[{"hi_res":null,"large":"u"},{"thumb":"t"}],"price":"$5","details":"{\\"Size\\": \\"4\\"}","description":["x","y"],"features":["f"],"title":"t é"}',
+        '{"parent_asin":"B","images":{"hi_res":["a","b"],"large":["c"],"variant":["MAIN","PT"],"thumb":["d","e"]},"price":3.5,"details":{"k":"v"},"description":"one","rating_number":7,"average_rating":4.5}',
+        '{"asin":"C","price":"12.25","images":null,"details":null,"description":null,"bought_together":null,"categories":["p","q"]}', '{"parent_asin":"D","images":"none","details":"x","price":"nan"}', "{}",
+        '{"parent_asin":"E","images":{},"details":[],"price":true}', "[1]", '{"a":', "7",
+    ]
+    text, bad = ingest.parse_lines(lines(spark, data), RAW_META)
+    variants, rejects = ingest.parse_variants(lines(spark, data))
+    table = ingest.shredded(variants, "variants")
+    made = ingest.clean_variants(table)
+    order = lambda df: sorted((r.asDict(True) for r in df.collect()), key=repr)
+    assert order(made) == order(ingest.clean_meta(text)) and rows(rejects) == rows(bad)
+    plan = made.select("title")._jdf.queryExecution().executedPlan().toString()
+    assert "struct<v:struct<0:string>>" in plan  # only the field is read
+
+
 def test_counts_of_a_pass_equal_the_rejects(spark):
     from pyspark.sql import Observation
 
