@@ -7,26 +7,28 @@ Pass 2 tests every key against the merged second filter. Only suspected repeats
 their full text, so false positives of the filters cost work but change no result.
 
 The filters' bits follow the input, so that the share of suspects does not grow with it. At most ``MAX_BITS``
-of them are held at once: beyond that, keys are dealt to blocks by hash and each block has its own two
-passes. At the end only documents that lose a line meet their lists of dropped keys; the others, told apart
+of them are held at once: beyond that, the keys' hashes are written once, dealt to blocks, and each block's two passes read
+its own hashes alone; then the documents with suspects are read once more for their keys. So texts are read a fixed number of times, whatever
+the number of blocks. At the end only documents that lose a line meet their lists of dropped keys; the others, told apart
 by a Bloom filter over documents, are neither shuffled nor sent to Python.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, as_table, unused_name, utf8
+from .common import ASCII_SPACE, as_table, fresh_path, unused_name, utf8
 
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 """Bits of each filter: at least, and at most at a time (128 MB)."""
@@ -85,22 +87,14 @@ class BitPair:
             self.put(self.once, at)
 
 
-def _of_block(hashes: np.ndarray, block: int, blocks: int) -> np.ndarray:
-    """Which hashes belong to a block; it does not depend on the bits that the probes take."""
-    if blocks == 1:
-        return np.ones(len(hashes), dtype=bool)
-    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(blocks) == np.uint64(block)
-
-
-def _fill(docs: DataFrame, text_col: str, bits: int, least: int, block: int, blocks: int) -> DataFrame:
-    """One row ``(chunk, once, twice)`` for each task and chunk of the filters in which it set a bit."""
+def _fill(hashes: DataFrame, read: Callable[[pa.Array], np.ndarray], bits: int) -> DataFrame:
+    """One row ``(chunk, once, twice)`` for each task and chunk of the filters in which it set a bit; ``read``: hashes of the first column."""
     span = min(bits, CHUNK_BITS) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = BitPair(bits)
         for batch in batches:
-            hashes = _hashes([k for t in batch.column(0).to_pylist() for k in _keys(t, least)])
-            mine.add(hashes[_of_block(hashes, block, blocks)])
+            mine.add(read(batch.column(0)))
         for c in range(bits // 64 // span):
             once, twice = (w[c * span : (c + 1) * span] for w in (mine.once, mine.twice))
             if once.any():
@@ -108,7 +102,7 @@ def _fill(docs: DataFrame, text_col: str, bits: int, least: int, block: int, blo
                     {"chunk": pa.array([c], pa.int32()), "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]}
                 )
 
-    return docs.select(utf8(text_col).alias("t")).mapInArrow(run, "chunk int, once binary, twice binary")
+    return hashes.mapInArrow(run, "chunk int, once binary, twice binary")
 
 
 def _merge(parts: DataFrame) -> DataFrame:
@@ -140,32 +134,92 @@ def filter_bits(n_bytes: int) -> int:
     return max(MIN_BITS, 1 << (max(1, n_bytes // 12)).bit_length())
 
 
-def _suspects_of_block(rows: DataFrame, docs: DataFrame, text_col: str, least: int, bits: int, block: int, blocks: int) -> DataFrame:
+def _second(filled: DataFrame, bits: int) -> Broadcast:
+    """The merged second filter, compressed, on all workers."""
     span = min(bits, CHUNK_BITS) // 64
     twice = np.zeros(bits // 64, dtype=np.uint64)
-    for c, part in _merge(_fill(docs, text_col, bits, least, block, blocks)).toLocalIterator():
+    for c, part in _merge(filled).toLocalIterator():
         twice[c * span : (c + 1) * span] = np.frombuffer(zlib.decompress(part), dtype=np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(twice.tobytes(), 1))
-    del twice
+    return filled.sparkSession.sparkContext.broadcast(zlib.compress(twice.tobytes(), 1))
+
+
+def _seen_again(words: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    mask = np.uint64(bits - 1)
+    return BitPair.get(words, hashes & mask) & BitPair.get(words, (hashes >> np.uint64(32)) & mask)
+
+
+def _keys_of(texts: pa.Array, least: int) -> tuple[list[bytes], list[int]]:
+    """The keys of a column of texts, and the row of each."""
+    keys, place = [], []
+    for row, text in enumerate(texts.to_pylist()):
+        own = _keys(text, least)
+        keys += own
+        place += [row] * len(own)
+    return keys, place
+
+
+def _suspects(rows: DataFrame, least: int, bits: int) -> DataFrame:
+    """``(id, part, key)`` of ``rows`` (id, part, t) by one pair of filters."""
+    sent = _second(_fill(rows.select("t"), lambda texts: _hashes(_keys_of(texts, least)[0]), bits), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(zlib.decompress(sent.value), dtype=np.uint64)
-        mask = np.uint64(bits - 1)
         for batch in batches:
-            keys, place = [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                own = _keys(text, least)
-                keys += own
-                place += [row] * len(own)
-            hashes = _hashes(keys)
-            found = BitPair.get(words, hashes & mask) & BitPair.get(words, (hashes >> np.uint64(32)) & mask) & _of_block(hashes, block, blocks)
-            at = np.flatnonzero(found).tolist()
+            keys, place = _keys_of(batch.column(2), least)
+            at = np.flatnonzero(_seen_again(words, _hashes(keys), bits)).tolist()
             stay = batch.select([0, 1]).take(pa.array([place[i] for i in at], pa.int64()))
             yield pa.RecordBatch.from_arrays([*stay.columns, pa.array([keys[i] for i in at], pa.binary())], names=["id", "part", "key"])
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, part int, key binary")
 
 
+def _suspects_in_blocks(rows: DataFrame, least: int, bits: int, blocks: int) -> DataFrame:
+    """The same by a pair of filters for each block of hashes, one after the other.
+
+    A table of (block, id, part, hash), written once, is all that the blocks read, each its own folder. Documents with suspected hashes are then
+    read again, for the keys.
+    """
+    kind = dict(rows.dtypes)["id"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, place = _keys_of(batch.column(2), least)
+            hashes = _hashes(keys)
+            block = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(blocks)  # apart from the bits that the probes take
+            own = batch.select([0, 1]).take(pa.array(place, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hashes.view(np.int64)), pa.array(block.astype(np.int32))], names=["id", "part", "hash", "block"])
+
+    path, spark = fresh_path(rows.sparkSession, "line_hashes"), rows.sparkSession
+    table = rows.mapInArrow(hashed, f"id {kind}, part int, hash long, block int")
+    dealt = table.repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block", F.pmod("hash", F.lit(64)))
+    dealt.write.partitionBy("block").option("compression", "zstd").parquet(path)
+    table, found = spark.read.schema(table.schema).parquet(path), []
+    for k in range(blocks):
+        mine = table.where(F.col("block") == k).select("hash", "id", "part")
+        sent = _second(_fill(mine.select("hash"), lambda hashes: hashes.to_numpy(zero_copy_only=False).view(np.uint64), bits), bits)
+
+        def again(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            words = np.frombuffer(zlib.decompress(sent.value), dtype=np.uint64)
+            for batch in batches:
+                yield batch.filter(pa.array(_seen_again(words, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+
+        found.append(as_table(mine.mapInArrow(again, mine.schema), "suspected_hashes"))
+        sent.unpersist()
+    hashes = reduce(DataFrame.unionAll, found).groupBy("id", "part").agg(F.collect_set("hash").alias("hashes"))
+    wanted = hashes.select(F.col("id").alias("of"), F.col("part").alias("of_part"), "hashes")
+    again = rows.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))).select("id", "part", "t", "hashes")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, place = _keys_of(batch.column(2), least)
+            sets = [frozenset(h) for h in batch.column(3).to_pylist()]
+            at = [i for i, (h, row) in enumerate(zip(_hashes(keys).view(np.int64).tolist(), place)) if h in sets[row]]
+            stay = batch.select([0, 1]).take(pa.array([place[i] for i in at], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*stay.columns, pa.array([keys[i] for i in at], pa.binary())], names=["id", "part", "key"])
+
+    return again.mapInArrow(read, f"id {kind}, part int, key binary")
+
+
 def _part(text_col: str):
     return F.pmod(F.xxhash64(text_col), F.lit(PARTS)).cast("int")
 
@@ -181,8 +235,7 @@ def suspected_lines(
         bits = filter_bits(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     blocks, bits = max(1, bits // max_bits), min(bits, max_bits)
     rows = docs.select(F.col(id_col).alias("id"), _part(text_col).alias("part"), utf8(text_col).alias("t"))
-    made = [_suspects_of_block(rows, docs, text_col, least, bits, k, blocks) for k in range(blocks)]
-    return made[0] if blocks == 1 else reduce(DataFrame.unionAll, [as_table(m, "suspects_of_block") for m in made])
+    return _suspects(rows, least, bits) if blocks == 1 else _suspects_in_blocks(rows, least, bits, blocks)
 
 
 def _may_lose(drops: DataFrame):
@@ -215,7 +268,8 @@ def dedup_lines(
     stay). ``text_col`` gets the other lines, joined by line feeds; ``n_lines`` (before) and
     ``n_dropped`` are added, with underscores in front where ``docs`` has such columns.
     A null text counts as one empty line and stays null. Rows of equal id are one document. Rows with a
-    null id are one document that comes after all others. An empty table gives an empty result.
+    null id are one document that comes after all others. An empty table gives an empty result. Texts of any length are read
+    whole; one must fit a task.
     """
     suspects = as_table(suspected_lines(docs, id_col, text_col, least, bits, max_bits), "suspects")
     seen = suspects.groupBy("key").agg(

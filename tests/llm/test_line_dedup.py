@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from recfeat.llm import line_dedup as ld
 
@@ -70,3 +72,29 @@ def test_second_filter_misses_no_repeat():
     twice = a.twice | b.twice | (a.once & b.once)
     seen = lambda h: ld.BitPair.get(twice, a.probes(h)[0]) & ld.BitPair.get(twice, a.probes(h)[1])
     assert seen(x[:10]).all() and seen(x[100:120]).all() and seen(y).mean() < 0.5
+
+
+def counting(seen):
+    @F.pandas_udf("string")
+    def counted(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts
+
+    return counted
+
+
+def test_texts_are_read_a_fixed_number_of_times(spark):
+    """Four or sixteen blocks of filters: as many texts read as with four, and the same rows as with one block."""
+    n = 400
+    df = spark.range(n).selectExpr("id as doc_id", "concat('line of ', id, ' alone\n', 'shared by some ', id % 97, '\nshort') as text")
+    want, read = None, []
+    for most in (1 << 12, 1 << 10, 1 << 8):
+        seen = spark.sparkContext.accumulator(0)
+        found = ld.suspected_lines(df.withColumn("text", counting(seen)("text")), "doc_id", "text", bits=1 << 12, max_bits=most)
+        got = {r.id for r in found.collect()}
+        assert got == set(range(n))
+        read.append(seen.value)
+        rows = sorted(map(tuple, ld.dedup_lines(df, bits=1 << 12, max_bits=most).collect()))
+        want = want or rows
+        assert rows == want
+    assert read[1] == read[2] <= 2 * read[0]
