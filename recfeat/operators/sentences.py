@@ -27,14 +27,15 @@ _LEAD, _TRAIL, _COMMA = f"^[{OPENERS}]+", f"[{CLOSERS}]+$", "[,;:]+$"
 _DIGITS, _WORD = r"^[0-9][0-9.,]*$", r"^[\p{L}\p{M}]+(\.[\p{L}\p{M}]+)*$"
 
 
-def _kind(token: Column, name: str) -> dict[str, Column]:
-    """Columns of a token: its type, whether a period or another mark ends it, and the case of its first letter."""
-    core = F.regexp_replace(F.regexp_replace(token, _LEAD, ""), _TRAIL, "")
-    bare = F.lower(F.regexp_replace(F.regexp_replace(core, r"\.$", ""), _COMMA, ""))
-    return {
-        f"{name}type": F.when(bare.rlike(_DIGITS), NUMBER).otherwise(bare), f"{name}dot": core.endswith("."), f"{name}stop": core.rlike("[!?。！？]$"),
-        f"{name}case": F.when(core.rlike(r"^\p{Lu}"), "U").when(core.rlike(r"^\p{Ll}"), "L").otherwise("-"),
-    }
+def _core(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(token, _LEAD, ""), _TRAIL, "")
+
+
+def _kind(core: Column) -> Column:
+    """The type of a token without quotes and brackets: lower-cased, without final period or commas; all numbers are one."""
+    plain = F.when(core.endswith("."), F.substring(core, F.lit(1), F.length(core) - 1)).otherwise(core)
+    bare = F.lower(F.regexp_replace(plain, _COMMA, ""))
+    return F.when(bare.rlike(_DIGITS), NUMBER).otherwise(bare)
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -44,11 +45,15 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for tokens after one. Texts of any length; a null text has no tokens.
     """
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))
-    pairs = F.transform(tokens, lambda x, i: F.struct(x.alias("now"), F.when(i > 0, F.get(tokens, i - 1)).alias("last")))
-    rows = docs.select(F.explode(pairs).alias("x")).select("x.now", "x.last")
-    rows = rows.select(*[c.alias(n) for n, c in (_kind(F.col("now"), "") | _kind(F.col("last"), "last_")).items()], F.col("last").isNull().alias("first"))
-    place = F.when(F.col("first"), "start").when(F.col("last_stop"), "stop").when(F.col("last_dot"), "dot").otherwise("mid")
-    rows = rows.withColumn("place", place).withColumn("before", F.when(F.col("place") == "dot", F.col("last_type")))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("now", 1, F.greatest(F.size("now") - 1, F.lit(0))))
+    listed = docs.select(tokens.alias("now")).where(F.size("now") > 0)
+    rows = listed.select(F.explode(F.arrays_zip("now", before.alias("last"))).alias("x")).select("x.now", "x.last")
+    mark = F.regexp_extract("last", rf"([.!?。！？])[{CLOSERS}]*$", 1)  # most tokens have none, and then nothing more is asked of the one before
+    rows = rows.select("last", _core(F.col("now")).alias("core"), mark.alias("mark"))
+    place = F.when(F.col("last").isNull(), "start").when(F.col("mark") == "", "mid").when(F.col("mark") == ".", "dot").otherwise("stop")
+    letter = F.when(F.col("core").rlike(r"^\p{Lu}"), "U").when(F.col("core").rlike(r"^\p{Ll}"), "L").otherwise("-")
+    before = F.when(F.col("mark") == ".", _kind(_core(F.col("last"))))
+    rows = rows.select(_kind(F.col("core")).alias("type"), F.col("core").endswith(".").alias("dot"), letter.alias("case"), place.alias("place"), before.alias("before"))
     return rows.groupBy("type", "dot", "case", "place", "before").agg(F.count("*").alias("n"))
 
 
