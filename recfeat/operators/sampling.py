@@ -51,8 +51,8 @@ def buffered(df: DataFrame, epoch: int, seed: int = 0, size: int = BUFFER) -> Da
             for row, at in zip(new, draw.integers(0, size, len(new)).tolist()):
                 out.append(kept[at])
                 kept[at] = row
-            yield from rows.take(out).to_batches()
-            held = rows.take(kept)
+            yield from rows.take(pa.array(out, pa.int64())).to_batches()
+            held = rows.take(pa.array(kept, pa.int64()))
         if held is not None:
             yield from held.take(draw.permutation(held.num_rows)).to_batches()
 

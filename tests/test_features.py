@@ -243,3 +243,4 @@ def test_buffer_shuffle_equals_a_plain_loop(spark):
         assert mine == want and sorted(mine) == came and mine != [r.id for r in other if r.p == p]
         assert all(at >= came.index(x) - size for at, x in enumerate(mine))
     assert sampling.buffered(df.limit(0), 1).count() == 0
+    assert sorted(r.id for r in sampling.buffered(spark.range(0, 50, 1, 2), 1).collect()) == list(range(50))  # fewer rows than the buffer holds
