@@ -417,9 +417,10 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The properties of all events as JSON lines, some broken, written as rows: what the one pass over the lines has counted, and the rows there are."""
     broken = F.expr("case when event_id % 11 = 0 then substr(props, 1, 3) when event_id % 11 = 1 then concat('[', props, ']') else props end")
     counts = Observation("ingest")
-    rows = as_table(ingest.parse_counted(a.table(spark, sf_dir, "events").select(broken.alias("raw")), ingest.RAW_REVIEW, counts), "ingested")
-    seen = counts.get
-    return rows.agg(F.count("*").alias("written")).select("written", *[F.lit(seen[k]).cast("long").alias(k) for k in ("lines", "rows", "malformed", "not_object")])
+    lines = a.table(spark.newSession(), sf_dir, "events").select(broken.alias("raw"))  # a session that observes cannot fit Spark ML's models any more
+    written = as_table(ingest.parse_counted(lines, ingest.RAW_REVIEW, counts), "ingested").count()
+    seen = {"written": written} | counts.get
+    return spark.range(1).select(*[F.lit(seen[k]).cast("long").alias(k) for k in ("written", "lines", "rows", "malformed", "not_object")])
 
 
 INGEST_COUNTS_SQL = """select count(*) filter (where event_id % 11 > 1) written, count(*) lines, count(*) filter (where event_id % 11 > 1) as "rows",

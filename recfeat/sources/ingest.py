@@ -39,7 +39,8 @@ def _parsed(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, Column,
 def parse_counted(lines: DataFrame, schema: T.StructType, counts: Observation) -> DataFrame:
     """The rows of ``parse_lines`` alone; ``counts`` gets ``lines``, ``rows``, ``malformed`` and ``not_object`` in the pass that reads them.
 
-    So an ingest that keeps no rejects learns their number without a second scan, once its first action has run.
+    So an ingest that keeps no rejects learns their number without a second scan, once its first action has run. Give it ``lines`` of a session of
+    their own (``newSession``) where Spark ML's models are fitted too: a session's observations do not go to tasks, and some models take the session along.
     """
     parsed, bad, reason = _parsed(lines, schema)
     number = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)

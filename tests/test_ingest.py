@@ -99,6 +99,7 @@ def test_variants_give_what_text_gives(spark):
 def test_counts_of_a_pass_equal_the_rejects(spark):
     from pyspark.sql import Observation
 
+    spark = spark.newSession()
     data = ['{"user_id":"u"}', '{"user_id":', "[1]", "7", '{"user_id":5}', "{}", '"x"']
     good, bad = ingest.parse_lines(lines(spark, data), RAW_REVIEW)
     seen = Observation("seen")
