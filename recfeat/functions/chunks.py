@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .pieces import WORD
+from .vectors import once
 
 MAX_TOK, MAX_CHUNKS = 384, 4
 
@@ -34,15 +35,17 @@ def sentence_chunks(ids: Column, max_tok: int = MAX_TOK, max_chunks: int = MAX_C
         return F.struct(chunk.alias("chunk"), (used + n).alias("used"), F.concat(state["at"], at).alias("at"))
 
     start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), nothing.alias("at"))
-    placed = F.aggregate(F.transform(led, lambda s: F.size(s)), start, place, lambda state: state["at"])
-    both = F.arrays_zip(led.alias("ids"), placed.alias("at"))
+    placed = lambda led: F.aggregate(F.transform(led, lambda s: F.size(s)), start, place, lambda state: state["at"])
+    zipped = lambda led: F.zip_with(led, placed(led), lambda s, at: F.struct(s.alias("ids"), at.alias("at")))
 
-    def chunk(k: Column) -> Column:
-        mine = F.filter(both, lambda x: x["at"]["chunk"] == k)
+    def chunk(mine: Column) -> Column:
         whole = F.concat(F.array(F.lit(first)), F.flatten(F.transform(mine, lambda x: x["ids"])), F.array(F.lit(last)))
         return F.struct(whole.alias("ids"), F.transform(mine, lambda x: x["at"]["place"]).alias("marks"))
 
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_chunks - 1)), chunk), lambda c: F.size(c["marks"]) > 0)
+    def chunks_of(both: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(max_chunks - 1)), lambda k: once(F.filter(both, lambda x: x["at"]["chunk"] == k), chunk))
+
+    return F.filter(once(once(led, zipped), chunks_of), lambda c: F.size(c["marks"]) > 0)
 
 
 def padded(values: Column, length: Column | int, pad: int) -> Column:

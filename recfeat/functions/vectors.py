@@ -30,14 +30,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once a row, not once for each element that looks at it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def normalised(v: Column) -> Column:
     """Divided by its L2 norm; a zero vector stays zero."""
-    return _once(norm(v), lambda length: F.transform(doubles(v), lambda x: F.when(length > 0, x / length).otherwise(0.0)))
+    return once(norm(v), lambda length: F.transform(doubles(v), lambda x: F.when(length > 0, x / length).otherwise(0.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -62,8 +62,8 @@ def safe_float(x: Column, default: float = 0.0) -> Column:
 
 def softmax(scores: Column) -> Column:
     top = F.array_max(scores)
-    powers = _once(top, lambda t: F.transform(scores, lambda s: F.exp(s - t)))
-    return _once(total(powers), lambda whole: F.transform(powers, lambda p: p / whole))
+    powers = once(top, lambda t: F.transform(scores, lambda s: F.exp(s - t)))
+    return once(total(powers), lambda whole: F.transform(powers, lambda p: p / whole))
 
 
 def mean_vector(vectors: Column) -> Column:
