@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vectors import half_even
+from .vectors import half_even, once
 
 # The characters that cleaning replaces, and what it puts there.
 SINGLE_QUOTES = "\u2018\u2019\u201a\u201b\u275b\u275c"
@@ -119,21 +119,24 @@ def user_text(feat: Column, clean_texts=clean_array_native) -> Column:
     Shares of zero are left out. A past review shows its text, else its title, else nothing.
     """
     shares = F.map_entries(F.map_filter(F.coalesce(feat["cat_hist"], F.create_map().cast("map<string,double>")), lambda k, v: v > 0))
-    categories = F.array_join(F.transform(shares, lambda e: F.concat(e["key"], F.lit(": "), fixed(e["value"] * 100, 0), F.lit("%"))), "; ")
+    percent = lambda x: half_even(x * 100, 0).cast("long").cast("string")
+    named = lambda s: F.array_join(F.transform(s, lambda e: F.concat(e["key"], F.lit(": "), percent(e["value"]), F.lit("%"))), "; ")
+    categories = once(shares, lambda s: F.when(F.size(s) > 0, named(s)).otherwise(NO_HISTORY))
     pieces = F.transform(
         F.coalesce(feat["history"], F.array().cast("array<struct<title:string,text:string>>")),
         lambda h: F.coalesce(F.nullif(h["text"], F.lit("")), h["title"], F.lit("")),
     )
     pieces = clean_texts(F.filter(pieces, lambda p: p != ""))
-    numbered = F.transform(pieces, lambda p, i: F.concat(F.lit("Review"), (i + 1).cast("string"), F.lit(": "), p))
+    numbered = lambda all_: F.transform(all_, lambda p, i: F.concat(F.lit("Review"), (i + 1).cast("string"), F.lit(": "), p))
+    reviews = once(pieces, lambda all_: F.when(F.size(all_) > 0, smart_join(numbered(all_))).otherwise(NO_REVIEW_TEXT))
     count, mean, std = feat["review_cnt"], feat["price_mean"], feat["price_std"]
     # fixed values: the labels of the sections, here and in ``item_text``
     return F.concat(
-        F.lit("Category history: "), F.when(F.size(shares) > 0, categories).otherwise(NO_HISTORY),
+        F.lit("Category history: "), categories,
         F.lit(". Total reviews: "), F.when(count > 0, count.cast("string")).otherwise(NO_REVIEWS),
         F.lit(". Avg price: "), F.when(mean.isNotNull(), fixed(mean, 2)).otherwise(NOT_KNOWN),
         F.lit(". Price std: "), F.when(std > 0, fixed(std, 2)).otherwise(NO_VARIATION),
-        F.lit(". Review history: "), F.when(F.size(pieces) > 0, smart_join(numbered)).otherwise(NO_REVIEW_TEXT),
+        F.lit(". Review history: "), reviews,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recfeat.operators import assemble, enrich, negatives, profile, sampling, split
 from recfeat.tables import as_bucketed
 
-from .conftest import rows
+from .conftest import SMALL, rows
 
 REVIEW = "user_id string, parent_asin string, rating double, sort_timestamp long, row_key string, main_category string, price_cents long, review_title string, review_text string"
 
@@ -244,3 +244,43 @@ def test_buffer_shuffle_equals_a_plain_loop(spark):
         assert all(at >= came.index(x) - size for at, x in enumerate(mine))
     assert sampling.buffered(df.limit(0), 1).count() == 0
     assert sorted(r.id for r in sampling.buffered(spark.range(0, 50, 1, 2), 1).collect()) == list(range(50))  # fewer rows than the buffer holds
+
+
+def test_a_query_orders_only_the_columns_it_uses(spark, monkeypatch):
+    """Positives go through several shuffles: what a query does not use stays behind, and users of few rows are in no table of blocks."""
+    from recfeat.plans import adapters
+
+    written, kept = {}, profile.as_table
+    monkeypatch.setattr(profile, "as_table", lambda df, name: written.setdefault(name, kept(df, name)))
+    table = adapters.ordered(spark, SMALL, "price_cents")
+    assert table.columns == ["user_id", "pos", "chunk", "price_cents"]
+    assert written["to_order"].columns == ["user_id", "row_key", "sort_timestamp", "price_cents"]
+    assert written["crowded"].count() == written["blocks"].count() == 0
+
+
+def test_samples_read_positions_from_a_table_and_shares_once(spark):
+    """Joins and order are not computed anew for each part of the profile, nor the shares for each place in the text."""
+    from recfeat.plans import features
+
+    plan = features.model_samples(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
+    plan = features.user_text(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1
+
+
+def test_negatives_meet_their_metadata_without_a_shuffle(spark):
+    from recfeat.plans import features
+
+    plan = features.split_rows(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(neg_asin" not in plan and "SortMergeJoin [neg_asin" not in plan
+
+
+def test_a_crowded_user_beside_null_and_small_ones(spark):
+    """Users beyond the bound, of which one is null, are numbered in blocks, others at once."""
+    data = [(None if k % 3 == 0 else "big" if k % 3 == 1 else f"u{k % 20}", k % 7 or None, f"r{k:04}") for k in range(900)]
+    got = profile.ordered(spark.createDataFrame(data, "user_id string, sort_timestamp long, row_key string"), block_ms=3, most=50).collect()
+    assert len(got) == 900
+    by = {}
+    for r in got:
+        by.setdefault(r.user_id, []).append((r.ts_key, r.row_key, r.pos))
+    assert all([p for *_, p in sorted(mine)] == list(range(1, len(mine) + 1)) for mine in by.values())
