@@ -1,12 +1,13 @@
 """Pixels to patches and back, in Arrow batches over binary columns."""
 
-from __future__ import annotations
-
 import struct
 import zlib
+from collections.abc import Callable
+from typing import Iterator  # what Spark looks for in a function's hints
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,60 +51,96 @@ def from_patches(patches: np.ndarray) -> np.ndarray:
     return patches.reshape(n, n, 3, PATCH, PATCH).transpose(2, 0, 3, 1, 4).reshape(3, SIDE, SIDE)
 
 
-@F.pandas_udf(T.BinaryType())
-def image_patches(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    """Patches of Spark image rows (BGR bytes, row by row): 256 shorter side, centre crop, patchify.
+AT_ONCE = 64
+"""Images of so many rows are made together; what a worker holds does not follow the rows of a batch."""
+
+
+def _few(kind: pa.DataType, make: Callable[..., object]) -> Callable[[Iterator], Iterator[pa.Array]]:
+    """An iterator function over Arrow columns that hands on ``make`` of each row, a few rows at a time."""
+
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            for at in range(0, len(columns[0]), AT_ONCE):
+                yield pa.array([make(*row) for row in zip(*(c.slice(at, AT_ONCE).to_pylist() for c in columns))], kind)
+
+    return run
+
+
+def _patches_of(raw: bytes | None, h: int | None, w: int | None) -> bytes | None:
+    if raw is None or h is None or w is None or h < 1 or w < 1 or len(raw) not in (h * w, 3 * h * w, 4 * h * w):
+        return None
+    bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, -1)[:, :, :3]
+    rgb = np.broadcast_to(bgr, (h, w, 3))[:, :, ::-1].transpose(2, 0, 1)
+    return to_patches(centre_crop(resize(rgb, 256))).tobytes()
+
+
+@F.arrow_udf(T.BinaryType())
+def image_patches(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Patches of Spark image rows (BGR bytes, row by row, height and width): 256 shorter side, centre crop, patchify.
 
     Grey images are repeated for each channel, a fourth channel is left out; other rows give null.
     """
+    return _few(pa.binary(), _patches_of)(columns)
 
-    def one(raw, h, w):
-        if raw is None or h < 1 or w < 1 or len(raw) not in (h * w, 3 * h * w, 4 * h * w):
-            return None
-        bgr = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, -1)[:, :, :3]
-        rgb = np.broadcast_to(bgr, (h, w, 3))[:, :, ::-1].transpose(2, 0, 1)
-        return to_patches(centre_crop(resize(rgb, 256))).tobytes()
 
-    return pd.Series([one(*row) for row in zip(data, height, width)])
+def _whole(raw: bytes | None) -> bool:
+    return raw is not None and len(raw) == 3 * SIDE * SIDE
 
 
-@F.pandas_udf(T.BinaryType())
-def patchify(pixels: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def patchify(pixels: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Patches of (3, 224, 224) bytes; bytes of another length give null."""
-    fits = lambda b: b is not None and len(b) == 3 * SIDE * SIDE
-    return pixels.map(lambda b: to_patches(np.frombuffer(b, dtype=np.uint8)).tobytes() if fits(b) else None)
+    return _few(pa.binary(), lambda b: to_patches(np.frombuffer(b, dtype=np.uint8)).tobytes() if _whole(b) else None)(pixels)
+
+
+_VALUES = np.stack([(np.arange(256, dtype=np.float32) / 255 - np.float32(m)) / np.float32(s) for m, s in zip(MEAN, STD)])
+"""The standardised value of each byte in each channel."""
+
 
+def _standardised(raw: bytes | None) -> np.ndarray:
+    if not _whole(raw):
+        return np.zeros(3 * SIDE * SIDE, dtype=np.float32)
+    image = from_patches(np.frombuffer(raw, dtype=np.uint8))
+    return np.concatenate([np.take(v, c).reshape(-1) for v, c in zip(_VALUES, image)])
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def pixel_values(patches: pd.Series) -> pd.Series:
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def pixel_values(patches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Patch bytes to standardised pixel values (3 * 224 * 224, channel first); anything else gives an image of zeros."""
-    mean, std = (np.array(v, dtype=np.float32)[:, None, None] for v in (MEAN, STD))
+    for batch in patches:
+        for at in range(0, len(batch), AT_ONCE):
+            rows = [_standardised(raw) for raw in batch.slice(at, AT_ONCE).to_pylist()]
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * (3 * SIDE * SIDE)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+
+
+def over_pixel_values(patches: Column, use: Callable[[np.ndarray], object], kind: T.DataType, arrow: pa.DataType) -> Column:
+    """``use`` of each image's ``pixel_values``, where they are made: 600 kB of values an image do not leave the worker. ``arrow`` is ``kind`` as an Arrow type."""
 
-    def one(raw):
-        if raw is None or len(raw) != 3 * SIDE * SIDE:
-            return np.zeros(3 * SIDE * SIDE, dtype=np.float32)
-        image = from_patches(np.frombuffer(raw, dtype=np.uint8)).astype(np.float32) / 255
-        return ((image - mean) / std).reshape(-1)
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _few(arrow, lambda raw: use(_standardised(raw)))(batches)
 
-    return patches.map(one)
+    return run(patches)
 
 
-@F.pandas_udf(T.BinaryType())
-def unpatchify(patches: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def unpatchify(patches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Patch bytes to (3, 224, 224) bytes."""
-    return patches.map(lambda b: from_patches(np.frombuffer(b, dtype=np.uint8)).tobytes() if b is not None and len(b) == 3 * SIDE * SIDE else None)
+    return _few(pa.binary(), lambda b: from_patches(np.frombuffer(b, dtype=np.uint8)).tobytes() if _whole(b) else None)(patches)
 
 
-@F.pandas_udf(T.BinaryType())
-def png(rgb: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    """RGB bytes, row by row, as a PNG file; bytes of another length give null."""
+def _png_of(raw: bytes | None, h: int, w: int) -> bytes | None:
+    if raw is None or len(raw) != 3 * h * w:
+        return None
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + raw[3 * w * y : 3 * w * (y + 1)] for y in range(h))  # no filter
+    head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
-    def one(raw, h, w):
-        if raw is None or len(raw) != 3 * h * w:
-            return None
-        part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-        lines = b"".join(b"\0" + raw[3 * w * y : 3 * w * (y + 1)] for y in range(h))  # no filter
-        head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
-        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
-    return pd.Series([one(*row) for row in zip(rgb, height, width)])
+@F.arrow_udf(T.BinaryType())
+def png(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """RGB bytes, row by row, with height and width, as a PNG file; bytes of another length give null."""
+    return _few(pa.binary(), _png_of)(columns)
