@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -85,10 +86,11 @@ class PastProfile(StatefulProcessor):
 
 
 class OrderedProfile(StatefulProcessor):
-    """Each event waits until the watermark has passed it, and then leaves in the order of time and id with its profile.
+    """Each event waits until the watermark has passed its lot, and then leaves in the order of time and id with its profile.
 
-    Waiting events are a list state in lots of ``LOT`` milliseconds of event time, so that what fires reads no more than it gives out: a timer of
-    event time stands at the end of each lot. With ``idle``, a user's profile is forgotten so many milliseconds of event time after the last event.
+    A user's waiting events are a list state of packs, one for each frame that came in, and the user has one timer of event time, at the end of the earliest lot
+    of ``LOT`` milliseconds that waits: when it fires, all lots that the watermark has passed leave together, so calls to the state follow users
+    and micro-batches, not events. With ``idle``, a user's profile is forgotten so many milliseconds of event time after the last event.
     """
 
     def __init__(self, idle: int | None = None):
@@ -97,45 +99,61 @@ class OrderedProfile(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("profile", STATE)
-        self.waiting = handle.getMapState("waiting", "lot long, place long", "micros long, event_id long, category string, price double")
-        self.lots = handle.getMapState("lots", "lot long", "size long")
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _forgotten(self, newest: int) -> int:
+        """When a profile whose newest event has these microseconds is forgotten, in milliseconds."""
+        return (newest // 1000 + self.idle) // LOT * LOT + LOT
+
+    def _wake(self, at: int) -> None:
+        """Have the user's one timer stand at ``at`` at the latest."""
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now is None or at < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        packs, first = [], None
         for frame in rows:
             micros = frame["ts"].astype("int64") // {"ns": 1000, "us": 1}[frame["ts"].dt.unit]
-            for lot, mine in frame.assign(micros=micros).groupby(micros // (1000 * LOT)):
-                lot = int(lot)
-                size = self.lots.getValue((lot,))[0] if self.lots.containsKey((lot,)) else 0
-                if not size:
-                    self.handle.registerTimer((lot + 1) * LOT)
-                for at, (when, event_id, category, price) in enumerate(zip(mine["micros"], mine["event_id"], mine["category"], mine["price"]), size):
-                    self.waiting.updateValue((lot, at), (int(when), int(event_id), category, None if pd.isna(price) else float(price)))
-                self.lots.updateValue((lot,), (size + len(mine),))
+            packs.append((_packed(pd.DataFrame({"micros": micros, "event_id": frame["event_id"], "category": frame["category"], "price": frame["price"]})),))
+            first = int(micros.min()) if first is None else min(first, int(micros.min()))
+        if packs:
+            self.waiting.appendList(packs)
+            self._wake(_lot_end(first))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        lot, names = at // LOT - 1, [part.split()[0] for part in OUTPUT.split(", ")]
-        kept = self.state.get() if self.state.exists() else None
-        if self.idle and kept and not self.lots.containsKey((lot,)) and kept[6] // 1000 + self.idle < at + LOT:
+        self.timer.clear()  # the timer that fired is gone
+        mark, names = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), [part.split()[0] for part in OUTPUT.split(", ")]
+        packs = [_unpacked(p[0]) for p in self.waiting.get()] if self.waiting.exists() else []
+        past, out = Past(self.state.get() if self.state.exists() else None), []
+        if packs:
+            events = pd.concat(packs, ignore_index=True).sort_values(["micros", "event_id"], kind="stable")
+            passed = (_lot_end(events["micros"]) <= mark).to_numpy()
+            due, rest = events[passed], events[~passed]
+            for micros, event_id, category, price in zip(due["micros"].tolist(), due["event_id"].tolist(), due["category"].tolist(), due["price"].tolist()):
+                if self.idle and past.n and self._forgotten(past.newest[0]) < _lot_end(micros):
+                    past = Past(None)
+                out.append((key[0], event_id, pd.Timestamp(micros, unit="us"), *past.row(), False))
+                past.add(micros, event_id, category, price)
+                if len(out) == ROWS_OUT:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.put([(_packed(rest),)])
+                self._wake(_lot_end(int(rest["micros"].iloc[0])))
+        if self.idle and past.n and self._forgotten(past.newest[0]) <= mark:
             self.state.clear()
-            return
-        if not self.lots.containsKey((lot,)):
-            return
-        size, past, out = self.lots.getValue((lot,))[0], Past(kept), []
-        due = sorted(((self.waiting.getValue((lot, i))) for i in range(size)), key=lambda e: e[:2])
-        for micros, event_id, category, price in due:
-            out.append((key[0], event_id, pd.Timestamp(micros, unit="us"), *past.row(), False))
-            past.add(micros, event_id, category, price)
-            if len(out) == ROWS_OUT:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        for i in range(size):
-            self.waiting.removeKey((lot, i))
-        self.lots.removeKey((lot,))
-        self.state.update(past.kept())
-        if self.idle:
-            self.handle.registerTimer((past.newest[0] // 1000 + self.idle) // LOT * LOT + LOT)
+        else:
+            if past.n:
+                self.state.update(past.kept())
+            if self.idle and past.n:
+                self._wake(self._forgotten(past.newest[0]))
         if out:
             yield pd.DataFrame(out, columns=names)
 
@@ -143,6 +161,26 @@ class OrderedProfile(StatefulProcessor):
         pass
 
 
+def _lot_end(micros):
+    """The end of the lot of these microseconds, in milliseconds."""
+    return (micros // (1000 * LOT) + 1) * LOT
+
+
+def _packed(events: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(events, schema=_EVENTS, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _EVENTS) as made:
+        made.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
+
+
+_EVENTS = pa.schema([("micros", pa.int64()), ("event_id", pa.int64()), ("category", pa.string()), ("price", pa.float64())])
+
+
 def running_profiles(events: DataFrame) -> DataFrame:
     """Profiles of a stream of ``user_id, event_id, ts, category, price``, one row for each event.
 

@@ -70,3 +70,37 @@ def test_absent_users_are_forgotten(spark, tmp_path):
     run = lambda idle, name: {r.event_id: r.review_cnt for r in streams.drained(streams.ordered_profiles(stream, "1 minute", idle), str(tmp_path / name)).collect()}
     assert run(None, "a") == {1: 0, 2: 0, 3: 1, 4: 1}
     assert run(60 * 60_000, "b") == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_calls_to_the_state_follow_users_not_events():
+    """A thousand events of a user that wait in a thousand lots: one timer, and a few calls."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name in ("update", "put", "appendList"):
+                    self.held = given[0]
+                return self.held is not None if name == "exists" else self.held
+
+            return call
+
+    class Handle:
+        getValueState = getListState = getMapState = lambda self, *_: State()
+        registerTimer = deleteTimer = lambda self, at: calls.append(at)
+
+    class Now:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 600_000
+
+    user = streams.OrderedProfile()
+    user.init(Handle())
+    frame = pd.DataFrame({"event_id": range(1000), "ts": pd.to_datetime([i * 1_000_000 for i in range(1000)], unit="us"), "category": "a", "price": 1.0})
+    list(user.handleInputRows(("u",), iter([frame]), None))
+    got = pd.concat(list(user.handleExpiredTimer(("u",), Now(), Now())))
+    assert got["event_id"].tolist() == got["review_cnt"].tolist() == list(range(600)) and len(calls) < 30
