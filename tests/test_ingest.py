@@ -215,6 +215,40 @@ def test_a_condition_on_keys_reads_their_samples_alone(spark, tmp_path, monkeypa
     assert read.where("key = 'k3'").count() == df.where("key = 'k3'").count()
 
 
+def test_many_small_shards_are_few_partitions_and_any_tar_is_read(spark, tmp_path):
+    """Neighbouring shards share a partition; shards are what tarfile makes, and those of others, plain or with long names, give the same samples."""
+    import gzip
+    import io
+    import tarfile
+
+    for name, size in (("a.user.json", 5), ("x" * 89 + ".label.json", 0), ("k" * 100, 8**11 - 1), ("k" * 101, 7), ("k", 8**11)):
+        info = tarfile.TarInfo(name)
+        info.size = size
+        assert shards._header(name, size) == info.tobuf(tarfile.PAX_FORMAT)
+    data = [(f"k{i}" + "x" * (120 if i == 205 else 0), f"user é {i}", "item", bytes([i % 256] * 4) if i % 3 else None, [4], int(i % 3 > 0), i % 2, 0) for i in range(300)]
+    shards.register(spark)
+    df, path = spark.createDataFrame(data, shards.SCHEMA).coalesce(2), tmp_path / "s"
+    df.write.format("tar_shards").option("path", str(path)).option("rows_per_shard", 1).mode("append").save()
+    parts = shards._Reader(str(path)).partitions()
+    assert len(list(path.glob("*.gz"))) == 300 and len(parts) == shards.PARTITIONS
+    assert sorted(p for x in parts for p in x.paths) == sorted(map(str, path.glob("*.gz")))
+    read = lambda where: rows(spark.read.format("tar_shards").option("path", str(where)).load().select(*df.columns))
+    assert read(path) == rows(df)
+    (tmp_path / "o").mkdir()
+    for compression, some in (("", slice(100)), ("gz", slice(100, 200)), ("bz2", slice(200, 300))):
+        with tarfile.open(tmp_path / "o" / f"other.tar{compression and '.' + compression}", f"w:{compression}") as tar:
+            for nth, sample in enumerate(data[some]):
+                for kind, content in shards._members(dict(zip(df.columns, sample))):
+                    info = tarfile.TarInfo(f"{sample[0]}.{kind}")
+                    info.size, info.mtime = len(content), 0 if nth < 50 else 5
+                    tar.addfile(info, io.BytesIO(content))
+    assert read(tmp_path / "o") == rows(df)
+    assert len(shards._dealt([("a", 0), ("b", 0)])) == 2 and len(shards._dealt([(str(i), (1 << 20) - 1) for i in range(32 * 100)])) == 100
+    whole = next(path.glob("*.gz"))
+    with tarfile.open(whole) as tar, gzip.open(whole) as plain:
+        assert [(m.name, tar.extractfile(m).read()) for m in tar] == list(shards._plain_members(plain))
+
+
 def test_shards_as_a_stream_sink_write_each_sample_once(spark, tmp_path):
     shards.register(spark)
     source, path, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
