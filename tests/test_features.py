@@ -284,3 +284,31 @@ def test_a_crowded_user_beside_null_and_small_ones(spark):
     for r in got:
         by.setdefault(r.user_id, []).append((r.ts_key, r.row_key, r.pos))
     assert all([p for *_, p in sorted(mine)] == list(range(1, len(mine) + 1)) for mine in by.values())
+
+
+def test_rows_are_dealt_once_and_a_profile_reads_them_where_they_lie(spark):
+    """Users of many rows are lots of one chunk, all others one lot; positions are those of a sort, and nothing is shuffled after the one deal."""
+    from recfeat.plans import adapters
+
+    from .conftest import SMALL
+
+    made = [(f"u{i % 7 if i % 3 else 0}", f"k{i * 37 % 1000:04}", (i * 91 % 50) * 86_400_000 * 30 if i % 11 else None, i % 40, f"c{i * i % 13}") for i in range(1000)]
+    source = spark.createDataFrame(made, "user_id string, row_key string, sort_timestamp long, price_cents long, main_category string")
+    got, keys, n = profile.dealt(source, most=200, rows_per_part=100)
+    assert keys == ["user_id", "lot"] and n == 10
+    want = {}
+    for user in {m[0] for m in made}:
+        mine = sorted((m for m in made if m[0] == user), key=lambda m: (-1 if m[2] is None else m[2], m[1]))
+        for i, m in enumerate(mine):
+            chunk = i // profile.CHUNK
+            want[m[1]] = (user, chunk + 1 if len(mine) > 200 else 0, i + 1, chunk, list({x[4]: None for x in mine[:i]}))
+    assert {r.row_key: (r.user_id, r.lot, r.pos, r.chunk) for r in got.collect()} == {k: v[:4] for k, v in want.items()}
+    shares = profile.category_shares(got).collect()
+    assert {r.row_key: [e.category for e in r.shares] for r in shares} == {k: v[4] for k, v in want.items()}
+    alone, keys, _ = profile.dealt(source, most=1000)
+    assert keys == ["user_id"] and {r.row_key: (r.pos, r.chunk) for r in alone.collect()} == {k: v[2:4] for k, v in want.items()}
+    shares = profile.category_shares(alone).collect()
+    assert {r.row_key: [e.category for e in r.shares] for r in shares} == {k: v[4] for k, v in want.items()}
+    assert alone.drop("ts_key")._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    wide = profile.user_features(adapters.ordered(spark, SMALL, "row_key", "price_cents", "main_category", "review_title", "review_text"))
+    assert "Exchange " not in wide._jdf.queryExecution().executedPlan().toString()
