@@ -20,6 +20,7 @@ from ..tables import as_table
 ABBREVIATION, COLLOCATION, STARTER, SURE = 0.3, 7.88, 30.0, 0.99
 MOST = 500_000
 """At most so many entries of each table are kept, the most frequent ones; the tables are broadcast."""
+SLICE = 64
 TOKEN = r"[^\x20\x09-\x0D]+"
 OPENERS, CLOSERS = "\"'“‘„(\\[«¿¡", "\"'”’“)\\]»"
 NUMBER = "##"
@@ -178,11 +179,18 @@ def learn(docs: DataFrame, text_col: str = "text", most: int = MOST) -> Boundari
     return Boundaries(take("abbreviations", "type"), take("collocations", "before", "type"), take("starters", "type"), take("openers", "type"))
 
 
+def split_texts(texts: pa.Array, boundaries: Boundaries) -> pa.Array:
+    """The sentences of each text of a batch. Only ``SLICE`` texts and their sentences are Python objects at a time, whatever the batch."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([boundaries.split(t) for t in texts.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def split(text: Column, boundaries: Boundaries) -> Column:
     """The sentences of a text column as an array; null and blank give none."""
 
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([boundaries.split(t.as_py()) for t in texts], pa.list_(pa.string()))
+        return split_texts(texts, boundaries)
 
     return run(text)

@@ -132,3 +132,19 @@ def test_a_text_of_very_many_sentences(spark):
     df = spark.range(1).select(F.array_repeat(F.array(F.lit(7)), 100_000).alias("ids"))
     got = df.select(chunks.sentence_chunks(F.col("ids")).alias("c")).first().c
     assert [len(c.ids) for c in got] == [384] * 4 and all(len(c.marks) == 191 for c in got)
+
+
+def test_a_batch_of_texts_is_split_a_few_at_a_time():
+    """The Python objects of a batch do not grow with it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", *("word " * 2000 + f"is {i}. Next one!" for i in range(1500))])
+    tracemalloc.start()
+    got = sentences.split_texts(texts, sentences.Boundaries())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000 < texts.nbytes
+    assert got[:2].to_pylist() == [[], []] and got[1501].as_py() == ["word " * 2000 + "is 1499.", "Next one!"] and len(got) == 1502
+    assert sentences.split_texts(texts[:0], sentences.Boundaries()).to_pylist() == []
