@@ -4,8 +4,9 @@ Counts of words and word pairs of the training texts are quantised to 1 + floor(
 in a Bloom filter by that many events (n-gram, 1), (n-gram, 2), ... (Talbot and Osborne, 2007): a count is
 read back by probing for one level after the other until a probe fails, so it is never too low. The
 filter is built in shards, each by one task from the packed hashes of its n-grams; it has the same bits
-and probes for each event at every size. A filter of up to ``MAX_BYTES`` is broadcast whole. Of a larger
-one, blocks of shards within that bound are broadcast one after the other, and each pass scores the tokens
+and probes for each event at every size. A filter of up to ``MAX_BYTES`` is handed out whole, as a file that the
+Python workers of an executor map and share. Of a larger
+one, blocks of shards within that bound are handed out one after the other, and each pass scores the tokens
 whose pair its block holds: pairs are dealt to groups by the blocks of their two words, so that a pass has
 all three counts of its tokens, and a text's score is the sum over the passes.
 
@@ -21,16 +22,18 @@ workers, all other words are counted and joined by Spark.
 from __future__ import annotations
 
 import math
+import os
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +45,14 @@ LEVEL_BASE = 1.5
 HEAD_WORDS = 200_000
 """At most so many of the most frequent words are sent to the workers with their exact counts."""
 MAX_BYTES = 320 << 20
-"""So much of the filter at most is broadcast at a time."""
+"""So much of the filter at most is handed out at a time."""
 PROBES = 5
 BYTES_FOR = PROBES / math.log(2) / 8
 """The filter's size for each event."""
-WORDS_HELD = 400_000
-BATCH_BYTES = 4 << 20
+WORDS_HELD = 200_000
+COUNTED_AT_ONCE, PACKED_AT_ONCE = 250_000, 2_000_000
+"""So many words or n-grams at most does a worker hold before it hands them on."""
+BATCH_BYTES = 1 << 20
 SHARD_NGRAMS = 1 << 20
 PARTITIONS = 20_000
 """At most so many tasks build shards, several of them in turn where there are more."""
@@ -125,12 +130,12 @@ class Layout:
                 at = end
 
 
-def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Texts in runs of about ``BATCH_BYTES``."""
+def groups(texts: Iterable[pa.Scalar]) -> Iterator[list[bytes]]:
+    """Texts of an Arrow column in runs of about ``BATCH_BYTES``: no more of them are Python objects at a time."""
     now, size = [], 0
     for text in texts:
-        now.append(text)
-        size += len(text)
+        now.append(text.as_py())
+        size += len(now[-1])
         if size > BATCH_BYTES:
             yield now
             now, size = [], 0
@@ -271,9 +276,9 @@ def _word_counts(texts: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens(text))
-                if len(held) > 1_000_000:
+            for text in batch.column(0):
+                held.update(tokens(text.as_py()))
+                if len(held) > COUNTED_AT_ONCE:
                     yield flush()
         yield flush()
 
@@ -306,7 +311,7 @@ def _filter_shards(texts: DataFrame, layout: Layout, head) -> DataFrame:
             yield from _packed(np.concatenate(both), layout.of_pairs)
 
         for batch in batches:
-            for texts in groups(batch.column(0).to_pylist()):
+            for texts in groups(batch.column(0)):
                 split = [tokens(t) for t in texts]
                 sizes = np.array([len(w) for w in split])
                 numbers = words(list(chain.from_iterable(split)))
@@ -314,7 +319,7 @@ def _filter_shards(texts: DataFrame, layout: Layout, head) -> DataFrame:
                 alone.append(h)
                 both.append(layout.pairs(h, np.cumsum(sizes), sizes))
                 size += 2 * len(h)
-                if size > 4_000_000:
+                if size > PACKED_AT_ONCE:
                     yield from flush()
                     alone, both, size = [], [], 0
         if alone:
@@ -359,14 +364,28 @@ def _filter_shards(texts: DataFrame, layout: Layout, head) -> DataFrame:
     return dealt.mapInArrow(build, "shard int, size long, bits binary, stats array<bigint>")
 
 
-def _load(made: DataFrame, wanted: list[int], shards: int) -> tuple[bytes, np.ndarray]:
-    """The wanted shards' bytes in one piece, and where each starts; of these, one without n-grams is eight empty bytes."""
-    ranges = F.lit(False)
-    for run in np.split(np.array(wanted), np.flatnonzero(np.diff(wanted) != 1) + 1):
-        ranges |= F.col("shard").between(int(run[0]), int(run[-1]))
-    parts = dict.fromkeys(wanted, bytes(8))
-    parts |= {r[0]: bytes(r[1]) for r in made.where(ranges).select("shard", "bits").toLocalIterator()}
-    return b"".join(parts[s] for s in wanted), np.cumsum([0, *(len(parts.get(s, b"")) for s in range(shards))])
+class Part:
+    """Some shards side by side in one file that Spark brings to each executor once; its Python workers map it, so that they share its pages."""
+
+    def __init__(self, made: DataFrame, wanted: list[int], sizes: dict[int, int], shards: int):
+        """``wanted`` ascends; of these shards, one without n-grams is eight empty bytes. ``sizes``: bytes of the others."""
+        held = np.zeros(shards + 1, dtype=np.int64)
+        held[np.array(wanted, dtype=np.int64) + 1] = [sizes.get(s, 8) for s in wanted]
+        self.starts, self.name = np.cumsum(held), f"filter-{uuid.uuid4().hex}"
+        ranges = F.lit(False)
+        for run in np.split(np.array(wanted), np.flatnonzero(np.diff(wanted) != 1) + 1):
+            ranges |= F.col("shard").between(int(run[0]), int(run[-1]))
+        folder = os.path.join(SparkFiles.getRootDirectory(), "made")  # deleted with the application
+        os.makedirs(folder, exist_ok=True)
+        with open(path := os.path.join(folder, self.name), "wb") as file:
+            file.truncate(int(self.starts[-1]))
+            for shard, bits in made.where(ranges).select("shard", "bits").toLocalIterator():
+                file.seek(int(self.starts[shard]))
+                file.write(bits)
+        made.sparkSession.sparkContext.addFile(path)
+
+    def bloom(self) -> LogBloom:
+        return LogBloom(np.memmap(SparkFiles.get(self.name), dtype=np.uint8, mode="r"), self.starts, PROBES)
 
 
 def _logs(alone: np.ndarray, context: np.ndarray, both: np.ndarray, pairs: np.ndarray, model: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -378,17 +397,15 @@ def _logs(alone: np.ndarray, context: np.ndarray, both: np.ndarray, pairs: np.nd
 
 
 def _pass_scores(
-    hashed: DataFrame, bits: bytes, starts: np.ndarray, layout: Layout, first: int, last: int, model: tuple[float, np.ndarray, np.ndarray]
+    hashed: DataFrame, part: Part, layout: Layout, first: int, last: int, model: tuple[float, np.ndarray, np.ndarray]
 ) -> DataFrame:
     """``(row, part)``: the sum of each text over its tokens whose pair is in the shards ``first`` to before ``last``."""
-    sent = hashed.sparkSession.sparkContext.broadcast((bits, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, where = sent.value
-        bloom = LogBloom(np.frombuffer(raw, dtype=np.uint8), where, PROBES)
+        bloom = part.bloom()
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(1).to_pylist()):
+            for texts in groups(batch.column(1)):
                 words, sizes = np.frombuffer(b"".join(texts), dtype=np.uint64), np.array([len(t) // 8 for t in texts])
                 ends = np.cumsum(sizes)
                 pairs = layout.pairs(words, ends, sizes)
@@ -398,13 +415,11 @@ def _pass_scores(
                 single = LEVEL_COUNTS[bloom.levels(names, layout.of_words(names))][number]
                 both = LEVEL_COUNTS[bloom.levels(pairs[mine], shard[mine])]
                 logs = _logs(single[: len(mine)], single[len(mine) :], both, pairs[mine], model)
-                part = np.bincount(np.repeat(np.arange(len(texts)), sizes)[mine], weights=logs, minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(part, pa.float64())], names=["row", "part"])
+                sums = np.bincount(np.repeat(np.arange(len(texts)), sizes)[mine], weights=logs, minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sums, pa.float64())], names=["row", "part"])
                 at += len(texts)
 
-    made = as_table(hashed.mapInArrow(run, "row long, part double"), "pass")
-    sent.destroy()
-    return made
+    return as_table(hashed.mapInArrow(run, "row long, part double"), "pass")
 
 
 def score(
@@ -439,20 +454,17 @@ def score(
     stats = np.array([sums.get(k, 0) for k in range(4 * CLASSES)]).reshape(4, CLASSES)
     sizes_of = {r[0]: r[1] for r in made.select("shard", "size").collect()}
     whole = sum(sizes_of.values()) <= max_bytes
-    bits, starts = _load(made, list(range(layout.shards)), layout.shards) if whole else (b"", np.zeros(layout.shards + 1, dtype=np.int64))
-    sent = spark.sparkContext.broadcast((bits, starts))
-    del bits
+    all_shards = Part(made, list(range(layout.shards)), sizes_of, layout.shards) if whole else None
     all_words = total + 0.5 * (vocabulary + 1)
     floor_log, smoothing = math.log10(all_words), (all_words, *back_off(stats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, offsets = sent.value
-        bloom = LogBloom(np.frombuffer(raw, dtype=np.uint8), offsets, PROBES)
+        bloom = all_shards.bloom() if whole else None
         words, resets, task, done = Words(head.value), 0, TaskContext.get().partitionId(), 0
         exact = single = np.zeros(0)  # of each word held: log10(count + 0.5), nan if not among the head; the filter's count
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(1).to_pylist()):
+            for texts in groups(batch.column(1)):
                 split = [tokens(t) for t in texts]
                 sizes = np.array([len(w) for w in split])
                 ends = np.cumsum(sizes)
@@ -503,7 +515,7 @@ def score(
     if not whole:
         hashed = rows.where("word is null").select("row", "hashes")
         parts = [
-            _pass_scores(hashed, *_load(made, wanted, layout.shards), layout, first, last, smoothing)
+            _pass_scores(hashed, Part(made, wanted, sizes_of, layout.shards), layout, first, last, smoothing)
             for wanted, first, last in layout.passes(sizes_of, max_bytes)
         ]
         sums = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.sum("part").alias("model"))

@@ -146,3 +146,15 @@ def test_passes_cover_each_pair_once_within_the_bound():
     for shards, first, last in held:
         here = (pairs >= first) & (pairs < last)
         assert {*mine[here], *np.roll(mine, 1)[here]} <= set(shards)
+
+
+def test_a_part_of_the_filter_is_a_mapped_file_and_texts_are_taken_in_short_runs(spark, monkeypatch):
+    """Workers hold neither the filter nor a batch's texts: shards lie in order in a mapped file, texts leave Arrow in runs."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "BATCH_BYTES", 10)
+    assert list(lm.groups(pa.array([b"x" * n for n in (4, 8, 1, 20, 3)]))) == [[b"x" * 4, b"x" * 8], [b"x", b"x" * 20], [b"xxx"]]
+    made = spark.createDataFrame([(4, bytearray(b"d" * 16)), (1, bytearray(b"a" * 8)), (2, bytearray(b"b" * 24))], "shard int, bits binary")
+    bloom = lm.Part(made, [1, 3, 4], {1: 8, 2: 24, 4: 16}, 6).bloom()
+    assert isinstance(bloom.bits, np.memmap) and bytes(bloom.bits) == b"a" * 8 + bytes(8) + b"d" * 16
+    assert bloom.starts.tolist() == [0, 0, 8, 8, 16, 32] and bloom.sizes.tolist() == [0, 8, 0, 8, 16, 0]
