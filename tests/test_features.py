@@ -312,3 +312,21 @@ def test_rows_are_dealt_once_and_a_profile_reads_them_where_they_lie(spark):
     assert alone.drop("ts_key")._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     wide = profile.user_features(adapters.ordered(spark, SMALL, "row_key", "price_cents", "main_category", "review_title", "review_text"))
     assert "Exchange " not in wide._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 10])
+def test_sales_are_not_shuffled_by_item_while_items_are_few(spark, monkeypatch, sent):
+    """However small Spark's own bound for broadcasts; with more items than ``ITEMS_SENT`` the rows are the same."""
+    from recfeat.plans import adapters
+
+    monkeypatch.setattr(adapters, "ITEMS_SENT", sent)
+    used = ("user_id", "row_key", "price_cents", "main_category")
+    want = adapters.positives(spark, SMALL).select(*used)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = adapters.positives(spark, SMALL, *used)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin [parent_asin" in plan) == (sent > 10) and rows(got) == rows(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
