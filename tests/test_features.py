@@ -330,3 +330,30 @@ def test_sales_are_not_shuffled_by_item_while_items_are_few(spark, monkeypatch,
         assert ("BroadcastHashJoin [parent_asin" in plan) == (sent > 10) and rows(got) == rows(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_draws_of_a_chunk_equal_a_plain_loop():
+    """All rows of a chunk at once: ranks among what is left, shifted one number after the other, also where less is left than is wanted."""
+    import hashlib
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for n_pool, n_rows in ((0, 3), (1, 4), (7, 9), (12, 30), (300, 128)):
+        keys = [f"k{rng.random()}" for _ in range(n_rows)]
+        numbers = [rng.choice([-1, rng.randrange(n_pool)]) if n_pool else -1 for _ in keys]
+        for seen in (None, {k for k in range(n_pool) if rng.random() < 0.3}):
+            bits = None if seen is None else np.packbits(np.array([k in seen for k in range(64 * 8)]), bitorder="little").tobytes()
+            got = negatives._unseen(negatives._words(keys, 5, 9), np.array(numbers), bits, n_pool)
+            gone = sorted(seen or ())
+            for key, number, line in zip(keys, numbers, got.tolist()):
+                gone = sorted({*gone, number} - {-1})
+                mine, want = gone, []
+                for nth in range(5):
+                    d = int(hashlib.md5(f"{key}|{nth}|9".encode()).hexdigest()[:8], 16) * (n_pool - len(mine)) >> 32
+                    if len(mine) < n_pool:
+                        for x in mine:
+                            d += x <= d
+                        mine = sorted([*mine, d])
+                        want.append(d)
+                assert line == want + [-1] * (5 - len(want))
