@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -15,7 +18,7 @@ FIRST_ID, BYTES = 10, 256
 WORD = r"[^\x20\x09-\x0D\p{Z}]+"
 _WORDS = regex.compile(WORD)
 LONGEST, SIZE = 8, 8_000
-CACHED = 200_000
+CACHED, SLICE = 200_000, 256
 
 
 def words_of(text: Column) -> Column:
@@ -105,10 +108,23 @@ class Trie:
         return data.decode("utf-8", "surrogatepass").replace(START, " ").removeprefix(" ")
 
 
-def encoded(sentences: Column, pieces: dict[str, int]) -> Column:
+def _first_words(sentences: pa.Array, each: int | None, most: int | None) -> list[list[str]]:
+    """The words of a text's sentences; at most ``each`` of a sentence, and sentences until these and a mark for each are more than ``most``."""
+    out, n = [], 0
+    for sentence in sentences:
+        out.append([m.group() for m in islice(_WORDS.finditer(sentence.as_py() or ""), each)])
+        n += 1 + len(out[-1])
+        if most is not None and n > most:
+            break
+    return out
+
+
+def encoded(sentences: Column, pieces: dict[str, int], each: int | None = None, most: int | None = None) -> Column:
     """The ids of each sentence of an array; null gives null. ``pieces`` is the bounded vocabulary, sent to the workers.
 
-    A worker cuts each different word once and keeps up to ``CACHED`` of them.
+    A worker cuts each different word once and keeps up to ``CACHED`` of them; the words of ``SLICE`` texts are Python objects at a time.
+    Whoever uses only ``each`` ids of a sentence, and of a text only sentences that fit into ``most`` ids with a mark for each,
+    says so: what is past both need not be there then. A word has at least one id.
     """
     state: dict = {}
 
@@ -116,13 +132,21 @@ def encoded(sentences: Column, pieces: dict[str, int]) -> Column:
     def run(arrays: pa.Array) -> pa.Array:
         if "trie" not in state:
             state["trie"], state["known"] = Trie(pieces), {}
-        rows = [None if r is None else [_WORDS.findall(s or "") for s in r] for r in arrays.to_pylist()]
-        known = state["known"]
-        new = list({w for r in rows if r for s in r for w in s}.difference(known))
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list({w for r in rows if r for s in r for w in s})
-        known.update(zip(new, state["trie"].encode(new)))
-        return pa.array([None if r is None else [[i for w in s for i in known[w]] for s in r] for r in rows], pa.list_(pa.list_(pa.int32())))
+        known, flat, ends, lengths = state["known"], array("i"), [0], [0]
+        for first in range(0, len(arrays), SLICE):
+            rows = [_first_words(r.values, each, most) if r.is_valid else [] for r in arrays.slice(first, SLICE)]
+            new = {w for r in rows for s in r for w in s}.difference(known)
+            if len(known) + len(new) > CACHED:
+                known.clear()
+                new = {w for r in rows for s in r for w in s}
+            known.update(zip(new, state["trie"].encode(list(new))))
+            for r in rows:
+                for s in r:
+                    for w in s:
+                        flat.extend(known[w])
+                    ends.append(len(flat))
+                lengths.append(len(ends) - 1)
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
+        return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), ids, mask=arrays.is_null())
 
     return run(sentences)

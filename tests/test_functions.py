@@ -154,3 +154,17 @@ def test_images_are_made_a_few_at_a_time(spark, monkeypatch):
     total = image.over_pixel_values(F.col("p"), lambda x: float(x[:5000].astype(float).sum()), T.DoubleType(), pa.float64())
     for r in df.select("id", total.alias("t"), F.slice(image.pixel_values("p"), 1, 5000).alias("x")).collect():
         assert r.t == pytest.approx(sum(r.x))
+
+
+def test_ids_that_fit_no_chunk_are_not_made(spark):
+    """Chunks are the same from the first words alone; texts whose sentences or number of them pass all bounds, none, and null."""
+    import pyarrow as pa
+
+    from recfeat.functions import chunks, pieces
+
+    assert pieces._first_words(pa.array(["a b c", None, "d", "e"]), 2, 4) == [["a", "b"], [], ["d"]]
+    data = [(1, ["one two three"] * 9), (2, ["w " * 50, "x", "y"]), (3, []), (4, None), (5, ["a", None, "zz top"]), (6, ["q"] * 40), (7, ["one two", "u " * 11, "three"])]
+    df = spark.createDataFrame(data, "id long, s array<string>")
+    vocabulary = {p.piece: p.id for p in pieces.learn(spark.createDataFrame([("one", 3), ("two", 2), (None, 1)], "word string, n long")).collect()}
+    whole, short = (df.select("id", chunks.sentence_chunks(pieces.encoded(F.col("s"), vocabulary, **bound), max_tok=12, max_chunks=2).alias("c")) for bound in ({}, {"each": 9, "most": 20}))
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, short.collect()))
