@@ -12,26 +12,33 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import batched, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 END_ID = 2
-CACHED = 500_000
-"""So many pieces of text at most are kept with their ids by a Python worker."""
-FLUSH = 1 << 23
-"""Texts of about so many characters, or one document, are encoded before they are handed on."""
+CACHED = 300_000
+"""So many pieces of text at most, of those that take all steps, are kept with their ids by a Python worker."""
+FLUSH = 1 << 22
+"""Texts of so many bytes at most, or one document, are encoded before they are handed on."""
+AT_ONCE = 4096
+"""So many pieces are given to the whole tokenizer in one call, whose results are several times larger than their ids."""
+LONG = 1000
+"""Longer pieces, in bytes, take all steps: merging by ranks may take the square of a word's length."""
 STRIPE_BYTES = 16 << 20
 ROWS_INDEXED = 1000
 """Rows of a row group: each has its own statistics and Bloom filter."""
 _CODED: dict[str, Coder] = {}
+_LATIN_PIECE = "^[!-~À-ÖØ-öø-ÿ]*$"
 _LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-"""What the tokenizer file takes as a word, for lower-cased Latin characters."""
+_PARTS_AND_ENDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-zß-öø-ÿ0-9]+").findall
+"""What the tokenizer file takes as a word, for lower-cased Latin characters; a line feed ends a piece."""
 
 
 class Coder:
@@ -41,9 +48,14 @@ class Coder:
     piece is encoded once by the library, and the ids of a text are those of its pieces, one after the other. What the file's
     steps before its model do to ASCII and Latin-1 letters is no more than lower-casing and parting words, digits and marks, so
     the model gets these parts as they are, all in one call; all other pieces take all steps.
+
+    ``encode`` does the same for whole Arrow arrays, without an object for each piece: merges of Latin parts are looked up by
+    rank. A part's last byte and a space after it stand for the last symbol with its word-end mark. This needs a file whose ids
+    ascend in the order of its merges and whose tokens, spelled, give themselves (both tested for the file in use).
     """
 
     def __init__(self, tokenizer_path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(tokenizer_path)
@@ -57,6 +69,19 @@ class Coder:
         self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known, self.words = Kept(), Kept()
         self.known[""] = b""
+        self.ranks = self._ranks(vocabulary, suffix)
+        self.piece_end = self.ranks[b"\n "]
+        self.latin = Encoding("latin words", pat_str="[^ ]+ ", mergeable_ranks=self.ranks, special_tokens={})
+
+    def _ranks(self, vocabulary: dict[str, int], suffix: str) -> dict[bytes, int]:
+        """Ids of all tokens of lower-cased Latin characters, by their bytes and a space for ``suffix``; an id of its own ends a piece."""
+        bytes_of = {s: b for c, spelled in self.spelled.items() for s, b in zip(spelled, chr(c).encode())} | {chr(b): b for b in range(33, 127)}
+        ranks, added = {}, self.whole.get_added_tokens_decoder()
+        for token, i in vocabulary.items():
+            stem = token.removesuffix(suffix)
+            if i not in added and all(map(bytes_of.__contains__, stem)):
+                ranks[bytes(map(bytes_of.__getitem__, stem)) + b" " * (stem != token)] = i
+        return ranks | {b"\n ": len(self.closing)}
 
     @staticmethod
     def of(tokenizer_path: str) -> Coder:
@@ -78,17 +103,48 @@ class Coder:
             words = _add(words, dict(zip(fresh, (data[a:b] for a, b in zip([0, *ends], ends)))))
         found = {p: words[x[0]] if len(x) == 1 else b"".join(map(words.__getitem__, x)) for p, x in zip(simple, parts)}
         other = [p for p in new if p not in found]
-        made = self.whole.encode_batch_fast(other, add_special_tokens=False)
-        found.update(zip(other, (np.array(m.ids, dtype="<u4").tobytes() for m in made)))
+        for some in batched(other, AT_ONCE):
+            made = self.whole.encode_batch_fast(list(some), add_special_tokens=False)
+            found.update(zip(some, (np.array(m.ids, dtype="<u4").tobytes() for m in made)))
         return found
 
+    def _having(self, pieces: set[str]) -> Kept:
+        """What gives the ids of the pieces."""
+        new = list(pieces.difference(self.known))
+        return _add(self.known, self._learn(new)) if new else self.known
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        known = _add(self.known, self._learn(new)) if new else self.known
+        known = self._having(set().union(*cut))
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
+    def _by_rank(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin pieces one after the other, and how many each has."""
+        text = _lines(pieces).lower() + "\n" * (len(pieces) > 0)
+        ids = self.latin.encode_to_numpy(" ".join([*_PARTS_AND_ENDS(text), ""]), disallowed_special=())
+        ended = ids == self.piece_end
+        return ids[~ended], np.diff(np.flatnonzero(ended), prepend=-1) - 1
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text and ``end_id``; a null text is empty. Each different piece is encoded once."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces, of = coded.dictionary, coded.indices.to_numpy()
+        latin = pc.and_(pc.match_substring_regex(pieces, _LATIN_PIECE), pc.less_equal(pc.binary_length(pieces), LONG))
+        latin = pc.and_not(latin, pc.match_substring(pieces, "<|")).to_numpy(zero_copy_only=False)
+        ids, sizes = self._by_rank(pieces.filter(pa.array(latin)))
+        rest = [] if latin.all() else _lines(pieces.filter(pa.array(~latin))).split("\n")
+        other = list(map(self._having(set(rest)).__getitem__, rest))
+        ids = np.concatenate([ids, np.frombuffer(b"".join(other), dtype="<u4")]).astype("<i4")
+        starts = np.cumsum([0, *sizes.tolist(), *(len(o) // 4 for o in other)], dtype=np.int32)
+        place = np.empty(len(pieces), dtype=np.int32)
+        place[np.concatenate([np.flatnonzero(latin), np.flatnonzero(~latin)])] = np.arange(len(pieces), dtype=np.int32)
+        all_ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids)).take(pa.array(place[of]))
+        bounds = all_ids.offsets.to_numpy()[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        ended = np.insert(all_ids.values.to_numpy(), bounds[1:], np.uint32(end_id).astype("<i4"))
+        return pa.ListArray.from_arrays(pa.array(bounds + np.arange(len(bounds), dtype=np.int32)), pa.array(ended))
+
 
 class Kept(dict):
     """What a worker keeps, and what only the present texts need."""
@@ -102,18 +158,25 @@ class Kept(dict):
 
 
 def _add(kept: Kept, new: dict[str, bytes]) -> Kept:
-    """Keep what is new while there is room (frequent pieces come first), and have it at hand until the next call."""
-    if len(kept) + len(new) <= CACHED:
-        kept.update(new)
-        kept.passing = {}
-    else:
-        kept.passing = new
+    """Keep what is new as far as there is room (frequent pieces come first), and have the rest at hand until the next call."""
+    room = max(0, CACHED - len(kept))
+    kept.update(islice(new.items(), room))
+    kept.passing = dict(islice(new.items(), room, None))
     return kept
 
 
-def _lists(parts: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+def _lines(pieces: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), "\n")[0].as_py()
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and next row of runs of ``FLUSH`` bytes at most; a longer text is a run of its own."""
+    ends, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0
+    while first < len(texts):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + FLUSH, side="right")))
+        yield first, last
+        first = last
 
 
 def _schema(id_type: str) -> str:
@@ -132,18 +195,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ranged = rows.repartitionByRange("id", "read").sortWithinPartitions("id", "read").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end, before = Coder.of(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), 0
+        code, before = Coder.of(tokenizer_path), 0
         for batch in batches:
-            texts, first, chars = [], 0, 0
-            for at, text in enumerate(batch.column(1)):
-                texts.append(text.as_py() or "")
-                chars += len(texts[-1])
-                if chars >= FLUSH or at == batch.num_rows - 1:
-                    parts = [p + end for p in code(texts)]
-                    ends = np.cumsum([before, *(len(p) // 4 for p in parts)], dtype=np.int64)
-                    columns = [batch.column(0).slice(first, len(parts)), pa.array(ends[:-1]), pa.array(np.diff(ends)), _lists(parts)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "before", "n", "ids"])
-                    texts, first, chars, before = [], at + 1, 0, int(ends[-1])
+            for first, last in _runs(batch.column(1)):
+                ids = code.encode(batch.column(1).slice(first, last - first), end_id)
+                n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+                ends = before + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(ends - n), pa.array(n), ids], names=["id", "before", "n", "ids"]
+                )
+                before = int(ends[-1])
 
     made = ranged.mapInArrow(run, _schema(id_type))
     options = {

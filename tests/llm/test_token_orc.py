@@ -1,10 +1,13 @@
+import json
 import random
+import tracemalloc
 import uuid
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as orc
 from tokenizers import Tokenizer
 
@@ -36,6 +39,65 @@ def test_a_full_cache_starts_anew(monkeypatch):
         assert len(code.known) <= 21 and len(code.words) <= 21
 
 
+def test_arrays_give_the_tokenizers_ids():
+    code, whole, rng = token_orc.Coder(FILE), Tokenizer.from_file(FILE), random.Random(3)
+    pieces = ["the", " of", "É", "ß", "\n\n", "  ", "\t", "12", "'s", "it's", "...", "😀", "<|endoftext|>", "<|startoftext|>", "Σ", " ", "\u00a0", "́", " ́", "İ", "\r\n", "漢字", "\x00", "ª", "µ", "'re", "ÿÑ×÷", "a" * 1500]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)] + list(map(chr, range(0x250))) + [None, "", " ", "\n"]
+    texts += ["".join(rng.choices("aBcsTrelmdÀÖØöÿÞßéÑ×÷.,;:!?'' -1<|>", k=rng.randint(0, 20))) for _ in range(4000)]
+    made = code.encode(pa.array(["not this", *texts]).slice(1), 7)
+    assert [whole.encode(t or "", add_special_tokens=False).ids + [7] for t in texts] == made.to_pylist()
+    for few in ([], ["漢字"], [""], [None], ["漢 字", "only\nLatin"]):
+        made = code.encode(pa.array(few, pa.string()), 2).to_pylist()
+        assert made == [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in few]
+
+
+def test_merging_by_rank_is_merging_by_rule():
+    """The tokens' order is the merges' order, and the merges make each token of its own symbols: so no other pair of tokens makes it."""
+    model = json.loads(Path(FILE).read_text())["model"]
+    order = {tuple(m): i for i, m in enumerate(model["merges"])}
+    made = [model["vocab"][a + b] for a, b in order]
+    assert made == sorted(made) and min(made) > 511
+    for token in (a + b for a, b in order):
+        symbols = list(token.removesuffix("</w>"))
+        symbols[-1] += "</w>" * token.endswith("</w>")
+        while len(symbols) > 1:
+            rank, at = min((order.get(pair, len(order)), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
+            assert rank < len(order), token
+            symbols[at : at + 2] = ["".join(symbols[at : at + 2])]
+
+
+def test_a_worker_stays_small():
+    """Rare words do not add up in a worker, and a run of texts leaves nothing behind."""
+    code, rng = token_orc.Coder(FILE), random.Random(4)
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(20_000)) for _ in range(30)])
+    assert [b - a for a, b in token_orc._runs(texts)] == [20, 10]
+    tracemalloc.start()
+    for first, last in token_orc._runs(texts):
+        code.encode(texts.slice(first, last - first), 2)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 5e6 and len(code.known) + len(code.words) < 1000
+
+
+def test_a_cache_fills_to_its_end(monkeypatch):
+    """More new pieces than there is room for: some are kept, and results stay."""
+    monkeypatch.setattr(token_orc, "CACHED", 20)
+    monkeypatch.setattr(token_orc, "AT_ONCE", 7)
+    code, whole = token_orc.Coder(FILE), Tokenizer.from_file(FILE)
+    for i in range(0, 90, 30):
+        texts = [" ".join(f"слово{j} Latin 漢字" for j in range(i, i + 50)), "漢字"]
+        assert code.encode(pa.array(texts), 2).to_pylist() == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert len(code.known) == 20 and not code.words
+
+
+def test_runs_of_texts(monkeypatch):
+    monkeypatch.setattr(token_orc, "FLUSH", 10)
+    texts = pa.array(["x", "a" * 6, None, "", "bcd", "e", "f" * 50, "", "g" * 10, "hé"])
+    assert list(token_orc._runs(texts)) == [(0, 5), (5, 6), (6, 7), (7, 9), (9, 10)]
+    assert list(token_orc._runs(texts.slice(6))) == [(0, 1), (1, 3), (3, 4)]
+    assert list(token_orc._runs(texts[:0])) == []
+
+
 def check(spark, docs, path):
     got = token_orc.checksums(token_orc.read_tokens(spark, path)).collect()
     assert len(got) == len(docs)
