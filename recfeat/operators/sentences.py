@@ -2,13 +2,15 @@
 
 Abbreviations, collocations over a period and frequent sentence starters are found by log-likelihood ratios, without
 labels (Kiss and Strunk, "Unsupervised multilingual sentence boundary detection", 2006). One pass of aggregates over the tokens
-counts all of it; the tables that follow are small and are what ``split`` looks at.
+counts all of it. The tables that follow are what ``split`` looks at: sent to all tasks where they are small, else each text meets its own
+part of them (``with_sentences``); none is cut.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,7 @@ from ..tables import as_table
 # The thresholds of the published method.
 ABBREVIATION, COLLOCATION, STARTER, SURE = 0.3, 7.88, 30.0, 0.99
 MOST = 500_000
-"""At most so many entries of each table are kept, the most frequent ones; the tables are broadcast."""
+"""Tables of up to so many entries each are sent to all tasks; larger ones are joined with what the texts ask."""
 SLICE = 64
 TOKEN = r"[^\x20\x09-\x0D]+"
 OPENERS, CLOSERS = "\"'“‘„(\\[«¿¡", "\"'”’“)\\]»"
@@ -97,7 +99,6 @@ class Boundaries:
     """Frequent sentence starters."""
     openers: frozenset[str] = frozenset()
     """Words that are else written small, so that a capital opens a sentence."""
-    _sign: re.Pattern = field(default=re.compile(r"[.!?][\"'”’“)\]»]*(?=[\x20\x09-\x0D])|[。！？]+[\"'”’“)\]»]*"), repr=False)
 
     def ends(self, token: str, following: str) -> bool:
         """Whether a sentence ends between two tokens, the first of which has a period or other mark at its end."""
@@ -117,22 +118,16 @@ class Boundaries:
     def split(self, text: str | None) -> list[str]:
         """The sentences of a text, trimmed; null and blank give none. Texts without spaces are parted after their full-width marks."""
         text, out, start = text or "", [], 0
-        for sign in self._sign.finditer(text):
-            end = sign.end()
-            if sign[0][0] not in "。！？":
-                at = end
-                while at > start and text[at - 1] not in _SPACES:
-                    at -= 1
-                rest = _NEXT.match(text, end)
-                if rest is None or not self.ends(text[at:end], rest[1]):
-                    continue
-            out.append(text[start:end])
-            start = end
+        for end, near in _signs(text):
+            if near is None or self.ends(*near):
+                out.append(text[start:end])
+                start = end
         return [s for s in (x.strip(_SPACES) for x in [*out, text[start:]]) if s]
 
 
 _SPACES = " \t\n\x0b\x0c\r"
-_NEXT = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,200})")
+_NEXT = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)")
+_SIGN = re.compile(r"[.!?][\"'”’“)\]»]*(?=[\x20\x09-\x0D])|[。！？]+[\"'”’“)\]»]*")
 _STRIP = re.compile(f"^[{OPENERS}]+|[{CLOSERS}]+$")
 
 
@@ -145,6 +140,30 @@ def _type(core: str) -> str:
     return NUMBER if re.match(_DIGITS, bare) else bare
 
 
+def _signs(text: str) -> Iterator[tuple[int, tuple[str, str] | None]]:
+    """Where a sentence may end: the place, and the tokens on both sides; none after full-width marks, which always end one."""
+    start = 0
+    for sign in _SIGN.finditer(text):
+        end = sign.end()
+        if sign[0][0] in "。！？":
+            start = end
+            yield end, None
+            continue
+        at = end
+        while at > start and text[at - 1] not in _SPACES:
+            at -= 1
+        rest = _NEXT.match(text, end)
+        if rest is not None:
+            yield end, (text[at:end], rest[1])
+
+
+def asked(text: str | None) -> list[tuple[str, str]]:
+    """The pairs ``(before, type)`` around the periods of a text, each once: all that ``ends`` looks up for it."""
+    near = [(_strip(n[0]), n[1]) for _, n in _signs(text or "") if n]
+    pairs = ((_type(core), _type(_strip(following))) for core, following in near if core.endswith("."))
+    return list(dict.fromkeys(p for p in pairs if p[0] != NUMBER))
+
+
 def learned_tables(counts: DataFrame) -> dict[str, DataFrame]:
     """``abbreviations``, ``starters``, ``openers`` (type, n) and ``collocations`` (before, type, n) of a table of ``token_counts``."""
     scores = abbreviation_scores(counts)
@@ -172,11 +191,72 @@ def learned_tables(counts: DataFrame) -> dict[str, DataFrame]:
     return {"abbreviations": known, "starters": starters, "openers": openers, "collocations": collocations}
 
 
-def learn(docs: DataFrame, text_col: str = "text", most: int = MOST) -> Boundaries:
-    """Learn from all texts. At most ``most`` entries of each table come to the driver, the most frequent first."""
+def _learned(docs: DataFrame, text_col: str) -> dict[str, DataFrame]:
     tables = learned_tables(as_table(token_counts(docs, text_col), "token_counts"))
-    take = lambda name, *key: frozenset(tuple(r)[: len(key)] if len(key) > 1 else r[0] for r in tables[name].orderBy(F.desc("n"), *key).limit(most).collect())
-    return Boundaries(take("abbreviations", "type"), take("collocations", "before", "type"), take("starters", "type"), take("openers", "type"))
+    return {name: table if name == "abbreviations" else as_table(table, name) for name, table in tables.items()}
+
+
+def _collected(tables: dict[str, DataFrame], most: int) -> Boundaries | None:
+    """The whole tables; none if one has more than ``most`` entries."""
+    if any(table.count() > most for table in tables.values()):
+        return None
+    types = lambda name: frozenset(r[0] for r in tables[name].select("type").collect())
+    pairs = frozenset(tuple(r) for r in tables["collocations"].select("before", "type").collect())
+    return Boundaries(types("abbreviations"), pairs, types("starters"), types("openers"))
+
+
+def learn(docs: DataFrame, text_col: str = "text", most: int = MOST) -> Boundaries:
+    """Learn from all texts. All entries come to the driver; more than ``most`` in one table are an error, and for ``with_sentences``."""
+    found = _collected(_learned(docs, text_col), most)
+    if found is None:
+        raise ValueError(f"a learned table has more than {most} entries; with_sentences splits by tables of any size")
+    return found
+
+
+def with_sentences(docs: DataFrame, text_col: str = "text", most: int = MOST) -> DataFrame:
+    """``docs`` with ``sentences``, by the boundaries learned from all its texts; null and blank texts have none. The same whatever ``most`` is."""
+    tables = _learned(docs, text_col)
+    found = _collected(tables, most)
+    return split_by(docs, tables, text_col) if found is None else docs.withColumn("sentences", split(F.col(text_col), found))
+
+
+def split_by(docs: DataFrame, tables: dict[str, DataFrame], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``sentences``, by learned tables of any size, which stay distributed.
+
+    The pairs around the texts' periods meet the tables, and each text gets what is known of its own pairs. Texts are told apart by a hash: entries hold for
+    all texts, so two texts of one hash only bring each other's entries along.
+    """
+    pairs = F.arrow_udf(_asked_texts, "array<struct<before:string,type:string>>")
+    key, yes = F.xxhash64(F.col(text_col)).alias("_key"), F.lit(True)
+    asks = docs.select(key, F.explode(pairs(F.col(text_col))).alias("x")).select("_key", "x.before", "x.type")
+    opening = tables["starters"].select("type").union(tables["openers"].select("type")).distinct()
+    known = asks.select("before", "type").distinct().join(tables["abbreviations"].select(F.col("type").alias("before"), yes.alias("short")), "before", "left")
+    known = known.join(opening.withColumn("opens", yes), "type", "left")
+    known = known.join(tables["collocations"].select("before", "type", yes.alias("bound")), ["before", "type"], "left")
+    known = known.where("short or opens or bound")
+    met = asks.join(known, ["before", "type"]).groupBy("_key").agg(F.collect_set(F.struct("before", "type", "short", "opens", "bound")).alias("_met"))
+    cut = F.arrow_udf(_split_met, "array<string>")
+    return docs.select("*", key).join(met, "_key", "left").withColumn("sentences", cut(F.col(text_col), F.col("_met"))).select(*docs.columns, "sentences")
+
+
+def _asked_texts(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("before", pa.string()), ("type", pa.string())]))
+    named = lambda text: [{"before": b, "type": t} for b, t in asked(text)]
+    parts = [pa.array([named(t) for t in texts.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def _split_met(texts: pa.Array, met: pa.Array) -> pa.Array:
+    """Each text by the entries that came with it."""
+    kind, parts = pa.list_(pa.string()), []
+    for at in range(0, len(texts), SLICE):
+        said = []
+        for text, mine in zip(texts.slice(at, SLICE).to_pylist(), met.slice(at, SLICE).to_pylist()):
+            mine = mine or ()
+            opening, bound = (frozenset(m["type"] for m in mine if m["opens"]), frozenset((m["before"], m["type"]) for m in mine if m["bound"]))
+            said.append(Boundaries(frozenset(m["before"] for m in mine if m["short"]), bound, opening).split(text))
+        parts.append(pa.array(said, kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def split_texts(texts: pa.Array, boundaries: Boundaries) -> pa.Array:

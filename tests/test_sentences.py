@@ -148,3 +148,25 @@ def test_a_batch_of_texts_is_split_a_few_at_a_time():
     assert peak < 5_000_000 < texts.nbytes
     assert got[:2].to_pylist() == [[], []] and got[1501].as_py() == ["word " * 2000 + "is 1499.", "Next one!"] and len(got) == 1502
     assert sentences.split_texts(texts[:0], sentences.Boundaries()).to_pylist() == []
+
+
+def test_tables_of_any_size_are_used_whole(spark):
+    """Where the learned tables are too large to send to all, each text meets its own entries: nothing is dropped."""
+    texts = [" ".join(t) for t in corpus(400, 3)] + [None, "", "\n", "他来了。Dr. Smith去了。e.g. badan. Next one.", "a.b. c... D. E", "Dr. Smith paid No. 7 p.m. Then left."] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    got = lambda frame: {r.i: r.sentences for r in frame.select("i", "sentences").collect()}
+    whole = got(sentences.with_sentences(df))
+    assert len(whole) == len(texts) and whole[400] == [] and sum(map(len, whole.values())) > 2000
+    for most in (0, 2):
+        assert got(sentences.with_sentences(df, most=most)) == whole
+        with pytest.raises(ValueError, match=f"more than {most} entries"):
+            sentences.learn(df, most=most)
+    bounds = sentences.learn(df)
+    assert got(df.withColumn("sentences", sentences.split(F.col("text"), bounds))) == whole
+
+
+def test_a_long_word_after_a_period_is_looked_up_whole():
+    long = "w" * 300
+    bounds = sentences.Boundaries(abbreviations=frozenset(["dr"]), openers=frozenset([long]))
+    assert bounds.split(f"A dr. {long.capitalize()} x.") == ["A dr.", f"{long.capitalize()} x."]
+    assert sentences.asked(f"A dr. {long.capitalize()} x. 3. Y! Z") == [("dr", long), ("x", "##")]
