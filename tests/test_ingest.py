@@ -327,3 +327,47 @@ def test_landed_images_become_patch_lines_and_come_back(spark, tmp_path):
     odd = lines(spark, ['{"parent_asin":" ","patch_b64":"AA=="}', '{"parent_asin":"a","patch_b64":"*"}', "x"])
     rows_back, bad = patches.from_lines(odd)
     assert (rows_back.count(), bad.count()) == (0, 1)
+
+
+def test_small_samples_share_their_compression(spark, tmp_path):
+    """Samples of a few hundred bytes take less than half of what each takes alone; keys still bring their samples, and no others of their runs."""
+    import hashlib
+    import tarfile
+
+    from pyspark.sql.datasource import In
+
+    shards.register(spark)
+    path = tmp_path / "s"
+    data = [(f"{i * 7 % 900}-{i}-{hashlib.md5(b'%d' % (i % 1990)).hexdigest()[:6]}", "2-HIGH F" if i % 3 else None, 'cold "gizmo" é\n', hashlib.md5(b"%d" % i).hexdigest().encode(), [32], 1, i % 2, 0) for i in range(2000)]
+    df = spark.createDataFrame(data + [data[5], ("big", "u" * 9000, "i", bytes(range(256)) * 50, [12800], 1, 1, None)], shards.SCHEMA).coalesce(1)
+    df.write.format("tar_shards").option("path", str(path)).mode("append").save()
+    assert rows(spark.read.format("tar_shards").option("path", str(path)).load().select(*df.columns)) == rows(df)
+    assert sum(p.stat().st_size for p in path.glob("*.gz")) < 2000 * 160 and sum(p.stat().st_size for p in path.glob("*.idx")) < 2000 * 25
+    reader, wanted = shards._Reader(str(path)), {data[5][0], data[6][0], data[1500][0], "big", "absent"}
+    list(reader.pushFilters([In(("key",), tuple(wanted))]))
+    got = [r for p in reader.partitions() for r in reader.read(p)]
+    assert sorted(r[0] for r in got) == sorted([data[5][0]] * 2 + [data[6][0], data[1500][0], "big"])
+    assert max(len(r[1]) for r in got if r[1]) == 9000
+    members = {}
+    for p in path.glob("*.gz"):
+        with tarfile.open(p) as tar:
+            members |= {m.name: tar.extractfile(m).read() for m in tar}
+    assert len(members) == 2001 * 5 and members[f"{data[0][0]}.user.json"] == b'{"text": null}'
+    assert members[f"{data[0][0]}.item.json"] == '{"text": "cold \\"gizmo\\" é\\n"}'.encode() and members["big.label.json"] == b'{"good": 1, "best": null}'
+
+
+def test_shuffle_files_go_with_the_table_they_made(spark):
+    """A table's step leaves no shuffle file, has parts by its rows, and the settings come back."""
+    from pathlib import Path
+
+    from recfeat import tables
+
+    files = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before, parts = files(), spark.conf.get("spark.sql.shuffle.partitions")
+    with tables.lean(spark, 45, rows_per_part=5):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+        made = tables.as_table(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "lean")
+    assert not files() - before and spark.conf.get("spark.sql.shuffle.partitions") == parts and spark.conf.get(tables.CLEANUP, None) is None
+    with tables.lean(spark, 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == parts
+    assert made.count() == 7
