@@ -357,3 +357,30 @@ def test_draws_of_a_chunk_equal_a_plain_loop():
                         mine = sorted([*mine, d])
                         want.append(d)
                 assert line == want + [-1] * (5 - len(want))
+
+
+def test_rendered_samples_are_shuffled_no_more(spark):
+    """An item's text comes with its metadata, so that long texts of users meet no join; and the user's text is rendered once, though validity looks at it."""
+    from recfeat.plans import features
+
+    plan = features.model_samples(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython [") == 1
+
+
+def test_described_items_make_samples(spark):
+    """Items bring text, patch and flag; one without a name has no text, so its rows are no samples, though they stay in their user's past."""
+    data = [("a", "C", "t é", 100.0, ["f"], ["d&amp;"]), (" ", "C", "t", None, None, None), ("b", None, "", None, [], None)]
+    items = spark.createDataFrame(data, "parent_asin string, main_category string, product_title string, price double, features array<string>, description array<string>")
+    patches = spark.createDataFrame([("a", b"2"), ("a", b"1"), (" ", b"3")], "parent_asin string, patch binary")
+    made = assemble.described(items, patches)
+    got = {r.parent_asin: (r.item_text, r.patch and bytes(r.patch), r.has_image) for r in made.collect()}
+    assert got["a"] == ("Item category: C. Item title: t é. Item price: 100.00. Item features: f; Item description: d&;", b"1", 1) and got[" "] == (None, None, 0)
+    assert got["b"][0].startswith("Item category: Unknown category. Item title: No title.") and got["b"][1:] == (None, 0)
+    feat = F.struct(
+        F.create_map().cast("map<string,double>").alias("cat_hist"), F.lit(0).cast("long").alias("review_cnt"), F.lit(None).cast("double").alias("price_mean"), F.lit(0.0).alias("price_std"),
+        F.array(F.struct(F.lit("T").alias("title"), F.lit("x\ny").alias("text"))).alias("history"),
+    )
+    rows_ = made.select("*", F.lit("u").alias("user_id"), F.lit("r").alias("row_key"), feat.alias("user_feat"), F.lit(1).alias("label_good"), F.lit(0).alias("label_best"))
+    got = {r.key: r for r in assemble.valid(assemble.samples(rows_)).collect()}
+    assert set(got) == {"u-a-4b43b0", "u-b-4b43b0"} and got["u-a-4b43b0"].user_text.endswith("Review1: x y;") and bytes(got["u-a-4b43b0"].patch) == b"1"
+    assert got["u-b-4b43b0"].has_image == 0 and got["u-b-4b43b0"].patch is None and len(got["u-a-4b43b0"]["shape"]) > 0
